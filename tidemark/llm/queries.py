@@ -1,11 +1,17 @@
 """Queries of the corpus operators and their DuckDB counterparts, by name."""
 
+from .decontamination import OP8_SQL, op8_winnowing
+from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .orc_output import op9_orc_token_ids
 from .packing import op4_vector_packing
+from .simhash import op7_simhash_anchors
 
 LLM_QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
     "op4_vector_packing": op4_vector_packing,
+    "op7_simhash_anchors": op7_simhash_anchors,
+    "op8_winnowing": op8_winnowing,
     "op9_orc_token_ids": op9_orc_token_ids,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES = {"op3_exact_dedup": OP3_SQL, "op8_winnowing": OP8_SQL}
