@@ -36,6 +36,17 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def row_hash(col: str = "text") -> Column:
+    """Tells texts under one id apart."""
+    return F.xxhash64(text_of(col)).alias("row_hash")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``gone`` (doc_id, row_hash) names; null ids count as equal."""
+    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("row_hash").alias("__gone_hash"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__gone_hash"]), "left_anti")
+
+
 def buckets_for(rows: int, per_bucket: int, least: int = 1) -> int:
     """How many groups keep each near ``per_bucket`` rows, whatever the table's size."""
     return max(least, -(-rows // per_bucket))

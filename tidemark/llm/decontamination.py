@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import row_hash, table
 
 #: Words of a window, of a fingerprint's k-gram, and k-grams that one fingerprint is the least of.
 SPAN, GRAM = 13, 5
@@ -216,7 +216,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_B
     benchmark is compared block after block.
     """
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(), F.coalesce("text", F.lit("")).alias("text"))
     bench = items.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))

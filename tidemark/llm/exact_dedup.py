@@ -224,6 +224,24 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that equal another: the whole rows of those that stay, one of each group."""
+    made = staged(deduplicated(docs).select("doc_id", "kept", "text_sha256", "group_size"), "dedup")
+    key = F.sha2(normalised(text_of()), 256)
+
+    def on(right: DataFrame, left: DataFrame, how: str) -> DataFrame:
+        right = right.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+        return left.join(right, left["doc_id"].eqNullSafe(right["__id"]) & (key == right["__sha"]), how)
+
+    kept = on(made.where("NOT kept"), docs, "left_anti")
+    repeated = staged(made.where("kept AND group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    # rows that repeat id and text: partial maxima are made before the shuffle
+    several = on(repeated, kept, "left_semi").groupBy("doc_id", key.alias("__sha")).agg(F.max_by(F.struct(*(docs[c] for c in docs.columns)), F.length(text_of())).alias("row"))
+    return on(repeated, kept, "left_anti").unionByName(several.select("row.*"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
 

@@ -4,9 +4,20 @@ from .decontamination import OP8_SQL, op8_winnowing
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .orc_output import op9_orc_token_ids
 from .packing import op4_vector_packing
+from .quality import op1_kneser_ney_quality
 from .simhash import op7_simhash_anchors
 
+
+def pipeline(spark, sf_dir):
+    """All stages of corpus_pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 LLM_QUERIES = {
+    "pipeline": pipeline,
+    "op1_kneser_ney_quality": op1_kneser_ney_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_vector_packing": op4_vector_packing,
     "op7_simhash_anchors": op7_simhash_anchors,

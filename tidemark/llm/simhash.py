@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import row_hash, staged, table, text_of
 from .components import components
 
 WORDS, SEED, BITS = 4, 42, 4
@@ -54,13 +54,13 @@ def _fingerprints(batches):
     import pyarrow as pa
 
     for batch in batches:
-        made = np.fromiter((fingerprint(b.lower()) for b in batch.column(1).cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+        made = np.fromiter((fingerprint(b.lower()) for b in batch.column(2).cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], ["doc_id", "row_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), row_hash(), text_of().alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, row_hash long, fp long")
 
 
 def block_patterns(bits: int):
@@ -198,7 +198,7 @@ def _linked(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, row_hash, fp and component_id of every row of ``docs`` (doc_id, text)."""
     rows = staged(fingerprints(docs), "fingerprints")
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "classes")
     joined = staged(components(links(classes)), "components")
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = labelled.join(least, "component", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), ((F.col("n") > 1) | F.col("least_id").isNotNull()).alias("shared"))
     # a fingerprint that many rows share is a skewed key of this join; adaptive execution splits it
     out = rows.join(ids.where("shared").select("fp", "component_id"), "fp", "left")
-    return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "row_hash", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
