@@ -52,6 +52,19 @@ def buckets_for(rows: int, per_bucket: int, least: int = 1) -> int:
     return max(least, -(-rows // per_bucket))
 
 
+def text_slices(batch, column: int, most: int = 1 << 20):
+    """An Arrow batch in parts of about ``most`` bytes of text, one row at least, so that what is made of them stays small."""
+    import numpy as np
+
+    ends = string_parts(batch.column(column))[1][1:]
+    at = 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def string_parts(column):
     """(bytes as uint8 array, offsets as int64 array) of an Arrow string column, nulls as empty, without a copy per row."""
     import numpy as np

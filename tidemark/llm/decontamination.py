@@ -195,12 +195,11 @@ def _find(shared):
     def run(batches):
         import pyarrow as pa
 
-        from .common import string_parts
+        from .common import string_parts, text_slices
 
         bench = Benchmark(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in text_slices(batch, 2):
                 counts, found = bench.hits(*string_parts(part.column(2)))
                 rows = [found.get(i, ([], [])) for i in range(part.num_rows)]
                 spans = pa.array([[{"start": a, "end": b} for a, b in s] for s, _ in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))

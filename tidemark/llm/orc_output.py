@@ -26,13 +26,12 @@ def _encode(path: str, end: int):
     def run(batches):
         import pyarrow as pa
 
-        from .common import string_parts
-        from .tokens import BatchEncoder, with_end
+        from .common import string_parts, text_slices
+        from .tokens import encoder_for, with_end
 
-        encoder = BatchEncoder(path)
+        encoder = encoder_for(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in text_slices(batch, 1):
                 ids, counts = encoder(*string_parts(part.column(1)))
                 ids, bounds = with_end(ids, counts, end)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype("int32")), pa.array(ids.view("int32")))

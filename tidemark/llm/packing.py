@@ -32,13 +32,12 @@ def _pieces(path: str, most: int, end: int):
         import numpy as np
         import pyarrow as pa
 
-        from .common import string_parts
-        from .tokens import BatchEncoder, ragged, with_end
+        from .common import string_parts, text_slices
+        from .tokens import encoder_for, ragged, with_end
 
-        encoder = BatchEncoder(path)
+        encoder = encoder_for(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in text_slices(batch, 1):
                 ids, bounds = with_end(*encoder(*string_parts(part.column(1))), end)
                 total = np.diff(bounds)
                 n = -(-total // most)

@@ -44,9 +44,12 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     joined = b" ".join(parts)
     ends = list(accumulate(len(p) + 1 for p in parts))
     starts = [0, *ends[: len(parts) - words]]
-    hashes = [xxh(joined[a : b - 1], seed) for a, b in zip(starts, ends[words - 1 :], strict=True)]
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view(np.uint64)[0])
+    ends = ends[words - 1 :]
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(starts), 1 << 16):  # a very long text a part at a time
+        hashes = [xxh(joined[a : b - 1], seed) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)]
+        ones += np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(starts), bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(batches):

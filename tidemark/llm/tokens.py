@@ -13,8 +13,10 @@ import numpy as np
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Parts longer than this many bytes are encoded each time instead of being kept.
 LONGEST_KEPT = 64
+#: Closing marks, alone or in a row one piece of the splitting pattern.
+MARKS = ".,;:!?#$%&*|()\"-"
 #: A worker starts its store of parts anew when it holds so many.
-MOST_KEPT = 1_500_000
+MOST_KEPT = 700_000
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -58,6 +60,13 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that a byte-level vocabulary writes for each byte: printable Latin-1 stands for itself, the rest follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class BatchEncoder:
     """Encodes columns of texts with one tokenizer file."""
 
@@ -68,6 +77,7 @@ class BatchEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.small, self.spell = self.tokenizer.model, {}, byte_letters()
         self.hashes = [PrefixHash(b) for b in BASES]
         self._reset()
 
@@ -85,7 +95,7 @@ class BatchEncoder:
         while n > len(self.start):
             self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
             self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)], axis=1)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32)
+        flat = np.array([i for x in ids for i in x], np.uint32)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -133,7 +143,10 @@ class BatchEncoder:
         fine = (after > 32) & (before > 32) & (after != 0xC2) & ((after < 0xE1) | (after > 0xE3))
         two, three = raw[np.maximum(at - 2, 0)], raw[np.maximum(at - 3, 0)]
         fine &= (before < 0x80) | ((two != 0xC2) & ((three < 0xE1) | (three > 0xE3)))
-        return np.union1d(offsets[:-1][np.diff(offsets) > 0], at[fine])
+        cut = np.zeros(n, bool)
+        cut[at[fine]] = True
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        return np.flatnonzero(cut)
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text) of texts laid end to end as UTF-8."""
@@ -155,12 +168,11 @@ class BatchEncoder:
             short = lost[size <= LONGEST_KEPT]
             for i in lost[size > LONGEST_KEPT]:
                 long_ids[int(i)] = np.array(self._encode([data[starts[i] : ends[i]].decode()])[0], np.uint32)
-            if len(short):
-                pair = h[:, short].T.copy().view([("a", "u8"), ("b", "u8")]).ravel()
-                _, first = np.unique(pair, return_index=True)
-                new = short[first]
-                self._store(h[:, new], self._encode([data[a:b].decode() for a, b in zip(starts[new], ends[new], strict=True)]))
+            while len(short):  # again only for parts that share a first hash with another
+                new = short[np.unique(h[0, short], return_index=True)[1]]
+                self._store(h[:, new], [self._word(data[a:b].decode()) for a, b in zip(starts[new], ends[new], strict=True)])
                 index[short] = self._find(h[:, short])
+                short = short[index[short] < 0]
         begin, count = np.where(index >= 0, self.start[index], 0), np.where(index >= 0, self.count[index], 0)
         if not long_ids:
             ids = self.pool[ragged(begin, count)]
@@ -174,6 +186,23 @@ class BatchEncoder:
             ids = pool[ragged(begin, count)]
         return ids, np.bincount(text, weights=count, minlength=texts).astype(np.int64)
 
+    def _word(self, part: str) -> list[int]:
+        """Ids of a part. Latin letters between a blank or line feed and closing marks are three pieces, which the model encodes straight away."""
+        body = part.rstrip(MARKS)
+        word = body[1:] if body[:1] in (" ", "\n") else body
+        if not word.isalpha() or max(word) >= "\u0250":
+            return self._encode([part])[0]
+        lead = []
+        if body[:1] == "\n":
+            lead, body = self._small("\n"), word
+        ids = [t.id for t in self.model.tokenize(body.encode().decode("latin-1").translate(self.spell))]
+        return lead + ids + self._small(part[len(part.rstrip(MARKS)) :])
+
+    def _small(self, piece: str) -> list[int]:
+        if piece not in self.small:
+            self.small[piece] = self._encode([piece])[0] if piece else []
+        return self.small[piece]
+
     def _encode(self, parts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
@@ -186,3 +215,13 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end: int = 0) -> tuple[np.ndar
     keep[bounds[1:] - 1] = False
     out[keep] = ids
     return out, bounds
+
+
+_ENCODERS: dict[str, BatchEncoder] = {}
+
+
+def encoder_for(path: str) -> BatchEncoder:
+    """The worker's encoder of a tokenizer file; later tasks of the same worker find its parts again."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = BatchEncoder(path)
+    return _ENCODERS[path]
