@@ -5,7 +5,9 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .orc_output import op9_orc_token_ids
 from .packing import op4_vector_packing
 from .quality import op1_kneser_ney_quality
+from .sharding import op2_rendezvous_sharding
 from .simhash import op7_simhash_anchors
+from .urls import op6_association_rules
 
 
 def pipeline(spark, sf_dir):
@@ -18,8 +20,10 @@ def pipeline(spark, sf_dir):
 LLM_QUERIES = {
     "pipeline": pipeline,
     "op1_kneser_ney_quality": op1_kneser_ney_quality,
+    "op2_rendezvous_sharding": op2_rendezvous_sharding,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_vector_packing": op4_vector_packing,
+    "op6_association_rules": op6_association_rules,
     "op7_simhash_anchors": op7_simhash_anchors,
     "op8_winnowing": op8_winnowing,
     "op9_orc_token_ids": op9_orc_token_ids,
