@@ -4,7 +4,9 @@ from .decontamination import OP8_SQL, op8_winnowing
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .orc_output import op9_orc_token_ids
 from .packing import op4_vector_packing
+from .pii import op5_semi_markov_pii
 from .quality import op1_kneser_ney_quality
+from .secrets import op10_guess_cost_secrets
 from .sharding import op2_rendezvous_sharding
 from .simhash import op7_simhash_anchors
 from .urls import op6_association_rules
@@ -23,10 +25,12 @@ LLM_QUERIES = {
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_vector_packing": op4_vector_packing,
+    "op5_semi_markov_pii": op5_semi_markov_pii,
     "op6_association_rules": op6_association_rules,
     "op7_simhash_anchors": op7_simhash_anchors,
     "op8_winnowing": op8_winnowing,
     "op9_orc_token_ids": op9_orc_token_ids,
+    "op10_guess_cost_secrets": op10_guess_cost_secrets,
 }
 
 LLM_ORACLES = {"op3_exact_dedup": OP3_SQL, "op8_winnowing": OP8_SQL}

@@ -27,8 +27,8 @@ RULES = (
 )
 #: A mined rule needs so many bad URLs, this share of all labelled ones, this confidence, and has so many tokens at most.
 LEAST, SUPPORT, CONFIDENCE, LONGEST = 5, 0.0005, 0.2, 3
-#: The lower end of the confidence's Wilson interval (two-sided 95 %) must exceed the base rate so many times.
-LIFT, Z = 1.5, 1.96
+#: The lower end of the confidence's Wilson interval (three standard errors) must exceed the base rate so many times.
+LIFT, Z = 1.5, 3.0
 BAD = "label=bad"
 
 
