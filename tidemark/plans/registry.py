@@ -1,4 +1,6 @@
 """Queries of the library and their DuckDB counterparts, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import datasets, series
+
+QUERIES = {**series.QUERIES, **datasets.QUERIES}
+ORACLES = {**series.ORACLES, **datasets.ORACLES}
