@@ -1,0 +1,243 @@
+"""Edge cases and small brute force: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import itertools
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontamination, exact_dedup, orc_output, packing, pii, quality, secrets, sharding, simhash, urls
+from tidemark.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_hash string, digest string, bucket int, shard int, model int"
+LONG = "abc de " * 30_000
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows, columns named as operators name theirs."""
+    rows = [(1, "One two  three", "en"), (1, "One two  three", "en"), (2, "One two three", "en"), (None, "lost id here", None), (3, None, "fr"), (4, "", None), (5, LONG, "en"), (6, LONG + "x", "en")]
+    return spark.createDataFrame([(i, t, lang, None, None, "x", "y", 1, 2, 3) for i, t, lang in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.where("false")
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame([("a", "abc de abc de"), ("b", None), (None, "lost id here"), ("c", "")], "item_id string, text string")
+
+
+def test_odd_rows_pass_every_operator(spark, odd, none, items, tmp_path):
+    import public_tokenizers
+
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for docs, n in ((odd, 8), (none, 0)):
+        assert exact_dedup.deduplicated(docs).count() == n
+        assert simhash.near_duplicates(docs).count() == n
+        assert decontamination.contamination(docs, items).count() == n
+        assert pii.personal_data(docs).count() == n
+        assert secrets.secrets_in(docs).count() == n
+        assert quality.judged(docs, labels).where("keep").count() == (7 if n else 0)
+        packed = packing.documents_packed(docs)
+        assert packed.agg(F.sum("length")).first()[0] == packed.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+        out = str(tmp_path / f"orc{n}")
+        orc_output.write_ids(docs, out, path)
+        assert orc_output.file_digests(orc_output.read_ids(spark, out)).count() == n
+        assert exact_dedup.one_of_each(docs).count() == (5 if n else 0)
+        assert exact_dedup.one_of_each(docs).columns == docs.columns
+
+
+def test_exact_ties(odd):
+    rows = {(r["doc_id"], r["group_size"], r["keep_id"], r["kept"]) for r in exact_dedup.deduplicated(odd).collect()}
+    assert (1, 3, 1, True) in rows and (2, 3, 1, False) in rows and (3, 2, 3, True) in rows and (4, 2, 3, False) in rows
+
+
+def test_cuckoo_filter_inserts_grows_and_deletes():
+    r = random.Random(3)
+    keys = [r.randbytes(32) for _ in range(5000)]
+    bucket = exact_dedup.Bucket(10)
+    for k in keys:
+        bucket.add(k, 0)
+    assert bucket.filter.slots > 100 and all(bucket.find(k) == 0 for k in keys)
+    assert all(bucket.remove(k) for k in keys[:2500])
+    assert not any(bucket.find(k) == 0 for k in keys[:2500]) and all(bucket.find(k) == 0 for k in keys[2500:])
+
+
+def test_index_of_live_digests(spark):
+    digests = spark.range(200).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), "id")
+    index = exact_dedup.build_index(digests.where("id < 100"), 4)
+    changes = digests.where("id >= 50 AND id < 150").select("digest", (F.col("id") >= 100).alias("live"))
+    known = exact_dedup.probe_index(exact_dedup.update_index(index, changes, 4), digests, 4).join(digests, "digest")
+    assert {r["id"] for r in known.where("known").collect()} == {*range(50), *range(100, 150)}
+
+
+def test_anchors_meet_every_near_pair():
+    r = random.Random(5)
+    for low, bits in simhash.BLOCKS:
+        near, home = simhash.block_patterns(bits)
+
+        def syndrome(w):
+            s = 0
+            for i in range(simhash.CODED):
+                s ^= (w >> i & 1) * (i + 1)
+            return s
+
+        for _ in range(200):
+            x = r.getrandbits(bits)
+            y = x ^ (1 << r.randrange(bits))
+            assert x ^ home[syndrome(x)] in {y ^ p for p in near[syndrome(y)]}
+
+
+def test_links_of_full_anchors_and_clusters(spark):
+    r = random.Random(6)
+    centre = r.getrandbits(64)
+    fps = list({centre ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(600)} | {r.getrandbits(64) for _ in range(300)})
+    signed = np.array(fps, np.uint64).view(np.int64)
+    classes = spark.createDataFrame([(int(x),) for x in signed], "fp long")
+    want = len({frozenset(c) for c in _clusters(np.array(fps, np.uint64))})
+    for rows in (10**6, 50):
+        got = components(simhash.links(classes, rows))
+        assert got.select("component").distinct().count() + len(fps) - got.count() == want
+
+
+def _clusters(fps):
+    left, out = set(range(len(fps))), []
+    while left:
+        todo, done = [left.pop()], []
+        while todo:
+            i = todo.pop()
+            done.append(i)
+            hit = [j for j in left if int(fps[i] ^ fps[j]).bit_count() <= 4]
+            left -= set(hit)
+            todo += hit
+        out.append(done)
+    return out
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.range(1, 300).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
+    assert components(edges).select("component").distinct().collect()[0][0] == 0
+
+
+def test_short_items_and_blocks(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40))), (2, "W3, w4! w5")], "doc_id long, text string")
+    items = spark.createDataFrame([("long", " ".join(f"w{i}" for i in range(5, 25))), ("tiny", "w3 w4 w5")], "item_id string, text string")
+    for size in (1 << 20, 10):
+        got = {r["doc_id"]: (sum(s["end"] - s["start"] for s in r["spans"]), sorted(r["items"])) for r in decontamination.benchmark_hits(docs, items, size).collect()}
+        assert got == {1: (22, ["long", "tiny"]), 2: (3, ["tiny"])}
+
+
+def test_shared_spans_are_never_missed():
+    r = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(6)]
+    for _ in range(60):
+        item = [r.choice(vocabulary) for _ in range(r.randint(13, 30))]
+        doc = [r.choice(vocabulary) for _ in range(20)] + item[: r.randint(10, len(item))] + [r.choice(vocabulary) for _ in range(20)]
+        windows = {tuple(item[i : i + 13]) for i in range(len(item) - 12)}
+        want = {j for i in range(len(doc) - 12) if tuple(doc[i : i + 13]) in windows for j in range(i, i + 13)}
+        raw = " ".join(doc).encode()
+        _, hits = decontamination.Benchmark([("x", " ".join(item))]).hits(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert {j for a, b in hits.get(0, ([], []))[0] for j in range(a, b)} == want
+
+
+def test_model_is_a_distribution():
+    counts = np.random.default_rng(1).poisson(0.2, (quality.SYMBOLS,) * 3)
+    assert np.allclose(np.exp(quality.kneser_ney(counts)).sum(axis=-1), 1)
+
+
+def test_fill_respects_limits_and_places_all():
+    r = random.Random(2)
+    sizes = [(t := r.randint(1, 100), 1, r.randint(0, t)) for _ in range(300)]
+    made = packing.fill(sizes, (100, 8, 60)) if all(s[2] <= 60 for s in sizes) else packing.fill([(t, s, min(x, 60)) for t, s, x in sizes], (100, 8, 60))
+    assert sorted(i for x in made for i in x) == list(range(300))
+    assert all(sum(sizes[i][0] for i in x) <= 100 and len(x) <= 8 for x in made)
+
+
+def test_instruction_examples(spark):
+    import public_tokenizers
+
+    turns = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "general remarks"), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
+    rows = packing.pack_examples(turns, public_tokenizers.path("byte_bpe_50k.json"), (64, 4, 8)).collect()
+    assert sum(r["loss"] > 0 for r in rows) == 1 and len(rows) == 3
+
+
+def test_rendezvous_moves_rows_only_into_the_new_shard(spark):
+    rows = spark.range(4000).select(F.col("id").alias("k"))
+    made = sharding.assigned(rows, "k", [1.0, 2.0, 1.0], 1.0).toPandas()
+    assert set(made[made["shard"] != made.grown_shard].grown_shard) == {3}
+    assert 0.45 < (made["shard"] == 1).mean() < 0.55
+
+
+def test_mined_rules_block_what_labels_tell(spark):
+    pages = [(i, f"https://{'spam-farm' if i % 10 == 0 else 'h' + str(i % 7)}.example.org/xx/{i}") for i in range(400)] + [(900, None), (901, "no host")]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in urls.judged_urls(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()}
+    assert all((got[i] == "block") == (i % 10 == 0) for i in range(400)) and got[900] == got[901] == "allow"
+    nothing = spark.createDataFrame([], "page_id long, url string")
+    assert urls.judged_urls(nothing, labels).count() == 0
+
+
+def test_base_spans_equal_plain_patterns():
+    r = random.Random(1)
+    for _ in range(4000):
+        text = "".join(r.choice("a@.1-+ 9(%25") for _ in range(r.randint(0, 30)))
+        want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+            d = re.sub("[ -]", "", m[0])
+            if 16 <= len(d) <= 19 and pii.luhn(d):
+                want.append(("card", *m.span()))
+        want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        assert pii.base_spans(text) == want
+
+
+def test_field_on_held_out_templates():
+    field = pii.SemiMarkovField(pii.fitted())
+    cases = pii.templates(100, 99)
+    assert sum(field.find(t, *pii.region_of(t)) == true for t, true in cases) >= 95
+
+
+def test_marginals_equal_enumeration():
+    field = pii.SemiMarkovField({("phone", "f"): 0.7, ("ip", "g"): -0.2})
+    into = [[], [(0, ["f"])], [(0, ["g"]), (1, ["f"])], [(1, ["f", "g"])]]
+    segments = {0: []}
+    paths = []
+
+    def walk(at, score, used):
+        if at == 3:
+            paths.append((score, used))
+            return
+        walk(at + 1, score, used)
+        for j in range(at + 1, 4):
+            for i, f in into[j]:
+                if i == at:
+                    for k in pii.KINDS:
+                        walk(j, score + field.score(k, f), [*used, (j, i, k)])
+
+    walk(0, 0.0, segments[0])
+    total, likely = field.marginals(into)
+    assert math.isclose(total, math.log(sum(math.exp(s) for s, _ in paths)))
+    for seg, p in likely.items():
+        assert math.isclose(p, sum(math.exp(s) for s, u in paths if seg in u) / math.exp(total))
+
+
+def test_guess_cost_is_the_cheapest_segmentation():
+    for value in ("pass1999", "qweaaa1", "xK9!", "abcdroot"):
+        best = math.inf
+        for cuts in itertools.product((0, 1), repeat=len(value) - 1):
+            at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(value)]
+            pieces = [value[a:b] for a, b in itertools.pairwise(at)]
+            best = min(best, sum(map(secrets.piece_cost, pieces)) + math.log10(math.factorial(len(pieces))))
+        assert math.isclose(secrets.guess_cost(value), best)
+
+
+def test_costly_values_are_added_and_placeholders_are_not():
+    text = 'pwd = "x7Kp!9zQ" password: changeme1 token = "aaaa"'
+    assert [text[a:b] for _, a, b in secrets.added_spans(text, secrets.base_spans(text))] == ['pwd = "x7Kp!9zQ"']

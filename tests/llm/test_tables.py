@@ -1,0 +1,115 @@
+"""Queries against brute force and DuckDB on the smallest tables."""
+
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tidemark.llm.queries import LLM_ORACLES, LLM_QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    return con
+
+
+@pytest.fixture(scope="module")
+def texts(duck):
+    return dict(duck.execute("SELECT doc_id, text FROM documents ORDER BY 1").fetchall())
+
+
+@pytest.fixture(scope="module")
+def token_ids(texts):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return {k: np.array(t.encode(x or "", add_special_tokens=False).ids + [0], np.uint32) for k, x in texts.items()}
+
+
+@pytest.mark.parametrize("name", sorted(LLM_ORACLES))
+def test_oracles(spark, duck, name):
+    ours, theirs = LLM_QUERIES[name](spark, DATA).toPandas(), duck.execute(LLM_ORACLES[name]).df()
+    ours, theirs = (x.sort_values("doc_id").reset_index(drop=True) for x in (ours, theirs))
+    assert (ours[theirs.columns] == theirs).all().all()
+
+
+def test_shards(spark, texts):
+    rows = LLM_QUERIES["op2_rendezvous_sharding"](spark, DATA).toPandas()
+    assert sorted(rows.doc_id) == sorted(texts)
+    for r in rows.itertuples():
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 16, zlib.crc32(raw))
+        assert r.grown_shard in (r.shard, 40)
+    for _, g in rows.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
+def test_packing(spark, token_ids):
+    rows = LLM_QUERIES["op4_vector_packing"](spark, DATA).toPandas().sort_values(["sequence_id", "offset"])
+    for r in rows.itertuples():
+        ids = token_ids[r.doc_id]
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids[r.start : r.start + r.length].tobytes()))
+    for _, g in rows.groupby("sequence_id"):
+        assert list(g.offset) == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 1024
+    for k, g in rows.sort_values("start").groupby("doc_id"):
+        assert list(g.start) == [0, *g.length.cumsum()[:-1]] and g.length.sum() == len(token_ids[k])
+
+
+def test_orc(spark, token_ids):
+    rows = LLM_QUERIES["op9_orc_token_ids"](spark, DATA).toPandas().sort_values("doc_id")
+    start = 0
+    for r, (k, ids) in zip(rows.itertuples(), sorted(token_ids.items()), strict=True):
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (k, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_components(spark, texts):
+    rows = LLM_QUERIES["op7_simhash_anchors"](spark, DATA).toPandas().sort_values("doc_id").reset_index(drop=True)
+    fps = np.array([int(x, 16) for x in rows.fingerprint], np.uint64)
+    of = list(range(len(fps)))
+
+    def find(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 4) + i + 1:
+            a, b = find(i), find(int(j))
+            of[max(a, b)] = min(a, b)
+    assert [rows.doc_id[find(i)] for i in range(len(fps))] == rows.component_id.tolist()
+
+
+def test_urls(spark, duck):
+    rows = LLM_QUERIES["op6_association_rules"](spark, DATA).toPandas().set_index("page_id")
+    rules = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+    for k, url in duck.execute("SELECT page_id, url FROM pages").fetchall():
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host, path = rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
+        fits = [r for r in rules if ("." + host).endswith("." + r.split("/")[0]) and path.startswith(r[r.index("/") :])]
+        best = max(fits, key=len, default=None)
+        got = rows.loc[k]
+        assert (got.host, got.path) == (host, path)
+        assert (got.rule or None) == best and (best is None or got.verdict == rules[best])
+
+
+def test_quality_separates(spark, duck):
+    rows = LLM_QUERIES["op1_kneser_ney_quality"](spark, "/root/testdata/sf0.01").toPandas()
+    labels = duck.execute("SELECT doc_id, quality, toxic FROM '/root/testdata/sf0.01/labels.parquet'").df()
+    both = rows.merge(labels, on="doc_id")
+    clean, junk = both[(both.quality == 1) & (both.toxic == 0)], both[both.quality == 0]
+    assert clean.keep.mean() > 0.98 and junk.keep.mean() < 0.5
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    made = corpus_pipeline.run(spark, DATA)
+    assert made.count() > 0 and len(corpus_pipeline.STAGES) == 5
