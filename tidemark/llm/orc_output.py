@@ -18,8 +18,8 @@ from .common import scratch
 
 FILE_SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int"
 #: UTF-8 bytes of text that one file holds, about.
-FILE_BYTES = 32 << 20
-STRIPE_BYTES = 16 << 20
+FILE_BYTES = 16 << 20
+STRIPE_BYTES = 8 << 20
 
 
 def _encode(path: str, end: int):

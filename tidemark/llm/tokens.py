@@ -16,7 +16,7 @@ LONGEST_KEPT = 64
 #: Closing marks, alone or in a row one piece of the splitting pattern.
 MARKS = ".,;:!?#$%&*|()\"-"
 #: A worker starts its store of parts anew when it holds so many.
-MOST_KEPT = 700_000
+MOST_KEPT = 480_000
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -84,10 +84,10 @@ class BatchEncoder:
     def _reset(self) -> None:
         self.kept = 0
         self.size = 1 << 18
-        self.slots = np.full(self.size, -1, np.int64)  # index of a kept part
+        self.slots = np.full(self.size, -1, np.int32)  # index of a kept part
         self.keys = np.zeros((2, 1 << 16), np.uint64)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
+        self.start = np.zeros(1 << 16, np.int32)
+        self.count = np.zeros(1 << 16, np.int32)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def _store(self, h: np.ndarray, ids: list[list[int]]) -> None:
@@ -108,7 +108,7 @@ class BatchEncoder:
         if 2 * n > self.size:
             while 2 * n > self.size:
                 self.size *= 2
-            self.slots, first = np.full(self.size, -1, np.int64), 0
+            self.slots, first = np.full(self.size, -1, np.int32), 0
         self._place(np.arange(first, n))
 
     def _place(self, new: np.ndarray) -> None:
@@ -151,7 +151,7 @@ class BatchEncoder:
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text) of texts laid end to end as UTF-8."""
         texts = len(offsets) - 1
-        if self.kept > MOST_KEPT:
+        if self.kept > MOST_KEPT or self.used > 8 * MOST_KEPT:
             self._reset()
         starts = self._cuts(raw, offsets)
         if not len(starts):
@@ -173,7 +173,7 @@ class BatchEncoder:
                 self._store(h[:, new], [self._word(data[a:b].decode()) for a, b in zip(starts[new], ends[new], strict=True)])
                 index[short] = self._find(h[:, short])
                 short = short[index[short] < 0]
-        begin, count = np.where(index >= 0, self.start[index], 0), np.where(index >= 0, self.count[index], 0)
+        begin, count = (np.where(index >= 0, x[index], 0).astype(np.int64) for x in (self.start, self.count))
         if not long_ids:
             ids = self.pool[ragged(begin, count)]
         else:
