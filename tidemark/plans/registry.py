@@ -1,6 +1,6 @@
 """Queries of the library and their DuckDB counterparts, by name."""
 
-from . import datasets, series
+from . import datasets, measures, series
 
-QUERIES = {**series.QUERIES, **datasets.QUERIES}
-ORACLES = {**series.ORACLES, **datasets.ORACLES}
+QUERIES = {**series.QUERIES, **datasets.QUERIES, **measures.QUERIES}
+ORACLES = {**series.ORACLES, **datasets.ORACLES, **measures.ORACLES}
