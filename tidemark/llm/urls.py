@@ -85,7 +85,9 @@ def mined_rules(labelled: DataFrame, least: int = LEAST, support: float = SUPPOR
     frequent = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= support * n)
     sets = labelled.withColumn("row", F.monotonically_increasing_id()).select("row", "bad", F.explode("tokens").alias("token")).join(frequent.select("token"), "token")
     sets = sets.groupBy("row", "bad").agg(F.collect_set("token").alias("items")).select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(sets)
+    # adaptive execution makes one partition of the short sets; mining and the rules' join need as many as any shuffle
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=width).fit(sets.repartition(width))
     c, seen = F.col("confidence"), F.col("support") * n / F.col("confidence")
     lower = (c + Z * Z / (2 * seen) - Z * F.sqrt(c * (1 - c) / seen + Z * Z / (4 * seen * seen))) / (1 + Z * Z / seen)
     rules = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("antecedent") <= LONGEST) & (lower >= lift * bad / n))
