@@ -241,3 +241,40 @@ def test_guess_cost_is_the_cheapest_segmentation():
 def test_costly_values_are_added_and_placeholders_are_not():
     text = 'pwd = "x7Kp!9zQ" password: changeme1 token = "aaaa"'
     assert [text[a:b] for _, a, b in secrets.added_spans(text, secrets.base_spans(text))] == ['pwd = "x7Kp!9zQ"']
+
+
+def test_marking_words_equal_plain_counts(spark):
+    r = random.Random(5)
+    plain = lambda n: [r.choice("alder birch cedar elm fir hazel larch maple oak pine".split()) for _ in range(n)]
+    docs, labels = [], []
+    for i in range(150):
+        words, toxic = plain(r.randint(3, 40)), int(i % 3 == 0)
+        if toxic and i % 2:
+            words.insert(r.randint(0, len(words)), r.choice(["Zounds", "fie!"]))
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, toxic))
+    family = "elm oak rareword pine"
+    for i in range(150, 170):  # copies of one text do not make its words mark
+        docs.append((i, family + "." * (i % 7)))
+        labels.append((i, 1, 1))
+    docs += [(200, "and FIE on it"), (201, "nothing here rareword"), (202, ""), (203, None), (None, "zounds"), (200, "and FIE on it")]
+    rows = spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id long, text string, lang string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+    toxic, of = {i for i, _, x in labels if x}, dict(docs)
+    cut = lambda t: re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    n_bad, n_good = len(toxic), len(labels) - len(toxic)
+    want = set()
+    for w in {w for t in of.values() for w in cut(t)} - {""}:
+        bad = sum(w in cut(of[i]) for i in toxic)
+        good = sum(w in cut(of[i]) for i, _, x in labels if not x)
+        seen = {(([""] + ws)[k], (["", ""] + ws)[k]) for ws in (cut(of[i]) for i in toxic) for k, v in enumerate(ws) if v == w}
+        least = max(quality.MARK_LEAST, quality.MARK_SHARE * n_bad)
+        if bad >= least and len(seen) >= least and bad / n_bad >= quality.MARK_ODDS * (good + 0.5) / (n_good + 1):
+            want.add(w)
+    assert want == {"zounds", "fie"}
+    got = {r["doc_id"]: (r["n_marking"], r["keep"]) for r in quality.judged(rows, table).collect()}
+    assert all(got[i][0] == len(want & set(cut(t))) for i, t in docs)
+    assert not any(keep for n, keep in got.values() if n) and got[202] == got[203] == (0, True)
+    none = quality.judged(rows, table.where("toxic = 0")).where("n_marking > 0")
+    assert none.count() == 0

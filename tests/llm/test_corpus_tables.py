@@ -106,6 +106,8 @@ def test_quality_separates(spark, duck):
     both = rows.merge(labels, on="doc_id")
     clean, junk = both[(both.quality == 1) & (both.toxic == 0)], both[both.quality == 0]
     assert clean.keep.mean() > 0.98 and junk.keep.mean() < 0.5
+    # words that mark toxic text: in no clean document, and in most of those labelled toxic (some of these hold no insult)
+    assert (clean.n_marking == 0).all() and (both[both.toxic == 1].n_marking > 0).mean() > 0.6
 
 
 def test_pipeline_stages(spark):
