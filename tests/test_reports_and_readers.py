@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import masks
 from tidemark.sources import adapters, reports
@@ -83,3 +84,36 @@ def test_readers_by_name(spark, tmp_path):
         (tmp_path / kind / "s" / "x.png").write_bytes(b"x")
     pair = adapters.samples(spark, "semantic_png", {"dataset": "d", "images": str(tmp_path / "images"), "masks": str(tmp_path / "masks")}).first()
     assert pair["group"] == "s" and pair["mask"].endswith("masks/s/x.png")
+
+
+def as_text(counts):
+    """The compressed form, number by number."""
+    out = ""
+    for i, n in enumerate(counts):
+        x, more = n - (counts[i - 2] if i > 2 else 0), True
+        while more:
+            low = x & 31
+            x >>= 5
+            more = x != (-1 if low & 16 else 0)
+            out += chr(48 + (low | (32 if more else 0)))
+    return out
+
+
+def test_run_lengths(spark):
+    r, made = random.Random(8), []
+    for i in range(60):
+        h, w = r.randint(1, 30), r.randint(1, 30)
+        mask = [[int(r.random() < 0.5) for _ in range(w)] for _ in range(h)] if i % 2 else [[i // 2 % 2] * w for _ in range(h)]
+        counts, on = [0], 0
+        for x in range(w):
+            for y in range(h):
+                if mask[y][x] != on:
+                    counts.append(0)
+                    on = mask[y][x]
+                counts[-1] += 1
+        made.append((i, as_text(counts), h, w, counts, [v for row in mask for v in row]))
+    rows = spark.createDataFrame([m[:4] for m in made] + [(98, "", 2, 2), (99, None, 2, 2), (100, "4", 3, 3)], "id int, t string, h int, w int")
+    rows = rows.withColumn("c", masks.run_lengths(F.col("t"))).withColumn("m", masks.run_mask(F.col("c"), F.col("h"), F.col("w")))
+    got = {row["id"]: (row["c"], row["m"]) for row in rows.collect()}
+    assert all(got[i] == (counts, mask) for i, _, _, _, counts, mask in made)
+    assert got[98] == ([], None) and got[99] == (None, None) and got[100] == ([4], None)

@@ -30,6 +30,33 @@ def valid_polygon(polygon: Column) -> Column:
     return F.coalesce(F.size(polygon).between(3, 64) & fine & (polygon_area(polygon) >= 1e-4), F.lit(False))
 
 
+def run_lengths(text: Column) -> Column:
+    """Run lengths of the compressed text form: null stays null, an empty text has none.
+
+    A number is written five bits a character from the lowest up, as character 48 plus the bits; 32 says that more
+    follow, and 16 in the last character that the number is negative. From the fourth on, numbers are differences to
+    the one before the last.
+    """
+    parts = F.regexp_extract_all(text, F.lit("([P-o]*[0-O])"), 1)
+    bits = lambda c: F.ascii(c) - 48
+
+    def number(part: Column) -> Column:
+        chars = F.transform(F.sequence(F.lit(1), F.length(part)), lambda k: bits(F.substr(part, k, F.lit(1))).cast("bigint"))
+        sums = F.aggregate(F.transform(chars, lambda v, i: (v % 32) * F.pow(F.lit(32.0), i).cast("bigint")), F.lit(0).cast("bigint"), lambda s, v: s + v)
+        return F.when(F.element_at(chars, -1) >= 16, sums - F.pow(F.lit(32.0), F.size(chars)).cast("bigint")).otherwise(sums)
+
+    start = F.array().cast("array<bigint>")
+    grown = lambda out, d: F.array_append(out, d + F.when(F.size(out) > 2, F.element_at(out, -2)).otherwise(F.lit(0)))
+    return F.aggregate(F.transform(parts, number), start, grown)
+
+
+def run_mask(counts: Column, height: Column, width: Column) -> Column:
+    """The mask by rows (0 and 1) of run lengths that go down the columns and begin with zeros; other sizes than height x width are null."""
+    down = F.flatten(F.transform(counts, lambda c, i: F.array_repeat((i % 2).cast("int"), c.cast("int"))))
+    by_row = F.transform(F.sequence(F.lit(0), height * width - 1), lambda p: F.get(down, ((p % width) * height + F.floor(p / width)).cast("int")))
+    return F.when((height * width > 0) & (F.size(down) == height * width), by_row)
+
+
 def promoted(frames: DataFrame, width: int, least: int | None = None, debris: int = 2, clump: int = 3, frame: str = "frame_id", px: str = "px", share: float = 0.005, close: int = 0, corners: bool = True) -> DataFrame:
     """``frames`` (frame, px: array of classes by rows) with large connected debris regions turned into clumps, and their number.
 
