@@ -147,6 +147,22 @@ def test_shared_spans_are_never_missed():
         assert {j for a, b in hits.get(0, ([], []))[0] for j in range(a, b)} == want
 
 
+def test_spans_with_repeated_grams_are_never_missed():
+    r = random.Random(9)
+    for gap in range(1, 10):
+        for _ in range(40):
+            doc = [f"u{r.randrange(10**6)}" for _ in range(40)]
+            for k in range(5):  # the k-gram at 8 again ``gap`` words later
+                doc[8 + gap + k] = doc[8 + k]
+            a = r.randint(5, 8 + gap)
+            item = [f"x{k}" for k in range(3)] + doc[a : a + 13] + [f"y{k}" for k in range(3)]
+            windows = {tuple(item[i : i + 13]) for i in range(len(item) - 12)}
+            want = {j for i in range(len(doc) - 12) if tuple(doc[i : i + 13]) in windows for j in range(i, i + 13)}
+            raw = " ".join(doc).encode()
+            _, hits = decontamination.Benchmark([("x", " ".join(item))]).hits(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            assert {j for p, q in hits.get(0, ([], []))[0] for j in range(p, q)} == want != set()
+
+
 def test_model_is_a_distribution():
     counts = np.random.default_rng(1).poisson(0.2, (quality.SYMBOLS,) * 3)
     assert np.allclose(np.exp(quality.kneser_ney(counts)).sum(axis=-1), 1)

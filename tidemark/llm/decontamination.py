@@ -1,8 +1,9 @@
 """Benchmark decontamination by winnowing.
 
 Of every window of consecutive k-gram hashes the least is kept as a fingerprint, on the benchmark's side and on the
-documents' side. A run of ``SPAN`` words that both hold gives both the same fingerprint, so none is missed. Where
-fingerprints meet, the run is extended word by word in both directions, by the words themselves.
+documents' side. A run of ``SPAN`` words that both hold gives both the same fingerprint. The items keep every place where
+it stands in a window, the documents one place for each window, so none is missed. Where fingerprints meet, the run is
+extended word by word in both directions, by the words themselves.
 
 Defined results: null texts have no words; an item shorter than a window counts where all its words occur in a row; an
 item without words occurs nowhere; items with equal texts are reported each; an item without an id counts for hit words
@@ -74,20 +75,27 @@ def gram_hashes(words, k: int):
 
 
 def winnowed(words, text):
-    """(fingerprint, position of its k-gram) of every window of SPAN words that lies in one text; runs of one fingerprint once."""
+    """Of every window of SPAN words that lies in one text: its least k-gram hash (the fingerprint), and where that stands last.
+
+    Returns (k-gram hashes, fingerprints, their positions, whole windows, windows that differ from the one before in their
+    fingerprint or its position).
+    """
     import numpy as np
     from numpy.lib.stride_tricks import sliding_window_view
 
-    if len(words) < SPAN:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     hashes = gram_hashes(words, GRAM)
+    if len(words) < SPAN:
+        none = np.zeros(0, np.int64)
+        return hashes, none.astype(np.uint64), none, none.astype(bool), none
     windows = sliding_window_view(hashes, WINDOW)
-    least = windows[:, 0].copy()
+    least, at = windows[:, 0].copy(), np.arange(len(windows))
     for j in range(1, WINDOW):
-        np.minimum(least, windows[:, j], out=least)
+        lower = np.flatnonzero(windows[:, j] <= least)
+        least[lower] = windows[lower, j]
+        at[lower] = lower + j
     whole = text[: len(least)] == text[SPAN - 1 :]
-    new = whole & np.append(True, (least[1:] != least[:-1]) | ~whole[:-1])
-    return least, np.flatnonzero(new)
+    new = whole & np.append(True, (at[1:] != at[:-1]) | ~whole[:-1])
+    return hashes, least, at, whole, np.flatnonzero(new)
 
 
 class Benchmark:
@@ -96,8 +104,6 @@ class Benchmark:
     def __init__(self, items: list[tuple[str | None, str]]):
         import numpy as np
 
-        from .tokens import ragged
-
         self.hasher = WordHasher()
         data = [t.encode() for _, t in items]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
@@ -109,12 +115,11 @@ class Benchmark:
         self.ids = [i for i, _ in items]
         self.words = [spelled[a : a + n] for a, n in zip(first, counts, strict=True)]
         self.at: dict[int, set[tuple[int, int]]] = {}
-        least, new = winnowed(words, text)
-        for i in new:
-            # every place in the window where the least stands, so that neither side's choice among equals matters
-            for p in ragged(np.array([i]), np.array([WINDOW])):
-                if self._gram(words, p) == least[i]:
-                    self.at.setdefault(int(least[i]), set()).add((int(text[p]), int(p - first[text[p]])))
+        hashes, least, _, whole, _ = winnowed(words, text)
+        # every place in every window where the least stands, so that neither side's choice among equals matters
+        places = [np.flatnonzero(whole & (hashes[j : j + len(least)] == least)) + j for j in range(WINDOW)] if len(least) else []
+        for p in np.unique(np.concatenate([np.zeros(0, np.int64), *places])):
+            self.at.setdefault(int(hashes[p]), set()).add((int(text[p]), int(p - first[text[p]])))
         self.marks = np.array(sorted(self.at), np.uint64)
         self.short: dict[int, dict[int, list[int]]] = {}
         for item in np.flatnonzero((counts > 0) & (counts < SPAN)):
@@ -122,10 +127,6 @@ class Benchmark:
             h = gram_hashes(words[first[item] : first[item] + n], n)[0]
             self.short.setdefault(n, {}).setdefault(int(h), []).append(int(item))
 
-    @staticmethod
-    def _gram(words, p: int):
-        return gram_hashes(words[p : p + GRAM], GRAM)[0]
-
     def _known(self, values, marks):
         import numpy as np
 
@@ -150,12 +151,12 @@ class Benchmark:
                 spelled[t] = [flat[x:y] for x, y in zip(starts[a:b], ends[a:b], strict=True)]
             return spelled[t]
 
-        least, new = winnowed(words, text)
+        _, least, at, _, new = winnowed(words, text)
         done: dict[tuple[int, int, int], int] = {}
         for i in new[self._known(least[new], self.marks)]:
             t = int(text[i])
             doc = words_of(t)
-            p = next(int(i) + j for j in range(WINDOW - 1, -1, -1) if self._gram(words, int(i) + j) == least[i]) - int(first[t])
+            p = int(at[i]) - int(first[t])
             for item, q in self.at[int(least[i])]:
                 if done.get((t, item, p - q), -1) > p:
                     continue
