@@ -259,6 +259,21 @@ def test_costly_values_are_added_and_placeholders_are_not():
     assert [text[a:b] for _, a, b in secrets.added_spans(text, secrets.base_spans(text))] == ['pwd = "x7Kp!9zQ"']
 
 
+def test_long_values_are_found_whole():
+    secret = "p$9!" + "xK7#qZ2&" * 8 + "w%"
+    for text in (f'password = "{secret}"', f"token: '{secret}'", f"pwd={secret}", f"pwd={'x$9!' * 5000}"):
+        assert secrets.added_spans(f"so {text} end", secrets.base_spans(f"so {text} end")) == [("assign", 3, 3 + len(text))]
+    text = f"password = {secret}{'0123456789abcdef' * 2}"  # a fixed pattern in the value's end
+    assert secrets.base_spans(text) and secrets.added_spans(text, secrets.base_spans(text)) == [("assign", 0, 11 + len(secret))]
+
+
+def test_costly_prefixes_tell_as_whole_values_do():
+    r = random.Random(4)
+    for _ in range(150):
+        value = "".join(r.choice(("a", "password", "1999", "qwe", "xK9", "-", "abcabc", "=" * 20)) for _ in range(r.randint(1, 6)))
+        assert secrets.costly(value) == (secrets.guess_cost(value) >= secrets.COSTLY)
+
+
 def test_marking_words_equal_plain_counts(spark):
     r = random.Random(5)
     plain = lambda n: [r.choice("alder birch cedar elm fir hazel larch maple oak pine".split()) for _ in range(n)]

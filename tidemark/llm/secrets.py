@@ -24,7 +24,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{16,}")
 #: Words before a value that make it a credential; all of them hold one of HINTS.
-CONTEXT = re.compile(r"""(?:password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key|pwd|credential)["']?\x20*[:=]\x20*(?:"([^"\s]{6,64})"|'([^'\s]{6,64})'|([^\s"']{6,64}))""", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"""(?:password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key|pwd|credential)["']?\x20*[:=]\x20*(?:"([^"\s]{6,}+)"|'([^'\s]{6,}+)'|([^\s"']{6,}+))""", re.IGNORECASE | re.ASCII)
 HINTS = ("passw", "passphrase", "secret", "token", "api", "key", "pwd", "credential")
 #: Common password words, by rank.
 WORDS = "password admin welcome letmein login master secret monkey dragon shadow summer winter spring autumn hello football baseball sunshine princess flower love test user root guest default change changeme example sample demo temp iloveyou trustno hunter batman superman pass word token key none null true false your here insert placeholder xxxx foo bar qwerty company server database private public access secure".split()
@@ -82,6 +82,29 @@ def guess_cost(value: str) -> float:
     return min(best[k][n] + math.lgamma(k + 1) / math.log(10) for k in range(n + 1)) if n else 0.0
 
 
+def costly(value: str) -> bool:
+    """Whether ``guess_cost`` is COSTLY or more, told from as short a prefix as tells it.
+
+    Every segmentation has an end within any PIECE characters in a row, and costs at least what it costs up to there; so
+    the rest does not matter once all prefixes that end in such a stretch are costly. A piece costs log10(2) at least, so
+    that comes within a dozen pieces however long the value is.
+    """
+    best, run = [{0: 0.0}], 0  # by end, then by number of pieces
+    for j in range(1, len(value) + 1):
+        now: dict[int, float] = {}
+        for i in range(max(0, j - PIECE), j):
+            cost = piece_cost(value[i:j])
+            for k, c in best[i].items():
+                if c + cost < now.get(k + 1, math.inf):
+                    now[k + 1] = c + cost
+        best.append(now)
+        least = min(c + math.lgamma(k + 1) / math.log(10) for k, c in now.items())
+        run = run + 1 if least >= COSTLY else 0
+        if run == PIECE:
+            return True
+    return run > 0
+
+
 def mixture(value: str) -> int:
     return sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
 
@@ -101,13 +124,27 @@ def hinted(text: str) -> bool:
     return any(h in low for h in HINTS)
 
 
+def left_over(start: int, end: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What ``base`` (by start) leaves of start to end."""
+    out = []
+    for _, a, b in base:
+        if a < end and b > start:
+            if a > start:
+                out.append((start, a))
+            start = max(start, b)
+    return [*out, (start, end)] if start < end else out
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Costly values that no base span touches, with what makes them a credential; of others, the costly parts beside base spans."""
     out = []
     if hinted(text):
         for m in CONTEXT.finditer(text):
-            value = next(g for g in m.groups() if g is not None).rstrip(".,;:")
-            if not any(a < m.end() and m.start() < b for _, a, b in base) and mixture(value) >= MIXED and guess_cost(value) >= COSTLY:
-                out.append(("assign", *m.span()))
+            first, last = next(m.span(g) for g in (1, 2, 3) if m[g] is not None)
+            for a, b in left_over(*m.span(), base):
+                value = text[max(a, first) : min(b, last)].rstrip(".,;:")
+                if mixture(value) >= MIXED and costly(value):
+                    out.append(("assign", a, b))
     return out
 
 
