@@ -220,6 +220,27 @@ def test_field_on_held_out_templates():
     assert sum(field.find(t, *pii.region_of(t)) == true for t, true in cases) >= 95
 
 
+def added(text):
+    base = pii.base_spans(text)
+    return [(k, text[a:b]) for k, a, b in pii.added_spans(text, base, pii.SemiMarkovField(pii.fitted()))]
+
+
+def test_spaced_addresses_open_regions():
+    for ip in ("10 . 2 . 33 . 4", "192 . 168 . 100 . 200", "10. 0. 0. 1"):
+        for text in (ip, f"host {ip} is up"):
+            assert added(text) == [("ip", ip)]
+
+
+def test_long_regions_and_base_spans_hide_nothing():
+    r = random.Random(12)
+    d = lambda n: "".join(r.choice("23456789") for _ in range(n))
+    phones = [f"({d(3)}) {d(3)}-{d(4)}" for _ in range(80)]
+    assert added(" ".join(phones)) == [("phone", p) for p in phones]
+    base = "10.20.30.40"
+    assert pii.base_spans(f"{base} {phones[0]}") == [("ip", 0, 11)]
+    assert added(f"{base} {phones[0]}") == added(f"{phones[0]} {base}") == [("phone", phones[0])]
+
+
 def test_marginals_equal_enumeration():
     field = pii.SemiMarkovField({("phone", "f"): 0.7, ("ip", "g"): -0.2})
     into = [[], [(0, ["f"])], [(0, ["g"]), (1, ["f"])], [(1, ["f", "g"])]]

@@ -32,7 +32,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ATOM = re.compile(r"[0-9]+|[A-Za-z]+|.", re.DOTALL)
-NUMBERS = re.compile(r"(?<![A-Za-z0-9])[+(]{0,2}[0-9](?:[ ().\-/]{0,2}[0-9]){6,}(?![A-Za-z0-9])")
+#: Seven digits or more, at most three separators between two; or four groups between dots.
+NUMBERS = re.compile(r"(?<![A-Za-z0-9])(?:[+(]{0,2}[0-9](?:[ ().\-/]{0,3}[0-9]){6,}|[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3})(?![A-Za-z0-9])")
 MAILS = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,4}")
 SHAPE = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
 FORMAT = "%s:%d:%d"
@@ -236,24 +237,48 @@ def region_of(text: str) -> tuple[int, int]:
     return (min(a for a, _ in found), max(b for _, b in found)) if found else (0, len(text))
 
 
+def left_over(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What ``taken`` leaves of start to end."""
+    out = []
+    for a, b in sorted(taken):
+        if a < end and b > start:
+            if a > start:
+                out.append((start, a))
+            start = max(start, b)
+    return [*out, (start, end)] if start < end else out
+
+
+def found_in(text: str, start: int, end: int, field: SemiMarkovField) -> list[tuple[str, int, int]]:
+    """What the field finds from start to end, in windows of REGION atoms.
+
+    A window decides on the segments that begin LONGEST atoms or more before its end, which it holds whole; the next
+    window begins there, or after the last segment that went further.
+    """
+    cuts = [start + m.start() for m in ATOM.finditer(text[start:end])] + [end]
+    out, at, n = [], 0, len(cuts) - 1
+    while at < n:
+        to = min(n, at + REGION)
+        until = cuts[n if to == n else to - LONGEST]
+        new = [s for s in field.find(text, cuts[at], cuts[to]) if s[1] < until]
+        out += new
+        last = max([until, *(s[2] for s in new)])
+        while at < n and cuts[at] < last:
+            at += 1
+    return out
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]], field: SemiMarkovField) -> list[tuple[str, int, int]]:
-    """What the field finds in regions that no base span touches."""
+    """What the field finds in what base spans leave of the regions."""
     found = []
     if re.search("[0-9]", text):
         found += [m.span() for m in NUMBERS.finditer(text)]
     if "@" in text or "(at)" in text or "[at]" in text:
         found += [m.span() for m in MAILS.finditer(text)]
-    out, taken = [], [(a, b) for _, a, b in base]
+    out, taken = [], sorted((a, b) for _, a, b in base)
     for a, b in sorted(found):
-        for at in range(a, b, REGION - LONGEST):
-            to = min(b, at + REGION)
-            if any(x < to and at < y for x, y in taken):
-                continue
-            new = field.find(text, at, to)
-            out += new
-            taken += [(x, y) for _, x, y in new]
-            if to == b:
-                break
+        new = [s for x, y in left_over(a, b, taken) for s in found_in(text, x, y, field)]
+        out += new
+        taken += [(x, y) for _, x, y in new]
     return out
 
 
