@@ -330,3 +330,14 @@ def test_marking_words_equal_plain_counts(spark):
     assert not any(keep for n, keep in got.values() if n) and got[202] == got[203] == (0, True)
     none = quality.judged(rows, table.where("toxic = 0")).where("n_marking > 0")
     assert none.count() == 0
+
+
+def test_copies_and_rare_shares_do_not_hide_marking_words(spark):
+    r = random.Random(6)
+    text = lambda *more: " ".join(r.sample("alder birch cedar elm fir hazel larch maple oak pine".split(), 8) + [*more] + [f"n{r.randrange(10**6)}"])
+    toxic = ["one text that is copied"] * 600 + [text("zounds") if i < 20 else text() for i in range(1300)]
+    texts = [(t, 1) for t in toxic] + [(text(), 0) for _ in range(2600)] + [("zounds again", None), ("nothing here", None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, (t, _) in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, x) for i, (_, x) in enumerate(texts) if x is not None], "doc_id long, quality int, toxic int")
+    marks = {r["doc_id"]: r["n_marking"] for r in quality.judged(docs, labels).collect()}
+    assert {i for i, n in marks.items() if n} == {i for i, (t, _) in enumerate(texts) if "zounds" in t.split()}

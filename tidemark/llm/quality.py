@@ -7,12 +7,13 @@ part is joined to the shard of log-probabilities that holds all trigrams, bigram
 A document is rejected when its perplexity lies far above that of held-out trusted documents of its language.
 
 Perplexity over classes of bytes cannot tell an insult from another word, so words are looked at too: a word marks toxic
-text when at least ``MARK_SHARE`` of the documents labelled toxic hold it, after as many different pairs of words (its
-Kneser-Ney continuation count, which copies of a text do not raise), and its share among them is ``MARK_ODDS`` times its
-share among trusted documents. A document that holds a marking word is rejected.
+text when its share among the texts labelled toxic is ``MARK_ODDS`` times its share among trusted ones, and chance would
+not put it there: were texts that hold it toxic as often as all are, so many would be with a probability of at most
+``MARK_CHANCE`` for any of the words that are looked at. Different texts count, not their copies, and no more of them
+than there are different pairs of words before it (its Kneser-Ney continuation count, which near copies do not raise
+much). A document that holds a marking word is rejected.
 
-The tables are bounded by the alphabet (40**3 entries), whatever the corpus; what is counted grows with it. Marking
-words are few at any size: with d different words in a toxic document on average, at most d / MARK_SHARE reach the share.
+The tables are bounded by the alphabet (40**3 entries), whatever the corpus; what is counted grows with it.
 
 Defined results: null and empty texts have no symbols and are kept; a language (null: the empty name) with fewer than
 ``MIN_HELD`` held-out documents is judged by the quantiles of all; without any trusted text perplexity rejects nothing,
@@ -23,6 +24,8 @@ own text; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +41,10 @@ UPPER, SPREAD = 0.9, 8.0
 PRIOR = 100
 #: Trusted ids that are sent to every task; a larger table of labels is joined by a shuffle.
 SENT_IDS = 1_000_000
-#: A marking word: least share of toxic documents, least number of them, least ratio to its share of trusted ones.
-MARK_SHARE, MARK_LEAST, MARK_ODDS = 0.02, 5, 20.0
+#: A marking word: least share of toxic texts (none beyond significance), least number of them, least ratio to its share of trusted ones.
+MARK_SHARE, MARK_LEAST, MARK_ODDS = 0.0, 5, 20.0
+#: The chance that any word marks which is as frequent in all texts.
+MARK_CHANCE = 0.01
 #: What stands between words of lower-cased text.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Word hashes that are sent to every task; more are joined by a shuffle.
@@ -219,21 +224,36 @@ def words_of(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row_hash", words).where("w <> ''").select("doc_id", "row_hash", F.xxhash64("w").alias("word"))
 
 
+def chance(k, g, q: float):
+    """Logarithm of a bound (Chernoff's) of the probability that k or more of k + g texts are toxic if a share q of all is; columns."""
+    share = k / (k + g)
+    part = lambda x, y, of: F.when(x > 0, x * F.log(y / F.lit(of))).otherwise(0.0)
+    return F.when(share > q, -part(k, share, q) - part(g, 1 - share, 1 - q)).otherwise(0.0)
+
+
 def marking_words(rows: DataFrame, trusted: DataFrame, toxic: DataFrame) -> DataFrame:
     """Hashes of the words that mark toxic text, as a written table; ``trusted`` and ``toxic`` are ids."""
-    bad, good = rows.join(toxic, "doc_id"), rows.join(trusted, "doc_id")
-    n_bad, n_good = bad.count(), good.count()
+    good = rows.join(trusted, "doc_id")
+    bad = staged(rows.join(toxic, "doc_id").dropDuplicates(["row_hash"]), "bad")
+    n_bad, n_good = bad.count(), good.select("row_hash").distinct().count()
+    q = n_bad / max(n_bad + n_good, 1)
     least = max(MARK_LEAST, MARK_SHARE * n_bad)
-    common = sent(staged(words_of(bad).groupBy("word").agg(F.count(F.lit(1)).alias("n_bad")).where(F.col("n_bad") >= least), "common"), SENT_WORDS)
-    seen = words_of(good).join(common.select("word"), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n_good"))
+    held = staged(words_of(bad).groupBy("word").agg(F.count(F.lit(1)).alias("n_bad")), "held")
+    bar = math.log(MARK_CHANCE / max(held.count(), 1))
+    texts = lambda n, g: (F.least("n_bad", n).cast("double"), g.cast("double"))
+    none = F.lit(0)
+    common = sent(staged(held.where((F.col("n_bad") >= least) & (chance(*texts(F.col("n_bad"), none), q) <= bar)), "common"), SENT_WORDS)
+    seen = words_of(good).join(common.select("word"), "word").groupBy("word").agg(F.count_distinct("row_hash").alias("n_good"))
     share = F.col("n_bad") / max(n_bad, 1)
-    odd = common.join(seen, "word", "left").where(share >= MARK_ODDS * (F.coalesce("n_good", F.lit(0)) + 0.5) / (n_good + 1)).select("word")
+    rare = common.join(seen, "word", "left").withColumn("n_good", F.coalesce("n_good", none))
+    odd = rare.where((share >= MARK_ODDS * (F.col("n_good") + 0.5) / (n_good + 1)) & (chance(*texts(F.col("n_bad"), F.col("n_good")), q) <= bar))
     odd = sent(staged(odd, "odd"), SENT_WORDS)
     words = F.split(F.lower("text"), BETWEEN_WORDS)
     before = lambda k: F.concat(F.array(*[F.lit("")] * k), words)
     runs = bad.select(F.explode(F.arrays_zip(words.alias("w"), before(1).alias("a"), before(2).alias("b"))).alias("x")).where("x.w <> ''")
-    contexts = runs.select(F.xxhash64("x.w").alias("word"), F.xxhash64("x.a", "x.b").alias("context")).join(odd, "word").distinct()
-    return staged(contexts.groupBy("word").count().where(F.col("count") >= least).select("word"), "marking")
+    contexts = runs.select(F.xxhash64("x.w").alias("word"), F.xxhash64("x.a", "x.b").alias("context")).join(odd.select("word"), "word").distinct()
+    shown = odd.join(contexts.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word").where(F.col("n") >= least)
+    return staged(shown.where(chance(*texts(F.col("n"), F.col("n_good")), q) <= bar).select("word"), "marking")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
