@@ -117,3 +117,18 @@ def test_run_lengths(spark):
     got = {row["id"]: (row["c"], row["m"]) for row in rows.collect()}
     assert all(got[i] == (counts, mask) for i, _, _, _, counts, mask in made)
     assert got[98] == ([], None) and got[99] == (None, None) and got[100] == ([4], None)
+
+
+def test_polygons_and_run_lengths_in_one_file(spark, tmp_path):
+    mask, counts = [0, 1, 1, 0, 1, 0], [2, 3, 1]  # 2 high, 3 wide; down the columns 0 0 1 1 1 0
+    doc = {
+        "images": [{"id": i, "file_name": f"{i}.jpg"} for i in range(1, 7)],
+        "categories": [{"id": 7, "name": "water"}],
+        "annotations": [{"id": i, "image_id": i, "category_id": 7, "segmentation": x} for i, x in enumerate(([[0, 0, 1, 0, 1, 1]], {"counts": counts, "size": [2, 3]}, {"counts": as_text(counts), "size": [2, 3]}, [], {"counts": as_text([43, 7]), "size": [50, 1]}, {"counts": [4], "size": [2, 2]}), 1)],
+    }
+    assert as_text([43, 7])[0] == "["
+    (tmp_path / "c.json").write_text(json.dumps(doc))
+    rows = adapters.samples(spark, "coco_polygon", {"dataset": "d", "annotations": str(tmp_path / "c.json")}).collect()
+    got = {r["sample_id"]: (r["label"], r["polygon"], r["pixels"], r["mask_height"], r["mask_width"]) for r in rows}
+    assert len(rows) == 6 and got.pop("5")[2:] == ([0] * 43 + [1] * 7, 50, 1) and got.pop("6")[2:] == ([0] * 4, 2, 2)
+    assert got == {"1": ("water", [0, 0, 1, 0, 1, 1], None, None, None), "2": ("water", None, mask, 2, 3), "3": ("water", None, mask, 2, 3), "4": (None, None, None, None, None)}

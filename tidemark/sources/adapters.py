@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .annotations import by_stem, coco_instances, voc_boxes
 
 #: What every reader gives: a row per shape, one without a shape for an image that has none.
-SCHEMA = "sample_id string, image string, group string, label string, polygon array<double>, box array<double>, mask string"
+SCHEMA = "sample_id string, image string, group string, label string, polygon array<double>, box array<double>, mask string, pixels array<int>, mask_height int, mask_width int"
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 _READERS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {}
@@ -51,7 +51,7 @@ def group_of(path: Column, config: dict) -> Column:
 def samples(spark: SparkSession, name: str, config: dict) -> DataFrame:
     """The rows of a registered reader in the common columns, missing ones null.
 
-    A row that has more than one of polygon, box and mask fails the query that reads it.
+    A row that has more than one of polygon, box, mask and pixels fails the query that reads it.
     """
     if name not in _READERS:
         raise KeyError(f"no reader {name!r}; there are: {', '.join(registered())}")
@@ -59,14 +59,14 @@ def samples(spark: SparkSession, name: str, config: dict) -> DataFrame:
     kinds = dict(x.split() for x in SCHEMA.split(", "))
     rows = made.select(*[(F.col(c) if c in made.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in COLUMNS if c not in ("sample_id", "group")])
     rows = rows.withColumns({"sample_id": F.replace(F.regexp_replace("image", r"\.[^./]*$", ""), F.lit("/"), F.lit("__")), "group": group_of(F.col("image"), config)})
-    shapes = sum((F.col(c).isNotNull().cast("int") for c in ("polygon", "box", "mask")), F.lit(0))
+    shapes = sum((F.col(c).isNotNull().cast("int") for c in ("polygon", "box", "mask", "pixels")), F.lit(0))
     checked = F.when(shapes <= 1, F.col("sample_id")).otherwise(F.raise_error(F.concat(F.lit("more than one kind of shape: "), "sample_id")))
     return rows.withColumn("sample_id", checked).select(F.lit(config["dataset"]).alias("dataset"), *COLUMNS)
 
 
 @reader("coco_polygon")
 def _coco(spark: SparkSession, config: dict) -> DataFrame:
-    return coco_instances(spark, config["annotations"]).select(F.col("file_name").alias("image"), "label", "polygon")
+    return coco_instances(spark, config["annotations"]).select(F.col("file_name").alias("image"), "label", "polygon", "pixels", "mask_height", "mask_width")
 
 
 @reader("voc_bbox")
