@@ -1,25 +1,30 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
-
-The model is a trigram model over 40 classes of bytes. Its counts come from every trusted document of every language,
-so that a good text in several languages is not odd; how odd is too odd is told by each language's own quantiles.
-Documents meet the counts by joins on shards: each document's trigram counts are cut by the middle byte class, and each
-part is joined to the shard of log-probabilities that holds all trigrams, bigrams and back-off weights with that history.
-A document is rejected when its perplexity lies far above that of held-out trusted documents of its language.
-
-Perplexity over classes of bytes cannot tell an insult from another word, so words are looked at too: a word marks toxic
+"""Quality classifier: perplexity under interpolated modified Kneser-Ney n-gram models of trusted text.
+
+Each language has a model of its own over bytes, of order ``ORDER``; its counts come from all trusted documents of the
+language that are not held out. The model is a table of additive weights: the log-probability of a symbol is a constant
+plus, over all suffixes of its n-gram that the model holds, what the suffix adds as a gram (log p of its order, less
+what the lower order and the back-off gave) and as a history (log of its back-off weight). A gram that the model does
+not hold adds nothing, so documents and model meet in a plain equi-join of grams.
+
+The join is sharded. Texts are laid in slices of about ``SLICE_BYTES``; a slice asks for each of its different grams
+once, the shard that holds a gram (by hash) answers with its weight, and the answers come back to the slice, which sums
+them by document. Common grams are so asked for once a slice, not once an occurrence. Shards hold about
+``SHARD_GRAMS`` weights, and the requests of one shard are dealt over several tasks, each with a copy of the shard; the
+number of shards follows the model, the number of slices the corpus. A document is rejected when its perplexity lies
+far above that of held-out trusted documents of its language.
+
+Perplexity cannot tell an insult from another word, so words are looked at too: a word marks toxic
 text when its share among the texts labelled toxic is ``MARK_ODDS`` times its share among trusted ones, and chance would
 not put it there: were texts that hold it toxic as often as all are, so many would be with a probability of at most
 ``MARK_CHANCE`` for any of the words that are looked at. Different texts count, not their copies, and no more of them
 than there are different pairs of words before it (its Kneser-Ney continuation count, which near copies do not raise
 much). A document that holds a marking word is rejected.
 
-The tables are bounded by the alphabet (40**3 entries), whatever the corpus; what is counted grows with it.
-
-Defined results: null and empty texts have no symbols and are kept; a language (null: the empty name) with fewer than
-``MIN_HELD`` held-out documents is judged by the quantiles of all; without any trusted text perplexity rejects nothing,
-and without ``MARK_LEAST`` toxic documents no word marks; a short
-text's perplexity is drawn towards its language's mean by ``PRIOR`` symbols; rows that repeat an id are judged by their
-own text; other columns are ignored.
+Defined results: one row per row of the input, each judged by its own text; null and empty texts have no symbols and are
+kept; languages (null: the empty name) with fewer than ``MIN_HELD`` trusted documents share the model and the quantiles
+of the empty name, and where that has no trusted text perplexity rejects nothing; without ``MARK_LEAST`` toxic documents
+no word marks; a short text's perplexity is drawn towards its language's mean by ``PRIOR`` symbols; other columns are
+ignored. Digits are one symbol, control characters but line feeds too; letters of several bytes are several symbols.
 """
 
 from __future__ import annotations
@@ -29,18 +34,29 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, row_hash, staged, table
-
-#: Classes of bytes, shards that the middle class of a trigram is cut into, trigrams of a shard.
-SYMBOLS, SHARDS = 40, 4
-SHARD_GRAMS = SYMBOLS**3 // SHARDS
-#: Held-out documents a language needs for quantiles of its own; one trusted document of so many is held out for them.
+from .common import buckets_for, row_hash, staged, table, text_of
+
+#: Symbols of the longest gram; symbols before and after a text.
+ORDER, PAD, END = 5, 2, 3
+#: UTF-8 bytes of a block of texts that travels whole, and of the blocks that ask together, about.
+BLOCK_BYTES, SLICE_BYTES = 1 << 20, 8 << 20
+#: Weights of one shard, about; different grams of a slice, about; requests that one task answers, about.
+SHARD_GRAMS, SLICE_GRAMS, ASKED = 1 << 18, 1 << 18, 1 << 22
+#: Weights travel as thousandths in 16 bits.
+UNIT = 1000.0
+#: Symbols that are looked at at once.
+AT_ONCE = 1 << 20
+#: UTF-8 bytes of trusted text that one group of grams stands for, about.
+GROUP_BYTES = 32 << 20
+#: Trusted documents a language needs for a model of its own; one trusted document of so many is held out for quantiles.
 MIN_HELD, HELD_OUT = 20, 5
 #: The threshold of a language: median + SPREAD * (upper quantile - median) of the held-out log-perplexities.
 UPPER, SPREAD = 0.9, 8.0
 PRIOR = 100
 #: Trusted ids that are sent to every task; a larger table of labels is joined by a shuffle.
 SENT_IDS = 1_000_000
+#: Bytes of per-language tables that are sent to every task; more are joined by a shuffle.
+SENT_BYTES = 8 << 20
 #: A marking word: least share of toxic texts (none beyond significance), least number of them, least ratio to its share of trusted ones.
 MARK_SHARE, MARK_LEAST, MARK_ODDS = 0.0, 5, 20.0
 #: The chance that any word marks which is as frequent in all texts.
@@ -49,158 +65,391 @@ MARK_CHANCE = 0.01
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Word hashes that are sent to every task; more are joined by a shuffle.
 SENT_WORDS = 1_000_000
-#: Documents of one shard that one task scores, about.
-GROUP_ROWS = 8_000
 
 
 def symbol_table():
-    """Byte to class: 0 line feed, 1 blank, 2-27 letters, 28 capitals, 29 digits, then punctuation, controls and bytes above ASCII."""
+    """Byte to symbol: digits are one, control characters but the line feed are one, other bytes stand for themselves."""
     import numpy as np
 
-    out = np.full(256, 34, np.uint8)
-    out[:32] = 35
-    out[127] = 35
-    out[10], out[32] = 0, 1
-    out[97:123] = np.arange(2, 28)
-    out[65:91] = 28
-    out[48:58] = 29
-    for chars, symbol in (b".", 30), (b",", 31), (b"'-", 32), (b"!?;:", 33):
-        out[list(chars)] = symbol
-    out[0xC3] = 36
-    out[0xC0:0xC3], out[0xC4:] = 37, 37
-    out[0x80:0xA0], out[0xA0:0xC0] = 38, 39
+    out = np.arange(256, dtype=np.uint8)
+    out[:32] = 1
+    out[10], out[48:58] = 10, 48
     return out
 
 
-def trigrams(raw, offsets, symbols):
-    """Code of the trigram that ends at each byte: middle class, first class, last class. Line feeds stand before a text."""
+def laid(raw, offsets):
+    """(symbols of texts laid end to end, where each text's symbols end): pads before and an end after each text that is not empty."""
+    import numpy as np
+
+    from .tokens import ragged
+
+    size = np.diff(offsets)
+    ends = np.cumsum(np.where(size > 0, size + ORDER, 0))
+    out = np.full(int(ends[-1]) if len(ends) else 0, PAD, np.uint8)
+    full = size > 0
+    out[ragged((ends - size - 1)[full], size[full])] = symbol_table()[raw]
+    out[ends[full] - 1] = END
+    return out, ends
+
+
+def grams(symbols, at: int, to: int):
+    """(the gram that ends at each place from ``at`` to ``to``, its last symbol in the lowest byte; whether a text's symbol ends it; whether the text's first symbol follows)."""
+    import numpy as np
+
+    n = to - at
+    part = np.concatenate([np.zeros(max(0, ORDER - 1 - at), np.uint8), symbols[max(0, at - ORDER + 1) : to]]).astype(np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(ORDER):
+        out |= part[ORDER - 1 - k : ORDER - 1 - k + n] << np.uint64(8 * k)
+    real = symbols[at : to + 1] != PAD
+    return out, real[:n], ~real[:n] & np.append(real[1:], False)[:n]
+
+
+def spans(n: int):
+    """0 to ``n`` in steps of AT_ONCE."""
+    return ((a, min(n, a + AT_ONCE)) for a in range(0, n, AT_ONCE))
+
+
+def gram_keys(suffixes, m: int, lang_hashes):
+    """64-bit keys of grams of ``m`` symbols in their languages."""
     import numpy as np
 
-    s = symbols[raw].astype(np.uint16)
-    middle, first = np.zeros_like(s), np.zeros_like(s)
-    middle[1:], first[2:] = s[:-1], s[:-2]
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    middle[starts] = 0
-    first[starts] = 0
-    second = starts + 1
-    first[second[second < len(s)]] = 0
-    return (middle * np.uint16(SYMBOLS) + first) * np.uint16(SYMBOLS) + s
+    from .tokens import mixed
+
+    return mixed(mixed(suffixes | np.uint64(m << 56)) + lang_hashes)
+
+
+def lang_hash(lang: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(lang.encode(), 1)
+
+
+def placed(keys, shards: int):
+    """Keys as (shard << 32 | low half): the order in which they are asked and answered."""
+    import numpy as np
+
+    return (keys >> np.uint64(32)) % np.uint64(shards) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
+
+
+def packed(values) -> bytes:
+    """Integers, compressed; ascending unsigned ones as gaps, bytes of equal weight together."""
+    import numpy as np
+    import zstandard
+
+    if values.dtype == np.uint32:
+        values = np.diff(values, prepend=np.uint32(0))
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+
+
+def unpacked(data: bytes, dtype):
+    import numpy as np
+    import zstandard
+
+    dtype = np.dtype(dtype)
+    flat = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(dtype.itemsize, -1).T
+    values = np.ascontiguousarray(flat).view(dtype).ravel()
+    return np.cumsum(values, dtype=dtype) if dtype == np.uint32 else values
 
 
 def _count(batches):
-    """(gram, n) of whole partitions."""
+    """(lang, gram, n) of the texts of each batch (lang, text), by about a megabyte of one language."""
     import numpy as np
     import pyarrow as pa
 
     from .common import string_parts, text_slices
 
-    symbols, n = symbol_table(), np.zeros(SYMBOLS**3, np.int64)
-    for batch in (part for whole in batches for part in text_slices(whole, 0)):
-        n += np.bincount(trigrams(*string_parts(batch.column(0)), symbols), minlength=SYMBOLS**3)
-    at = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["gram", "n"])
+    for batch in (part for whole in batches for part in text_slices(whole, 1, 4 * BLOCK_BYTES)):
+        langs = batch.column(0).dictionary_encode()
+        for code, lang in enumerate(langs.dictionary.to_pylist()):
+            rows = batch.column(1).filter(pa.array(langs.indices.to_numpy() == code))
+            symbols, _ = laid(*string_parts(rows))
+            for a, b in spans(len(symbols)):
+                g, real, _ = grams(symbols, a, b)
+                seen, n = np.unique(g[real], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
-def discounts(counts):
-    """Modified Kneser-Ney discounts of counts 1, 2 and more."""
+def counts_of_counts(n):
     import numpy as np
 
-    n = [int((counts == k).sum()) for k in range(1, 5)]
+    return [int((n == k).sum()) for k in range(1, 5)]
+
+
+def discounts(n):
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and more, from how many grams are seen once to four times."""
     if not (n[0] and n[1] and n[2]):
-        return np.array([0.0, 0.5, 0.75, 0.9])
+        return [0.0, 0.5, 0.75, 0.9]
     y = n[0] / (n[0] + 2 * n[1])
     d = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
-    return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True))])
+    return [0.0, *(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True))]
 
 
-def kneser_ney(counts):
-    """log P(c | a b) as an array [b][a][c] of trigram counts [b][a][c]."""
+def suffixes(grams, symbols: int):
+    """(different suffixes of sorted grams, how many grams end in each): continuation counts."""
     import numpy as np
 
-    def level(n, lower):
-        d = discounts(n)[np.minimum(n, 3)]
-        total = n.sum(axis=-1, keepdims=True)
-        weight = np.where(total > 0, d.sum(axis=-1, keepdims=True) / np.maximum(total, 1), 1.0)
-        return np.maximum(n - d, 0) / np.maximum(total, 1) + weight * lower
+    return np.unique(grams & np.uint64((1 << 8 * symbols) - 1), return_counts=True)
 
-    pairs = (counts > 0).sum(axis=1)  # [b][c]: different first classes
-    singles = (pairs > 0).sum(axis=0)  # [c]: different middle classes
-    one = level(singles, 1.0 / SYMBOLS)
-    two = level(pairs, one[None, :])
-    return np.log(level(counts, two[:, None, :]))
 
+def _gather(pdf):
+    """All grams of a language whose second and third symbol from the end fall in one part, as one row."""
+    import numpy as np
+    import pandas as pd
 
-def _models(pdf):
-    """All shards of the model from its counts, at most SYMBOLS**3 rows."""
+    pdf = pdf.sort_values("gram")
+    five, n = pdf["gram"].to_numpy().view(np.uint64), pdf["n"].to_numpy()
+    four, n4 = suffixes(five, 4)
+    three, n3 = suffixes(four, 3)
+    seen = [counts_of_counts(x) for x in (n3, n4, n)]
+    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "grams": [five.tobytes()], "counts": [n.astype(np.int64).tobytes()], "tri": [three.astype(np.uint32).tobytes()], "seen": [sum(seen, [])], "n": [len(five) + len(four) + len(three)]})
+
+
+def _bases(pdf):
+    """A language's discounts by order and its continuation counts of pairs, at most 2**16; at most 2**24 triples make them."""
     import numpy as np
     import pandas as pd
 
-    counts = np.zeros(SYMBOLS**3, np.int64)
-    counts[pdf["gram"].to_numpy()] = pdf["n"].to_numpy()
-    logs = kneser_ney(counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS)).astype(np.float32).reshape(SHARDS, -1)
-    return pd.DataFrame({"shard": np.arange(SHARDS, dtype=np.int32), "payload": [x.tobytes() for x in logs]})
+    three = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["tri"]]).astype(np.uint64)
+    two, n2 = suffixes(three, 2)
+    _, n1 = suffixes(two, 1)
+    seen = np.sum([np.array(x) for x in pdf["seen"]], axis=0).reshape(3, 4).tolist()
+    d = [discounts(x) for x in (counts_of_counts(n1), counts_of_counts(n2), *seen)]
+    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "discounts": [sum(d, [])], "pairs": [two.astype(np.uint32).tobytes()], "n_pairs": [n2.astype(np.int64).tobytes()]})
 
 
-def _vectors(batches):
-    """Trigram counts of each document, a row per shard that it touches: codes within the shard, then their counts."""
+def level(g, n, d, lower):
+    """(log p, histories, log of their back-off weights, index of each gram's history) of sorted grams of one order."""
     import numpy as np
-    import pyarrow as pa
 
-    from .common import string_parts, text_slices
+    h, of = np.unique(g >> np.uint64(8), return_inverse=True)
+    total = np.bincount(of, weights=n)
+    cut = np.array(d)[np.minimum(n, 3)]
+    back = np.bincount(of, weights=cut) / total
+    return np.log(np.maximum(n - cut, 0) / total[of] + back[of] * np.exp(lower)), h, np.log(back), of
 
-    symbols = symbol_table()
-    edges = np.arange(1, SHARDS) * SHARD_GRAMS
-    for batch in (part for whole in batches for part in text_slices(whole, 2)):
-        raw, offsets = string_parts(batch.column(2))
-        codes = trigrams(raw, offsets, symbols)
-        row, shards, payloads = [], [], []
-        for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-            grams = np.sort(codes[a:b], kind="stable")
-            at = np.flatnonzero(np.diff(grams)) + 1
-            first = np.append(0, at) if len(grams) else at
-            n = np.diff(np.append(first, len(grams)))
-            grams = grams[first]
-            if len(n) and n.max() > 65535:  # a count too long for its field is written in several entries
-                times = -(-n // 65535)
-                grams, n = np.repeat(grams, times), np.concatenate([[65535] * (t - 1) + [c - 65535 * (t - 1)] for c, t in zip(n, times, strict=True)])
-            cut = np.searchsorted(grams, edges)
-            for shard, (g, c) in enumerate(zip(np.split(grams, cut), np.split(n.astype(np.uint16), cut), strict=True)):
-                if len(g) or (shard == 0 and a == b):
-                    row.append(i)
-                    shards.append(shard)
-                    payloads.append((g - np.uint16(shard * SHARD_GRAMS)).tobytes() + c.tobytes())
-        pick = pa.array(row, pa.int32())
-        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pick) for k in range(2)), pa.array(shards, pa.int32()), pa.array(payloads, pa.binary())], ["doc_id", "row_hash", "shard", "payload"])
-
-
-def _score(batches):
-    """Joins documents to the shard that leads their group; rows come sorted by group, the shard first."""
+
+def weights_of(five, n, discounts, two, n2, first: bool):
+    """[(symbols, grams, weights)] of one part of a language's model; those of single symbols and pairs only for the ``first`` part."""
     import numpy as np
-    import pyarrow as pa
 
-    from .common import string_parts
+    d = np.array(discounts).reshape(ORDER, 4)
+    out = []
+
+    def add(m, g, logs, lower, h, back, of):
+        out.append((m, g, logs - back[of] - lower))
+        out.append((m - 1, h, back))
+
+    one, n1 = suffixes(two, 1)
+    base = np.full(len(one), -math.log(256))
+    p1, *rest = level(one, n1, d[0], base)
+    if first:
+        add(1, one, p1, base, *rest)
+    lower = p1[np.searchsorted(one, two & np.uint64(0xFF))]
+    p2, *rest = level(two, n2, d[1], lower)
+    if first:
+        add(2, two, p2, lower, *rest)
+    four, n4 = suffixes(five, 4)
+    three, n3 = suffixes(four, 3)
+    below, logs = two, p2
+    for m, g, c in ((3, three, n3), (4, four, n4), (5, five, n)):
+        lower = logs[np.searchsorted(below, g & np.uint64((1 << 8 * (m - 1)) - 1))]
+        logs, *rest = level(g, c, d[m - 1], lower)
+        add(m, g, logs, lower, *rest)
+        below = g
+    return out
+
+
+def _weights(shards: int):
+    """Rows (shard, keys, weights) of each part of the model."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                u64 = lambda name, t=np.uint64: np.frombuffer(row[name], t).astype(np.uint64)
+                made = weights_of(u64("grams"), np.frombuffer(row["counts"], np.int64), row["discounts"], u64("pairs", np.uint32), np.frombuffer(row["n_pairs"], np.int64), row["first"])
+                lang = np.uint64(lang_hash(row["lang"]))
+                keys = placed(np.concatenate([gram_keys(g, m, lang) for m, g, _ in made]), shards)
+                w = np.clip(np.rint(np.concatenate([x for _, _, x in made]) * UNIT), -32767, 32767).astype(np.int16)
+                order = np.argsort(keys, kind="stable")
+                keys, w = keys[order], w[order]
+                shard = (keys >> np.uint64(32)).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(shard)) + 1
+                low = np.split((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), cuts)
+                yield pa.RecordBatch.from_arrays([pa.array(shard[np.append(0, cuts)]), pa.array([packed(x) for x in low], pa.binary()), pa.array([packed(x) for x in np.split(w, cuts)], pa.binary())], ["shard", "keys", "weights"])
+
+    return run
+
+
+def _blocks(slices: int):
+    """Rows (slice, block): about a megabyte of texts, compressed. Which slice a block joins is drawn by where it was read."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        from xxhash import xxh64_intdigest
+
+        from .common import text_slices
+
+        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
+
+        def block():
+            nonlocal number, held, size
+            table = pa.Table.from_batches(held)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                out.write_table(table.combine_chunks())
+            at = xxh64_intdigest(f"{task}:{number}".encode()) % slices
+            number, held, size = number + 1, [], 0
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slice", "block"])
+
+        for batch in batches:
+            for part in text_slices(batch, 3, BLOCK_BYTES):
+                held.append(part)
+                size += part.nbytes
+                if size >= BLOCK_BYTES:
+                    yield block()
+        if held:
+            yield block()
+
+    return run
+
+
+class Slice:
+    """The blocks of a slice and the grams that they hold."""
+
+    def __init__(self, blocks):
+        import numpy as np
+        import pyarrow as pa
 
-    now, logs = None, None
+        self.tables = [pa.ipc.open_stream(b).read_all().combine_chunks() for b in blocks]
+        self.langs = sorted({x for t in self.tables for x in t.column(2).unique().to_pylist()})
+        self.hashes = np.array([lang_hash(x) for x in self.langs], np.uint64)
+        seen = [np.unique(g[real]) for t in self.tables for _, g, real in self.parts(t)]
+        self.seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *seen]))
+
+    def parts(self, table):
+        """(first place, grams with their language in the high bytes, whether they count), AT_ONCE at a time. The pads before a text count as a history."""
+        import numpy as np
+
+        from .common import string_parts
+
+        symbols, ends = laid(*string_parts(table.column(3)))
+        rank = {x: i for i, x in enumerate(self.langs)}
+        code = np.array([rank[x] for x in table.column(2).to_pylist()], np.uint64) << np.uint64(8 * ORDER)
+        for a, b in spans(len(symbols)):
+            g, real, lead = grams(symbols, a, b)
+            g |= np.repeat(code, np.diff(np.append(a, np.clip(ends, a, b))))
+            yield a, g, real | lead
+
+    def keys(self, m: int, seen=None):
+        import numpy as np
+
+        seen = self.seen if seen is None else seen
+        lang = self.hashes[(seen >> np.uint64(8 * ORDER)).astype(np.int64)] if len(seen) else seen
+        return gram_keys(seen & np.uint64((1 << 8 * m) - 1), m, lang)
+
+    def asked(self, shards: int):
+        """All keys of the slice, in order of shards."""
+        import numpy as np
+
+        high = ~np.uint64((1 << 8 * ORDER) - 1)
+        each = [np.unique(self.seen & (high | np.uint64((1 << 8 * m) - 1))) for m in range(ORDER + 1)]
+        return np.unique(placed(np.concatenate([self.keys(m, s) for m, s in enumerate(each)]), shards))
+
+
+def _ask(shards: int):
+    """Rows (shard, slice, keys) of each slice."""
+
+    def run(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        asked = Slice(table.column("block").to_pylist()).asked(shards)
+        shard = (asked >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(shard)) + 1
+        low = [packed(x) for x in np.split((asked & np.uint64(0xFFFFFFFF)).astype(np.uint32), cuts)] if len(asked) else []
+        at = shard[np.append(0, cuts)] if len(asked) else shard
+        return pa.table({"shard": pa.array(at, pa.int64()), "slice": pa.array([key[0].as_py()] * len(low), pa.int64()), "keys": pa.array(low, pa.binary())})
+
+    return run
+
+
+def _answer(batches):
+    """Rows (slice, shard, weights): what the shard holds of the keys asked. Rows come by group, the shard's own first."""
+    import numpy as np
+    import pyarrow as pa
+
+    now, held, keys, weights = None, [], None, None
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        is_doc = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        raw, offsets = string_parts(batch.column(4))
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if keys[a] != now:
-                now, logs = keys[a], None
-            while a < b and not is_doc[a]:
-                logs = np.frombuffer(raw[offsets[a] : offsets[a + 1]].tobytes(), np.float32).astype(np.float64)
-                a += 1
-            if a == b or logs is None:
+        out = []
+        for group, shard, slice_, asked, given in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group != now:
+                now, held, keys = group, [], None
+            if slice_ is None:
+                held.append((unpacked(asked, np.uint32), unpacked(given, np.int16)))
                 continue
-            nll, n = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
-            for i in range(a, b):
-                x = np.frombuffer(raw[offsets[i] : offsets[i + 1]].tobytes(), np.uint16)
-                codes, counts = x[: len(x) // 2], x[len(x) // 2 :].astype(np.int64)
-                nll[i - a] = round(-1e6 * float(logs[codes] @ counts)) if len(codes) else 0
-                n[i - a] = counts.sum()
-            yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a), pa.array(nll), pa.array(n)], ["doc_id", "row_hash", "nll", "n"])
+            if keys is None:  # a gram has a weight as a gram and one as a history, from different parts of the model
+                all_keys = np.concatenate([np.zeros(0, np.uint32), *(k for k, _ in held)])
+                keys, of = np.unique(all_keys, return_inverse=True)
+                weights = np.bincount(of, weights=np.concatenate([np.zeros(0), *(w for _, w in held)]), minlength=len(keys)).astype(np.int16)
+                held = []
+            want = unpacked(asked, np.uint32)
+            found = np.zeros(len(want), np.int16)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                found = np.where(keys[at] == want, weights[at], np.int16(0))
+            out.append((slice_, shard, packed(found)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["slice", "shard", "weights"])
+
+
+def _sum(shards: int):
+    """Rows (doc_id, row_hash, lang, ll, n) of a slice: thousandths of log-likelihood and symbols of each text."""
+
+    def run(blocks, answers):
+        import numpy as np
+        import pyarrow as pa
+
+        s = Slice(blocks.column("block").to_pylist())
+        asked = s.asked(shards)
+        got = sorted(zip(answers.column("shard").to_pylist(), answers.column("weights").to_pylist(), strict=True))
+        weights = np.concatenate([np.zeros(0, np.int16), *(unpacked(w, np.int16) for _, w in got)]).astype(np.int64)
+        if len(weights) != len(asked):
+            raise RuntimeError("a slice was asked and answered with different texts; its input must be read in a fixed order")
+        value = np.full(len(s.seen), round(-math.log(256) * UNIT), np.int64)
+        for m in range(ORDER + 1):
+            value += weights[np.searchsorted(asked, placed(s.keys(m), shards))]
+            if m == 0:
+                value[s.seen & np.uint64(0xFF) == PAD] = 0  # predicts nothing
+        made = []
+        for t in s.tables:
+            size = np.diff(laid_ends(t))
+            total, n = np.zeros(len(size), np.int64), np.where(size > 0, size - ORDER + 1, 0)
+            ends = np.cumsum(size)
+            for a, g, real in s.parts(t):
+                v = np.where(real, value[np.minimum(np.searchsorted(s.seen, g), len(s.seen) - 1)], 0)
+                cut = np.clip(ends, a, a + len(g)) - a
+                sums = np.append(0, np.cumsum(v))
+                total += sums[cut] - sums[np.append(0, cut[:-1])]
+            made.append(pa.table({"doc_id": t.column(0), "row_hash": t.column(1), "lang": t.column(2), "ll": pa.array(total), "n": pa.array(n)}))
+        return pa.concat_tables(made)
+
+    return run
+
+
+def laid_ends(table):
+    """0 and where each text's symbols end."""
+    import numpy as np
+
+    from .common import string_parts
+
+    size = np.diff(string_parts(table.column(3))[1])
+    return np.append(0, np.cumsum(np.where(size > 0, size + ORDER, 0)))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -256,43 +505,70 @@ def marking_words(rows: DataFrame, trusted: DataFrame, toxic: DataFrame) -> Data
     return staged(shown.where(chance(*texts(F.col("n"), F.col("n_good")), q) <= bar).select("word"), "marking")
 
 
+def sent_bytes(df: DataFrame, size, most: int) -> DataFrame:
+    """``df`` (a written table), marked for broadcast if ``size`` sums to at most ``most`` bytes."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
+
+
+def model(train: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """(rows (shard, keys, weights), number of shards) of the models of ``train`` (lang, text), of ``size`` bytes about."""
+    counts = train.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    part = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(buckets_for(size, GROUP_BYTES, least=8))).alias("part")
+    shape = "lang string, grams binary, counts binary, tri binary, seen array<long>, n long"
+    groups = staged(counts.groupBy("lang", part).applyInPandas(_gather, shape), "grams")
+    bases = staged(groups.groupBy("lang").applyInPandas(_bases, "lang string, discounts array<double>, pairs binary, n_pairs binary"), "bases")
+    shards = buckets_for(2 * (groups.agg(F.sum("n")).first()[0] or 0), SHARD_GRAMS)
+    near = sent_bytes(bases, F.octet_length("pairs") + F.octet_length("n_pairs"), SENT_BYTES)
+    own = groups.select("lang", "grams", "counts").withColumn("first", F.lit(False))
+    lead = groups.select("lang").distinct().select("lang", F.lit(b"").alias("grams"), F.lit(b"").alias("counts"), F.lit(True).alias("first"))
+    parts = own.unionByName(lead).join(near, "lang")
+    return staged(parts.mapInArrow(_weights(shards), "shard long, keys binary, weights binary"), "weights"), shards
+
+
+def scored(rows: DataFrame, weights: DataFrame, shards: int, size: int) -> DataFrame:
+    """(doc_id, row_hash, lang, ll, n) of every row of ``rows`` (doc_id, row_hash, lang, text), of ``size`` bytes about."""
+    slices = buckets_for(size, SLICE_BYTES)
+    blocks = rows.select("doc_id", "row_hash", "lang", "text").mapInArrow(_blocks(slices), "slice long, block binary")
+    by_slice = blocks.repartition(slices, "slice")
+    asked = by_slice.groupBy("slice").applyInArrow(_ask(shards), "shard long, slice long, keys binary")
+    copies = buckets_for(slices * SLICE_GRAMS, ASKED * shards)
+    group = lambda copy: (F.col("shard") * copies + copy).alias("group")
+    right = asked.select(group(F.pmod(F.xxhash64("slice"), F.lit(copies))), "shard", "slice", "keys", F.lit(None).cast("binary").alias("weights"))
+    left = weights.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select(group(F.col("copy")), "shard", F.lit(None).cast("long").alias("slice"), "keys", "weights")
+    dealt = left.unionByName(right).repartition("group").sortWithinPartitions("group", F.col("slice").asc_nulls_first())
+    answers = dealt.mapInArrow(_answer, "slice long, shard long, weights binary")
+    return by_slice.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_sum(shards), "doc_id long, row_hash long, lang string, ll long, n long")
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every distinct (doc_id, text) of ``docs`` (doc_id, text, lang): symbols, perplexity, the threshold, marking words and ``keep``."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(), F.coalesce("lang", F.lit("")).alias("lang"), text.alias("text"))
+    """Every row of ``docs`` (doc_id, text, lang): symbols, perplexity, the threshold, marking words and ``keep``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(), F.coalesce("lang", F.lit("")).alias("lang"), text_of().alias("text"))
     trusted = staged(trusted_ids(labels), "trusted")
     near = sent(trusted, SENT_IDS)
-    train = rows.join(near, "doc_id").where("NOT held_out").select("text")
-    counts = train.mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    models = staged(counts.groupBy(F.lit(0).alias("model")).applyInPandas(_models, "shard int, payload binary"), "models")
-
-    salts = buckets_for(docs.count(), GROUP_ROWS)
-    key = lambda salt: (F.col("shard") * salts + salt).cast("long").alias("key")
-    vectors = rows.select("doc_id", "row_hash", "text").mapInArrow(_vectors, "doc_id long, row_hash long, shard int, payload binary")
-    right = vectors.select(key(F.pmod("row_hash", F.lit(salts))), F.lit(True).alias("is_doc"), "doc_id", "row_hash", "payload")
-    left = models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(key(F.col("salt")), F.lit(False).alias("is_doc"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("row_hash"), "payload")
-    laid = left.unionByName(right).repartition("key").sortWithinPartitions("key", "is_doc")
-    parts = laid.mapInArrow(_score, "doc_id long, row_hash long, nll long, n long")
+    own = rows.select("doc_id", "lang").join(near, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_HELD)
+    own = sent_bytes(staged(own.select("lang", F.col("lang").alias("model")), "languages"), F.octet_length("lang"), SENT_BYTES)
+    rows = rows.join(own, "lang", "left").select("doc_id", "row_hash", F.coalesce("model", F.lit("")).alias("lang"), "text")
+    train = rows.join(near, "doc_id").where("NOT held_out").select("lang", "text")
+    sizes = F.octet_length("text")
+    size = rows.agg(F.sum(sizes)).first()[0] or 0
+    weights, shards = model(train, train.agg(F.sum(sizes)).first()[0] or 0)
     marking = sent(marking_words(rows, near.select("doc_id"), sent(staged(toxic_ids(labels), "toxic"), SENT_IDS)), SENT_WORDS)
     marked = words_of(rows).join(marking, "word").groupBy("doc_id", "row_hash").agg(F.count_distinct("word").alias("marks"))
-    both = parts.withColumn("marks", F.lit(0).cast("long")).unionByName(marked.withColumns({"nll": F.lit(0).cast("long"), "n": F.lit(0).cast("long")}))
-    sums = both.groupBy("doc_id", "row_hash").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"), F.max("marks").alias("marks"))
-    of = rows.select("doc_id", "row_hash", "lang").distinct()
-    scores = staged(of.join(sums, of["doc_id"].eqNullSafe(sums["doc_id"]) & (of["row_hash"] == sums["row_hash"]), "left").select(of["doc_id"], of["row_hash"], "lang", (F.coalesce("nll", F.lit(0)) / 1e6).alias("nll"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("marks", F.lit(0)).alias("marks")), "scores")
-
-    held = staged(scores.where("n > 0").join(trusted.where("held_out").select("doc_id"), "doc_id").select("lang", "nll", "n"), "held")
-    drawn = lambda: (F.col("nll") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
-    ratio = F.sum("nll") / F.sum("n")
-    quantiles = F.percentile_approx(drawn(), F.array(F.lit(0.5), F.lit(UPPER)), 10000)
-    bound = (F.col("q")[0] + SPREAD * (F.col("q")[1] - F.col("q")[0])).alias("bound")
-    means = held.groupBy("lang").agg(ratio.alias("mean"), F.count(F.lit(1)).alias("held"))
-    own = held.join(means.where(F.col("held") >= MIN_HELD), "lang").groupBy("lang").agg(F.first("mean").alias("mean"), quantiles.alias("q")).select("lang", "mean", bound)
-    every = held.crossJoin(F.broadcast(held.agg(ratio.alias("mean")))).agg(F.first("mean").alias("mean"), quantiles.alias("q")).select(F.col("mean").alias("any_mean"), bound.alias("any_bound"))
-    # a row per language, and one row for all
-    made = scores.join(F.broadcast(own), "lang", "left").crossJoin(F.broadcast(every))
-    made = made.withColumns({"mean": F.coalesce("mean", "any_mean"), "bound": F.coalesce("bound", "any_bound")})
-    fluent = F.coalesce((F.col("n") == 0) | (drawn() <= F.col("bound")), F.lit(True))
-    return made.select("doc_id", "row_hash", "lang", F.col("n").alias("n_symbols"), F.when(F.col("n") > 0, F.exp(drawn())).alias("perplexity"), F.exp("bound").alias("threshold"), F.col("marks").alias("n_marking"), (fluent & (F.col("marks") == 0)).alias("keep"))
+    marked = staged(marked, "marked").select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), "marks")
+    scores = staged(scored(rows, weights, shards, size), "scores")
+    nll = (-F.col("ll") / UNIT).alias("nll")
+    held = staged(scores.where("n > 0").join(trusted.where("held_out").select("doc_id"), "doc_id").select("lang", nll, "n"), "held")
+    trained = train.select("lang").distinct()
+    drawn = (F.col("nll") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
+    means = held.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"))
+    quantiles = F.percentile_approx(drawn, F.array(F.lit(0.5), F.lit(UPPER)), 10000)
+    bounds = held.join(F.broadcast(means), "lang").groupBy("lang").agg(F.first("mean").alias("mean"), quantiles.alias("q"))
+    bounds = bounds.join(trained, "lang", "left_semi").select("lang", "mean", (F.col("q")[0] + SPREAD * (F.col("q")[1] - F.col("q")[0])).alias("bound"))
+    made = scores.select("doc_id", "row_hash", "lang", nll, "n").join(F.broadcast(staged(bounds, "bounds")), "lang", "left")
+    made = made.join(marked, made["doc_id"].eqNullSafe(marked["__id"]) & (made["row_hash"] == marked["__hash"]), "left")
+    fluent = F.coalesce((F.col("n") == 0) | (drawn <= F.col("bound")), F.lit(True))
+    marks = F.coalesce("marks", F.lit(0))
+    return made.select("doc_id", "row_hash", "lang", F.col("n").alias("n_symbols"), F.when(F.col("n") > 0, F.exp(drawn)).alias("perplexity"), F.exp("bound").alias("threshold"), marks.alias("n_marking"), (fluent & (marks == 0)).alias("keep"))
 
 
 def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
