@@ -126,41 +126,52 @@ def test_components_of_a_long_path(spark):
     assert components(edges).select("component").distinct().collect()[0][0] == 0
 
 
-def test_short_items_and_blocks(spark):
-    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40))), (2, "W3, w4! w5")], "doc_id long, text string")
-    items = spark.createDataFrame([("long", " ".join(f"w{i}" for i in range(5, 25))), ("tiny", "w3 w4 w5")], "item_id string, text string")
-    for size in (1 << 20, 10):
-        got = {r["doc_id"]: (sum(s["end"] - s["start"] for s in r["spans"]), sorted(r["items"])) for r in decontamination.benchmark_hits(docs, items, size).collect()}
-        assert got == {1: (22, ["long", "tiny"]), 2: (3, ["tiny"])}
-
-
-def test_shared_spans_are_never_missed():
-    r = random.Random(8)
-    vocabulary = [f"v{i}" for i in range(6)]
-    for _ in range(60):
-        item = [r.choice(vocabulary) for _ in range(r.randint(13, 30))]
-        doc = [r.choice(vocabulary) for _ in range(20)] + item[: r.randint(10, len(item))] + [r.choice(vocabulary) for _ in range(20)]
-        windows = {tuple(item[i : i + 13]) for i in range(len(item) - 12)}
-        want = {j for i in range(len(doc) - 12) if tuple(doc[i : i + 13]) in windows for j in range(i, i + 13)}
-        raw = " ".join(doc).encode()
-        _, hits = decontamination.Benchmark([("x", " ".join(item))]).hits(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        assert {j for a, b in hits.get(0, ([], []))[0] for j in range(a, b)} == want
-
-
-def test_spans_with_repeated_grams_are_never_missed():
-    r = random.Random(9)
+def hit_words(docs, items):
+    """Brute force: {doc: (hit word positions, items)} of word lists."""
+    out = {}
+    for i, doc in docs.items():
+        hit, found = set(), set()
+        for k, item in items.items():
+            n = min(13, len(item))
+            windows = {tuple(item[j : j + n]) for j in range(len(item) - n + 1)} if n else set()
+            at = {p for j in range(len(doc) - n + 1) if tuple(doc[j : j + n]) in windows for p in range(j, j + n)}
+            hit |= at
+            found |= {k} if at else set()
+        out[i] = (hit, sorted(found))
+    return out
+
+
+def repeating(seed):
+    """Documents and items of few words, with k-grams again after 1 to 9 words, short items and items that are cut off."""
+    r = random.Random(seed)
+    docs, items = {}, {}
+    few = [f"v{i}" for i in range(6)]
+    for k in range(60):
+        items[f"f{k}"] = [r.choice(few) for _ in range(r.randint(13, 30))]
+        docs[k] = [r.choice(few) for _ in range(20)] + items[f"f{k}"][: r.randint(10, 30)] + [r.choice(few) for _ in range(20)]
     for gap in range(1, 10):
-        for _ in range(40):
+        for k in range(10):
             doc = [f"u{r.randrange(10**6)}" for _ in range(40)]
-            for k in range(5):  # the k-gram at 8 again ``gap`` words later
-                doc[8 + gap + k] = doc[8 + k]
+            for j in range(5):
+                doc[8 + gap + j] = doc[8 + j]
             a = r.randint(5, 8 + gap)
-            item = [f"x{k}" for k in range(3)] + doc[a : a + 13] + [f"y{k}" for k in range(3)]
-            windows = {tuple(item[i : i + 13]) for i in range(len(item) - 12)}
-            want = {j for i in range(len(doc) - 12) if tuple(doc[i : i + 13]) in windows for j in range(i, i + 13)}
-            raw = " ".join(doc).encode()
-            _, hits = decontamination.Benchmark([("x", " ".join(item))]).hits(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            assert {j for p, q in hits.get(0, ([], []))[0] for j in range(p, q)} == want != set()
+            docs[1000 + 10 * gap + k] = doc
+            items[f"g{gap}-{k}"] = ["x0", "x1", *doc[a : a + 13], "y0"]
+    for n in range(1, 13):
+        items[f"s{n}"] = [f"s{n}w{j}" for j in range(n)]
+        docs[2000 + n] = ["a", *items[f"s{n}"], "b"]
+        docs[3000 + n] = items[f"s{n}"][:-1] + ["c"]
+    return docs, items
+
+
+@pytest.mark.parametrize("sent", (decontamination.SENT_ROWS, 0))
+def test_hits_equal_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontamination, "SENT_ROWS", sent)
+    docs, items = repeating(8)
+    made = spark.createDataFrame([(i, " ".join(x)) for i, x in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, ", ".join(x).upper()) for i, x in items.items()] + [("none", ""), ("null", None)], "item_id string, text string")
+    got = {r["doc_id"]: ({p for s in r["spans"] for p in range(s["start"], s["end"])}, r["items"]) for r in decontamination.benchmark_hits(made, bench).collect()}
+    assert got == hit_words(docs, items)
 
 
 def _kneser_ney(texts):

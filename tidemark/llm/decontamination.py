@@ -1,9 +1,15 @@
 """Benchmark decontamination by winnowing.
 
-Of every window of consecutive k-gram hashes the least is kept as a fingerprint, on the benchmark's side and on the
-documents' side. A run of ``SPAN`` words that both hold gives both the same fingerprint. The items keep every place where
-it stands in a window, the documents one place for each window, so none is missed. Where fingerprints meet, the run is
-extended word by word in both directions, by the words themselves.
+Of every window of ``SPAN`` consecutive words the least hash of its k-grams is kept as its fingerprint, on the
+benchmark's side and on the documents' side, so that equal windows have equal fingerprints and no shared span of
+``SPAN`` words is missed. A document's window whose fingerprint some item has is a candidate. Candidates are joined to
+the benchmark's windows by fingerprint and by a hash of the whole window: a hit is extended to all ``SPAN`` words, and
+128 bits tell whether they are the same. Windows that overlap make one span. Items shorter than a window are windows of
+their own, found by the hash of their first words.
+
+Which documents' windows can be candidates is told by a bit map of the benchmark's fingerprints, at most ``MAP_BITS``
+bits however large the benchmark; where it lets others through, the join drops them. Everything else is joins: the
+benchmark's windows are sent to the tasks if they are measured as small, else shuffled, dealt by salt.
 
 Defined results: null texts have no words; an item shorter than a window counts where all its words occur in a row; an
 item without words occurs nowhere; items with equal texts are reported each; an item without an id counts for hit words
@@ -13,18 +19,20 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_hash, table
+from .common import row_hash, staged, table, text_of
 
 #: Words of a window, of a fingerprint's k-gram, and k-grams that one fingerprint is the least of.
 SPAN, GRAM = 13, 5
 WINDOW = SPAN - GRAM + 1
-#: UTF-8 bytes of benchmark texts that are sent to the tasks at once; a larger benchmark is taken in blocks.
-BLOCK_BYTES = 8 << 20
-SPANS = "array<struct<start:long,end:long>>"
-HITS = "doc_id long, row_hash long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+#: Bits of the map of fingerprints, at least and at most, and for each fingerprint between the two.
+LEAST_BITS, MAP_BITS, BITS_EACH = 1 << 16, 1 << 26, 32
+#: Rows of the benchmark's windows that are sent to every task; more are joined by a shuffle, each dealt ``SALTS`` times.
+SENT_ROWS, SALTS = 200_000, 8
+WINDOWS = "item_id string, n int, fp long, whole long"
+LOOKED = "doc_id long, row_hash long, n_words long, at array<int>, n array<int>, fp array<long>, whole array<long>"
 
 
 def word_table():
@@ -74,175 +82,143 @@ def gram_hashes(words, k: int):
     return mixed(out)
 
 
-def winnowed(words, text):
-    """Of every window of SPAN words that lies in one text: its least k-gram hash (the fingerprint), and where that stands last.
-
-    Returns (k-gram hashes, fingerprints, their positions, whole windows, windows that differ from the one before in their
-    fingerprint or its position).
-    """
+def fingerprints(words, text):
+    """(least k-gram hash of each window of SPAN words, whether the window lies in one text)."""
     import numpy as np
-    from numpy.lib.stride_tricks import sliding_window_view
 
-    hashes = gram_hashes(words, GRAM)
     if len(words) < SPAN:
-        none = np.zeros(0, np.int64)
-        return hashes, none.astype(np.uint64), none, none.astype(bool), none
-    windows = sliding_window_view(hashes, WINDOW)
-    least, at = windows[:, 0].copy(), np.arange(len(windows))
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    hashes = gram_hashes(words, GRAM)
+    least = hashes[: len(words) - SPAN + 1].copy()
     for j in range(1, WINDOW):
-        lower = np.flatnonzero(windows[:, j] <= least)
-        least[lower] = windows[lower, j]
-        at[lower] = lower + j
-    whole = text[: len(least)] == text[SPAN - 1 :]
-    new = whole & np.append(True, (at[1:] != at[:-1]) | ~whole[:-1])
-    return hashes, least, at, whole, np.flatnonzero(new)
+        np.minimum(least, hashes[j : j + len(least)], out=least)
+    return least, text[: len(least)] == text[SPAN - 1 :]
 
 
-class Benchmark:
-    """Fingerprints and words of a block of items."""
+def windows_of(words, text, n: int):
+    """(fingerprint, hash of the whole, whether it lies in one text) of each window of ``n`` words; short windows are found by their first words."""
+    import numpy as np
 
-    def __init__(self, items: list[tuple[str | None, str]]):
-        import numpy as np
+    from .tokens import mixed
 
-        self.hasher = WordHasher()
-        data = [t.encode() for _, t in items]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
-        low, starts, ends, text, words = self.hasher(np.frombuffer(b"".join(data), np.uint8), offsets)
-        flat = low.tobytes()
-        spelled = [flat[a:b] for a, b in zip(starts, ends, strict=True)]
-        counts = np.bincount(text, minlength=len(items))
-        first = np.cumsum(counts) - counts
-        self.ids = [i for i, _ in items]
-        self.words = [spelled[a : a + n] for a, n in zip(first, counts, strict=True)]
-        self.at: dict[int, set[tuple[int, int]]] = {}
-        hashes, least, _, whole, _ = winnowed(words, text)
-        # every place in every window where the least stands, so that neither side's choice among equals matters
-        places = [np.flatnonzero(whole & (hashes[j : j + len(least)] == least)) + j for j in range(WINDOW)] if len(least) else []
-        for p in np.unique(np.concatenate([np.zeros(0, np.int64), *places])):
-            self.at.setdefault(int(hashes[p]), set()).add((int(text[p]), int(p - first[text[p]])))
-        self.marks = np.array(sorted(self.at), np.uint64)
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for item in np.flatnonzero((counts > 0) & (counts < SPAN)):
-            n = int(counts[item])
-            h = gram_hashes(words[first[item] : first[item] + n], n)[0]
-            self.short.setdefault(n, {}).setdefault(int(h), []).append(int(item))
-
-    def _known(self, values, marks):
-        import numpy as np
+    if n == SPAN:
+        found, one = fingerprints(words, text)
+    else:
+        m = max(0, len(words) - n + 1)
+        found, one = gram_hashes(words, min(n, GRAM))[:m], text[:m] == text[n - 1 :][:m]
+    return mixed(found + np.uint64(n)), gram_hashes(words, n), one
 
-        if not len(marks) or not len(values):
-            return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(marks, values), len(marks) - 1)
-        return np.flatnonzero(marks[at] == values)
 
-    def hits(self, raw, offsets):
-        """(words of each text, {text: (merged spans, items)}) of texts laid end to end."""
-        import numpy as np
+def _item_windows(batches):
+    """Rows (item_id, n, fp, whole) of the windows of items (item_id, text)."""
+    import numpy as np
+    import pyarrow as pa
 
-        low, starts, ends, text, words = self.hasher(raw, offsets)
-        counts = np.bincount(text, minlength=len(offsets) - 1)
+    from .common import string_parts, text_slices
+
+    hasher = WordHasher()
+    for batch in (part for whole in batches for part in text_slices(whole, 1)):
+        _, _, _, text, words = hasher(*string_parts(batch.column(1)))
+        counts = np.bincount(text, minlength=batch.num_rows)
         first = np.cumsum(counts) - counts
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        flat, spelled = low.tobytes(), {}
-
-        def words_of(t):
-            if t not in spelled:
-                a, b = first[t], first[t] + counts[t]
-                spelled[t] = [flat[x:y] for x, y in zip(starts[a:b], ends[a:b], strict=True)]
-            return spelled[t]
-
-        _, least, at, _, new = winnowed(words, text)
-        done: dict[tuple[int, int, int], int] = {}
-        for i in new[self._known(least[new], self.marks)]:
-            t = int(text[i])
-            doc = words_of(t)
-            p = int(at[i]) - int(first[t])
-            for item, q in self.at[int(least[i])]:
-                if done.get((t, item, p - q), -1) > p:
-                    continue
-                other = self.words[item]
-                a, b = 0, 0
-                while a < min(p, q) and doc[p - a - 1] == other[q - a - 1]:
-                    a += 1
-                while b < min(len(doc) - p, len(other) - q) and doc[p + b] == other[q + b]:
-                    b += 1
-                done[t, item, p - q] = p + max(b, 1)
-                if a + b >= SPAN:
-                    found.setdefault(t, []).append((p - a, p + b, item))
-        for n, known in self.short.items():
-            if len(words) < n:
-                continue
-            grams = gram_hashes(words, n)
-            for i in self._known(grams, np.array(sorted(known), np.uint64)):
-                t = int(text[i])
-                p = int(i - first[t])
-                for item in known[int(grams[i])]:
-                    if text[i + n - 1] == t and words_of(t)[p : p + n] == self.words[item]:
-                        found.setdefault(t, []).append((p, p + n, item))
-        return counts, {t: (merged((a, b) for a, b, _ in x), sorted({self.ids[i] for _, _, i in x} - {None})) for t, x in found.items()}
-
-
-def merged(spans) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
-
-
-def _find(shared):
+        for n in np.unique(np.minimum(counts, SPAN)):
+            if n:
+                fp, whole, one = windows_of(words, text, int(n))
+                at = np.flatnonzero(one) if n == SPAN else first[counts == n]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[at])), pa.array(np.full(len(at), n, np.int32)), pa.array(fp[at].view(np.int64)), pa.array(whole[at].view(np.int64))], ["item_id", "n", "fp", "whole"])
+
+
+def _look(shared):
+    """Rows LOOKED of documents (doc_id, row_hash, text): candidate windows of each."""
+
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         from .common import string_parts, text_slices
 
-        bench = Benchmark(shared.value)
-        for batch in batches:
-            for part in text_slices(batch, 2):
-                counts, found = bench.hits(*string_parts(part.column(2)))
-                rows = [found.get(i, ([], [])) for i in range(part.num_rows)]
-                spans = pa.array([[{"start": a, "end": b} for a, b in s] for s, _ in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts.astype("int64")), spans, pa.array([i for _, i in rows], pa.list_(pa.string()))], ["doc_id", "row_hash", "n_words", "spans", "items"])
+        lengths, bits = shared.value
+        bits = np.frombuffer(bits, np.uint64)
+        hasher, mask = WordHasher(), np.uint64(64 * len(bits) - 1)
+        for batch in (part for whole in batches for part in text_slices(whole, 2)):
+            _, _, _, text, words = hasher(*string_parts(batch.column(2)))
+            counts = np.bincount(text, minlength=batch.num_rows)
+            first = np.cumsum(counts) - counts
+            made = []
+            for n in lengths:
+                fp, whole, one = windows_of(words, text, n)
+                slot = fp & mask
+                at = np.flatnonzero(one & (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool))
+                made.append((at, np.full(len(at), n, np.int32), fp[at], whole[at]))
+            at, n, fp, whole = (np.concatenate([np.zeros(0, np.int64), *x]) if k == 0 else np.concatenate(x) if x else np.zeros(0, np.uint64) for k, x in enumerate(zip(*made, strict=True) if made else [()] * 4))
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            of = text[at] if len(at) else at
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=batch.num_rows))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((at - first[of]).astype(np.int32), n[order].astype(np.int32), fp[order].view(np.int64), whole[order].view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts.astype(np.int64)), *lists], ["doc_id", "row_hash", "n_words", "at", "n", "fp", "whole"])
 
     return run
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): its words, the merged word spans that ``items`` (item_id, text) hit, and those items.
+def fingerprint_map(windows: DataFrame) -> bytes:
+    """A bit map of the fingerprints of ``windows``: bit ``fp mod size`` is set. At most MAP_BITS bits reach the driver."""
+    import numpy as np
 
-    The benchmark is measured first; what is sent to the tasks at once never exceeds ``block_bytes``, and a larger
-    benchmark is compared block after block.
-    """
-    context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(), F.coalesce("text", F.lit("")).alias("text"))
+    size = LEAST_BITS
+    while size < min(MAP_BITS, BITS_EACH * windows.count()):
+        size *= 2
+    bit = F.col("fp").bitwiseAND(size - 1)
+    words = windows.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(fp & 63 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def met(left: DataFrame, windows: DataFrame, rows: int) -> DataFrame:
+    """``left`` joined to ``windows`` (``rows`` of them) by fingerprint and whole; a window that very many rows of ``left`` hold is dealt by salt."""
+    on = ["fp", "whole"]
+    if rows <= SENT_ROWS:
+        return left.join(F.broadcast(windows), on)
+    salted = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("salt", F.pmod("row_hash", F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
+
+
+def benchmark_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): its words, the merged word spans that ``items`` (item_id, text) hit, and those items."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(), text_of().alias("text"))
     bench = items.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    made = []
-    for b in range(blocks):
-        block = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b)
-        made.append(rows.mapInArrow(_find(context.broadcast([(r[0], r[1]) for r in block.collect()])), HITS))
-    if blocks == 1:
-        return made[0]
-    every = made[0]
-    for x in made[1:]:
-        every = every.unionByName(x)
-    # a row's blocks come together by id and text; equal rows share their hits
-    joined = every.groupBy("doc_id", "row_hash").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("copies"))
-    union = F.aggregate(
-        "spans",
-        F.array().cast(SPANS),
-        lambda out, x: F.when((F.size(out) > 0) & (x["start"] <= F.element_at(out, -1)["end"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"], F.greatest(F.element_at(out, -1)["end"], x["end"]))).cast(SPANS))).otherwise(F.concat(out, F.array(x))),
-    )
-    return joined.select("doc_id", "row_hash", "n_words", union.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    windows = staged(bench.mapInArrow(_item_windows, WINDOWS).distinct(), "windows")
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # SPAN of them at most
+    bits = fingerprint_map(windows)
+    looked = staged(rows.mapInArrow(_look(spark.sparkContext.broadcast((lengths, bits))), LOOKED), "looked")
+    doc = ["doc_id", "row_hash"]
+    each = F.explode(F.arrays_zip("at", "n", "fp", "whole")).alias("x")
+    near = looked.where(F.size("at") > 0).select(*doc, each).select(*doc, F.col("x.at").cast("long").alias("start"), (F.col("x.at") + F.col("x.n")).cast("long").alias("end"), "x.fp", "x.whole").distinct()
+    known = staged(windows.select("fp", "whole").distinct(), "known")
+    hits = staged(met(near, known, known.count()), "hits")
+    # spans: a window that starts beyond the ends of all before it opens a new one
+    by_start = Window.partitionBy(*doc).orderBy("start", "end")
+    reached = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    opened = hits.select(*doc, "start", "end", F.coalesce((F.col("start") > reached).cast("int"), F.lit(0)).alias("opens"))
+    islands = opened.withColumn("island", F.sum("opens").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = islands.groupBy(*doc, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = islands.groupBy(*doc).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    named = windows.where("item_id IS NOT NULL").select("fp", "whole", "item_id")
+    found = met(hits.select(*doc, "fp", "whole").distinct(), named, windows.count()).select(*doc, "item_id").distinct()
+    found = found.groupBy(*doc).agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    both = spans.join(found, (spans["doc_id"].eqNullSafe(found["doc_id"])) & (spans["row_hash"] == found["row_hash"]), "left").select(spans["doc_id"].alias("__id"), spans["row_hash"].alias("__hash"), "spans", "items")
+    made = looked.join(both, looked["doc_id"].eqNullSafe(both["__id"]) & (looked["row_hash"] == both["__hash"]), "left")
+    none = F.array().cast("array<struct<start:long,end:long>>")
+    return made.select("doc_id", "row_hash", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Per row of ``docs``: words, hit words, items that occur, and whether one word in twenty or more is hit."""
     found = benchmark_hits(docs, items)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    out = found.select("doc_id", "row_hash", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"))
+    out = found.select("doc_id", "row_hash", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
