@@ -24,6 +24,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 #: Atoms of the longest segment; atoms of the longest region looked at in one piece (longer ones overlap by a segment).
 LONGEST, REGION = 20, 120
+#: Digits of a segment without letters, and its groups of digits at most: no kind has fewer or more.
+DIGITS, MOST_GROUPS = (4, 20), 6
 #: A region's chosen segment is added when its label is so likely given the region.
 SURE = 0.9
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -34,7 +36,11 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ATOM = re.compile(r"[0-9]+|[A-Za-z]+|.", re.DOTALL)
 #: Seven digits or more, at most three separators between two; or four groups between dots.
 NUMBERS = re.compile(r"(?<![A-Za-z0-9])(?:[+(]{0,2}[0-9](?:[ ().\-/]{0,3}[0-9]){6,}|[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3})(?![A-Za-z0-9])")
-MAILS = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,4}")
+MAILS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)+")
+GROUPS, LETTER, AT = re.compile("[0-9]+"), re.compile("[A-Za-z]"), re.compile(r"@|[(\[]at[)\]]")
+QUAD = re.compile(r"[0-9]+(?: ?\. ?[0-9]+){3}")
+DATED = re.compile(r"(?:19|20)[0-9]{2}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}")
+ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 SHAPE = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
 FORMAT = "%s:%d:%d"
 
@@ -44,6 +50,12 @@ def luhn(digits: str) -> bool:
     return (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """Whether a number, however long it is written, is 255 at most."""
+    rest = digits.lstrip("0")
+    return len(rest) < 3 or len(rest) == 3 and rest <= "255"
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the fixed patterns, by kind as listed, then start."""
     out, done, at = [], 0, text.find("@")
@@ -58,7 +70,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         before = at + 1
         at = text.find("@", max(at + 1, done))
     if re.search("[0-9]", text):
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(octet(p) for p in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = re.sub("[ -]", "", m[0])
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -72,31 +84,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 CONTEXT = {"phone": ("phone", "tel", "call", "mobile", "fax"), "card": ("card", "visa", "payment"), "ip": ("ip", "host", "server", "address"), "email": ("mail", "email", "contact")}
 
 
-def features(text: str, start: int, end: int) -> list[str]:
-    """Features of a candidate segment as a whole."""
+def near(text: str, start: int) -> list[str]:
+    """Features of the words before a place."""
+    words = set(re.findall("[a-z]+", text[max(0, start - 24) : start].lower()))
+    return [f"near={k}" for k, ws in CONTEXT.items() if not words.isdisjoint(ws)]
+
+
+def features(text: str, start: int, end: int, before: list[str]) -> list[str]:
+    """Features of a candidate segment as a whole; ``before`` are those of the words before it."""
     span = text[start:end]
-    groups = re.findall("[0-9]+", span)
+    groups = GROUPS.findall(span)
     digits = "".join(groups)
-    seps = sorted(set(re.sub("[A-Za-z0-9]", "", span)))
-    words = set(re.findall("[a-z]+", text[max(0, start - 24) : start].lower()))
-    out = ["bias", f"digits={min(len(digits), 20)}", f"groups={min(len(groups), 6)}", "seps=" + "".join(seps)[:4]]
-    out.append("shape=" + "-".join(str(min(len(g), 9)) for g in groups[:6]))
+    n = len(digits)
+    seps = "".join(sorted(set(span) - ALNUM))
+    out = ["bias", f"digits={min(n, 20)}", f"groups={min(len(groups), 6)}", "seps=" + seps[:4], *before]
+    out.append("shape=" + "-".join([str(min(len(g), 9)) for g in groups[:6]]))
     if not digits or not span[0].isalnum() and span[0] not in "+(" or not span[-1].isalnum():
         out.append("ragged")
-    if 13 <= len(digits) <= 19 and luhn(digits):
+    if 13 <= n <= 19 and luhn(digits):
         out.append("luhn")
-    if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and re.fullmatch(r"[0-9]+(?: ?\. ?[0-9]+){3}", span):
+    if len(groups) == 4 and n <= 12 and "." in seps and all(map(octet, groups)) and QUAD.fullmatch(span):
         out.append("quad")
-    if span[:1] == "+":
+    if span[0] == "+":
         out.append("plus")
-    if re.search(r"@|[(\[]at[)\]]", span) and re.fullmatch(MAILS, span):
+    if ("@" in seps or "(" in seps or "[" in seps) and AT.search(span) and MAILS.fullmatch(text, start, end):
         out.append("mail")
-    if re.search("[A-Za-z]", span):
+    if len(span) > n + len(seps) and LETTER.search(span):
         out.append("letters")
-    if re.fullmatch(r"(?:19|20)[0-9]{2}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}.*", span):
+    if len(groups) > 2 and DATED.match(span):
         out.append("date")
-    out += [f"near={k}" for k, ws in CONTEXT.items() if words & set(ws)]
-    if re.match("[A-Za-z0-9]", text[end : end + 1]) or re.match("[A-Za-z0-9]", text[max(0, start - 1) : start]):
+    if text[end : end + 1] in ALNUM or (text[start - 1] in ALNUM if start else False):
         out.append("inside")
     return out
 
@@ -111,13 +128,21 @@ class SemiMarkovField:
         """(atom bounds, candidate segments by end atom: [(first atom, features)])."""
         atoms = [(start + m.start(), start + m.end()) for m in ATOM.finditer(text[start:end])]
         into: list[list[tuple[int, list[str]]]] = [[] for _ in range(len(atoms) + 1)]
+        digits, letters = [0], [0]
+        for a, b in atoms:
+            digits.append(digits[-1] + (b - a if text[a] in "0123456789" else 0))
+            letters.append(letters[-1] + text[a].isalpha())
         for i, (a, _) in enumerate(atoms):
-            if text[a].isspace():
+            if not (text[a].isalnum() or text[a] in "+("):
                 continue
+            before, groups = near(text, a), 0
             for j in range(i + 1, min(len(atoms), i + LONGEST) + 1):
-                b = atoms[j - 1][1]
-                if b - a >= 7 and not text[b - 1].isspace():
-                    into[j].append((i, features(text, a, b)))
+                b, plain = atoms[j - 1][1], letters[j] == letters[i]
+                groups += digits[j] > digits[j - 1]
+                if plain and (digits[j] - digits[i] > DIGITS[1] or groups > MOST_GROUPS):
+                    break
+                if b - a >= 7 and text[b - 1].isalnum() and not (plain and digits[j] - digits[i] < DIGITS[0]):
+                    into[j].append((i, features(text, a, b, before)))
         return atoms, into
 
     def score(self, label: str, feats: list[str]) -> float:
@@ -290,8 +315,10 @@ def _scan(weights):
     def run(batches):
         import pyarrow as pa
 
+        from .common import text_slices
+
         field = SemiMarkovField(weights)
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             cols: list[list] = [[] for _ in range(6)]
             for text in batch.column(1).to_pylist():
                 base = base_spans(text)
