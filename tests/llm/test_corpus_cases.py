@@ -343,6 +343,12 @@ def test_guess_cost_is_the_cheapest_segmentation():
         assert math.isclose(secrets.guess_cost(value), best)
 
 
+def test_long_repeats_and_sequences_are_one_piece():
+    assert secrets.guess_cost("a" * 24) < secrets.guess_cost("a" * 30) < secrets.guess_cost("a" * 3000) < 5
+    assert secrets.guess_cost("xyz1" * 200) < 8 and secrets.guess_cost("abcdefghijklmnopqrstuvwxyz") < 4
+    assert not secrets.costly("=" * 5000) and secrets.costly("=" * 500 + "xK9!qZ2&w7#") and secrets.costly("xK9!qZ2&w7#" + "=" * 500)
+
+
 def test_costly_values_are_added_and_placeholders_are_not():
     text = 'pwd = "x7Kp!9zQ" password: changeme1 token = "aaaa"'
     assert [text[a:b] for _, a, b in secrets.added_spans(text, secrets.base_spans(text))] == ['pwd = "x7Kp!9zQ"']
@@ -350,7 +356,7 @@ def test_costly_values_are_added_and_placeholders_are_not():
 
 def test_long_values_are_found_whole():
     secret = "p$9!" + "xK7#qZ2&" * 8 + "w%"
-    for text in (f'password = "{secret}"', f"token: '{secret}'", f"pwd={secret}", f"pwd={'x$9!' * 5000}"):
+    for text in (f'password = "{secret}"', f"token: '{secret}'", f"pwd={secret}", f"pwd={''.join(random.Random(7).choices('abXY12!$', k=20_000))}"):
         assert secrets.added_spans(f"so {text} end", secrets.base_spans(f"so {text} end")) == [("assign", 3, 3 + len(text))]
     text = f"password = {secret}{'0123456789abcdef' * 2}"  # a fixed pattern in the value's end
     assert secrets.base_spans(text) and secrets.added_spans(text, secrets.base_spans(text)) == [("assign", 0, 11 + len(secret))]

@@ -1,5 +1,8 @@
 """Queries against brute force and DuckDB on the smallest tables."""
 
+import hashlib
+import random
+import re
 import zlib
 
 import duckdb
@@ -86,6 +89,72 @@ def test_components(spark, texts):
     assert [rows.doc_id[find(i)] for i in range(len(fps))] == rows.component_id.tolist()
 
 
+def digest(spans):
+    return hashlib.sha256(",".join("%s:%d:%d" % x for x in spans).encode()).hexdigest()
+
+
+def test_personal_data_equals_plain_patterns(spark, texts):
+    from tidemark.llm.pii import luhn
+
+    rows = LLM_QUERIES["op5_semi_markov_pii"](spark, DATA).toPandas().set_index("doc_id")
+    assert len(rows) == len(texts)
+    for k, text in texts.items():
+        text, want = text or "", []
+        want += [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+            d = re.sub("[ -]", "", m[0])
+            if 16 <= len(d) <= 19 and luhn(d):
+                want.append(("card", *m.span()))
+        want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        got = rows.loc[k]
+        assert got.base_sha256 == digest(want)
+        assert [got[f"n_{x}"] for x in ("email", "ip", "card", "phone")] == [sum(w[0] == x for w in want) for x in ("email", "ip", "card", "phone")]
+        assert {"%s:%d:%d" % x for x in want} <= set(got.spans.split(","))
+
+
+def test_secrets_equal_plain_patterns(spark, texts):
+    rows = LLM_QUERIES["op10_guess_cost_secrets"](spark, DATA).toPandas().set_index("doc_id")
+    assert len(rows) == len(texts)
+    kinds = ("assign", "access", "hex")
+    for k, text in texts.items():
+        text = text or ""
+        pattern = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+        want = [("assign", *m.span()) for m in re.finditer(pattern, text) if len(m[2]) >= 12]
+        want += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        want += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        want.sort(key=lambda x: (x[1], kinds.index(x[0])))
+        got = rows.loc[k]
+        assert got.base_sha256 == digest(want)
+        assert [got[f"n_{x}"] for x in kinds] == [sum(w[0] == x for w in want) for x in kinds]
+        assert {"%s:%d:%d" % x for x in want} <= set(got.spans.split(",")) | {""}
+
+
+def test_batch_encoder_equals_the_library():
+    from tidemark.llm.tokens import BatchEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ours, theirs, r = BatchEncoder(path), Tokenizer.from_file(path), random.Random(3)
+    parts = [" ", "  ", "\n", "a", "the ", "don't ", "12", "é", "\u00a0", "\u3000", "...", "!?", "<|endoftext|>", "\t", "Ab", "日本", "e\u0301", "-", '"']
+    for _ in range(60):
+        batch = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(40)]
+        data = [x.encode() for x in batch]
+        ids, n = ours(np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(x) for x in data])))
+        want = [theirs.encode(x, add_special_tokens=False).ids for x in batch]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_fingerprints_follow_from_their_definition(spark, texts):
+    import xxhash
+
+    rows = LLM_QUERIES["op7_simhash_anchors"](spark, DATA).toPandas().set_index("doc_id")
+    for k, text in texts.items():
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+        shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64(x.encode(), 42).intdigest() for x in shingles]
+        assert int(rows.loc[k].fingerprint, 16) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_urls(spark, duck):
     rows = LLM_QUERIES["op6_association_rules"](spark, DATA).toPandas().set_index("page_id")
     rules = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}

@@ -27,13 +27,14 @@ HEX = re.compile("[0-9a-f]{16,}")
 CONTEXT = re.compile(r"""(?:password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key|pwd|credential)["']?\x20*[:=]\x20*(?:"([^"\s]{6,}+)"|'([^'\s]{6,}+)'|([^\s"']{6,}+))""", re.IGNORECASE | re.ASCII)
 HINTS = ("passw", "passphrase", "secret", "token", "api", "key", "pwd", "credential")
 #: Common password words, by rank.
-WORDS = "password admin welcome letmein login master secret monkey dragon shadow summer winter spring autumn hello football baseball sunshine princess flower love test user root guest default change changeme example sample demo temp iloveyou trustno hunter batman superman pass word token key none null true false your here insert placeholder xxxx foo bar qwerty company server database private public access secure".split()
+WORDS = "password admin welcome letmein login master secret monkey dragon shadow summer winter spring autumn hello football baseball sunshine princess flower love test user root guest default change changeme example sample demo temp iloveyou trustno hunter batman superman pass word token key none null true false your here insert placeholder xxxx foo bar qwerty company server database private public access secure home work local host prod production staging develop developer debug build release master main branch value values string number field name username email phone address street city country account bank money coffee cookie cheese chocolate banana orange apple cherry lemon tiger lion eagle horse puppy kitten ninja pirate wizard knight prince queen king angel heaven blue green yellow purple silver golden black white happy lucky magic star moon ocean river forest mountain music guitar piano soccer hockey tennis golf basketball charlie george michael jordan thomas robert daniel jessica ashley jennifer michelle samsung google internet computer laptop window windows linux ubuntu docker redis mysql postgres oracle mongo rabbit kafka spark hadoop encrypted redacted hidden removed missing required optional empty unknown anonymous enter replace update goes sometext lorem ipsum".split()
 #: Rows of a keyboard.
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 #: Decimal logarithm of guesses from which a value counts as a secret; kinds of characters it must hold at least.
 COSTLY, MIXED = 8.0, 2
-#: Guesses for one character by brute force, as a decimal logarithm; longest piece looked at.
-BRUTE, PIECE = 1.0, 24
+#: Guesses for one character by brute force, as a decimal logarithm; longest piece looked at wherever it begins. Repeats of
+#: up to ``PERIOD`` characters and sequences may be longer: such a piece begins where the run begins.
+BRUTE, PIECE, PERIOD = 1.0, 24, 12
 SHAPE = "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string"
 RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
 LEET = str.maketrans("4@30$15!7", "aaeossiit")
@@ -67,42 +68,63 @@ def piece_cost(piece: str) -> float:
     return best
 
 
+def long_pieces(value: str):
+    """For each end, the longest pieces over PIECE characters that are a repeat or a sequence, as (start, cost)."""
+    same, step = [0] * (PERIOD + 1), [0, 0]
+    for j in range(1, len(value) + 1):
+        found = []
+        for k in range(1, PERIOD + 1):
+            same[k] = same[k] + 1 if j > k and value[j - 1] == value[j - 1 - k] else 0
+            times = same[k] // k + 1
+            if times > 1 and times * k > PIECE:
+                found.append((j - times * k, BRUTE * k + math.log10(times) + 0.2))
+        for x, way in enumerate((1, -1)):
+            step[x] = step[x] + 1 if j > 1 and ord(value[j - 1]) - ord(value[j - 2]) == way else 0
+            if step[x] >= PIECE:
+                found.append((j - step[x] - 1, 1.5 + math.log10(step[x] + 1)))
+        yield j, found
+
+
+def cheapest(value: str, most: float = math.inf):
+    """For each end of a piece: least cost of the prefix, order of pieces included, if below ``most``, and whether a long piece ends there."""
+    best: list[dict[int, float]] = [{0: 0.0}]  # by end, then by number of pieces: the order in which they are tried costs a factorial
+    for j, longer in long_pieces(value):
+        now: dict[int, float] = {}
+        for i, cost in [(i, None) for i in range(max(0, j - PIECE), j)] + longer:
+            if best[i]:
+                cost = piece_cost(value[i:j]) if cost is None else cost
+                for k, c in best[i].items():
+                    if c + cost < now.get(k + 1, math.inf):
+                        now[k + 1] = c + cost
+        kept, least = {}, math.inf
+        for k in sorted(now):  # more pieces must cost less by themselves
+            if now[k] < least and now[k] + math.lgamma(k + 1) / math.log(10) < most:
+                kept[k] = least = now[k]
+        best.append(kept)
+        yield min((c + math.lgamma(k + 1) / math.log(10) for k, c in kept.items()), default=most), bool(longer)
+
+
 def guess_cost(value: str) -> float:
     """Decimal logarithm of the guesses for ``value``: the least, over all segmentations, of the pieces' costs plus that of their number."""
-    n = len(value)
-    # by number of pieces: the order in which pieces are tried costs a factorial
-    best = [[math.inf] * (n + 1) for _ in range(n + 1)]
-    best[0][0] = 0.0
-    for j in range(1, n + 1):
-        for i in range(max(0, j - PIECE), j):
-            cost = piece_cost(value[i:j])
-            for k in range(i + 1):
-                if best[k][i] + cost < best[k + 1][j]:
-                    best[k + 1][j] = best[k][i] + cost
-    return min(best[k][n] + math.lgamma(k + 1) / math.log(10) for k in range(n + 1)) if n else 0.0
+    least = 0.0
+    for least, _ in cheapest(value):
+        pass
+    return least
 
 
 def costly(value: str) -> bool:
     """Whether ``guess_cost`` is COSTLY or more, told from as short a prefix as tells it.
 
-    Every segmentation has an end within any PIECE characters in a row, and costs at least what it costs up to there; so
-    the rest does not matter once all prefixes that end in such a stretch are costly. A piece costs log10(2) at least, so
-    that comes within a dozen pieces however long the value is.
+    Every segmentation without long pieces has an end within any PIECE characters in a row, and costs at least what it
+    costs up to there; so the rest does not matter once all prefixes that end in such a stretch are costly and no long
+    piece that began before it goes on. A piece costs log10(2) at least, so that comes soon in values that hold no long runs.
     """
-    best, run = [{0: 0.0}], 0  # by end, then by number of pieces
-    for j in range(1, len(value) + 1):
-        now: dict[int, float] = {}
-        for i in range(max(0, j - PIECE), j):
-            cost = piece_cost(value[i:j])
-            for k, c in best[i].items():
-                if c + cost < now.get(k + 1, math.inf):
-                    now[k + 1] = c + cost
-        best.append(now)
-        least = min(c + math.lgamma(k + 1) / math.log(10) for k, c in now.items())
-        run = run + 1 if least >= COSTLY else 0
-        if run == PIECE:
+    least, run = 0.0, 0
+    for least, longer in cheapest(value, COSTLY):
+        run = run + 1 if least >= COSTLY and not longer else 0
+        if run > PIECE:
             return True
-    return run > 0
+    return least >= COSTLY
 
 
 def mixture(value: str) -> int:
@@ -155,7 +177,9 @@ def joined(spans) -> str:
 def _scan(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    from .common import text_slices
+
+    for batch in (part for whole in batches for part in text_slices(whole, 1)):
         cols: list[list] = [[] for _ in range(5)]
         for text in batch.column(1).to_pylist():
             base = base_spans(text)
