@@ -26,7 +26,7 @@ def test_streak_resets(spark):
 def test_nearest_keeps_first_of_equals_and_unmatched(spark):
     left = spark.createDataFrame([(1, 1050), (2, 5000), (3, 1060)], "l int, lt int")
     right = spark.createDataFrame([(1, 1040), (2, 1060), (3, 1000)], "r int, rt int")
-    got = {r["l"]: r["rt"] for r in ts.nearest(left, right, "l", "lt", "rt", "r", 60).collect()}
+    got = {r["l"]: r["rt"] for r in ts.nearest(left, right, "lt", "rt", "r", 60).collect()}
     assert got == {1: 1040, 2: None, 3: 1060}
 
 

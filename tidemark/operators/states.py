@@ -8,23 +8,37 @@ from pyspark.sql import functions as F
 LEVELS = ("AMAN", "WASPADA", "BAHAYA")
 
 
-def next_level(now: int, since_low: float | None, t: float, height, rain, enter, leave, rain_limit: float, dwell: float) -> tuple[int, float | None]:
-    """(level, start of the calm spell) after one reading. Rises at once; falls after ``dwell`` seconds below the exit edge; null holds."""
+def next_level(now: int, since_low: float | None, t: float, height, rain, enter, leave, rains, dwell: float, wrap: float | None = None) -> tuple[int, float | None]:
+    """(level, start of the calm spell) after one reading.
+
+    Height or rain beyond a level's limit raises it at once. It falls by one level after ``dwell`` seconds below the exit
+    edge without rain beyond the level's limit; a null height holds it. ``wrap`` is the span of a clock that starts anew.
+    """
     if height is None:
         return now, since_low
-    up = 2 if height > enter[1] or (rain or 0) > rain_limit else 1 if height > enter[0] else 0
+    wet = rain or 0
+    up = 2 if height > enter[1] or wet > rains[1] else 1 if height > enter[0] or wet > rains[0] else 0
     if up > now:
         return up, None
-    if now == 0:
-        return now, None
-    if height >= leave[now - 1] or (now == 2 and (rain or 0) > rain_limit):
+    if now == 0 or height >= leave[now - 1] or wet > rains[now - 1]:
         return now, None
     since_low = t if since_low is None else since_low
-    return (now - 1, None) if t - since_low >= dwell else (now, since_low)
+    calm = (t - since_low) % wrap if wrap else t - since_low
+    return (now - 1, None) if calm >= dwell else (now, since_low)
+
 
+def _key(k):
+    """A key of pandas, null ones all alike."""
+    import pandas as pd
 
-def levels(df: DataFrame, key: str, ts: str, height: str, rain: str, enter=(30.0, 60.0), leave=(25.0, 55.0), rain_limit: float = 30.0, dwell: float = 60.0) -> DataFrame:
-    """``df`` (key, ts, height, rain) with ``level`` by hysteresis, folded row by row within each key."""
+    return None if pd.isna(k) else k
+
+
+def levels(df: DataFrame, key: str, ts: str, height: str, rain: str, enter=(30.0, 60.0), leave=(25.0, 55.0), rains=(10.0, 30.0), dwell: float = 60.0, seq: str | None = None, wrap: float | None = None) -> DataFrame:
+    """``df`` (key, ts, height, rain) with ``level`` by hysteresis, folded row by row within each key, in the order of ``ts``, then ``seq``.
+
+    A clock that wraps is no order: give rows with ``wrap`` a ``seq`` alone, as ``ts`` then only measures time.
+    """
 
     def run(batches):
         import pandas as pd
@@ -33,36 +47,36 @@ def levels(df: DataFrame, key: str, ts: str, height: str, rain: str, enter=(30.0
         for pdf in batches:
             out = []
             for k, t, h, r in zip(pdf[key], pdf[ts], pdf[height], pdf[rain], strict=True):
-                if k != at:
-                    at, now, low = k, 0, None
-                now, low = next_level(now, low, t, None if pd.isna(h) else h, None if pd.isna(r) else r, enter, leave, rain_limit, dwell)
+                if _key(k) != at:
+                    at, now, low = _key(k), 0, None
+                now, low = next_level(now, low, t, None if pd.isna(h) else h, None if pd.isna(r) else r, enter, leave, rains, dwell, wrap)
                 out.append(LEVELS[now])
             yield pdf.assign(level=out)
 
-    laid = df.repartition(key).sortWithinPartitions(key, ts)
-    return laid.mapInPandas(run, df.withColumn("level", F.lit("")).schema)
+    order = [seq] if wrap and seq else [ts, *([seq] if seq else [])]
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, df.withColumn("level", F.lit("")).schema)
 
 
-def throttled(df: DataFrame, key: str, ts: str, interval: float) -> DataFrame:
-    """Rows emitted when ``interval`` seconds have passed since the last emitted row of the key."""
+def throttled(df: DataFrame, key: str, ts: str, interval: float, seq: str | None = None) -> DataFrame:
+    """Rows emitted when ``interval`` seconds have passed since the last emitted row of the key, in the order of ``ts``, then ``seq``."""
 
     def run(batches):
         at, last = object(), None
         for pdf in batches:
             keep = []
             for k, t in zip(pdf[key], pdf[ts], strict=True):
-                if k != at:
-                    at, last = k, None
+                if _key(k) != at:
+                    at, last = _key(k), None
                 go = last is None or t - last >= interval
                 last = t if go else last
                 keep.append(go)
             yield pdf[keep]
 
-    return df.repartition(key).sortWithinPartitions(key, ts).mapInPandas(run, df.schema)
+    return df.repartition(key).sortWithinPartitions(key, ts, *([seq] if seq else [])).mapInPandas(run, df.schema)
 
 
 def greedy_split(groups: DataFrame, dataset: str, group: str, size: str, ratios=(("train", 0.7), ("val", 0.15), ("test", 0.15)), seed: int = 42) -> DataFrame:
-    """Whole groups to splits: one group each first, then each to the split with the largest remaining deficit.
+    """Whole groups to splits: one group each first if there are enough, then each to the split with the largest remaining deficit.
 
     ``groups`` holds a row per group, in md5 order of ``seed:dataset:group``; a dataset's groups are few.
     """
@@ -73,7 +87,7 @@ def greedy_split(groups: DataFrame, dataset: str, group: str, size: str, ratios=
         order = sorted(range(len(pdf)), key=lambda i: hashlib.md5(f"{seed}:{pdf[dataset].iloc[i]}:{pdf[group].iloc[i]}".encode()).hexdigest())
         total, filled, out = pdf[size].sum(), [0] * len(ratios), [""] * len(pdf)
         for n, i in enumerate(order):
-            k = n if n < len(ratios) else max(range(len(ratios)), key=lambda j: ratios[j][1] * total - filled[j])
+            k = n if n < len(ratios) <= len(pdf) else max(range(len(ratios)), key=lambda j: ratios[j][1] * total - filled[j])
             filled[k] += pdf[size].iloc[i]
             out[i] = ratios[k][0]
         return pdf.assign(split=out)

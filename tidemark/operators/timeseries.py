@@ -48,16 +48,61 @@ def carried(df: DataFrame, key: str, order: list[str], value: Column, ts: str, o
     return df.withColumn(out, F.last(value, ignorenulls=True).over(w)).withColumn(age, F.col(ts) - F.last(at, ignorenulls=True).over(w))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_key: str, left_ts: str, right_ts: str, right_seq: str, tol_s: int) -> DataFrame:
-    """Every row of ``left`` with the row of ``right`` nearest in time within ``tol_s`` seconds, else nulls.
+def nearest(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, right_seq: str, tol_s: int, key: str | None = None) -> DataFrame:
+    """Every row of ``left`` with the row of ``right`` nearest in time within ``tol_s`` seconds, else nulls; with ``key``, of the same device.
 
-    Of equally near rows the earlier, then the one with the smaller ``right_seq`` wins. Buckets as wide as the
-    tolerance make it an equi-join: a row can only match in its own bucket or a neighbour.
+    Of equally near rows the earlier, then the one with the smaller ``right_seq`` wins. Time is cut into buckets as wide
+    as the tolerance; rows of ``right`` also stand in the buckets beside their own. Within a bucket the last row before
+    and the first after a time are running values, so a dense bucket costs a sort, not all its pairs.
     """
     bucket = lambda c: F.floor(F.col(c) / tol_s)
-    near = left.select(left_key, left_ts, F.explode(F.sequence(bucket(left_ts) - 1, bucket(left_ts) + 1)).alias("__b")).join(right.withColumn("__b", bucket(right_ts)), "__b").where(F.abs(F.col(left_ts) - F.col(right_ts)) <= tol_s)
-    best = near.groupBy(left_key).agg(F.min_by(F.struct(*right.columns), F.struct(F.abs(F.col(left_ts) - F.col(right_ts)), right_ts, right_seq)).alias("__m"))
-    return left.join(best.select(left_key, "__m.*"), left_key, "left")
+    device = (F.col(key) if key else F.lit(0)).alias("__k")
+    ours = left.select(device, bucket(left_ts).alias("__b"), F.col(left_ts).alias("__t"), F.struct(*left.columns).alias("__l"))
+    kept = [c for c in right.columns if c != key]
+    theirs = right.select(device, F.explode(F.sequence(bucket(right_ts) - 1, bucket(right_ts) + 1)).alias("__b"), F.col(right_ts).alias("__t"), F.col(right_seq).alias("__q"), F.struct(*kept).alias("__r"))
+    both = ours.unionByName(theirs, allowMissingColumns=True)
+    near = lambda time: F.last("__r", ignorenulls=True).over(Window.partitionBy("__k", "__b").orderBy(time, F.col("__l").isNotNull(), F.desc("__q")).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumns({"__before": near(F.asc("__t")), "__after": near(F.desc("__t"))}).where("__l IS NOT NULL")
+    gap = lambda side: F.abs(F.col("__t") - F.col(side)[right_ts])
+    within = lambda side: F.when(gap(side) <= tol_s, F.col(side))
+    best = F.when(gap("__before") <= F.coalesce(gap("__after"), gap("__before")), within("__before")).otherwise(within("__after"))
+    return found.select("__l", best.alias("__m")).select("__l.*", *[F.col("__m")[c].alias(c) for c in kept])
+
+
+def sliding_sum(df: DataFrame, at: str, value: str, width: int, bucket: int, out: str, key: list[str] | None = None) -> DataFrame:
+    """``df`` with the sum of ``value`` over the last ``width`` steps of ``at`` (whole numbers), the row's own among them.
+
+    ``at`` is cut into buckets of ``bucket`` steps, ``width`` or more; rows near a bucket's end also stand in the next one.
+    """
+    if bucket < width:
+        raise ValueError("a bucket holds a width at least")
+    own = F.floor(F.col(at) / bucket)
+    spread = df.withColumn("__own", own).withColumn("__b", F.explode(F.array_distinct(F.array(own, F.floor((F.col(at) + width - 1) / bucket)))))
+    over = Window.partitionBy(*(key or []), "__b").orderBy(at).rangeBetween(1 - width, 0)
+    return spread.withColumn(out, F.sum(value).over(over)).where("__b = __own").drop("__b", "__own")
+
+
+def alerts(df: DataFrame, key: str, order: list[str], area: str, growth_col: str, area_from: float, growth_from: float, consecutive: int) -> DataFrame:
+    """``df`` with the alert of a blockage: ``streak`` of rows over the area or the growth limit, ``alert`` from ``consecutive`` on, ``latched`` ever after, ``onset`` at its first row and the ``reason`` in words."""
+    from ..functions.labels import alert_reason
+
+    made = streak(df, key, order, (F.coalesce(F.col(area) >= area_from, F.lit(False)) | F.coalesce(F.col(growth_col) >= growth_from, F.lit(False))))
+    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    alert = F.col("streak") >= consecutive
+    reason = F.when(alert, alert_reason(F.col(area), F.col(growth_col), area_from, growth_from)).otherwise("")
+    return made.withColumns({"alert": alert, "latched": F.bool_or(alert).over(so_far), "onset": F.col("streak") == consecutive, "reason": reason})
+
+
+def segments(df: DataFrame, key: str, order: list[str], starts: Column, out: str = "segment") -> DataFrame:
+    """``df`` with the number of the segment that each row lies in; put it into the partitions of whatever must start anew."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out, F.sum(F.when(starts, 1).otherwise(0)).over(w))
+
+
+def latest_pair(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """One row (left, right): the latest row of each table as a struct, null if it has none."""
+    newest = lambda df, order, name: df.agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias(name))
+    return newest(left, left_order, "left").crossJoin(newest(right, right_order, "right"))  # one row each
 
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -1,14 +1,16 @@
-"""Queries on dataset preparation, evaluation, masks and geometry.
+"""Queries on dataset preparation, evaluation, masks and geometry: the library's operators on the test tables.
 
-Most are plain relational SQL that Spark and DuckDB read alike; ``{name}`` stands for a table. Where the dialects
-differ, the DuckDB text is given beside.
+Each has a DuckDB text that says the same in SQL; ``{name}`` stands for a table.
 """
 
 from __future__ import annotations
 
 import re
 
-from ..operators import states
+from pyspark.sql import functions as F
+
+from ..functions import geometry
+from ..operators import evaluation, frames, masks, ranks, splits, states, validation
 from ..sources.tables import table
 
 _HASHED = "SELECT lang, source, doc_id, cast(substring(md5(concat('42:', lang, ':', source)), 1, 1) IN ('0','1','2','3','4','5','6','7','8','9','a') AS int) AS tr, cast(substring(md5(concat('42:', lang, ':', source)), 1, 1) IN ('b','c') AS int) AS va FROM {documents}"
@@ -17,8 +19,8 @@ _LOC = "SELECT DISTINCT source FROM {documents}"
 _CM = "SELECT d.lang, l.quality AS truth, l.toxic AS pred FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id WHERE l.quality BETWEEN 0 AND 1"
 _IOU = "SELECT c.cls, {key} sum(CASE WHEN truth = c.cls AND pred = c.cls THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN truth <> c.cls AND pred = c.cls THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN truth = c.cls AND pred <> c.cls THEN 1 ELSE 0 END) AS fn FROM ({cm}) m CROSS JOIN (SELECT 0 AS cls UNION ALL SELECT 1 UNION ALL SELECT 2) c GROUP BY {keys}"
 
-#: Both dialects.
-SAME = {
+#: What each query gives, in SQL.
+SQL = {
     "split_hash_order": "SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('42:', lang, ':', source))) AS pos FROM (SELECT DISTINCT lang, source FROM {documents}) g",
     "split_counts": f"SELECT lang, split, count(*) AS n, count(DISTINCT source) AS n_groups FROM ({_NAMED}) s GROUP BY lang, split",
     "split_straddle": f"SELECT source, count(DISTINCT split) AS n_splits FROM ({_NAMED}) s GROUP BY source HAVING count(DISTINCT split) > 1",
@@ -30,7 +32,7 @@ SAME = {
     "excluded_anti": "SELECT d.doc_id, d.lang FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id",
     "dangling_left": "SELECT l.doc_id, d.lang, d.doc_id IS NULL AS dangling FROM (SELECT doc_id * 2 AS doc_id FROM {labels}) l LEFT JOIN {documents} d ON l.doc_id = d.doc_id",
     "duplicate_keys": "SELECT source, lang, count(*) AS n FROM {documents} GROUP BY source, lang HAVING count(*) > 1",
-    "review_order": "SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN toxic = 1 THEN 0 ELSE 1 END, quality, doc_id) AS pos FROM {labels} ORDER BY pos LIMIT 100",
+    "review_order": "SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN toxic = 1 THEN 0 ELSE 1 END, quality NULLS FIRST, doc_id) AS pos FROM {labels}",
     "verdict_counts": "SELECT CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'ok' ELSE '' END AS verdict, count(*) AS n FROM {labels} GROUP BY 1",
     "label_map_join": "SELECT n.n_nationkey, n.n_name, r.r_name, dense_rank() OVER (ORDER BY r.r_name) AS slot FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey",
     "unmapped_policy": "SELECT n.n_nationkey, CASE WHEN r.r_regionkey IS NULL THEN 255 ELSE r.r_regionkey END AS mapped FROM {nation} n LEFT JOIN (SELECT * FROM {region} WHERE r_regionkey < 3) r ON n.n_regionkey = r.r_regionkey",
@@ -51,78 +53,145 @@ SAME = {
     "config_grid": "SELECT a.n_name, b.r_name FROM {nation} a CROSS JOIN {region} b",
     "entry_partition": "SELECT page_id, substring(url, 1, strpos_(url, '/') - 1) AS head, substring(url, strpos_(url, '/') + 1, 1000000) AS tail FROM {pages}",
     "default_weight": "SELECT d.doc_id, coalesce(cast(l.quality AS double), cast(1.0 AS double)) AS weight FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id",
-    "resume_anti": "SELECT p.page_id FROM {pages} p LEFT ANTI JOIN {documents} d ON p.page_id * 3 = d.doc_id",
-    "cost_accuracy_full": "SELECT coalesce(a.doc_id, b.page_id) AS id, a.n_chars, b.page_id IS NOT NULL AS has_page FROM (SELECT doc_id, n_chars FROM {documents} WHERE doc_id % 3 = 0) a FULL OUTER JOIN (SELECT page_id FROM {pages} WHERE page_id % 2 = 0) b ON a.doc_id = b.page_id",
+    "resume_anti": "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {pages} p ON p.page_id * 3 = d.doc_id",
+    "cost_accuracy_full": "SELECT coalesce(a.doc_id, b.page_id) AS doc_id, a.quality, b.url IS NOT NULL AS has_page FROM {labels} a FULL OUTER JOIN {pages} b ON a.doc_id = b.page_id",
 }
 
-#: (Spark SQL, DuckDB SQL).
-PAIRS = {
-    "iou_mean": (
-        f"SELECT round(avg(iou), 9) AS miou FROM ({SAME['iou_metrics']}) t",
-        f"SELECT round(avg(iou), 9) AS miou FROM ({SAME['iou_metrics']}) t",
-    ),
-    "latency_nearest_rank": (
-        "SELECT l_returnflag, n0 AS n, element_at(s, cast(n0 div 2 AS int) + 1) AS p50, element_at(s, least(n0 - 1, cast(floor(0.9D * n0) AS int)) + 1) AS p90 FROM (SELECT l_returnflag, array_sort(collect_list(l_extendedprice)) AS s, cast(count(*) AS int) AS n0 FROM {lineitem} WHERE l_linenumber = 1 GROUP BY l_returnflag) g",
-        "SELECT l_returnflag, n0 AS n, s[n0 // 2 + 1] AS p50, s[least(n0 - 1, floor(0.9::DOUBLE * n0)::INT) + 1] AS p90 FROM (SELECT l_returnflag, list_sort(list(l_extendedprice)) AS s, count(*)::INT AS n0 FROM lineitem WHERE l_linenumber = 1 GROUP BY l_returnflag)",
-    ),
-    "upper_median": (
-        "SELECT user_id, element_at(array_sort(collect_list(value)), cast(count(*) div 2 AS int) + 1) AS med FROM {events} GROUP BY user_id",
-        "SELECT user_id, list_sort(list(value))[count(*) // 2 + 1] AS med FROM events GROUP BY user_id",
-    ),
-    "paint_priority": (
-        "SELECT l_orderkey, max_by(l_returnflag, struct(l_quantity, l_linenumber, l_partkey, l_extendedprice, l_returnflag)) AS painted FROM {lineitem} GROUP BY l_orderkey",
-        "SELECT l_orderkey, l_returnflag AS painted FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC, l_returnflag DESC) = 1",
-    ),
-    "polygon_area_validity": (
-        "SELECT vec_id, area, area >= 1e-4D AS valid FROM (SELECT vec_id, round(abs(e[0]*e[3] - e[2]*e[1] + e[2]*e[5] - e[4]*e[3] + e[4]*e[7] - e[6]*e[5] + e[6]*e[1] - e[0]*e[7]) / 2, 6) AS area FROM (SELECT vec_id, transform(slice(embedding, 1, 8), x -> cast(x AS double)) AS e FROM {embeddings}) p) q",
-        "SELECT vec_id, area, area >= 1e-4::DOUBLE AS valid FROM (SELECT vec_id, round(abs(e[1]*e[4] - e[3]*e[2] + e[3]*e[6] - e[5]*e[4] + e[5]*e[8] - e[7]*e[6] + e[7]*e[2] - e[1]*e[8]) / 2, 6) AS area FROM (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS e FROM embeddings))",
-    ),
-    "mask_overlay": (
-        "SELECT vec_id, size(filter(m, x -> x = 2)) AS debris, size(filter(m, x -> x = 1)) AS water, try_divide(size(filter(m, x -> x = 2)), size(filter(m, x -> x > 0))) AS coverage FROM (SELECT vec_id, transform(embedding, x -> CASE WHEN x > 0.1 THEN 2 WHEN x > 0 THEN 1 ELSE 0 END) AS m FROM {embeddings}) p",
-        "SELECT vec_id, len(list_filter(m, lambda x: x = 2)) AS debris, len(list_filter(m, lambda x: x = 1)) AS water, len(list_filter(m, lambda x: x = 2)) / nullif(len(list_filter(m, lambda x: x > 0)), 0)::DOUBLE AS coverage FROM (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.1 THEN 2 WHEN x > 0 THEN 1 ELSE 0 END) AS m FROM embeddings)",
-    ),
-    "lut_gather": (
-        "SELECT vec_id, aggregate(transform(embedding, x -> element_at(array(0, 5, 9), CASE WHEN x > 0.1 THEN 3 WHEN x > 0 THEN 2 ELSE 1 END)), 0, (a, x) -> a + x) AS total FROM {embeddings}",
-        "SELECT vec_id, list_sum(list_transform(embedding, lambda x: [0, 5, 9][CASE WHEN x > 0.1 THEN 3 WHEN x > 0 THEN 2 ELSE 1 END]))::BIGINT AS total FROM embeddings",
-    ),
-    "argmax_class": (
-        "SELECT vec_id, array_position(embedding, array_max(embedding)) - 1 AS cls FROM {embeddings}",
-        "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS cls FROM embeddings",
-    ),
-    "group_key_regex": (
-        r"SELECT page_id, CASE WHEN regexp_extract(url, '/([a-z]{{2}})/', 1) = '' THEN url ELSE regexp_extract(url, '/([a-z]{{2}})/', 1) END AS grp FROM {pages}",
-        r"SELECT page_id, CASE WHEN regexp_extract(url, '/([a-z]{2})/', 1) = '' THEN url ELSE regexp_extract(url, '/([a-z]{2})/', 1) END AS grp FROM pages",
-    ),
-    "group_members": (
-        "SELECT source, array_join(transform(slice(array_sort(collect_list(doc_id)), 1, 5), x -> cast(x AS string)), ',') AS heads FROM {documents} GROUP BY source",
-        "SELECT source, array_to_string(list_transform(list_sort(list(doc_id))[1:5], lambda x: x::VARCHAR), ',') AS heads FROM documents GROUP BY source",
-    ),
-    "json_path": (
-        "SELECT event_id, cast(get_json_object(props, '$.k') AS bigint) AS k FROM {events}",
-        "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    ),
+#: As above, in DuckDB only.
+DUCK = {
+    "iou_mean": f"SELECT round(avg(iou), 9) AS miou FROM ({SQL['iou_metrics']}) t",
+    "latency_nearest_rank": "SELECT l_returnflag, n0 AS n, s[n0 // 2 + 1] AS p50, s[least(n0 - 1, floor(0.9::DOUBLE * n0)::INT) + 1] AS p90 FROM (SELECT l_returnflag, list_sort(list(l_extendedprice)) AS s, count(*)::INT AS n0 FROM lineitem GROUP BY l_returnflag)",
+    "upper_median": "SELECT user_id, list_sort(list(value))[count(*) // 2 + 1] AS med FROM events GROUP BY user_id",
+    "paint_priority": "SELECT l_orderkey, l_returnflag AS painted FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC, l_returnflag DESC) = 1",
+    "polygon_area_validity": "SELECT vec_id, area, area >= 1e-4::DOUBLE AS valid FROM (SELECT vec_id, round(abs(e[1]*e[4] - e[3]*e[2] + e[3]*e[6] - e[5]*e[4] + e[5]*e[8] - e[7]*e[6] + e[7]*e[2] - e[1]*e[8]) / 2, 6) AS area FROM (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS e FROM embeddings))",
+    "mask_overlay": "SELECT vec_id, len(list_filter(m, lambda x: x = 2)) AS debris, len(list_filter(m, lambda x: x = 1)) AS water, len(list_filter(m, lambda x: x = 2)) / nullif(len(list_filter(m, lambda x: x > 0)), 0)::DOUBLE AS coverage FROM (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.1 THEN 2 WHEN x > 0 THEN 1 ELSE 0 END) AS m FROM embeddings)",
+    "lut_gather": "SELECT vec_id, list_sum(list_transform(embedding, lambda x: [0, 5, 9][CASE WHEN x > 0.1 THEN 3 WHEN x > 0 THEN 2 ELSE 1 END]))::BIGINT AS total FROM embeddings",
+    "argmax_class": "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS cls FROM embeddings",
+    "group_key_regex": r"SELECT page_id, CASE WHEN regexp_extract(url, '/([a-z]{2})/', 1) = '' THEN url ELSE regexp_extract(url, '/([a-z]{2})/', 1) END AS grp FROM pages",
+    "group_members": "SELECT source, array_to_string(list_transform(list_sort(list(doc_id))[1:5], lambda x: x::VARCHAR), ',') AS heads FROM documents GROUP BY source",
+    "json_path": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
 }
 
+def duck(sql: str) -> str:
+    """A text with its tables' names, as DuckDB reads it."""
+    return re.sub(r"\{(\w+)\}", r"\1", sql).replace("LEFT ANTI JOIN", "ANTI JOIN").replace("cast(doc_id AS string)", "cast(doc_id AS varchar)")
 
-def _names(sql: str) -> set[str]:
-    return set(re.findall(r"(?<!\{)\{(\w+)\}", sql))
 
+def on(make):
+    """A query that hands ``make`` a function from a table's name to the table."""
+    return lambda spark, sf_dir: make(lambda name: table(spark, sf_dir, name))
 
-def _spark(sql: str):
-    def run(spark, sf_dir):
-        return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in _names(sql)})
 
-    return run
+SPLITS = (("train", 11), ("val", 2), ("test", 3))
 
 
-def _duck(sql: str) -> str:
-    return re.sub(r"\{(\w+)\}", r"\1", sql).replace("LEFT ANTI JOIN", "ANTI JOIN").replace("cast(doc_id AS string)", "cast(doc_id AS varchar)")
+def _split(t):
+    return splits.hashed_split(t("documents").select("lang", "source", "doc_id"), 42, ["lang", "source"], SPLITS)
+
+
+def _judged(t):
+    """Labels with their language, as true (quality) and predicted (toxic) classes."""
+    rows = t("labels").join(t("documents").select("doc_id", "lang"), "doc_id").select("lang", F.col("quality").alias("truth"), F.col("toxic").alias("pred"))
+    return rows.where(evaluation.valid(F.col("truth"), 2))
+
+
+def _scores(t, group=()):
+    return evaluation.class_scores(evaluation.confusion(_judged(t), "truth", "pred", group), "truth", "pred", (0, 1, 2), group)
+
+
+def _prices(t):
+    """Highest price in cents by priority."""
+    return t("orders").groupBy("o_orderpriority").agg(F.max(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"))
+
+
+def _degradation(t):
+    made = evaluation.drop_from_largest(_prices(t), "o_orderpriority", "cents", places=12)
+    return made.select("o_orderpriority", "cents", F.floor(F.col("drop_pct") * 100 + 1e-7).cast("bigint").alias("drop_bp"))
+
 
+def _points(t):
+    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return t("embeddings").select("vec_id", F.array(*[F.struct(e(2 * i).alias("x"), e(2 * i + 1).alias("y")) for i in range(4)]).alias("polygon"))
 
-def greedy_split(spark, sf_dir):
-    groups = table(spark, sf_dir, "documents").groupBy("lang", "source").count().withColumnRenamed("count", "n")
-    return states.greedy_split(groups, "lang", "source", "n")
 
+def _classes(t):
+    """Frames made of vectors: over 0.1 debris, over 0 water."""
+    return t("embeddings").select("vec_id", frames.classified(F.col("embedding"), [(0.1, frames.DEBRIS), (0.0, frames.WATER)], frames.BACKGROUND).alias("px"))
 
-QUERIES = {k: _spark(v.replace("strpos_(url, '/')", "instr(url, '/')")) for k, v in SAME.items()} | {k: _spark(v[0]) for k, v in PAIRS.items()} | {"greedy_split": greedy_split}
-ORACLES = {k: _duck(v.replace("strpos_(url, '/')", "instr(url, '/')")) for k, v in SAME.items()} | {k: _duck(v[1]) if k == "iou_mean" else v[1] for k, v in PAIRS.items()}
+
+def _overlay(t):
+    one = lambda lo: F.transform("embedding", lambda x: (x > lo).cast("int"))
+    made = t("embeddings").select("vec_id", frames.overlaid(one(0.0), one(0.1)).alias("px")).withColumn("c", frames.class_counts(F.col("px")))
+    return made.select("vec_id", F.col("c.debris").alias("debris"), F.col("c.water").alias("water"), F.col("c.coverage").alias("coverage"))
+
+
+def _group_members(t):
+    first = ranks.heads(t("documents").select("source", "doc_id"), ["source"], ["doc_id"], 5)
+    return first.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("heads"))
+
+
+def _group_key(t):
+    found = F.regexp_extract("url", "/([a-z]{2})/", 1)
+    return t("pages").select("page_id", F.when(found == "", F.col("url")).otherwise(found).alias("grp"))
+
+
+def _entries(t):
+    return t("pages").withColumn("e", geometry.head_and_tail(F.col("url"))).select("page_id", "e.head", "e.tail")
+
+
+def _size_class(n):
+    return F.when(n < 1000, "small").when(n < 10000, "medium").otherwise("large")
+
+
+QUERIES = {
+    k: on(v)
+    for k, v in {
+        "split_hash_order": lambda t: splits.group_order(t("documents"), "lang", "source", 42),
+        "split_counts": lambda t: splits.split_counts(_split(t), "lang", "source"),
+        "split_straddle": lambda t: splits.straddling(_split(t), ["source"]),
+        "split_overlap": lambda t: splits.in_both(_split(t), "train", "test", "source"),
+        "split_difference": lambda t: splits.only_in(_split(t), "train", "val", "source"),
+        "heldout_union": lambda t: splits.held_out(_split(t).where("split = 'val'").select("doc_id"), t("labels").where("toxic = 1").select("doc_id")),
+        "merged_bag": lambda t: splits.merged(t("documents").where("lang = 'de'").select("doc_id"), t("labels").where("quality = 0").select("doc_id")),
+        "fold_locv": lambda t: splits.location_folds(t("documents"), "source"),
+        "excluded_anti": lambda t: splits.without_ids(t("documents").select("doc_id", "lang"), t("labels"), ["doc_id"]),
+        "dangling_left": lambda t: splits.dangling(t("labels").select((F.col("doc_id") * 2).alias("doc_id")), t("documents").select("doc_id", "lang"), ["doc_id"]),
+        "duplicate_keys": lambda t: splits.repeated(t("documents"), ["source", "lang"]),
+        "review_order": lambda t: validation.worst_first(t("labels").select("doc_id", "quality", "toxic"), F.col("toxic") == 1, "quality", "doc_id").select("doc_id", "pos"),
+        "verdict_counts": lambda t: validation.counts(t("labels"), validation.verdict(F.when(F.col("toxic") == 1, "Reject").when(F.col("quality") == 1, " ok")), "verdict"),
+        "label_map_join": lambda t: t("nation").join(F.broadcast(t("region").join(splits.slots(t("region"), "r_name", first=1), "r_name")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name", "slot"),
+        "unmapped_policy": lambda t: validation.mapped_labels(t("nation"), t("region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_regionkey").alias("slot")), "n_regionkey", "slot", "ignore").select("n_nationkey", "mapped"),
+        "class_histogram_share": lambda t: validation.class_shares(t("lineitem"), ["l_returnflag", "l_linestatus"]),
+        "orphan_values": lambda t: validation.orphans(t("lineitem").select("l_linestatus"), "l_linestatus", t("orders").where("o_orderstatus = 'O'").limit(1), "o_orderstatus"),
+        "confusion_matrix": lambda t: evaluation.confusion(_judged(t), "truth", "pred"),
+        "confusion_by_group": lambda t: evaluation.confusion(_judged(t), "truth", "pred", ["lang"], overall=True),
+        "iou_metrics": lambda t: _scores(t),
+        "per_group_iou": lambda t: _scores(t, ["lang"]).select("lang", "cls", "iou"),
+        "iou_mean": lambda t: evaluation.mean_iou(_scores(t)),
+        "degradation_vs_max": _degradation,
+        "capped_sampler": lambda t: splits.capped(t("documents").select("lang", "doc_id"), "lang", "doc_id", F.when(F.col("lang") == "en", 50).otherwise(100), 7),
+        "systematic_sample": lambda t: splits.every_kth(t("orders"), ["o_orderpriority"], ["o_orderkey"], 10, 5000).select("o_orderkey"),
+        "leaderboard": lambda t: t("documents").orderBy(F.desc("n_chars"), "doc_id").limit(1).select("source", "n_chars"),
+        "top_reasons": lambda t: validation.top(t("events"), "event_type", 5),
+        "site_ranges": lambda t: validation.ranges(t("events"), ["user_id"], "value", F.col("event_type") == "error"),
+        "size_classes": lambda t: validation.counts(t("documents"), _size_class(F.col("n_chars")), "size_class"),
+        "auto_flags": lambda t: t("documents").select("doc_id", F.replace(validation.flag(F.col("n_chars"), F.lit(1.0), F.col("lang") == "en", 100, 20000, 0.5), F.lit("no_debris_seed"), F.lit("low_score")).alias("flag")),
+        "config_grid": lambda t: splits.grid(t("nation").select("n_name"), t("region").select("r_name")),
+        "entry_partition": _entries,
+        "default_weight": lambda t: splits.weighted(t("documents").select("doc_id"), t("labels"), "doc_id", "quality"),
+        "resume_anti": lambda t: splits.without_ids(t("documents").select("doc_id"), t("pages").select((F.col("page_id") * 3).alias("doc_id")), ["doc_id"]),
+        "cost_accuracy_full": lambda t: splits.cost_with_accuracy(t("labels"), t("pages").withColumnRenamed("page_id", "doc_id"), "doc_id").select("doc_id", "quality", F.col("url").isNotNull().alias("has_page")),
+        "latency_nearest_rank": lambda t: ranks.nearest_ranks(t("lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": ranks.upper_middle, "p90": ranks.at_share(0.9)}),
+        "upper_median": lambda t: ranks.nearest_ranks(t("events"), ["user_id"], "value", {"med": ranks.upper_middle}).select("user_id", "med"),
+        "paint_priority": lambda t: frames.painted(t("lineitem"), ["l_orderkey"], "l_returnflag", ["l_quantity", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag"]),
+        "polygon_area_validity": lambda t: _points(t).select("vec_id", F.round(masks.polygon_area(F.col("polygon")), 6).alias("area")).withColumn("valid", F.col("area") >= 1e-4),
+        "mask_overlay": _overlay,
+        "lut_gather": lambda t: _classes(t).select("vec_id", F.aggregate(frames.mapped(F.col("px"), frames.composed([0, 1, 2], [0, 5, 9])), F.lit(0), lambda a, x: a + x).alias("total")),
+        "argmax_class": lambda t: t("embeddings").select("vec_id", frames.arg_max(F.col("embedding")).alias("cls")),
+        "group_key_regex": _group_key,
+        "group_members": _group_members,
+        "json_path": lambda t: t("events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")),
+        "greedy_split": lambda t: states.greedy_split(t("documents").groupBy("lang", "source").count().withColumnRenamed("count", "n"), "lang", "source", "n"),
+    }.items()
+}
+ORACLES = {k: duck(v.replace("strpos_(url, '/')", "instr(url, '/')")) for k, v in SQL.items()} | {k: duck(v) if k == "iou_mean" else v for k, v in DUCK.items()}

@@ -1,11 +1,16 @@
-"""Queries on measurements, device records and label texts.
-
-As in ``datasets``: plain SQL that both dialects read, or a Spark text with the DuckDB text beside it. Null stays null.
-"""
+"""Queries on measurements, device records and label texts: the library's operators on the test tables, as in ``datasets``."""
 
 from __future__ import annotations
 
-from .datasets import _duck, _spark
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry, hydraulics, labels
+from ..functions.labels import DAYS, MONTHS
+from ..operators import evaluation, frames, masks, ranks, splits, timeseries as ts, validation
+from ..sources import sinks
+from ..sources.tables import epoch_us
+from .datasets import duck, on
 
 _SPLIT = "SELECT lang, doc_id, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 8 THEN 'val' ELSE 'test' END AS split FROM {documents}"
 _STEPS = "SELECT p_size, p_retailprice, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS rn FROM {part}"
@@ -13,8 +18,8 @@ _EPOCHS = "SELECT o_custkey, o_orderkey, o_totalprice AS score, row_number() OVE
 _BAD = f"SELECT o_custkey, epoch, score, sum(CASE WHEN best IS NULL OR score > best THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY epoch) AS since FROM ({_EPOCHS}) e"
 _HOURS = "SELECT event_id, (event_id % 4000) / cast(100 AS double) - 2 AS hours FROM {events}"
 
-#: Both dialects.
-SAME = {
+#: What each query gives, in SQL.
+SQL = {
     # order of the record's columns is fixed; what the source lacks is null
     "fixed_columns": "SELECT event_id AS seq, user_id AS site, concat(replace(substring(cast(ts AS string), 1, 19), ' ', 'T'), 'Z') AS ts_utc, CASE WHEN event_type <> 'error' THEN value END AS measured, cast(NULL AS double) AS head_m FROM {events}",
     "csv_record": "SELECT event_id, concat_ws(',', cast(event_id AS string), cast(user_id AS string), CASE WHEN event_type = 'error' THEN '' ELSE event_type END, '') AS line FROM {events}",
@@ -40,66 +45,209 @@ SAME = {
     "reconnect_delay": "SELECT n_nationkey, least(cast(30 AS double), power(cast(2 AS double), least(greatest(n_nationkey, 1) - 1, 32))) AS delay_s FROM {nation}",
     "alert_reason": "SELECT l_orderkey, l_linenumber, l_partkey, concat_ws('; ', CASE WHEN l_discount >= 0.05 THEN concat('area ', printf('%.2f', l_discount), ' >= 0.05') END, CASE WHEN l_tax >= 0.04 THEN concat('growth ', printf('%.3f', l_tax), '/min >= 0.04') END) AS reason FROM {lineitem}",
     "until_label": f"SELECT event_id, CASE WHEN hours <= 0 THEN 'sedang berlangsung' WHEN hours < 1 THEN concat(cast(cast(greatest(1, floor(hours * 60 + 0.5)) AS bigint) AS string), ' menit lagi') ELSE concat(cast(cast(floor(hours + 0.5) AS bigint) AS string), ' jam lagi') END AS label FROM ({_HOURS}) h",
+    "hydraulics_summary": "SELECT event_id, bf, bf >= cast(0.85 AS double) AS beyond_model, CASE WHEN bf < cast(0.85 AS double) THEN round(cast(1.2 AS double) / ((1 - bf) * (1 - bf)), 6) END AS head_m, CASE WHEN bf < cast(0.85 AS double) THEN round(cast(2 AS double) - cast(1.2 AS double) / ((1 - bf) * (1 - bf)), 6) END AS margin_m FROM (SELECT event_id, least(cast(1 AS double), value / 600) AS bf FROM {events} WHERE value IS NOT NULL) e",
+    "share_findings": "SELECT lang AS scope, 'error' AS level FROM (SELECT lang, avg(CASE WHEN n_chars > 30000 THEN cast(1 AS double) ELSE cast(0 AS double) END) AS debris FROM {documents} GROUP BY lang) s WHERE debris < cast(0.00001 AS double)",
+    "failure_kinds": "SELECT event_type AS kind, count(*) AS n FROM {events} WHERE event_type <> 'view' GROUP BY event_type",
+    "until_time": "SELECT event_id, CASE WHEN s <= 0 THEN 'sedang berlangsung' WHEN s < 3600 THEN concat('dalam ', cast(cast(greatest(1, floor(s / cast(60 AS double) + 0.5)) AS bigint) AS string), ' menit') WHEN floor(s / cast(3600 AS double) + 0.5) < 24 THEN concat('dalam ', cast(cast(floor(s / cast(3600 AS double) + 0.5) AS bigint) AS string), ' jam') ELSE concat('dalam ', cast(cast(floor(floor(s / cast(3600 AS double) + 0.5) / 24 + 0.5) AS bigint) AS string), ' hari') END AS label FROM (SELECT event_id, (event_id % 4000) * 90 - 300 AS s FROM {events}) e",
     "forecast_horizon": f"SELECT event_id, hours FROM ({_HOURS}) h WHERE hours BETWEEN -3 AND 24",
 }
 
-#: Indonesian names of the days from Sunday on, and of the months.
-DAYS = "Minggu Senin Selasa Rabu Kamis Jumat Sabtu".split()
-MONTHS = "Januari Februari Maret April Mei Juni Juli Agustus September Oktober November Desember".split()
 _list = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _Q = (0.05, 0.25, 0.5, 0.75, 0.95)
 
-#: (Spark SQL, DuckDB SQL).
-PAIRS = {
-    "motion_vectors": (
-        "SELECT label, count(*) AS n FROM {embeddings} WHERE sqrt(pow(cast(embedding[0] AS double), 2) + pow(cast(embedding[1] AS double), 2)) > 0.1D AND embedding[2] > 0 GROUP BY label",
-        "SELECT label, count(*) AS n FROM embeddings WHERE sqrt(pow(embedding[1]::DOUBLE, 2) + pow(embedding[2]::DOUBLE, 2)) > 0.1::DOUBLE AND embedding[3] > 0 GROUP BY label",
-    ),
-    "ultrasonic_gate": (
-        "SELECT user_id, CASE WHEN n = 0 THEN 'timeout' WHEN d < 20 THEN 'too_close' WHEN d > 120 THEN 'out_of_range' ELSE 'ok' END AS state, CASE WHEN n > 0 AND d BETWEEN 20 AND 120 THEN greatest(0D, 100 - d) END AS height FROM (SELECT user_id, n, CASE WHEN n > 0 THEN element_at(s, cast(n div 2 AS int) + 1) END AS d FROM (SELECT user_id, count(v) AS n, array_sort(collect_list(v)) AS s FROM (SELECT user_id, CASE WHEN event_type <> 'error' THEN value END AS v FROM {events}) e GROUP BY user_id) a) b",
-        "SELECT user_id, CASE WHEN n = 0 THEN 'timeout' WHEN d < 20 THEN 'too_close' WHEN d > 120 THEN 'out_of_range' ELSE 'ok' END AS state, CASE WHEN n > 0 AND d BETWEEN 20 AND 120 THEN greatest(0::DOUBLE, 100 - d) END AS height FROM (SELECT user_id, count(v) AS n, list_sort(list(v) FILTER (v IS NOT NULL))[count(v) // 2 + 1] AS d FROM (SELECT user_id, CASE WHEN event_type <> 'error' THEN value END AS v FROM events) e GROUP BY user_id) b",
-    ),
-    "latency_quantiles": (
-        "SELECT l_linestatus, n, s[0] AS least, s[least(n - 1, cast(floor(0.5D * n) AS int))] AS p50, s[least(n - 1, cast(floor(0.95D * n) AS int))] AS p95, s[n - 1] AS most FROM (SELECT l_linestatus, cast(count(*) AS int) AS n, array_sort(collect_list(l_quantity)) AS s FROM {lineitem} GROUP BY l_linestatus) a",
-        "SELECT l_linestatus, n, s[1] AS least, s[least(n - 1, floor(0.5::DOUBLE * n)::INT) + 1] AS p50, s[least(n - 1, floor(0.95::DOUBLE * n)::INT) + 1] AS p95, s[n] AS most FROM (SELECT l_linestatus, count(*)::INT AS n, list_sort(list(l_quantity)) AS s FROM lineitem GROUP BY l_linestatus) a",
-    ),
-    "area_percentiles": (
-        "SELECT lang, " + ", ".join(f"round(percentile(n_chars, {q}), 6) AS p{round(100 * q)}" for q in _Q) + " FROM {documents} GROUP BY lang",
-        "SELECT lang, " + ", ".join(f"round(quantile_cont(n_chars, {q}), 6) AS p{round(100 * q)}" for q in _Q) + " FROM documents GROUP BY lang",
-    ),
-    "frame_intervals": (
-        "SELECT event_id, greatest(1e-6D, coalesce(timestampdiff(MICROSECOND, lag(ts) OVER w, ts) / 1e6D, 0.1D)) AS dt_s FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
-        "SELECT event_id, greatest(1e-6::DOUBLE, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6::DOUBLE, 0.1::DOUBLE)) AS dt_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
-    ),
-    "polling_gaps": (
-        "SELECT user_id, sum(CASE WHEN gap < 0 THEN 1 ELSE 0 END) AS backward, max(gap) AS longest FROM (SELECT user_id, timestampdiff(MICROSECOND, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id), ts) AS gap FROM {events}) g GROUP BY user_id",
-        "SELECT user_id, sum(CASE WHEN gap < 0 THEN 1 ELSE 0 END) AS backward, max(gap) AS longest FROM (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events) g GROUP BY user_id",
-    ),
-    "stale_sources": (
-        "SELECT user_id, timestampdiff(MICROSECOND, max(ts), TIMESTAMP_NTZ'2024-02-01 00:00:00') / 6e7D > 20 AS stale FROM {events} GROUP BY user_id",
-        "SELECT user_id, (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(max(ts))) / 6e7::DOUBLE > 20 AS stale FROM events GROUP BY user_id",
-    ),
-    "date_label": (
-        f"SELECT o_orderkey, concat(element_at(array({_list(DAYS)}), dayofweek(o_orderdate)), ', ', cast(day(o_orderdate) AS string), ' ', element_at(array({_list(MONTHS)}), month(o_orderdate)), ' ', cast(year(o_orderdate) AS string)) AS label FROM {{orders}}",
-        f"SELECT o_orderkey, concat([{_list(DAYS)}][dayofweek(o_orderdate) + 1], ', ', day(o_orderdate)::VARCHAR, ' ', [{_list(MONTHS)}][month(o_orderdate)], ' ', year(o_orderdate)::VARCHAR) AS label FROM orders",
-    ),
-    "run_length_mask": (
-        "SELECT doc_id, aggregate(m, 0, (a, x) -> a + x) AS area, size(m) AS px FROM (SELECT doc_id, flatten(transform(array(doc_id % 7, doc_id % 5, doc_id % 3, doc_id % 2), (c, i) -> array_repeat(i % 2, cast(c AS int)))) AS m FROM {documents}) r",
-        "SELECT doc_id, coalesce(list_sum(m), 0)::BIGINT AS area, len(m) AS px FROM (SELECT doc_id, list_concat(list_resize([]::INT[], doc_id % 7, 0), list_resize([]::INT[], doc_id % 5, 1), list_resize([]::INT[], doc_id % 3, 0), list_resize([]::INT[], doc_id % 2, 1)) AS m FROM documents) r",
-    ),
-    "live_sources": (
-        "SELECT page_id, url RLIKE '^[0-9]+$' OR instr(url, '://') > 0 AS live FROM {pages}",
-        "SELECT page_id, regexp_matches(url, '^[0-9]+$') OR instr(url, '://') > 0 AS live FROM pages",
-    ),
-    "colour_keys": (
-        "SELECT p_partkey, cast(split(k, ',')[0] AS int) * 65536 + cast(split(k, ',')[1] AS int) * 256 + cast(split(k, ',')[2] AS int) AS rgb FROM (SELECT p_partkey, concat_ws(',', cast(p_partkey % 256 AS string), cast(p_size AS string), '7') AS k FROM {part}) c",
-        "SELECT p_partkey, split(k, ',')[1]::INT * 65536 + split(k, ',')[2]::INT * 256 + split(k, ',')[3]::INT AS rgb FROM (SELECT p_partkey, concat_ws(',', (p_partkey % 256)::VARCHAR, p_size::VARCHAR, '7') AS k FROM part) c",
-    ),
-    "notifications": (
-        "SELECT doc_id, array_join(filter(array(CASE WHEN toxic = 1 THEN 'blocked' END, CASE WHEN quality = 0 THEN 'watch' END, CASE WHEN doc_id % 4 = 0 THEN 'stale' END), x -> x IS NOT NULL), ',') AS notes FROM {labels}",
-        "SELECT doc_id, array_to_string(list_filter([CASE WHEN toxic = 1 THEN 'blocked' END, CASE WHEN quality = 0 THEN 'watch' END, CASE WHEN doc_id % 4 = 0 THEN 'stale' END], lambda x: x IS NOT NULL), ',') AS notes FROM labels",
-    ),
+#: As above, in DuckDB only.
+DUCK = {
+    "frame_metrics": "SELECT vec_id, d AS debris_px, w AS water_px, a AS accumulation_px, CASE WHEN d + w > 0 THEN d / (d + w)::DOUBLE END AS coverage, a / 12::DOUBLE AS accumulation_frac FROM (SELECT vec_id, len(list_filter(m, lambda x, i: x > 0.1 AND i % 3 <> 0)) AS d, len(list_filter(m, lambda x, i: x > 0 AND x <= 0.1 AND i % 3 <> 0)) AS w, len(list_filter(m, lambda x, i: x > 0.1 AND i % 3 <> 0 AND i <= 18)) AS a FROM (SELECT vec_id, embedding AS m FROM embeddings) e) f",
+    "velocity_median": "SELECT event_id, round_even(CASE WHEN nn > 0 THEN median(v) OVER (PARTITION BY user_id ORDER BY nn RANGE BETWEEN 14 PRECEDING AND CURRENT ROW) END, 3) AS velocity_px_s FROM (SELECT *, count(v) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nn FROM (SELECT event_id, user_id, ts, CASE WHEN event_type <> 'error' THEN value END AS v FROM events) e) f",
+    "latest_pair": "SELECT (SELECT max({'t': ts, 'id': event_id}).id FROM events WHERE event_type = 'click') AS sensor, (SELECT max({'t': ts, 'id': event_id}).id FROM events WHERE event_type = 'view') AS camera",
+    "motion_vectors": "SELECT label, count(*) AS n FROM embeddings WHERE sqrt(pow(embedding[1]::DOUBLE, 2) + pow(embedding[2]::DOUBLE, 2)) > 0.1::DOUBLE AND embedding[3] > 0 GROUP BY label",
+    "ultrasonic_gate": "SELECT user_id, CASE WHEN n = 0 THEN 'timeout' WHEN d < 20 THEN 'too_close' WHEN d > 120 THEN 'out_of_range' ELSE 'ok' END AS state, CASE WHEN n > 0 AND d BETWEEN 20 AND 120 THEN greatest(0::DOUBLE, 100 - d) END AS height FROM (SELECT user_id, count(v) AS n, list_sort(list(v) FILTER (v IS NOT NULL))[count(v) // 2 + 1] AS d FROM (SELECT user_id, CASE WHEN event_type <> 'error' THEN value END AS v FROM events) e GROUP BY user_id) b",
+    "latency_quantiles": "SELECT l_linestatus, n, s[1] AS least, s[least(n - 1, floor(0.5::DOUBLE * n)::INT) + 1] AS p50, s[least(n - 1, floor(0.95::DOUBLE * n)::INT) + 1] AS p95, s[n] AS most FROM (SELECT l_linestatus, count(*)::INT AS n, list_sort(list(l_quantity)) AS s FROM lineitem GROUP BY l_linestatus) a",
+    "area_percentiles": "SELECT lang, " + ", ".join(f"round(quantile_cont(n_chars, {q}), 6) AS p{round(100 * q)}" for q in _Q) + " FROM documents GROUP BY lang",
+    "frame_intervals": "SELECT event_id, greatest(1e-6::DOUBLE, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6::DOUBLE, 0.1::DOUBLE)) AS dt_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+    "polling_gaps": "SELECT user_id, sum(CASE WHEN gap < 0 THEN 1 ELSE 0 END) AS backward, max(gap) AS longest FROM (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events) g GROUP BY user_id",
+    "stale_sources": "SELECT user_id, (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(max(ts))) / 6e7::DOUBLE > 20 AS stale FROM events GROUP BY user_id",
+    "date_label": f"SELECT o_orderkey, concat([{_list(DAYS)}][dayofweek(o_orderdate) + 1], ', ', day(o_orderdate)::VARCHAR, ' ', [{_list(MONTHS)}][month(o_orderdate)], ' ', year(o_orderdate)::VARCHAR) AS label FROM orders",
+    "run_length_mask": "SELECT doc_id, coalesce(list_sum(m), 0)::BIGINT AS area, len(m) AS px FROM (SELECT doc_id, list_concat(list_resize([]::INT[], doc_id % 7, 0), list_resize([]::INT[], doc_id % 5, 1), list_resize([]::INT[], doc_id % 3, 0), list_resize([]::INT[], doc_id % 2, 1)) AS m FROM documents) r",
+    "live_sources": "SELECT page_id, regexp_matches(url, '^[0-9]+$') OR instr(url, '://') > 0 AS live FROM pages",
+    "colour_keys": "SELECT p_partkey, split(k, ',')[1]::INT * 65536 + split(k, ',')[2]::INT * 256 + split(k, ',')[3]::INT AS rgb FROM (SELECT p_partkey, concat_ws(',', (p_partkey % 256)::VARCHAR, p_size::VARCHAR, '7') AS k FROM part) c",
+    "notifications": "SELECT doc_id, array_to_string(list_filter([CASE WHEN toxic = 1 THEN 'blocked' END, CASE WHEN quality = 0 THEN 'watch' END, CASE WHEN doc_id % 4 = 0 THEN 'stale' END], lambda x: x IS NOT NULL), ',') AS notes FROM labels",
 }
 
-QUERIES = {k: _spark(v) for k, v in SAME.items()} | {k: _spark(v[0]) for k, v in PAIRS.items()}
-ORACLES = {k: _duck(v) for k, v in SAME.items()} | {k: v[1] for k, v in PAIRS.items()}
+
+
+def _values(t):
+    """Events with ``v``, the value that was measured; errors measure none."""
+    return t("events").withColumn("v", F.when(F.col("event_type") != "error", F.col("value")))
+
+
+def _cents(c="value"):
+    return F.round(F.col(c) * 100).cast("bigint")
+
+
+def _fixed_columns(t):
+    rows = _values(t).select(F.col("event_id").alias("seq"), F.col("user_id").alias("site"), (epoch_us() / 1000000).alias("ts_epoch"), F.col("v").alias("measured"))
+    return sinks.fixed_columns(rows, ("seq", "site", "ts_utc", "measured", "head_m"), {"head_m": "double", "ts_utc": "string"})
+
+
+def _resolved(t):
+    base = F.substring("n_name", 1, 1)
+    files = t("nation").select(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lit("/"), "n_name")).alias("path"), base.alias("base"), F.col("n_nationkey").alias("k"))
+    made = splits.resolved(t("nation").select("n_nationkey", F.col("n_name").alias("path"), base.alias("base")), files.select("path", "base"), "path", "base", strict=False)
+    return made.join(files.select(F.col("path").alias("resolved"), "k"), "resolved", "left").select("n_nationkey", F.col("k").alias("resolved"))
+
+
+def _split_deviation(t):
+    part = F.col("doc_id") % 10
+    rows = t("documents").select("lang", F.when(part < 7, "train").when(part < 8, "val").otherwise("test").alias("split"))
+    return splits.split_deviation(rows, "lang", {"train": 0.7, "val": 0.15, "test": 0.15}).where("NOT empty").drop("empty")
+
+
+def _exposures(t):
+    return frames.exposure_choice(t("part"), "p_size", ["p_partkey"], "p_retailprice", 1000.0)
+
+
+def _rates(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_quantity", "l_tax", "l_returnflag")
+
+
+def _area_flux(t):
+    f = hydraulics.area_flux(F.col("l_discount"), F.nullif(F.col("l_tax"), F.lit(0.0)), F.col("l_quantity"), F.col("l_returnflag") == "N")
+    # the text rounds halves up, and without a velocity counts it as none
+    flux = F.round(F.col("l_discount") * F.col("l_quantity") * F.col("l_tax"), 6)
+    return _rates(t).withColumn("f", f).select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(flux, "f.flux").alias("flux"), "f.units")
+
+
+def _soft_dice(t):
+    made = evaluation.soft_dice(t("lineitem"), ["l_returnflag"], F.col("l_discount"), F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0))
+    return made.select("l_returnflag", F.round("loss", 9).alias("loss"))
+
+
+def _hours(t):
+    return t("events").select("event_id", ((F.col("event_id") % 4000) / F.lit(100.0) - 2).alias("hours"))
+
+
+def _motion(t):
+    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    rows = t("embeddings").select("label", e(0).alias("u"), e(1).alias("v"), F.get("embedding", F.lit(2)).alias("w"))
+    return frames.moving(rows, "u", "v", F.col("w") > 0, 0.1).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _latency(t):
+    picks = {"least": ranks.first, "p50": ranks.at_share(0.5), "p95": ranks.at_share(0.95), "most": ranks.last}
+    return ranks.nearest_ranks(t("lineitem"), ["l_linestatus"], "l_quantity", picks)
+
+
+def _percentiles(t):
+    return t("documents").groupBy("lang").agg(*[F.round(F.percentile("n_chars", F.lit(q)), 6).alias(f"p{round(100 * q)}") for q in _Q])
+
+
+def _intervals(t):
+    return frames.intervals(t("events").withColumn("s", epoch_us()), "user_id", ["ts", "event_id"], F.col("s"), 0.1).select("event_id", "dt_s")
+
+
+def _run_lengths(t):
+    counts = F.array(*[F.col("doc_id") % k for k in (7, 5, 3, 2)])
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    px = F.coalesce(masks.run_mask(counts, F.lit(1), total.cast("int")), F.array().cast("array<int>"))
+    return t("documents").select("doc_id", F.aggregate(px, F.lit(0), lambda a, x: a + x).alias("area"), F.size(px).alias("px"))
+
+
+def _stale(t):
+    now = F.lit(1706745600 * 1000000)
+    last = t("events").groupBy("user_id").agg(F.max(epoch_us()).alias("at"))
+    return last.select("user_id", labels.stale((now - F.col("at")) / F.lit(1e6)).alias("stale"))
+
+
+def _gaps(t):
+    return validation.polling_gaps(t("events").withColumn("at", epoch_us()), "user_id", "event_id", F.col("at"))
+
+
+def _notes(t):
+    rules = {"blocked": F.col("toxic") == 1, "watch": F.col("quality") == 0, "stale": F.col("doc_id") % 4 == 0}
+    return t("labels").select("doc_id", F.array_join(labels.notifications(rules), ",").alias("notes"))
+
+
+def _early(t):
+    return evaluation.early_stop(t("orders"), ["o_custkey"], "o_orderkey", "o_totalprice", 3)
+
+
+def _summary(t):
+    gate = hydraulics.gate_summary(F.col("value") / 600, 1.2, 2.0, 1.5, 0.8)
+    made = t("events").where("value IS NOT NULL").select("event_id", gate.alias("g"))
+    return made.select("event_id", "g.bf", "g.beyond_model", F.round("g.head_m", 6).alias("head_m"), F.round("g.margin_m", 6).alias("margin_m"))
+
+
+def _shares(t):
+    shares = t("documents").groupBy("lang").agg(F.avg((F.col("n_chars") > 30000).cast("double")).alias("debris"), F.lit(1.0).alias("water"), F.lit("none").alias("water_source"))
+    return validation.share_findings(shares, "lang").select("scope", "level")
+
+
+def _frame_metrics(t):
+    region = lambda keep: F.transform(F.col("embedding"), lambda _, i: keep(i + 1))
+    px = frames.classified(F.col("embedding"), [(0.1, frames.DEBRIS), (0.0, frames.WATER)], frames.BACKGROUND)
+    rows = t("embeddings").select("vec_id", px.alias("px"), region(lambda i: i % 3 != 0).alias("roi"), region(lambda i: i <= 18).alias("structure"))
+    return frames.frame_metrics(rows, "px", "roi", "structure").select("vec_id", "debris_px", "water_px", "accumulation_px", "coverage", "accumulation_frac")
+
+
+def _velocity(t):
+    rows = _values(t).withColumns({"n": F.when(F.col("v").isNotNull(), 5).otherwise(0), "dt": F.lit(0.1)})
+    return frames.velocities(rows, "user_id", ["ts", "event_id"], "v", "n", "dt").select("event_id", "velocity_px_s")
+
+
+def _latest_pair(t):
+    kind = lambda k: t("events").where(F.col("event_type") == k).select("ts", "event_id")
+    made = ts.latest_pair(kind("click"), kind("view"), ["ts", "event_id"], ["ts", "event_id"])
+    return made.select(F.col("left.event_id").alias("sensor"), F.col("right.event_id").alias("camera"))
+
+
+QUERIES = {
+    k: on(v)
+    for k, v in {
+        "fixed_columns": _fixed_columns,
+        "csv_record": lambda t: t("events").select("event_id", labels.csv_record([F.col("event_id"), F.col("user_id"), F.when(F.col("event_type") != "error", F.col("event_type")), F.lit(None)]).alias("line")),
+        "path_fallback": _resolved,
+        "candidate_priority": lambda t: splits.preferred(t("orders"), ["o_custkey"], ["o_orderpriority", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderpriority"),
+        "checkpoint_status": lambda t: splits.status(t("pages").select("page_id"), t("labels").select(F.col("doc_id").alias("page_id")), "page_id", F.col("page_id") % 5 == 0),
+        "video_summary": lambda t: evaluation.video_summary(_values(t), ["user_id"], "v").withColumn("mean", F.round("mean", 6)),
+        "exposure_sweep": _exposures,
+        "split_deviation": _split_deviation,
+        "instance_union": lambda t: frames.union_area(t("lineitem"), ["l_orderkey"], "l_partkey"),
+        "totals_by_kind": lambda t: validation.totals_by_kind(t("events").select(F.col("event_type").alias("kind"), (F.col("user_id") % 5).alias("source"), _cents().alias("cents")), ["kind", "source"], F.col("cents")),
+        "trapezoid_volume": lambda t: evaluation.volume(t("lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_quantity"], "l_quantity", "l_linenumber").withColumn("volume", F.round("volume", 4)),
+        "soft_dice": _soft_dice,
+        "early_stopping": _early,
+        "hour_median": lambda t: t("events").groupBy("user_id", F.substring(F.col("ts").cast("string"), 1, 13).alias("hour")).agg(F.median("value").alias("med")),
+        "vocabulary_slots": lambda t: splits.slots(t("part"), "p_brand"),
+        "key_uniqueness": lambda t: splits.is_unique(t("events"), unique_ids="event_id", unique_sites="user_id"),
+        "area_flux": _area_flux,
+        "degenerate_boxes": lambda t: t("lineitem").where(geometry.kept_box(F.lit(10), F.lit(10000), F.col("l_quantity"), F.col("l_extendedprice"))).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("kept")),
+        "clipping": lambda t: frames.clipped(t("part"), ["p_brand"], ["p_size"], 45, 0.02),
+        "one_of_two": lambda t: t("pages").join(t("documents").select(F.col("doc_id").alias("page_id"), "text"), "page_id", "left").select("page_id", (~validation.one_of(F.col("url"), F.col("text"))).alias("broken")),
+        "sample_ids": lambda t: t("pages").select("page_id", geometry.sample_id(F.col("url")).alias("sample_id")).withColumn("ambiguous", F.count(F.lit(1)).over(Window.partitionBy("sample_id")) > 1),
+        "reconnect_delay": lambda t: t("nation").select("n_nationkey", labels.reconnect_delay(F.col("n_nationkey")).alias("delay_s")),
+        "alert_reason": lambda t: _rates(t).select("l_orderkey", "l_linenumber", "l_partkey", labels.alert_reason(F.col("l_discount"), F.col("l_tax"), 0.05, 0.04).alias("reason")),
+        "until_label": lambda t: _hours(t).select("event_id", labels.due_label(F.col("hours")).alias("label")),
+        "until_time": lambda t: t("events").select("event_id", labels.until_label((F.col("event_id") % 4000) * 90 - 300).alias("label")),
+        "forecast_horizon": lambda t: _hours(t).where(F.col("hours").between(-3, 24)),
+        "hydraulics_summary": _summary,
+        "share_findings": _shares,
+        "failure_kinds": lambda t: validation.failures(t("events").select(F.when(F.col("event_type") != "view", F.concat("event_type", F.lit(": "), F.col("event_id").cast("string"))).alias("error")), "error"),
+        "motion_vectors": _motion,
+        "ultrasonic_gate": lambda t: validation.echo_state(_values(t), "user_id", "v", 20, 100, 20),
+        "latency_quantiles": _latency,
+        "area_percentiles": _percentiles,
+        "frame_intervals": _intervals,
+        "polling_gaps": _gaps,
+        "stale_sources": _stale,
+        "date_label": lambda t: t("orders").select("o_orderkey", labels.date_label(F.col("o_orderdate")).alias("label")),
+        "run_length_mask": _run_lengths,
+        "live_sources": lambda t: t("pages").select("page_id", labels.live_source(F.col("url")).alias("live")),
+        "colour_keys": lambda t: t("part").select("p_partkey", geometry.colour(F.concat_ws(",", (F.col("p_partkey") % 256).cast("string"), F.col("p_size").cast("string"), F.lit("7"))).alias("rgb")),
+        "notifications": _notes,
+        "frame_metrics": _frame_metrics,
+        "velocity_median": _velocity,
+        "latest_pair": _latest_pair,
+    }.items()
+}
+ORACLES = {k: duck(v) for k, v in SQL.items()} | DUCK

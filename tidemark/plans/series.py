@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hydraulics import afflux_ratio, blockage_factor, coverage_label, critical_bf, discharge, relative_label
-from ..operators import states, timeseries as ts
+from ..functions.hydraulics import afflux_ratio, blockage_factor, critical_bf, discharge, relative_label
+from ..functions.labels import coverage_label
+from ..operators import evaluation, states, timeseries as ts
 from ..sources import sensor_csv
 from ..sources.tables import OBSERVATIONS_SQL, epoch_us, observations, table
 
 #: Fixed "now" of the label queries: 2024-02-01T00:00:00Z, in seconds.
 NOW_S = 1706745600
-WINDOW_S, TRIGGER, K = 3 * 86400, 0.2, 2
+WINDOW_S, TRIGGER, GROWN, K = 3 * 86400, 0.2, 0.0005, 2
 O = OBSERVATIONS_SQL  # noqa: E741
 
 
@@ -33,7 +34,7 @@ GROWTH = (
     THEN (frac - CASE WHEN n >= 2 THEN f1 ELSE f0 END) / ((ts_s - CASE WHEN n >= 2 THEN t1 ELSE t0 END) / 60.0::DOUBLE) END AS growth_per_min
   FROM anchored
 ), runs AS (
-  SELECT *, CAST(coalesce(frac >= {TRIGGER}, false) AS INT) AS hit, sum(1 - CAST(coalesce(frac >= {TRIGGER}, false) AS INT)) OVER (PARTITION BY site ORDER BY ts_s) AS run FROM grown
+  SELECT *, CAST(coalesce(frac >= {TRIGGER} OR growth_per_min >= {GROWN}::DOUBLE, false) AS INT) AS hit, sum(1 - CAST(coalesce(frac >= {TRIGGER} OR growth_per_min >= {GROWN}::DOUBLE, false) AS INT)) OVER (PARTITION BY site ORDER BY ts_s) AS run FROM grown
 ), streaks AS (
   SELECT site, seq, ts_s, frac, growth_per_min, (sum(hit) OVER (PARTITION BY site, run ORDER BY ts_s))::BIGINT AS streak FROM runs
 ), alerts AS (
@@ -47,12 +48,7 @@ def grown(spark, sf_dir):
 
 
 def alerts(spark, sf_dir):
-    from pyspark.sql import Window
-
-    out = ts.streak(grown(spark, sf_dir), "site", ["ts_s"], F.col("frac") >= TRIGGER)
-    so_far = Window.partitionBy("site").orderBy("ts_s").rowsBetween(Window.unboundedPreceding, 0)
-    alert = F.col("streak") >= K
-    return out.withColumns({"alert": alert, "latched": F.bool_or(alert).over(so_far), "onset": F.col("streak") == K})
+    return ts.alerts(grown(spark, sf_dir), "site", ["ts_s"], "frac", "growth_per_min", TRIGGER, GROWN, K)
 
 
 def operator_verdict(spark, sf_dir):
@@ -70,14 +66,14 @@ def growth_anchor(spark, sf_dir):
 
 def rolling(how):
     def run(spark, sf_dir):
-        return ts.rolling_nonnull(observations(spark, sf_dir), "site", ["ts_s", "seq"], "frac", 5, "smoothed", how).select("site", "seq", F.round("smoothed", 6).alias("smoothed"))
+        return ts.rolling_nonnull(observations(spark, sf_dir), "site", ["ts_s", "seq"], "frac", 5, "smoothed", how).select("site", "seq", F.bround("smoothed", 6).alias("smoothed"))
 
     return run
 
 
 def rolling_sql(how):
     return f"""WITH {O}, n AS (SELECT *, count(frac) OVER (PARTITION BY site ORDER BY ts_s, seq ROWS UNBOUNDED PRECEDING) AS nn FROM obs)
-SELECT site, seq, round(CASE WHEN nn > 0 THEN {how}(frac) OVER (PARTITION BY site ORDER BY nn RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) END, 6) AS smoothed FROM n"""
+SELECT site, seq, round_even(CASE WHEN nn > 0 THEN {how}(frac) OVER (PARTITION BY site ORDER BY nn RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) END, 6) AS smoothed FROM n"""
 
 
 def locf_age(spark, sf_dir):
@@ -87,11 +83,7 @@ def locf_age(spark, sf_dir):
 
 
 def segment_reset(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("site").orderBy("ts_s", "seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    seg = observations(spark, sf_dir).withColumn("segment", F.sum(F.when(F.col("event_type") == "signup", 1).otherwise(0)).over(upto))
+    seg = ts.segments(observations(spark, sf_dir), "site", ["ts_s", "seq"], F.col("event_type") == "signup")
     return seg.groupBy("site", "segment").agg(F.count(F.lit(1)).alias("n"), F.count("frac").alias("n_measured"), F.max("frac").alias("max_frac"))
 
 
@@ -99,7 +91,7 @@ def asof_nearest(spark, sf_dir):
     obs = observations(spark, sf_dir)
     left = obs.where("event_type = 'signup'").select(F.col("seq").alias("left_seq"), F.col("ts_s").alias("left_ts"))
     right = obs.where("event_type = 'click'").select(F.col("seq").alias("right_seq"), F.col("ts_s").alias("right_ts"), F.col("frac").alias("right_frac"))
-    return ts.nearest(left, right, "left_seq", "left_ts", "right_ts", "right_seq", 600)
+    return ts.nearest(left, right, "left_ts", "right_ts", "right_seq", 600)
 
 
 def latest_per_device(spark, sf_dir):
@@ -134,11 +126,8 @@ def sensor_csv_parse(spark, sf_dir):
 
 
 def rain_rate(spark, sf_dir):
-    from pyspark.sql import Window
-
     minutes = table(spark, sf_dir, "events").where("event_type = 'click'").groupBy(F.floor(epoch_us() / 60000000).alias("minute")).agg(F.count(F.lit(1)).alias("tips"))
-    w = Window.partitionBy(F.floor(F.col("minute") / 1440)).orderBy("minute").rangeBetween(-9, 0)
-    return minutes.withColumn("rate", F.sum("tips").over(w) * 1.8).select("minute", "tips", "rate")
+    return ts.sliding_sum(minutes, "minute", "tips", 10, 1440, "sum").select("minute", "tips", (F.col("sum") * 1.8).alias("rate"))
 
 
 def forecast_summary(spark, sf_dir):
@@ -159,8 +148,8 @@ def relative_time_label(spark, sf_dir):
 
 
 def coverage_labels(spark, sf_dir):
-    permille = F.when(F.col("event_type") != "error", F.floor(F.round(F.col("value") * 100).cast("bigint") / 50))
-    return table(spark, sf_dir, "events").select("event_id", coverage_label(permille).alias("label"))
+    share = F.when(F.col("event_type") != "error", F.round(F.col("value") * 100).cast("bigint") / F.lit(50000.0))
+    return table(spark, sf_dir, "events").select("event_id", coverage_label(share).alias("label"))
 
 
 def hourly(spark, sf_dir):
@@ -169,26 +158,23 @@ def hourly(spark, sf_dir):
 
 
 def lag_correlation(spark, sf_dir):
-    h = hourly(spark, sf_dir)
-    shifted = h.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(6)))).select((F.col("hour") - F.col("lag")).alias("hour"), "lag", F.col("cover").alias("later"))
-    return h.select("hour", "rain").join(shifted, "hour").groupBy("lag").agg(F.round(F.corr("rain", "later"), 6).alias("r"), F.count(F.lit(1)).alias("n"))
+    return evaluation.lag_correlation(hourly(spark, sf_dir), "hour", "rain", "cover", 6).withColumn("r", F.round("r", 6))
 
 
 def rmse_mae(spark, sf_dir):
     from pyspark.sql import Window
 
-    h = hourly(spark, sf_dir).withColumn("day", F.floor(F.col("hour") / 24))
-    d = h.withColumn("d", F.col("cover") - F.lag("cover").over(Window.partitionBy("day").orderBy("hour")))
-    return d.agg(F.round(F.sqrt(F.sum((F.col("d") * F.col("d")).cast("decimal(38,0)")).cast("double") / F.count("d")), 6).alias("rmse"), F.round(F.sum(F.abs("d")) / F.count("d"), 6).alias("mae"))
+    steps = hourly(spark, sf_dir).withColumn("d", F.col("cover") - F.lag("cover").over(Window.orderBy("hour")))  # a row per hour
+    return evaluation.errors(steps, F.col("d")).select(F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"))
 
 
 def level_fsm(spark, sf_dir):
     rows = observations(spark, sf_dir).select("site", "seq", "ts_s", (F.col("frac") * 100).alias("height"), F.lit(0.0).alias("rain"))
-    return states.levels(rows, "site", "ts_s", "height", "rain", enter=(30.0, 60.0), leave=(25.0, 55.0), dwell=86400.0)
+    return states.levels(rows, "site", "ts_s", "height", "rain", enter=(30.0, 60.0), leave=(25.0, 55.0), dwell=86400.0, seq="seq")
 
 
 def throttle_sampler(spark, sf_dir):
-    return states.throttled(observations(spark, sf_dir).select("site", "seq", "ts_s"), "site", "ts_s", 86400.0)
+    return states.throttled(observations(spark, sf_dir).select("site", "seq", "ts_s"), "site", "ts_s", 86400.0, seq="seq")
 
 
 CENTS = "round(value * 100)::BIGINT"
@@ -226,13 +212,13 @@ SELECT left_seq, left_ts, right_seq, right_ts, right_frac FROM l LEFT JOIN r ON
     "sensor_csv_parse": f"""WITH b AS (SELECT *, event_id // 50 AS batch_id, bool_or(event_id % 97 = 0) OVER (PARTITION BY event_id // 50) AS bad FROM events)
 SELECT batch_id, event_id, {SECONDS} AS ts_epoch, {CENTS}::DOUBLE AS jarak_cm, CASE WHEN event_type <> 'error' THEN {CENTS}::DOUBLE END AS tinggi_cm, 1 AS valid, NULL::BIGINT AS tip_total, event_type AS level, NULL::VARCHAR AS sms_status FROM b WHERE NOT bad""",
     "rain_rate_sliding": """WITH m AS (SELECT floor(epoch_us(ts) / 60000000.0)::BIGINT AS minute, count(*) AS tips FROM events WHERE event_type = 'click' GROUP BY 1)
-SELECT minute, tips, sum(tips) OVER (PARTITION BY minute // 1440 ORDER BY minute RANGE BETWEEN 9 PRECEDING AND CURRENT ROW)::DOUBLE * 1.8::DOUBLE AS rate FROM m""",
+SELECT minute, tips, sum(tips) OVER (ORDER BY minute RANGE BETWEEN 9 PRECEDING AND CURRENT ROW)::DOUBLE * 1.8::DOUBLE AS rate FROM m""",
     "forecast_summary": f"""SELECT user_id, sum({CENTS})::BIGINT AS total_cents, min(event_id) FILTER ({CENTS} >= 5000) AS first_rain FROM events
 WHERE event_type <> 'error' AND ({SECONDS} - {NOW_S}) / 3600.0::DOUBLE BETWEEN -240 AND 2400 GROUP BY 1""",
     "afflux_chain": f"""WITH {O}, b AS (SELECT seq, frac * 0.5::DOUBLE + 0.25::DOUBLE AS bf FROM obs)
 SELECT seq, bf, CASE WHEN bf < 0.85::DOUBLE THEN 1 / ((1 - bf) * (1 - bf)) END AS ratio, round(0.61::DOUBLE * 2 * (1 - bf) * sqrt(2 * 9.81::DOUBLE * 0.8::DOUBLE), 6) AS discharge, round(CASE WHEN bf > 0 AND bf < 1.6::DOUBLE THEN 1 - sqrt(bf / 1.6::DOUBLE) END, 6) AS critical FROM b""",
     "relative_time_label": f"SELECT event_id, {LABELS} AS label FROM (SELECT event_id, {NOW_S} - {SECONDS} AS a FROM events)",
-    "coverage_label": f"SELECT event_id, CASE WHEN event_type = 'error' THEN 'tidak terukur' ELSE {CENTS} // 50 // 10 || ',' || ({CENTS} // 50) % 10 || '%' END AS label FROM events",
+    "coverage_label": f"SELECT event_id, CASE WHEN event_type = 'error' THEN 'tidak terukur' ELSE replace(round(c::VARCHAR::DECIMAL(30, 17), 1)::DECIMAL(10, 1)::VARCHAR, '.', ',') || '%' END AS label FROM (SELECT event_id, event_type, {CENTS} / 50000::DOUBLE * 100 AS c FROM events) e",
     "lag_correlation": f"WITH {HOURLY} SELECT lag, round(corr(a.rain, b.cover), 6) AS r, count(*) AS n FROM h a, (SELECT unnest(range(0, 7))::INT AS lag) JOIN h b ON b.hour = a.hour + lag GROUP BY 1",
-    "rmse_mae": f"WITH {HOURLY}, d AS (SELECT cover - lag(cover) OVER (PARTITION BY hour // 24 ORDER BY hour) AS d FROM h) SELECT round(sqrt(sum(d::HUGEINT * d)::DOUBLE / count(d)), 6) AS rmse, round(sum(abs(d))::DOUBLE / count(d), 6) AS mae FROM d",
+    "rmse_mae": f"WITH {HOURLY}, d AS (SELECT cover - lag(cover) OVER (ORDER BY hour) AS d FROM h) SELECT round(sqrt(sum(d::HUGEINT * d)::DOUBLE / count(d)), 6) AS rmse, round(sum(abs(d))::DOUBLE / count(d), 6) AS mae FROM d",
 }

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .annotations import by_stem, coco_instances, voc_boxes
+from .annotations import by_relative_path, coco_instances, voc_boxes
 
 #: What every reader gives: a row per shape, one without a shape for an image that has none.
 SCHEMA = "sample_id string, image string, group string, label string, polygon array<double>, box array<double>, mask string, pixels array<int>, mask_height int, mask_width int"
@@ -51,7 +51,8 @@ def group_of(path: Column, config: dict) -> Column:
 def samples(spark: SparkSession, name: str, config: dict) -> DataFrame:
     """The rows of a registered reader in the common columns, missing ones null.
 
-    A row that has more than one of polygon, box, mask and pixels fails the query that reads it.
+    A row that has more than one of polygon, box, mask and pixels fails the query that reads it, and so do two images
+    whose paths make one sample id. With ``annotated_only`` in the config images without a shape are left out.
     """
     if name not in _READERS:
         raise KeyError(f"no reader {name!r}; there are: {', '.join(registered())}")
@@ -61,7 +62,11 @@ def samples(spark: SparkSession, name: str, config: dict) -> DataFrame:
     rows = rows.withColumns({"sample_id": F.replace(F.regexp_replace("image", r"\.[^./]*$", ""), F.lit("/"), F.lit("__")), "group": group_of(F.col("image"), config)})
     shapes = sum((F.col(c).isNotNull().cast("int") for c in ("polygon", "box", "mask", "pixels")), F.lit(0))
     checked = F.when(shapes <= 1, F.col("sample_id")).otherwise(F.raise_error(F.concat(F.lit("more than one kind of shape: "), "sample_id")))
-    return rows.withColumn("sample_id", checked).select(F.lit(config["dataset"]).alias("dataset"), *COLUMNS)
+    same = Window.partitionBy("sample_id")  # an image has a row per shape, a sample id one image
+    clear = F.when(F.min("image").over(same) == F.max("image").over(same), checked).otherwise(F.raise_error(F.concat(F.lit("two images are "), "sample_id")))
+    if config.get("annotated_only"):
+        rows = rows.where(shapes > 0)
+    return rows.withColumn("sample_id", clear).select(F.lit(config["dataset"]).alias("dataset"), *COLUMNS)
 
 
 @reader("coco_polygon")
@@ -71,11 +76,11 @@ def _coco(spark: SparkSession, config: dict) -> DataFrame:
 
 @reader("voc_bbox")
 def _voc(spark: SparkSession, config: dict) -> DataFrame:
-    return voc_boxes(spark, config["annotations"]).select(F.col("filename").alias("image"), "label", F.array("xmin", "ymin", "xmax", "ymax").alias("box"))
+    return voc_boxes(spark, config["annotations"]).select(F.col("filename").alias("image"), "label", F.when(F.col("label").isNotNull(), F.array("xmin", "ymin", "xmax", "ymax")).alias("box"))
 
 
 @reader("semantic_png")
 def _pairs(spark: SparkSession, config: dict) -> DataFrame:
-    """Image and mask files that share a stem; only their paths are read."""
+    """Image and mask files that share a path below their folders; only their paths are read."""
     listed = lambda key: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(config[key]).select("path")
-    return by_stem(listed("images"), listed("masks")).select("image", "mask")
+    return by_relative_path(listed("images"), listed("masks"), config["images"], config["masks"]).select("image", "mask")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import kept_box
 from ..operators.masks import run_lengths, run_mask
 
 COCO = (
@@ -37,17 +38,24 @@ def coco_instances(spark: SparkSession, path: str) -> DataFrame:
 
 
 def voc_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """Boxes of annotation files, without incomplete or empty ones."""
+    """Boxes of annotation files, without incomplete or empty ones; an image that keeps no box has one row of nulls."""
     schema = "filename string, object array<struct<name:string,bndbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>>"
     made = spark.read.schema(schema).option("rowTag", "annotation").format("xml").load(path)
-    boxes = made.select("filename", F.explode("object").alias("o")).select("filename", F.col("o.name").alias("label"), "o.bndbox.*")
-    return boxes.where("xmax > xmin AND ymax > ymin")
+    fine = lambda o: kept_box(o["bndbox"]["xmin"], o["bndbox"]["ymin"], o["bndbox"]["xmax"], o["bndbox"]["ymax"])
+    return made.select("filename", F.explode_outer(F.filter("object", fine)).alias("o")).select("filename", F.col("o.name").alias("label"), "o.bndbox.*")
 
 
-def by_stem(images: DataFrame, masks: DataFrame, path: str = "path") -> DataFrame:
-    """Images and masks whose file names agree but for the ending."""
-    stem = F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
-    return images.select(stem.alias("stem"), F.col(path).alias("image")).join(masks.select(stem.alias("stem"), F.col(path).alias("mask")), "stem")
+def by_relative_path(images: DataFrame, masks: DataFrame, image_root: str, mask_root: str, path: str = "path", strict: bool = True) -> DataFrame:
+    """Images and masks with the same path below their roots but for the ending: stem, image, mask. Unmatched files are left out.
+
+    ``strict``: no pair at all fails the query that reads it, as the folders then do not belong together.
+    """
+    stem = lambda root: F.regexp_replace(F.substring_index(F.col(path), root.rstrip("/") + "/", -1), r"\.[^./]*$", "")
+    pairs = images.select(stem(image_root).alias("stem"), F.col(path).alias("image")).join(masks.select(stem(mask_root).alias("stem"), F.col(path).alias("mask")), "stem")
+    if not strict:
+        return pairs
+    none = pairs.agg((F.count(F.lit(1)) == 0).alias("none")).where(F.when(F.col("none"), F.raise_error(F.lit("no image has a mask")).cast("boolean")).otherwise(F.lit(False)))
+    return pairs.unionByName(none.select(*[F.lit(None).cast("string").alias(c) for c in pairs.columns]))  # one row is looked at, none is added
 
 
 def trimmed_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -39,28 +39,28 @@ def table_lines(df: DataFrame, order: Iterable[str], decimals: dict[str, int] |
     return [f"| {' | '.join(df.columns)} |", "|" + "---|" * len(df.columns), *lines]
 
 
+def section(title: str, df: DataFrame, order: Iterable[str], decimals: int | None = None) -> list[str]:
+    """A heading and a table; ``decimals`` is for fractions."""
+    places = {} if decimals is None else {name: decimals for name, kind in df.dtypes if kind in ("double", "float")}
+    return ["", f"### {title}", "", *table_lines(df, order, places)]
+
+
 def validation_report(datasets: DataFrame, splits: DataFrame, findings: DataFrame) -> list[str]:
-    """Lines of the report on checked data: a row per dataset, a row per split, then errors and warnings.
+    """Lines of the report on checked data: what was found, a row each, the worst first, then datasets and splits.
 
     ``findings`` has scope, level (``error`` or ``warning``) and message.
     """
-    said = findings.orderBy("level", "scope", "message").limit(MOST_ROWS + 1).collect()
-    if len(said) > MOST_ROWS:
-        raise ValueError(f"a report takes at most {MOST_ROWS} findings")
-    by = {level: [f"- **{r['scope']}**: {r['message']}" for r in said if r["level"] == level] for level in ("error", "warning")}
-    shares = {name: 4 for name, kind in datasets.dtypes if kind == "double"}
-    lines = ["# Validation", "", f"**{len(by['error'])} error(s), {len(by['warning'])} warning(s).**", "", "## Per dataset", ""]
-    lines += [*table_lines(datasets, datasets.columns[:1], shares), "", "## Splits", "", *table_lines(splits, splits.columns[:1])]
-    for level, found in by.items():
-        lines += ["", f"## {level.capitalize()}s", "", *found] if found else []
-    return lines
+    found = findings.select("level", "scope", "message")
+    n = {r["level"]: r["n"] for r in found.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lines = ["## Checked data", "", f"errors: {n.get('error', 0)}, warnings: {n.get('warning', 0)}"]
+    lines += section("Findings", found, ["level", "scope", "message"]) if n else []
+    return [*lines, *section("Datasets", datasets, datasets.columns[:1], 4), *section("Splits", splits, splits.columns[:1])]
 
 
 def comparison_report(cost: DataFrame, accuracy: DataFrame | None = None, notes: Iterable[str] = ()) -> list[str]:
-    """Lines of the model comparison: cost by model, accuracy by model and resolution (None: pending), notes as they are."""
-    lines = ["# Model comparison", "", "## Cost", "", *table_lines(cost, cost.columns[:1], {n: 1 for n, k in cost.dtypes if k == "double"}), "", "## Accuracy", ""]
-    lines += ["**PENDING.**"] if accuracy is None else table_lines(accuracy, accuracy.columns[:2], {n: 4 for n, k in accuracy.dtypes if k == "double"})
-    return [*lines, "", *notes]
+    """Lines of the model comparison: cost by model, accuracy by model and resolution (None: not measured yet), notes as they are."""
+    scored = ["", "### Accuracy", "", "not measured yet"] if accuracy is None else section("Accuracy", accuracy, accuracy.columns[:2], 4)
+    return ["## Models", *section("Cost", cost, cost.columns[:1], 1), *scored, "", *notes]
 
 
 def write_report(spark: SparkSession, lines: list[str], path: str) -> None:

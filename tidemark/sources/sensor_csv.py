@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The fields in order with their types.
@@ -12,32 +12,24 @@ FIELDS = (
 )
 
 
-def number(field: Column, kind: str) -> Column:
-    """A finite number, null for blank or ``nan``; other text gives null too and is told apart by ``malformed``."""
-    blank = F.lower(F.trim(field)).isin("", "nan", "-nan")
-    value = F.trim(field).try_cast("double")
-    finite = F.when(blank | F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
-    return finite if kind == "double" else finite.try_cast(kind)
-
-
-def malformed(field: Column) -> Column:
-    value = F.trim(field).try_cast("double")
-    return ~F.lower(F.trim(field)).isin("", "nan", "-nan") & (value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")))
-
-
 def parse(lines: DataFrame, line: str = "csv") -> DataFrame:
-    """``lines`` without blank and header lines, with the typed fields and ``ok``."""
-    parts = F.split(F.trim(F.col(line)), ",", -1)
-    body = lines.where((F.trim(line) != "") & ~F.trim(F.col(line)).startswith("ts_utc")).withColumn("__f", parts)
-    at = lambda i: F.get("__f", i)
-    bad = F.lit(False)
-    for i, (_, kind) in enumerate(FIELDS):
-        if kind != "string":
-            bad = bad | F.coalesce(malformed(at(i)), F.lit(True))
-    ok = (F.size("__f") == len(FIELDS)) & ~bad & at(1).isNotNull() & (F.trim(at(1)) != "")
-    text = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    cols = [(text(at(i)) if kind == "string" else number(at(i), kind)).alias(name) for i, (name, kind) in enumerate(FIELDS)]
-    return body.select(*lines.columns, ok.alias("ok"), *cols)
+    """``lines`` without blank and header lines, with the typed fields and ``ok``.
+
+    Each field is trimmed and cast once; what is neither blank, ``nan`` nor a finite number is malformed.
+    """
+    trimmed = lines.withColumn("__l", F.trim(F.col(line))).where((F.col("__l") != "") & ~F.col("__l").startswith("ts_utc"))
+    parts = trimmed.withColumn("__f", F.split("__l", ",", -1))
+    texts = parts.withColumns({f"__t{i}": F.trim(F.get("__f", F.lit(i))) for i in range(len(FIELDS))})
+    numeric = [i for i, (_, kind) in enumerate(FIELDS) if kind != "string"]
+    cast = texts.withColumns({f"__v{i}": F.col(f"__t{i}").try_cast("double") for i in numeric})
+    blank = lambda i: F.lower(f"__t{i}").isin("", "nan", "-nan")
+    finite = lambda i: F.col(f"__v{i}").isNotNull() & ~F.isnan(f"__v{i}") & (F.abs(f"__v{i}") != float("inf"))
+    ok = (F.size("__f") == len(FIELDS)) & (F.col("__t1") != "")
+    for i in numeric:
+        ok = ok & (finite(i) | blank(i))
+    value = lambda i, kind: F.when(finite(i), F.col(f"__v{i}") if kind == "double" else F.col(f"__v{i}").try_cast(kind))
+    cols = [(F.nullif(F.col(f"__t{i}"), F.lit("")) if kind == "string" else value(i, kind)).alias(name) for i, (name, kind) in enumerate(FIELDS)]
+    return cast.select(*lines.columns, F.coalesce(ok, F.lit(False)).alias("ok"), *cols)
 
 
 def accepted(parsed: DataFrame, batch: str = "batch_id") -> DataFrame:

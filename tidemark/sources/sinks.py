@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import utc_text
+from ..operators.validation import worst_first
+
 
 def insert_new(spark: SparkSession, batch: DataFrame, path: str, keys: list[str], order: list[str]) -> int:
-    """Append rows whose key is neither in ``path`` nor earlier in ``batch``; returns how many. Re-delivery adds none."""
+    """Append rows whose key is neither in ``path`` nor earlier in ``batch``; returns how many. Re-delivery adds none.
+
+    What is appended is counted as it is written, so that another writer's rows are not.
+    """
     first = batch.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
-    if _exists(spark, path):
-        first = first.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    before = spark.read.parquet(path).count() if _exists(spark, path) else 0
-    first.write.mode("append").parquet(path)
-    return spark.read.schema(batch.schema).parquet(path).count() - before
+    if exists(spark, path):
+        first = first.join(spark.read.schema(batch.schema).parquet(path).select(*keys), keys, "left_anti")
+    seen = Observation("inserted")
+    first.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -22,11 +30,74 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> D
     return both.groupBy(*keys).agg(F.max_by(F.struct(*both.columns), version).alias("m")).select("m.*")
 
 
-def write_splits(rows: DataFrame, path: str, split: str = "split", name: str = "id") -> None:
-    """A folder of text lists per split, in order."""
-    rows.select(split, F.col(name).cast("string").alias("value")).repartition(split).sortWithinPartitions(split, "value").write.mode("errorifexists").partitionBy(split).text(path)
+def write_splits(rows: DataFrame, path: str, split: str = "split", name: str = "id", rows_a_file: int = 5_000_000) -> DataFrame:
+    """A folder of text lists per split, in order over its files; returns the summary (split, n).
+
+    Rows are laid out by ranges of (split, name), so that a large split is written by many tasks.
+    """
+    counts = rows.groupBy(split).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    laid = rows.select(split, F.col(name).cast("string").alias("value")).repartitionByRange(max(1, -(-total // rows_a_file)), split, "value").sortWithinPartitions(split, "value")
+    laid.write.mode("errorifexists").partitionBy(split).text(path)
+    return counts
+
+
+def append_records(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Append to a folder of JSON lines the rows whose key it lacks: a job that was stopped goes on."""
+    spark = rows.sparkSession
+    if exists(spark, path):
+        rows = rows.join(spark.read.schema(rows.schema).json(path).select(*keys), keys, "left_anti")
+    rows.write.mode("append").json(path)
+
+
+def append_series(rows: DataFrame, folder: str, columns: Sequence[str], kinds: dict[str, str] | None = None, site: str | None = None) -> None:
+    """Append observations in fixed columns to a table and, beside it, to CSV files with a header."""
+    made = fixed_columns(rows, columns, kinds, site).cache()
+    try:
+        made.write.mode("append").parquet(f"{folder}/observations")
+        made.write.mode("append").option("header", True).option("emptyValue", "").csv(f"{folder}/timeseries")
+    finally:
+        made.unpersist()
+
+
+def series_sink(folder: str, columns: Sequence[str], kinds: dict[str, str] | None = None, site: str | None = None, keys: list[str] | None = None):
+    """A function for ``foreachBatch`` that appends each batch as ``append_series`` does; with ``keys`` only what the table lacks, so that a batch done twice adds nothing."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        if keys and exists(spark, f"{folder}/observations"):
+            batch = batch.join(spark.read.parquet(f"{folder}/observations").select(*keys), keys, "left_anti")
+        append_series(batch, folder, columns, kinds, site)
+
+    return write
+
+
+def write_table(rows: DataFrame, path: str, order: Sequence[str] = (), mode: str = "append") -> None:
+    """A small table as one CSV file with a header (an epoch's scores, a video's coverage); null is an empty field."""
+    rows.coalesce(1).sortWithinPartitions(*order or rows.columns[:1]).write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
+
+
+def write_review(rows: DataFrame, path: str, flagged: str, score: str, key: str) -> None:
+    """A list for review, worst first with an empty verdict, as CSV with a header; a list that is there is left alone and the call fails."""
+    made = worst_first(rows, F.col(flagged) != "", score, key).withColumn("verdict", F.lit(""))
+    made.repartitionByRange("pos").sortWithinPartitions("pos").write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)
+
+
+def fixed_columns(rows: DataFrame, columns: Sequence[str], kinds: dict[str, str] | None = None, site: str | None = None) -> DataFrame:
+    """``rows`` with exactly ``columns``, in order: absent ones null (of ``kinds``), ``site`` overwritten if given, ``ts_utc`` made of ``ts_epoch`` where it lacks, booleans as 0 and 1."""
+    have = dict(rows.dtypes)
+    out = []
+    for c in columns:
+        col = F.col(c) if c in have else F.lit(None).cast((kinds or {}).get(c, "string"))
+        if c == "ts_utc" and "ts_epoch" in have:
+            col = F.coalesce(F.nullif(col, F.lit("")), utc_text(F.col("ts_epoch")))
+        if c == "site" and site is not None:
+            col = F.lit(site)
+        out.append((col.cast("int") if have.get(c) == "boolean" else col).alias(c))
+    return rows.select(*out)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store Spark reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -39,7 +39,7 @@ def first_per_key(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(keys)
 
 
-def level_stream(stream: DataFrame, key: str, ts: str, height: str, rain: str, enter=(30.0, 60.0), leave=(25.0, 55.0), rain_limit: float = 30.0, dwell: float = 60.0) -> DataFrame:
+def level_stream(stream: DataFrame, key: str, ts: str, height: str, rain: str, enter=(30.0, 60.0), leave=(25.0, 55.0), rains=(10.0, 30.0), dwell: float = 60.0) -> DataFrame:
     """The level machine with its state (level, start of the calm spell) kept per key."""
 
     def run(keys, batches: Iterator, state):
@@ -49,7 +49,7 @@ def level_stream(stream: DataFrame, key: str, ts: str, height: str, rain: str, e
         rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
         out = []
         for t, h, r in zip(rows[ts], rows[height], rows[rain], strict=True):
-            now, low = next_level(now, low, t, None if pd.isna(h) else h, None if pd.isna(r) else r, enter, leave, rain_limit, dwell)
+            now, low = next_level(now, low, t, None if pd.isna(h) else h, None if pd.isna(r) else r, enter, leave, rains, dwell)
             out.append(LEVELS[now])
         state.update((now, low))
         yield pd.DataFrame({key: keys[0], ts: rows[ts].to_numpy(), "level": out})
