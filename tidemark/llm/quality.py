@@ -153,21 +153,38 @@ def unpacked(data: bytes, dtype):
 
 
 def _count(batches):
-    """(lang, gram, n) of the texts of each batch (lang, text), by about a megabyte of one language."""
+    """(lang, gram, n) of texts (lang, text); grams of a language are added up until there are about SLICE_GRAMS."""
     import numpy as np
     import pyarrow as pa
 
     from .common import string_parts, text_slices
 
+    held: dict[str, list] = {}
+
+    def added(parts):
+        seen, of = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        return seen, np.bincount(of, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
+    def rows(lang, seen, n):
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
     for batch in (part for whole in batches for part in text_slices(whole, 1, 4 * BLOCK_BYTES)):
         langs = batch.column(0).dictionary_encode()
         for code, lang in enumerate(langs.dictionary.to_pylist()):
-            rows = batch.column(1).filter(pa.array(langs.indices.to_numpy() == code))
-            symbols, _ = laid(*string_parts(rows))
+            symbols, _ = laid(*string_parts(batch.column(1).filter(pa.array(langs.indices.to_numpy() == code))))
+            parts = held.pop(lang, [])
             for a, b in spans(len(symbols)):
                 g, real, _ = grams(symbols, a, b)
-                seen, n = np.unique(g[real], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                parts.append(np.unique(g[real], return_counts=True))
+            if parts:
+                parts = [added(parts)]
+                if len(parts[0][0]) > SLICE_GRAMS:
+                    yield rows(lang, *parts.pop())
+                held[lang] = parts
+        if len(held) > 64:
+            yield from (rows(lang, *added(parts)) for lang, parts in held.items() if parts)
+            held = {}
+    yield from (rows(lang, *added(parts)) for lang, parts in held.items() if parts)
 
 
 def counts_of_counts(n):
@@ -467,10 +484,10 @@ def sent(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def words_of(rows: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, word): the different words of each text, hashed."""
+def words_of(rows: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, row_hash, word) and the columns ``more``: the different words of each text, hashed."""
     words = F.explode(F.array_distinct(F.split(F.lower("text"), BETWEEN_WORDS))).alias("w")
-    return rows.select("doc_id", "row_hash", words).where("w <> ''").select("doc_id", "row_hash", F.xxhash64("w").alias("word"))
+    return rows.select("doc_id", "row_hash", *more, words).where("w <> ''").select("doc_id", "row_hash", *more, F.xxhash64("w").alias("word"))
 
 
 def chance(k, g, q: float):
@@ -482,9 +499,12 @@ def chance(k, g, q: float):
 
 def marking_words(rows: DataFrame, trusted: DataFrame, toxic: DataFrame) -> DataFrame:
     """Hashes of the words that mark toxic text, as a written table; ``trusted`` and ``toxic`` are ids."""
-    good = rows.join(trusted, "doc_id")
+    # of equal trusted texts one stands for all: the one with the smallest id, rows that repeat it in equal parts
+    alike = rows.select("doc_id", "row_hash").join(trusted, "doc_id").groupBy("row_hash", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    alike = staged(alike.groupBy("row_hash").agg(F.min(F.struct("doc_id", "copies")).alias("m")).select("row_hash", "m.*"), "alike")
+    good = rows.join(sent(alike, SENT_IDS), ["doc_id", "row_hash"])
     bad = staged(rows.join(toxic, "doc_id").dropDuplicates(["row_hash"]), "bad")
-    n_bad, n_good = bad.count(), good.select("row_hash").distinct().count()
+    n_bad, n_good = bad.count(), alike.count()
     q = n_bad / max(n_bad + n_good, 1)
     least = max(MARK_LEAST, MARK_SHARE * n_bad)
     held = staged(words_of(bad).groupBy("word").agg(F.count(F.lit(1)).alias("n_bad")), "held")
@@ -492,7 +512,7 @@ def marking_words(rows: DataFrame, trusted: DataFrame, toxic: DataFrame) -> Data
     texts = lambda n, g: (F.least("n_bad", n).cast("double"), g.cast("double"))
     none = F.lit(0)
     common = sent(staged(held.where((F.col("n_bad") >= least) & (chance(*texts(F.col("n_bad"), none), q) <= bar)), "common"), SENT_WORDS)
-    seen = words_of(good).join(common.select("word"), "word").groupBy("word").agg(F.count_distinct("row_hash").alias("n_good"))
+    seen = words_of(good, "copies").join(common.select("word"), "word").groupBy("word").agg(F.round(F.sum(1 / F.col("copies"))).cast("long").alias("n_good"))
     share = F.col("n_bad") / max(n_bad, 1)
     rare = common.join(seen, "word", "left").withColumn("n_good", F.coalesce("n_good", none))
     odd = rare.where((share >= MARK_ODDS * (F.col("n_good") + 0.5) / (n_good + 1)) & (chance(*texts(F.col("n_bad"), F.col("n_good")), q) <= bar))
