@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no ``spark.checkpoint.dir``, as in tests.
-LOCAL_SCRATCH = "/tmp/checkpoints"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
+
+    Where it names none, a local master, whose only machine is this one, gets a folder of its own; a cluster is refused,
+    as no local folder would be seen by all of it.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if spark.sparkContext.applicationId not in _LOCAL:
+        _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL[spark.sparkContext.applicationId]
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -41,9 +52,18 @@ def row_hash(col: str = "text") -> Column:
     return F.xxhash64(text_of(col)).alias("row_hash")
 
 
+#: Rows that are named as gone to every task; more are joined by a shuffle.
+SENT_GONE = 1_000_000
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``gone`` (doc_id, row_hash) names; null ids count as equal."""
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("row_hash").alias("__gone_hash"))
+    """``docs`` without the rows that ``gone`` (doc_id, row_hash) names; null ids count as equal.
+
+    ``gone`` is written and counted first: sent to every task if it is short, so that texts stay where they are.
+    """
+    gone = staged(gone.select(F.col("doc_id").alias("__gone_id"), F.col("row_hash").alias("__gone_hash")).distinct(), "gone")
+    if gone.count() <= SENT_GONE:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__gone_hash"]), "left_anti")
 
 
