@@ -78,32 +78,37 @@ def test_index_of_live_digests(spark):
     assert {r["id"] for r in known.where("known").collect()} == {*range(50), *range(100, 150)}
 
 
-def test_anchors_meet_every_near_pair():
+@pytest.mark.parametrize("plan", (simhash.THREE, simhash.TWO))
+def test_anchors_meet_every_near_pair(plan):
     r = random.Random(5)
-    for low, bits in simhash.BLOCKS:
-        near, home = simhash.block_patterns(bits)
+    blocks, coded, reach = plan
+    for _, bits in blocks:
+        near, home = simhash.block_patterns(bits, coded, reach)
 
         def syndrome(w):
             s = 0
-            for i in range(simhash.CODED):
+            for i in range(coded):
                 s ^= (w >> i & 1) * (i + 1)
             return s
 
         for _ in range(200):
             x = r.getrandbits(bits)
-            y = x ^ (1 << r.randrange(bits))
+            y = x
+            for i in r.sample(range(bits), reach):
+                y ^= 1 << i
             assert x ^ home[syndrome(x)] in {y ^ p for p in near[syndrome(y)]}
 
 
 def test_links_of_full_anchors_and_clusters(spark):
+    assert simhash.layout(1000) == simhash.THREE and simhash.layout(1 << 30) == simhash.TWO
     r = random.Random(6)
     centre = r.getrandbits(64)
     fps = list({centre ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(600)} | {r.getrandbits(64) for _ in range(300)})
     signed = np.array(fps, np.uint64).view(np.int64)
     classes = spark.createDataFrame([(int(x),) for x in signed], "fp long")
     want = len({frozenset(c) for c in _clusters(np.array(fps, np.uint64))})
-    for rows in (10**6, 50):
-        got = components(simhash.links(classes, rows))
+    for rows, plan in ((10**6, None), (50, None), (10**6, simhash.TWO), (50, simhash.TWO)):
+        got = components(simhash.links(classes, rows, plan))
         assert got.select("component").distinct().count() + len(fps) - got.count() == want
 
 
@@ -259,6 +264,26 @@ def test_rendezvous_moves_rows_only_into_the_new_shard(spark):
     assert 0.45 < (made["shard"] == 1).mean() < 0.55
 
 
+@pytest.mark.parametrize("sent", (urls.SENT, 0))
+def test_mined_rules_on_held_out_pages(spark, monkeypatch, sent):
+    """Bad are pages whose host has one word and whose path another; neither word alone tells. One label in fifty is wrong."""
+    monkeypatch.setattr(urls, "SENT", sent)
+    r, pages, truth = random.Random(11), [], {}
+    for i in range(4000):
+        host, path = r.choice(["casino", "news", "shop", "blog"]), r.choice(["win", "about", "list", "post"])
+        truth[i] = (host, path) == ("casino", "win")
+        pages.append((i, f"https://{host}-{r.randrange(40)}.example.org/{path}/{i}?ref={i % 7}"))
+    pages += [(10_000 + i, "https://example.org/") for i in range(500)] + [(20_000, None)] * 3
+    labels = spark.createDataFrame([(i, 1, int(truth[i] != (r.random() < 0.02))) for i in range(2000)], "doc_id long, quality int, toxic int")
+    rows = urls.judged_urls(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()
+    got = {x["page_id"]: x["verdict"] == "block" for x in rows}
+    assert len(rows) == len(pages)
+    held = [i for i in range(2000, 4000)]
+    hit = sum(got[i] and truth[i] for i in held)
+    assert hit == sum(truth[i] for i in held) and hit / sum(got[i] for i in held) > 0.95
+    assert not any(got[i] for i in got if i >= 10_000)
+
+
 def test_mined_rules_block_what_labels_tell(spark):
     pages = [(i, f"https://{'spam-farm' if i % 10 == 0 else 'h' + str(i % 7)}.example.org/xx/{i}") for i in range(400)] + [(900, None), (901, "no host")]
     labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")

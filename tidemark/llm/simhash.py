@@ -1,10 +1,14 @@
 """Near duplicates by SimHash fingerprints, compared around the anchors of a covering code.
 
-A fingerprint is cut into three blocks (22, 21 and 21 bits). Two fingerprints that differ in at most four bits differ
-in at most one bit of some block. In a block, the anchors are the words whose first 15 bits are a codeword of the
-perfect Hamming code; every word lies within one bit of its home anchor (the covering radius). A fingerprint goes to
-every anchor within radius plus one of its block, and so meets, at the home of any partner, that partner. There the
-full fingerprints are compared. Texts with equal fingerprints are one row throughout.
+A fingerprint is cut into blocks. Two fingerprints that differ in at most four bits differ in at most one bit of one of
+three blocks (22, 21 and 21 bits), and in at most two bits of one of two blocks of 32. In a block, the anchors are the
+words whose first 15 (or 31) bits are a codeword of the perfect Hamming code; every word lies within one bit of its home
+anchor (the covering radius). A fingerprint goes to every anchor within radius plus threshold of its block, and so
+meets, at the home of any partner, that partner. There the full fingerprints are compared. Texts with equal
+fingerprints are one row throughout.
+
+Three blocks make 45 rows of a fingerprint and 2**18 anchors a block, two make 346 and 2**27. The number of different
+fingerprints decides: beyond ``THREE_UPTO`` there are so many at an anchor that comparing them costs more than the rows.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other; a text with fewer words than
 a shingle is one shingle; component ids are the smallest ids reachable (null ids are never smallest); an empty table
@@ -20,9 +24,10 @@ from .common import row_hash, staged, table, text_of
 from .components import components
 
 WORDS, SEED, BITS = 4, 42, 4
-#: (lowest bit, bits) of each block.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-CODED = 15
+#: (lowest bit, bits) of each block, bits of the code, and bits in which partners may differ in one of the blocks.
+THREE = (((0, 22), (22, 21), (43, 21)), 15, 1)
+TWO = (((0, 32), (32, 32)), 31, 2)
+THREE_UPTO = 1 << 28
 #: Comparisons around an anchor that are made at once; beyond, clusters are grown one member at a time.
 AT_ONCE = 20_000
 #: Rows of an anchor that one task takes; a fuller anchor's homes are dealt over more tasks, each with all its guests.
@@ -56,7 +61,9 @@ def _fingerprints(batches):
     import numpy as np
     import pyarrow as pa
 
-    for batch in batches:
+    from .common import text_slices
+
+    for batch in (part for whole in batches for part in text_slices(whole, 2)):
         made = np.fromiter((fingerprint(b.lower()) for b in batch.column(2).cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], ["doc_id", "row_hash", "fp"])
 
@@ -66,41 +73,55 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "doc_id long, row_hash long, fp long")
 
 
-def block_patterns(bits: int):
-    """By syndrome of the first 15 bits: (flips that lead to the anchors within two bits, the flip that leads home)."""
-    columns = range(1, CODED + 1)  # column i of the parity check matrix is the number i
-    singles = [1 << i for i in range(bits)]
-    syndrome = [columns[i] if i < CODED else 0 for i in range(bits)]
-    near: list[list[int]] = [[0] if s == 0 else [] for s in range(16)]
-    for i in range(bits):
-        near[syndrome[i]].append(singles[i])
-        for j in range(i):
-            near[syndrome[i] ^ syndrome[j]].append(singles[i] | singles[j])
-    home = [0, *(1 << (s - 1) for s in columns)]
+def layout(classes: int) -> tuple:
+    """The blocks for so many different fingerprints."""
+    return THREE if classes <= THREE_UPTO else TWO
+
+
+def block_patterns(bits: int, coded: int, reach: int):
+    """By syndrome of the first ``coded`` bits: (flips that lead to the anchors within ``reach`` + 1 bits, the flip that leads home)."""
+    from itertools import combinations
+
+    syndrome = [i + 1 if i < coded else 0 for i in range(bits)]  # column i of the parity check matrix is the number i + 1
+    near: list[list[int]] = [[] for _ in range(coded + 1)]
+    for k in range(reach + 2):
+        for flips in combinations(range(bits), k):
+            s = word = 0
+            for i in flips:
+                s ^= syndrome[i]
+                word |= 1 << i
+            near[s].append(word)
+    home = [0, *(1 << i for i in range(coded))]
     return near, home
 
 
-def _to_anchors(batches):
+def _to_anchors(plan):
     """(anchor, fp) rows; the lowest bit of ``anchor`` says whether it is the fingerprint's home."""
-    import numpy as np
-    import pyarrow as pa
 
-    plans = [(low, bits, *block_patterns(bits)) for low, bits in BLOCKS]
-    for batch in batches:
-        fps = batch.column(0).to_numpy().view(np.uint64)
-        anchors, members = [], []
-        for b, (low, bits, near, home) in enumerate(plans):
-            word = (fps >> np.uint64(low)) & np.uint64((1 << bits) - 1)
-            syndrome = np.zeros(len(fps), np.int64)
-            for i in range(CODED):
-                syndrome ^= ((word >> np.uint64(i)) & np.uint64(1)).astype(np.int64) * (i + 1)
-            for s in range(16):
-                here = np.flatnonzero(syndrome == s)
-                flips = np.array(near[s], np.uint64)
-                at = (word[here, None] ^ flips[None, :]) | np.uint64(b << 22)
-                anchors.append((at * np.uint64(2) + (flips == home[s]).astype(np.uint64)[None, :]).ravel())
-                members.append(np.repeat(fps[here], len(flips)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.concatenate(members).view(np.int64))], ["anchor", "fp"])
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        blocks, coded, reach = plan
+        plans = [(low, bits, *block_patterns(bits, coded, reach)) for low, bits in blocks]
+        for whole in batches:
+            for batch in (whole.slice(at, 5000) for at in range(0, whole.num_rows, 5000)):
+                fps = batch.column(0).to_numpy().view(np.uint64)
+                anchors, members = [], []
+                for b, (low, bits, near, home) in enumerate(plans):
+                    word = (fps >> np.uint64(low)) & np.uint64((1 << bits) - 1)
+                    syndrome = np.zeros(len(fps), np.int64)
+                    for i in range(coded):
+                        syndrome ^= ((word >> np.uint64(i)) & np.uint64(1)).astype(np.int64) * (i + 1)
+                    for s in range(coded + 1):
+                        here = np.flatnonzero(syndrome == s)
+                        flips = np.array(near[s], np.uint64)
+                        at = (word[here, None] ^ flips[None, :]) | np.uint64(b << 32)
+                        anchors.append((at * np.uint64(2) + (flips == home[s]).astype(np.uint64)[None, :]).ravel())
+                        members.append(np.repeat(fps[here], len(flips)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.concatenate(members).view(np.int64))], ["anchor", "fp"])
+
+    return run
 
 
 def link_groups(group, home, fps, bits: int = BITS):
@@ -176,10 +197,11 @@ def _link(batches):
         yield edges(rest)
 
 
-def links(classes: DataFrame, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
+def links(classes: DataFrame, anchor_rows: int = ANCHOR_ROWS, plan: tuple | None = None) -> DataFrame:
     """Edges (u, v) that join all fingerprints of ``classes`` (fp, distinct) at ``BITS`` or fewer differing bits."""
-    spread = classes.select("fp").mapInArrow(_to_anchors, "anchor long, fp long")
-    if classes.count() <= anchor_rows:  # no anchor holds a fingerprint twice
+    n = classes.count()
+    spread = classes.select("fp").mapInArrow(_to_anchors(plan or layout(n)), "anchor long, fp long")
+    if n <= anchor_rows:  # no anchor holds a fingerprint twice
         return _linked(spread)
     full = spread.groupBy(F.shiftright("anchor", 1).alias("at")).count().where(F.col("count") > anchor_rows)
     full = staged(full.select("at", F.ceil(F.col("count") / anchor_rows).cast("long").alias("parts")), "anchors")
@@ -189,7 +211,7 @@ def links(classes: DataFrame, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
     keyed = spread.withColumn("at", F.shiftright("anchor", 1)).join(full, "at", "left")
     own = keyed.where("parts IS NULL").select("anchor", "fp")
     parts = keyed.where("parts IS NOT NULL")
-    is_home, key = F.col("anchor").bitwiseAND(1) == 1, (F.col("at") + F.shiftleft(F.col("part"), 26)) * 2
+    is_home, key = F.col("anchor").bitwiseAND(1) == 1, (F.col("at") + F.shiftleft(F.col("part"), 36)) * 2
     guests = parts.withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts")))).select(key.alias("anchor"), "fp")
     homes = parts.where(is_home).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")) + 1).select((key + 1).alias("anchor"), "fp")
     return _linked(own.unionByName(guests).unionByName(homes))

@@ -1,9 +1,10 @@
 """URL filtering by association rules.
 
 Labelled URLs become sets of tokens (host labels, path words, query keys); FP-growth mines combinations that occur
-together with a label. Labels are those of the document that a page shows. Rules that lack confidence or support are pruned, and so is a rule with a more general one of
-no less confidence. The rules match by an inverted index: a URL's tokens are joined to the rules' tokens, and a rule
-fires when all its tokens are met. Rules given by hand (host and path prefix) come first.
+together with a label. Labels are those of the document that a page shows. Rules that lack confidence or support are
+pruned, and so is a rule of which a more general one has no less confidence: each rule's subsets are looked up among
+the rules. The rules match by an inverted index: a rule stands under its rarest token, a URL's tokens are joined to
+these, and a rule fires when all its tokens are met. Rules given by hand (host and path prefix) come first.
 
 Defined results: a null url or one without ``://`` has an empty host and path, matches no given rule and is allowed
 unless a mined rule fires; rows that repeat an id are judged on their own; without labels or rules everything is
@@ -25,8 +26,10 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: A mined rule needs so many bad URLs, this share of all labelled ones, this confidence, and has so many tokens at most.
-LEAST, SUPPORT, CONFIDENCE, LONGEST = 5, 0.0005, 0.2, 3
+#: A mined rule needs so many bad URLs, this share of all labelled ones and this confidence.
+LEAST, SUPPORT, CONFIDENCE = 5, 0.0005, 0.5
+#: Rules, or token sets, that are sent to every task; more are joined by a shuffle, dealt by salt.
+SENT, SALTS = 100_000, 16
 #: The lower end of the confidence's Wilson interval (three standard errors) must exceed the base rate so many times.
 LIFT, Z = 1.5, 3.0
 BAD = "label=bad"
@@ -90,34 +93,47 @@ def mined_rules(labelled: DataFrame, least: int = LEAST, support: float = SUPPOR
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=width).fit(sets.repartition(width))
     c, seen = F.col("confidence"), F.col("support") * n / F.col("confidence")
     lower = (c + Z * Z / (2 * seen) - Z * F.sqrt(c * (1 - c) / seen + Z * Z / (4 * seen * seen))) / (1 + Z * Z / seen)
-    rules = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("antecedent") <= LONGEST) & (lower >= lift * bad / n))
-    rules = staged(rules.select(F.array_join(F.array_sort("antecedent"), "+").alias("rule"), F.col("antecedent").alias("tokens"), "confidence"), "rules")
-    # a rule that a more general one of no less confidence covers says nothing new; such a one shares a token with it
-    each = rules.select("rule", "tokens", "confidence", F.explode("tokens").alias("token"))
-    covered = each.alias("a").join(each.alias("b"), "token").where("size(b.tokens) < size(a.tokens) AND size(array_except(b.tokens, a.tokens)) = 0 AND b.confidence >= a.confidence").select(F.col("a.rule").alias("rule")).distinct()
+    rules = model.associationRules.where(F.array_contains("consequent", BAD) & (lower >= lift * bad / n))
+    rules = staged(rules.select(F.array_join(F.array_sort("antecedent"), "+").alias("rule"), F.array_sort("antecedent").alias("tokens"), "confidence"), "rules")
+    # as many subsets as the miner has made of each rule's tokens
+    masks = F.explode(F.expr("sequence(1L, shiftleft(1L, size(tokens)) - 2)"))
+    parts = rules.where(F.size("tokens") > 1).select("rule", "confidence", "tokens", masks.alias("mask")).select("rule", "confidence", F.expr("array_join(filter(tokens, (x, i) -> pmod(shiftright(mask, i), 2) = 1), '+')").alias("part"))
+    general = rules.select(F.col("rule").alias("part"), F.col("confidence").alias("general"))
+    covered = parts.join(general, "part").where("general >= confidence").select("rule").distinct()
     return rules.join(covered, "rule", "left_anti")
 
 
-def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """row_hash of the token sets that hold tokens of some rule, through an index from token to rules.
+def dealt(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``left`` joined to the written table ``right``: sent to every task if it is short, else each of its rows in SALTS copies, so that a key that very many rows of ``left`` share is dealt over tasks."""
+    if right.count() <= SENT:
+        return left.join(F.broadcast(right), on, how)
+    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64("page_id", "tokens"), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"], how).drop("__salt")
+
 
-    A rule is indexed under one of its tokens; the rest are looked up in the URL's own set. Equal token sets are
-    matched once.
-    """
-    index = rules.select(F.array_min("tokens").alias("token"), F.col("tokens").alias("needed"))
-    keyed = urls.select("row_hash", "tokens").distinct().select("row_hash", "tokens", F.explode("tokens").alias("token"))
-    return keyed.join(index, "token").where(F.size(F.array_except("needed", "tokens")) == 0).select("row_hash").distinct()
+def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The token sets that hold all tokens of some rule, through an index from each rule's rarest token. Equal sets are matched once."""
+    sets = staged(urls.groupBy("tokens").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n")), "token-sets")
+    needed = rules.select("rule", "tokens", F.explode("tokens").alias("token"))
+    often = sets.select(F.explode("tokens").alias("token"), "n").join(F.broadcast(needed.select("token").distinct()), "token").groupBy("token").agg(F.sum("n").alias("n"))
+    index = needed.join(often, "token").groupBy("rule").agg(F.first("tokens").alias("needed"), F.min_by("token", F.struct("n", "token")).alias("token"))
+    index = staged(index.select("token", "needed"), "index")
+    keyed = sets.select("page_id", "tokens", F.explode("tokens").alias("token"))
+    return dealt(keyed, index, ["token"], "inner").where(F.size(F.array_except("needed", "tokens")) == 0).select("tokens").distinct()
 
 
 def judged_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Every row of ``pages`` (page_id, url) with host, path, the given rule if one fits, and the verdict."""
-    urls = parsed(pages).withColumn("row_hash", F.xxhash64("tokens"))
-    urls = staged(urls, "urls")
+    urls = staged(parsed(pages), "urls")
     bad = labels.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max(F.col("toxic") == 1).alias("bad"))
-    rules = mined_rules(urls.join(bad, "page_id").select("tokens", "bad"))
-    hit = fired(urls, rules).select("row_hash", F.lit(True).alias("hit"))
-    made = urls.join(hit, "row_hash", "left").withColumn("given", given_rule(F.col("host"), F.col("path")))
-    return made.select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.coalesce("given.verdict", F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
+    rules = staged(mined_rules(urls.join(bad, "page_id").select("tokens", "bad")), "mined")
+    made = urls.withColumn("given", given_rule(F.col("host"), F.col("path")))
+    if rules.isEmpty():
+        hit = F.lit(False)
+    else:
+        made = dealt(made, staged(fired(urls, rules).withColumn("hit", F.lit(True)), "fired"), ["tokens"], "left")
+        hit = F.coalesce("hit", F.lit(False))
+    return made.select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.coalesce("given.verdict", F.when(hit, "block").otherwise("allow")).alias("verdict"))
 
 
 def op6_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
