@@ -1,9 +1,11 @@
 """Exact deduplication with a cuckoo-filter index over content digests.
 
-Texts are equal when they are identical after deleting blanks and the control characters 9 to 13. The index is split
-into buckets by digest; each bucket keeps a cuckoo filter and the full digests stored under it. A filter miss proves a
-digest new; a hit is verified against the stored digests. A filter that overflows is rebuilt at twice the size from
-the stored digests. Entries can be deleted.
+Texts are equal when they are identical after deleting blanks and the control characters 9 to 13. The index is a table
+of buckets by digest; a bucket keeps a cuckoo filter and, under it, its live digests with the row that stays and the
+number of rows. A filter miss proves a digest new; a hit is verified against the stored digests. A filter that
+overflows is rebuilt at twice the size from the stored digests, and an index whose buckets have grown past
+``BUCKET_DIGESTS`` twofold is laid out anew with more buckets. Entries can be inserted, deleted and looked up in
+batches: buckets that a batch does not touch keep their rows.
 
 Defined results: a null text counts as empty, and all empty texts are equal; of equal texts the row with the most code
 points stays, then the smallest id (a null id comes last); rows that repeat one id share its fate; an empty table gives
@@ -24,8 +26,8 @@ SALTS = 8
 #: Entries of a filter's slot; moves tried before a filter counts as full.
 SLOT, KICKS = 4, 200
 WHITE = "[\\u0020\\u0009-\\u000D]"
-GROUP = "digest binary, bucket int, best struct<shorter:int,no_id:boolean,doc_id:long>, group_size long"
-INDEX = "bucket int, slots long, table binary, digests array<binary>"
+BEST = "struct<shorter:int,no_id:boolean,doc_id:long>"
+INDEX = f"bucket int, slots long, table binary, digests array<binary>, best array<{BEST}>, sizes array<long>"
 
 
 class CuckooFilter:
@@ -126,66 +128,86 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def groups_of(rows: DataFrame, buckets: int) -> DataFrame:
-    """One row per distinct digest of ``rows`` (doc_id, points, digest): the row that stays and the size of the group.
+def rank(best: dict) -> tuple:
+    """Of equal texts the row with the most code points stays, then the smallest id."""
+    return best["shorter"], best["no_id"], best["doc_id"] if best["doc_id"] is not None else 0
 
-    Rows are first combined by digest and salt, so that a digest shared by a third of the table reaches its bucket a
-    few times only; the bucket's filter finds these repeats.
-    """
+
+def combined(rows: DataFrame) -> DataFrame:
+    """(digest, best, group_size) of ``rows`` (doc_id, points, digest), SALTS times at most for a digest, however many rows share it."""
     best = F.min(F.struct((-F.col("points")).alias("shorter"), F.isnull("doc_id").alias("no_id"), F.col("doc_id"))).alias("best")
-    salted = rows.groupBy("digest", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt")).agg(best, F.count(F.lit(1)).alias("group_size"))
+    return rows.groupBy("digest", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt")).agg(best, F.count(F.lit(1)).alias("group_size")).drop("salt")
 
-    def run(pdf):
-        import pandas as pd
 
-        bucket, found = Bucket(len(pdf)), []
-        rank = lambda b: (b["shorter"], b["no_id"], b["doc_id"] if b["doc_id"] is not None else 0)
-        for digest, best, n in zip(pdf["digest"], pdf["best"], pdf["group_size"], strict=True):
-            digest = bytes(digest)
-            at = bucket.find(digest)
-            if at is None:
-                bucket.add(digest, len(found))
-                found.append([digest, best, n])
-            else:
-                found[at][1] = min(found[at][1], best, key=rank)
-                found[at][2] += n
-        return pd.DataFrame({"digest": [x[0] for x in found], "bucket": pdf["bucket"].iloc[0], "best": [x[1] for x in found], "group_size": [x[2] for x in found]})
+class Entries:
+    """A bucket of the index being changed: a filter hit is verified in ``bucket.stored``, whose values are places in the lists."""
+
+    def __init__(self, digests=(), best=(), sizes=(), expected: int = 0):
+        self.best, self.sizes = list(best), list(sizes)
+        self.bucket = Bucket(max(expected, len(self.best)))
+        for at, digest in enumerate(digests):
+            self.bucket.add(bytes(digest), at)
 
-    keyed = salted.select("digest", "best", "group_size", _bucket(buckets))
-    return keyed.groupBy("bucket").applyInPandas(run, GROUP)
+    def insert(self, digest: bytes, best: dict, n: int) -> None:
+        at = self.bucket.find(digest)
+        if at is None:
+            self.bucket.add(digest, len(self.best))
+            self.best.append(best)
+            self.sizes.append(n)
+        else:
+            self.best[at] = min(self.best[at], best, key=rank)
+            self.sizes[at] += n
+
+    def row(self, number: int):
+        import numpy as np
+        import pandas as pd
+
+        live, table = self.bucket.stored, np.array(self.bucket.filter.cells, np.uint16).tobytes()
+        return pd.DataFrame({"bucket": [number], "slots": [self.bucket.filter.slots], "table": [table], "digests": [list(live)], "best": [[self.best[i] for i in live.values()]], "sizes": [[self.sizes[i] for i in live.values()]]})
 
 
-def build_index(live: DataFrame, buckets: int) -> DataFrame:
-    """The index of distinct digests, a row per bucket. ``buckets`` bounds what a row holds: choose it by ``buckets_for``."""
+def build_index(entries: DataFrame, buckets: int) -> DataFrame:
+    """The index of ``entries`` (digest, best, group_size), a row per bucket; a digest that comes again is found by the filter. ``buckets`` bounds what a row holds: choose it by ``buckets_for``."""
 
     def run(pdf):
-        return _row(pdf["bucket"].iloc[0], Bucket(len(pdf), pdf["digest"]))
+        made = Entries(expected=len(pdf))
+        for digest, best, n in zip(pdf["digest"], pdf["best"], pdf["group_size"], strict=True):
+            made.insert(bytes(digest), best, n)
+        return made.row(pdf["bucket"].iloc[0])
 
-    return live.select("digest", _bucket(buckets)).groupBy("bucket").applyInPandas(run, INDEX)
+    return entries.select("digest", "best", "group_size", _bucket(buckets)).groupBy("bucket").applyInPandas(run, INDEX)
 
 
-def _row(number: int, bucket: Bucket):
-    import numpy as np
-    import pandas as pd
+def entries_of(index: DataFrame) -> DataFrame:
+    """(digest, best, group_size) of all live digests."""
+    each = F.explode(F.arrays_zip("digests", "best", "sizes")).alias("x")
+    return index.select(each).select(F.col("x.digests").alias("digest"), F.col("x.best").alias("best"), F.col("x.sizes").alias("group_size"))
 
-    return pd.DataFrame({"bucket": [number], "slots": [bucket.filter.slots], "table": [np.array(bucket.filter.cells, np.uint16).tobytes()], "digests": [list(bucket.stored)]})
 
+def update_index(index: DataFrame, changes: DataFrame, buckets: int) -> tuple[DataFrame, int]:
+    """(``index`` after ``changes``, number of buckets): ``changes`` (digest, best, group_size, live) insert where ``live`` is true and delete a digest where it is false.
 
-def update_index(index: DataFrame, changes: DataFrame, buckets: int) -> DataFrame:
-    """``index`` after ``changes`` (digest, live): true inserts a digest, false deletes it. Distinct digests only."""
+    Of several changes to one digest deletions come first. When the buckets have grown past twice what they should hold,
+    the index is laid out anew from its stored digests.
+    """
 
     def run(key, left, right):
-        bucket = Bucket(sum(map(len, left["digests"])) + len(right), [d for ds in left["digests"] for d in ds])
-        for digest, live in zip(right["digest"], right["live"], strict=True):
-            digest = bytes(digest)
-            if not live:
-                bucket.remove(digest)
-            elif bucket.find(digest) is None:
-                bucket.add(digest, 0)
-        return _row(key[0], bucket)
+        old = left.iloc[0] if len(left) else None
+        made = Entries(*(old[c] for c in ("digests", "best", "sizes")), expected=len(old["sizes"]) + len(right)) if old is not None else Entries(expected=len(right))
+        for digest, best, n, live in sorted(zip(right["digest"], right["best"], right["group_size"], right["live"], strict=True), key=lambda x: bool(x[3])):
+            if live:
+                made.insert(bytes(digest), best, int(n))
+            else:
+                made.bucket.remove(bytes(digest))
+        return made.row(key[0])
 
-    keyed = changes.select("digest", "live", _bucket(buckets))
-    return index.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInPandas(run, INDEX)
+    keyed = changes.select("digest", "best", "group_size", "live", _bucket(buckets))
+    out = staged(index.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInPandas(run, INDEX), "index")
+    total = out.agg(F.sum(F.size("digests"))).first()[0] or 0
+    if total <= 2 * BUCKET_DIGESTS * buckets:
+        return out, buckets
+    buckets = buckets_for(total, BUCKET_DIGESTS)
+    return staged(build_index(entries_of(out), buckets), "index"), buckets
 
 
 def probe_index(index: DataFrame, batch: DataFrame, buckets: int) -> DataFrame:
@@ -211,7 +233,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with the row of its group that stays."""
     rows = staged(digests(docs), "digests")
     buckets = buckets_for(rows.count(), BUCKET_DIGESTS, least=64)
-    many = groups_of(rows, buckets).where("group_size > 1").select("digest", F.col("best.doc_id").alias("best_id"), "group_size")
+    index = staged(build_index(combined(rows), buckets), "index")
+    many = entries_of(index).where("group_size > 1").select("digest", F.col("best.doc_id").alias("best_id"), "group_size")
     # a digest that many rows share is a skewed key of this join; adaptive execution splits it
     joined = rows.join(many, "digest", "left")
     alone = F.col("group_size").isNull()
