@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.queries import LLM_ORACLES, LLM_QUERIES
@@ -72,6 +73,35 @@ def test_orc(spark, token_ids):
         start += len(ids)
 
 
+def test_orc_prunes_stripes_and_rows(spark, tmp_path):
+    """Files hold Bloom filters and row indexes; a filter on the id leaves most rows unread, and stripes are read apart."""
+    from pyarrow import orc
+
+    from tidemark.llm import orc_output
+
+    rows = spark.range(0, 60_000, 2, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    path = str(tmp_path / "orc")
+    orc_output.write_ids(rows, path, public_tokenizers.path("byte_bpe_50k.json"), files=3)
+    files = sorted(str(p) for p in (tmp_path / "orc").glob("part-*.orc"))
+    assert len(files) == 3 and sum(orc.ORCFile(f).nrows for f in files) == 30_000
+    assert all(b"doc_id" in open(f, "rb").read() for f in files)
+    ids = orc_output.read_ids(spark, path)
+    plan = ids.where("doc_id = 30000")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,30000)]" in plan
+
+    def read(condition):
+        """Rows that the scan hands on."""
+        df = ids.where(condition)
+        df.collect()
+        scan = df._jdf.queryExecution().executedPlan()
+        while not scan.children().isEmpty():
+            scan = scan.children().head()
+        return scan.metrics().apply("numOutputRows").value()
+
+    assert read("doc_id = 30000") <= 1000  # one stride of one file
+    assert read("doc_id = 30001") == 0  # in the range of a stride: only its Bloom filter tells that it is not there
+
+
 def test_components(spark, texts):
     rows = LLM_QUERIES["op7_simhash_anchors"](spark, DATA).toPandas().sort_values("doc_id").reset_index(drop=True)
     fps = np.array([int(x, 16) for x in rows.fingerprint], np.uint64)

@@ -3,8 +3,8 @@
 ``write_ids`` lays the documents out by ranges of their id, so that a stripe's statistics cover a narrow range;
 readers take stripes in parallel and skip those whose indexes or Bloom filters exclude a document.
 
-Defined results: null and empty texts hold the end id alone; rows that repeat a document id stay side by side in any
-order; null ids come first; an empty table gives files without rows; other columns are ignored.
+Defined results: null and empty texts hold the end id alone; rows that repeat a document id stay side by side, in the
+order of their texts' hashes; null ids come first; an empty table gives files without rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 
-FILE_SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int"
+FILE_SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, salt long"
 #: UTF-8 bytes of text that one file holds, about.
-FILE_BYTES = 16 << 20
-STRIPE_BYTES = 8 << 20
+FILE_BYTES = 64 << 20
+STRIPE_BYTES = 16 << 20
 
 
 def _encode(path: str, end: int):
@@ -35,7 +35,7 @@ def _encode(path: str, end: int):
                 ids, counts = encoder(*string_parts(part.column(1)))
                 ids, bounds = with_end(ids, counts, end)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype("int32")), pa.array(ids.view("int32")))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(counts + 1), part.column(2)], ["doc_id", "ids", "n_tokens", "part"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(counts + 1), part.column(2), part.column(3)], ["doc_id", "ids", "n_tokens", "part", "salt"])
 
     return run
 
@@ -51,7 +51,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0, files: i
         files = max(1, -(-size // FILE_BYTES))
     # the salt lets a range of one much repeated id spread over files
     laid = rows.withColumn("salt", F.xxhash64("text")).repartitionByRange(files, "doc_id", "salt").sortWithinPartitions("doc_id", "salt")
-    laid = laid.select("doc_id", "text", F.spark_partition_id().alias("part"))
+    laid = laid.select("doc_id", "text", F.spark_partition_id().alias("part"), "salt")
     (
         laid.mapInArrow(_encode(tokenizer, end), FILE_SCHEMA)
         .write.option("orc.compress", "ZSTD")
@@ -79,13 +79,13 @@ def _digest(batches):
         at = lists.offsets.to_numpy()
         raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)).view("uint8"))
         sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(at).astype("int64")), pa.array(sums, pa.int64())], ["doc_id", "part", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(at).astype("int64")), pa.array(sums, pa.int64())], ["doc_id", "part", "salt", "n_tokens", "ids_crc32"])
 
 
 def file_digests(ids: DataFrame) -> DataFrame:
     """Per document of read files: its first id's position among all documents, its number of ids and their CRC-32."""
-    sums = ids.select("doc_id", "ids", "part").mapInArrow(_digest, "doc_id long, part int, n_tokens long, ids_crc32 long")
-    each = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ids.select("doc_id", "ids", "part", "salt").mapInArrow(_digest, "doc_id long, part int, salt long, n_tokens long, ids_crc32 long")
+    each = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "salt", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     # one row a file; the running sum over files is over that many rows only
     files = ids.groupBy("part").agg(F.sum("n_tokens").alias("file_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
