@@ -209,8 +209,48 @@ def test_quality_separates(spark, duck):
     assert (clean.n_marking == 0).all() and (both[both.toxic == 1].n_marking > 0).mean() > 0.6
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    made = corpus_pipeline.run(spark, DATA)
-    assert made.count() > 0 and len(corpus_pipeline.STAGES) == 5
+def test_pipeline_stages(spark, texts, tmp_path):
+    """Each stage against its own rule on the documents that the one before kept."""
+    import corpus_pipeline as cp
+
+    docs, before = spark.read.parquet(f"{DATA}/documents.parquet"), None
+    kept = {}
+    for name, stage in cp.STAGES:
+        made = stage(spark, docs, DATA)
+        made.write.parquet(str(tmp_path / name))
+        docs, before = spark.read.parquet(str(tmp_path / name)), docs
+        kept[name] = (before, docs)
+        if name != "packing":
+            assert docs.columns == before.columns
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    before, after = kept["exact_dedup"]
+    bare = lambda i: re.sub(r"[\x20\x09-\x0D]", "", texts[i] or "")
+    best = {}
+    for i in sorted(ids(before)):
+        if bare(i) not in best or len(texts[i] or "") > len(texts[best[bare(i)]] or ""):
+            best[bare(i)] = i
+    assert ids(after) == set(best.values())
+    before, after = kept["near_dedup"]
+    from tidemark.llm.simhash import near_duplicates
+
+    assert ids(after) == {r["component_id"] for r in near_duplicates(before).collect()}
+    before, after = kept["decontamination"]
+    from tidemark.llm.decontamination import contamination
+
+    assert ids(before) - ids(after) == {r["doc_id"] for r in contamination(before, spark.read.parquet(f"{DATA}/benchmark.parquet")).where("contaminated").collect()}
+    before, after = kept["packing"]
+    assert ids(after) == ids(before) and len(cp.STAGES) == 5
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeats of id and text, and an empty table."""
+    import corpus_pipeline as cp
+
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (1, "another text of id one", "en", "s", 1), (None, "no id", None, None, None), (2, None, None, None, None), (3, "", "en", "s", 0)]
+    for name, data, n in (("odd", rows, 4), ("none", [], 0)):
+        folder = tmp_path / name
+        spark.createDataFrame(data, schema).write.parquet(str(folder / "documents.parquet"))
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{DATA}/{other}.parquet").limit(0 if n == 0 else 5).write.parquet(str(folder / f"{other}.parquet"))
+        assert cp.run(spark, str(folder)).where("start = 0").count() == n

@@ -223,16 +223,27 @@ def _linked(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, row_hash, fp and component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, row_hash, fp, component (the least fingerprint reachable) and component_id of every row of ``docs`` (doc_id, text)."""
     rows = staged(fingerprints(docs), "fingerprints")
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "classes")
     joined = staged(components(links(classes)), "components")
     labelled = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", "n", F.coalesce("component", "fp").alias("component"))
     least = joined.join(classes.withColumnRenamed("fp", "node"), "node").groupBy("component").agg(F.min("first_id").alias("least_id"))
-    ids = labelled.join(least, "component", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), ((F.col("n") > 1) | F.col("least_id").isNotNull()).alias("shared"))
+    ids = labelled.join(least, "component", "left").select("fp", "component", F.coalesce("least_id", "first_id").alias("component_id"), ((F.col("n") > 1) | F.col("least_id").isNotNull()).alias("shared"))
     # a fingerprint that many rows share is a skewed key of this join; adaptive execution splits it
-    out = rows.join(ids.where("shared").select("fp", "component_id"), "fp", "left")
-    return out.select("doc_id", "row_hash", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.join(ids.where("shared").select("fp", "component", "component_id"), "fp", "left")
+    return out.select("doc_id", "row_hash", "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def others_of_groups(found: DataFrame) -> DataFrame:
+    """(doc_id, row_hash) of the rows of ``found`` that are not the one that stays of their group.
+
+    That is the row with the group's smallest id, of several with that id the one with the smallest ``row_hash``. Groups
+    whose ids are all null cannot be told apart by id and keep their rows.
+    """
+    heads = found.where("doc_id = component_id").groupBy(F.col("component").alias("__in"), F.col("doc_id").alias("__id")).agg(F.min("row_hash").alias("__stays"), F.max("row_hash").alias("__last")).where("__stays < __last")
+    later = found.join(heads, (found["doc_id"] == heads["__id"]) & (found["component"] == heads["__in"])).where("doc_id = component_id AND row_hash <> __stays").select("doc_id", "row_hash")
+    return found.where("NOT (doc_id <=> component_id)").select("doc_id", "row_hash").unionByName(later)
 
 
 def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
