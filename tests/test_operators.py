@@ -266,3 +266,15 @@ def test_latest_pair_of_empty_tables(spark):
     df = spark.createDataFrame([(1, "x"), (3, "y"), (2, "z")], "t int, v string")
     row = ts.latest_pair(df, df.where("false"), ["t"], ["t"]).first()
     assert row["left"]["v"] == "y" and row["right"] is None
+
+
+def test_outlook_payload_and_prefixes(spark):
+    rows = [("a", 0, 30.0, 9.0), ("a", 1, 5.0, 0.2), ("a", 2, 4.0, 0.7), ("a", 3, 1.0, 2.0), ("b", 0, 1.0, None), ("c", 0, -3.0, 0.0)]
+    df = spark.createDataFrame(rows, "k string, pos int, h double, mm double")
+    got = {r["k"]: (r["total"], r["rain"] and r["rain"]["at"]) for r in ts.rain_outlook(df, "k", "pos", F.col("h"), F.col("mm")).collect()}
+    assert got == {"a": (2.9, 2), "b": (None, None), "c": (0.0, None)}
+    pair = ts.latest_pair(df.select("pos", "mm"), df.where("false").select("pos"), ["pos"], ["pos"])
+    row = ts.payload(pair, F.lit(5), {"mm": "rain"}, {"pos": "at"}, F.lit("clear"), F.array(F.lit("x"))).first()
+    assert row["sensor"]["rain"] == 2.0 and row["camera"] is None and row["state"] == "clear"
+    assert ts.prefixed(df, "src_", ("k",)).columns == ["k", "src_pos", "src_h", "src_mm"]
+    assert one(spark, ts.prefixed_map("val", F.lit("d"), F.array(F.lit("iou")), F.array(F.lit(0.5))))[0] == {"val_d_iou": 0.5}

@@ -117,3 +117,30 @@ def verdict(frac: str, growth_col: str, alert: Column, threshold: float = 0.18)
 
 def minutes_to(frac: str, growth_col: str, threshold: float = 0.18) -> Column:
     return F.when((F.col(growth_col) > 0) & (F.col(frac) < threshold), (F.lit(threshold) - F.col(frac)) / F.col(growth_col))
+
+
+def rain_outlook(blocks: DataFrame, key: str, order: str, hours: Column, mm: Column, least_mm: float = 0.5, first_hour: float = -3.0, last_hour: float = 24.0) -> DataFrame:
+    """Per key the total of the forecast blocks from ``first_hour`` to ``last_hour``, and the first, in the order of ``order``, with ``least_mm`` or more.
+
+    A block without a number does not count; a key without a block that counts has no total, which is not zero.
+    """
+    seen = blocks.withColumns({"__h": hours, "__mm": mm})
+    counts = F.col("__h").between(first_hour, last_hour) & F.col("__mm").isNotNull()
+    first = F.min_by(F.struct(F.col(order).alias("at"), F.col("__h").alias("hours"), F.col("__mm").alias("mm")), F.when(counts & (F.col("__mm") >= least_mm), F.col(order)))
+    return seen.groupBy(key).agg(F.sum(F.when(counts, F.col("__mm"))).alias("total"), first.alias("rain"))
+
+
+def payload(pair: DataFrame, now_s: Column, left_fields: dict[str, str], right_fields: dict[str, str], state: Column, notes: Column) -> DataFrame:
+    """What an interface shows of a ``latest_pair``: both readings under the names wanted, the state and the notes, as one struct of structs."""
+    side = lambda name, fields: F.when(F.col(name).isNotNull(), F.struct(*[F.col(f"{name}.{c}").alias(out) for c, out in fields.items()]))
+    return pair.select(side("left", left_fields).alias("sensor"), side("right", right_fields).alias("camera"), state.alias("state"), notes.alias("notes"), now_s.alias("now_s"))
+
+
+def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``prefix`` before every column's name but those of ``keep``."""
+    return df.select(*[F.col(c) if c in keep else F.col(c).alias(f"{prefix}{c}") for c in df.columns])
+
+
+def prefixed_map(prefix: str, name: Column, keys: Column, values: Column) -> Column:
+    """A map of ``values`` under keys of the prefix, a row's own ``name`` and ``keys``, such as val_<set>_<score>."""
+    return F.map_from_entries(F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x: F.struct(F.concat_ws("_", F.lit(prefix), name, x["k"]), x["v"])))

@@ -48,6 +48,8 @@ SQL = {
     "hydraulics_summary": "SELECT event_id, bf, bf >= cast(0.85 AS double) AS beyond_model, CASE WHEN bf < cast(0.85 AS double) THEN round(cast(1.2 AS double) / ((1 - bf) * (1 - bf)), 6) END AS head_m, CASE WHEN bf < cast(0.85 AS double) THEN round(cast(2 AS double) - cast(1.2 AS double) / ((1 - bf) * (1 - bf)), 6) END AS margin_m FROM (SELECT event_id, least(cast(1 AS double), value / 600) AS bf FROM {events} WHERE value IS NOT NULL) e",
     "share_findings": "SELECT lang AS scope, 'error' AS level FROM (SELECT lang, avg(CASE WHEN n_chars > 30000 THEN cast(1 AS double) ELSE cast(0 AS double) END) AS debris FROM {documents} GROUP BY lang) s WHERE debris < cast(0.00001 AS double)",
     "failure_kinds": "SELECT event_type AS kind, count(*) AS n FROM {events} WHERE event_type <> 'view' GROUP BY event_type",
+    "prefixed_scores": "SELECT lang, avg(n_chars) AS val_mean, max(n_chars) AS val_most FROM {documents} GROUP BY lang",
+    "resized_frames": "SELECT p_partkey, cast(greatest(1, p_size * 100 / greatest(p_size, 50)) AS int) AS w FROM {part} WHERE p_size >= 50",
     "until_time": "SELECT event_id, CASE WHEN s <= 0 THEN 'sedang berlangsung' WHEN s < 3600 THEN concat('dalam ', cast(cast(greatest(1, floor(s / cast(60 AS double) + 0.5)) AS bigint) AS string), ' menit') WHEN floor(s / cast(3600 AS double) + 0.5) < 24 THEN concat('dalam ', cast(cast(floor(s / cast(3600 AS double) + 0.5) AS bigint) AS string), ' jam') ELSE concat('dalam ', cast(cast(floor(floor(s / cast(3600 AS double) + 0.5) / 24 + 0.5) AS bigint) AS string), ' hari') END AS label FROM (SELECT event_id, (event_id % 4000) * 90 - 300 AS s FROM {events}) e",
     "forecast_horizon": f"SELECT event_id, hours FROM ({_HOURS}) h WHERE hours BETWEEN -3 AND 24",
 }
@@ -59,6 +61,9 @@ _Q = (0.05, 0.25, 0.5, 0.75, 0.95)
 DUCK = {
     "frame_metrics": "SELECT vec_id, d AS debris_px, w AS water_px, a AS accumulation_px, CASE WHEN d + w > 0 THEN d / (d + w)::DOUBLE END AS coverage, a / 12::DOUBLE AS accumulation_frac FROM (SELECT vec_id, len(list_filter(m, lambda x, i: x > 0.1 AND i % 3 <> 0)) AS d, len(list_filter(m, lambda x, i: x > 0 AND x <= 0.1 AND i % 3 <> 0)) AS w, len(list_filter(m, lambda x, i: x > 0.1 AND i % 3 <> 0 AND i <= 18)) AS a FROM (SELECT vec_id, embedding AS m FROM embeddings) e) f",
     "velocity_median": "SELECT event_id, round_even(CASE WHEN nn > 0 THEN median(v) OVER (PARTITION BY user_id ORDER BY nn RANGE BETWEEN 14 PRECEDING AND CURRENT ROW) END, 3) AS velocity_px_s FROM (SELECT *, count(v) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nn FROM (SELECT event_id, user_id, ts, CASE WHEN event_type <> 'error' THEN value END AS v FROM events) e) f",
+    "utc_texts": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts_utc, epoch_us(date_trunc('second', ts)) // 1000000 AS back_s, strftime(ts, '%H:%M:%S') AS clock FROM events",
+    "polygon_masks": "SELECT vec_id, 25 AS inside_px, 100 AS px FROM embeddings",
+    "coverage_errors": "SELECT event_type, avg(abs(a - b)) AS mae, max(abs(a - b)) AS max_error, count(a - b) AS n FROM (SELECT event_type, CASE WHEN event_id % 7 > 0 THEN event_id % 11 END AS a, CASE WHEN event_id % 5 > 0 THEN event_id % 3 END AS b FROM events) e GROUP BY event_type",
     "latest_pair": "SELECT (SELECT max({'t': ts, 'id': event_id}).id FROM events WHERE event_type = 'click') AS sensor, (SELECT max({'t': ts, 'id': event_id}).id FROM events WHERE event_type = 'view') AS camera",
     "motion_vectors": "SELECT label, count(*) AS n FROM embeddings WHERE sqrt(pow(embedding[1]::DOUBLE, 2) + pow(embedding[2]::DOUBLE, 2)) > 0.1::DOUBLE AND embedding[3] > 0 GROUP BY label",
     "ultrasonic_gate": "SELECT user_id, CASE WHEN n = 0 THEN 'timeout' WHEN d < 20 THEN 'too_close' WHEN d > 120 THEN 'out_of_range' ELSE 'ok' END AS state, CASE WHEN n > 0 AND d BETWEEN 20 AND 120 THEN greatest(0::DOUBLE, 100 - d) END AS height FROM (SELECT user_id, count(v) AS n, list_sort(list(v) FILTER (v IS NOT NULL))[count(v) // 2 + 1] AS d FROM (SELECT user_id, CASE WHEN event_type <> 'error' THEN value END AS v FROM events) e GROUP BY user_id) b",
@@ -201,6 +206,28 @@ def _latest_pair(t):
     return made.select(F.col("left.event_id").alias("sensor"), F.col("right.event_id").alias("camera"))
 
 
+def _utc(t):
+    at = (epoch_us() / 1000000).alias("s")
+    text = labels.utc_text(F.col("s"))
+    return t("events").select("event_id", at).select("event_id", text.alias("ts_utc"), F.unix_timestamp(labels.parse_utc(text)).alias("back_s"), labels.clock_label(F.timestamp_seconds(F.floor("s"))).alias("clock"))
+
+
+def _polygon_masks(t):
+    corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    square = F.array(corner(0.0, 0.0), corner(4 / 9, 0.0), corner(4 / 9, 4 / 9), corner(0.0, 4 / 9))
+    return t("embeddings").select("vec_id", frames.polygon_mask(square, 10, 10).alias("m")).select("vec_id", F.size(F.filter("m", lambda p: p)).alias("inside_px"), F.size("m").alias("px"))
+
+
+def _coverage_errors(t):
+    e = F.col("event_id")
+    rows = t("events").select("event_type", F.when(e % 7 > 0, e % 11).alias("a"), F.when(e % 5 > 0, e % 3).alias("b"))
+    return evaluation.coverage_error(rows, "a", "b", ["event_type"])
+
+
+def _scores(t):
+    return ts.prefixed(t("documents").groupBy("lang").agg(F.avg("n_chars").alias("mean"), F.max("n_chars").alias("most")), "val_", ("lang",))
+
+
 QUERIES = {
     k: on(v)
     for k, v in {
@@ -245,6 +272,11 @@ QUERIES = {
         "live_sources": lambda t: t("pages").select("page_id", labels.live_source(F.col("url")).alias("live")),
         "colour_keys": lambda t: t("part").select("p_partkey", geometry.colour(F.concat_ws(",", (F.col("p_partkey") % 256).cast("string"), F.col("p_size").cast("string"), F.lit("7"))).alias("rgb")),
         "notifications": _notes,
+        "prefixed_scores": _scores,
+        "resized_frames": lambda t: t("part").where("p_size >= 50").select("p_partkey", geometry.resized(F.col("p_size"), F.lit(1), 100)["width"].alias("w")),
+        "utc_texts": _utc,
+        "polygon_masks": _polygon_masks,
+        "coverage_errors": _coverage_errors,
         "frame_metrics": _frame_metrics,
         "velocity_median": _velocity,
         "latest_pair": _latest_pair,

@@ -131,9 +131,10 @@ def rain_rate(spark, sf_dir):
 
 
 def forecast_summary(spark, sf_dir):
-    blocks = table(spark, sf_dir, "events").select("user_id", "event_id", ((F.floor(epoch_us() / 1000000) - NOW_S) / 3600.0).alias("hours"), F.when(F.col("event_type") != "error", F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
-    near = blocks.where("hours BETWEEN -240 AND 2400 AND cents IS NOT NULL")
-    return near.groupBy("user_id").agg(F.sum("cents").alias("total_cents"), F.min(F.when(F.col("cents") >= 5000, F.col("event_id"))).alias("first_rain"))
+    hours = (F.floor(epoch_us() / 1000000) - NOW_S) / F.lit(3600.0)
+    cents = F.when(F.col("event_type") != "error", F.round(F.col("value") * 100).cast("bigint"))
+    made = ts.rain_outlook(table(spark, sf_dir, "events"), "user_id", "event_id", hours, cents, 5000, -240, 2400)
+    return made.select("user_id", F.col("total").alias("total_cents"), F.col("rain.at").alias("first_rain"))
 
 
 def afflux_chain(spark, sf_dir):
@@ -168,6 +169,23 @@ def rmse_mae(spark, sf_dir):
     return evaluation.errors(steps, F.col("d")).select(F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"))
 
 
+def long_series(spark, sf_dir):
+    """lineitem as a long series of measurements: 50 sites, a time of its own for every row, one in three not measured."""
+    t = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("double").alias("ts_s")
+    share = F.when(F.col("l_returnflag") != "R", F.col("l_discount") * 5)
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min(share).alias("frac"))
+    return rows.select((F.col("l_suppkey") % 50).alias("site"), t, "frac")
+
+
+def series_chain(spark, sf_dir):
+    """Rolling median, growth, streak and the nearest order of each row of the long series."""
+    made = ts.growth(ts.rolling_nonnull(long_series(spark, sf_dir), "site", ["ts_s"], "frac", 30, "smoothed"), "site", "ts_s", "frac", 300)
+    made = ts.streak(made, "site", ["ts_s"], F.col("frac") >= 0.3)
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 8 + 5).cast("double").alias("order_ts"), F.col("o_orderkey").alias("order_seq"))
+    near = ts.nearest(made, orders, "ts_s", "order_ts", "order_seq", 60)
+    return near.select("site", "ts_s", F.round("smoothed", 6).alias("smoothed"), F.round("growth_per_min", 6).alias("growth_per_min"), "streak", "order_seq")
+
+
 def level_fsm(spark, sf_dir):
     rows = observations(spark, sf_dir).select("site", "seq", "ts_s", (F.col("frac") * 100).alias("height"), F.lit(0.0).alias("rain"))
     return states.levels(rows, "site", "ts_s", "height", "rain", enter=(30.0, 60.0), leave=(25.0, 55.0), dwell=86400.0, seq="seq")
@@ -188,9 +206,25 @@ QUERIES = {
     "locf_age": locf_age, "segment_reset": segment_reset, "asof_nearest": asof_nearest, "latest_per_device": latest_per_device, "ingest_dedupe": ingest_dedupe, "forecast_upsert": forecast_upsert,
     "sensor_csv_parse": sensor_csv_parse, "rain_rate_sliding": rain_rate, "forecast_summary": forecast_summary, "afflux_chain": afflux_chain, "relative_time_label": relative_time_label,
     "coverage_label": coverage_labels, "lag_correlation": lag_correlation, "rmse_mae": rmse_mae, "level_fsm": level_fsm, "throttle_sampler": throttle_sampler,
+    "series_chain": series_chain,
 }
 
+LONG = "s AS (SELECT l_suppkey % 50 AS site, (l_orderkey * 8 + l_linenumber)::DOUBLE AS ts_s, frac FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(CASE WHEN l_returnflag <> 'R' THEN l_discount * 5 END) AS frac FROM lineitem GROUP BY 1, 2))"
+
 ORACLES = {
+    "series_chain": f"""WITH {LONG}, n AS (
+  SELECT *, count(frac) OVER (PARTITION BY site ORDER BY ts_s ROWS UNBOUNDED PRECEDING) AS nn, count(frac) OVER w AS c, first_value(CASE WHEN frac IS NOT NULL THEN ts_s END IGNORE NULLS) OVER w AS t1, first_value(frac IGNORE NULLS) OVER w AS f1,
+    last_value(CASE WHEN frac IS NOT NULL THEN ts_s END IGNORE NULLS) OVER p AS t0, last_value(frac IGNORE NULLS) OVER p AS f0, sum(CASE WHEN frac >= 0.3::DOUBLE THEN 0 ELSE 1 END) OVER (PARTITION BY site ORDER BY ts_s ROWS UNBOUNDED PRECEDING) AS run
+  FROM s WINDOW w AS (PARTITION BY site ORDER BY ts_s RANGE BETWEEN 300 PRECEDING AND CURRENT ROW), p AS (PARTITION BY site ORDER BY ts_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), a AS (
+  SELECT site, ts_s, round(CASE WHEN nn > 0 THEN median(frac) OVER (PARTITION BY site ORDER BY nn RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) END, 6) AS smoothed,
+    CASE WHEN frac IS NOT NULL AND (ts_s - CASE WHEN c >= 2 THEN t1 ELSE t0 END) / 60.0::DOUBLE > 1e-6 THEN round((frac - CASE WHEN c >= 2 THEN f1 ELSE f0 END) / ((ts_s - CASE WHEN c >= 2 THEN t1 ELSE t0 END) / 60.0::DOUBLE), 6) END AS growth_per_min,
+    (sum(CASE WHEN frac >= 0.3::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY site, run ORDER BY ts_s))::BIGINT AS streak FROM n
+), o AS (SELECT (o_orderkey * 8 + 5)::DOUBLE AS order_ts, o_orderkey AS order_seq FROM orders),
+near AS (
+  SELECT a.site, a.ts_s, o.order_seq FROM a JOIN o ON o.order_ts BETWEEN a.ts_s - 60 AND a.ts_s + 60 QUALIFY row_number() OVER (PARTITION BY a.site, a.ts_s ORDER BY abs(a.ts_s - o.order_ts), o.order_ts, o.order_seq) = 1
+)
+SELECT a.*, near.order_seq FROM a LEFT JOIN near USING (site, ts_s)""",
     "operator_verdict": f"""WITH {GROWTH}
 SELECT site, ts_s, frac, growth_per_min, streak, alert, CASE WHEN frac IS NULL THEN 'unknown' WHEN alert OR frac >= 0.18::DOUBLE THEN 'blocked' WHEN coalesce(growth_per_min, 0) > 0 THEN 'watch' ELSE 'clear' END AS state,
   CASE WHEN NOT alert AND growth_per_min > 0 AND frac < 0.18::DOUBLE THEN (0.18::DOUBLE - frac) / growth_per_min END AS minutes_to_threshold
@@ -213,8 +247,7 @@ SELECT left_seq, left_ts, right_seq, right_ts, right_frac FROM l LEFT JOIN r ON
 SELECT batch_id, event_id, {SECONDS} AS ts_epoch, {CENTS}::DOUBLE AS jarak_cm, CASE WHEN event_type <> 'error' THEN {CENTS}::DOUBLE END AS tinggi_cm, 1 AS valid, NULL::BIGINT AS tip_total, event_type AS level, NULL::VARCHAR AS sms_status FROM b WHERE NOT bad""",
     "rain_rate_sliding": """WITH m AS (SELECT floor(epoch_us(ts) / 60000000.0)::BIGINT AS minute, count(*) AS tips FROM events WHERE event_type = 'click' GROUP BY 1)
 SELECT minute, tips, sum(tips) OVER (ORDER BY minute RANGE BETWEEN 9 PRECEDING AND CURRENT ROW)::DOUBLE * 1.8::DOUBLE AS rate FROM m""",
-    "forecast_summary": f"""SELECT user_id, sum({CENTS})::BIGINT AS total_cents, min(event_id) FILTER ({CENTS} >= 5000) AS first_rain FROM events
-WHERE event_type <> 'error' AND ({SECONDS} - {NOW_S}) / 3600.0::DOUBLE BETWEEN -240 AND 2400 GROUP BY 1""",
+    "forecast_summary": f"""SELECT user_id, (sum({CENTS}) FILTER (ok))::BIGINT AS total_cents, min(event_id) FILTER (ok AND {CENTS} >= 5000) AS first_rain FROM (SELECT *, event_type <> 'error' AND ({SECONDS} - {NOW_S}) / 3600.0::DOUBLE BETWEEN -240 AND 2400 AS ok FROM events) e GROUP BY 1""",
     "afflux_chain": f"""WITH {O}, b AS (SELECT seq, frac * 0.5::DOUBLE + 0.25::DOUBLE AS bf FROM obs)
 SELECT seq, bf, CASE WHEN bf < 0.85::DOUBLE THEN 1 / ((1 - bf) * (1 - bf)) END AS ratio, round(0.61::DOUBLE * 2 * (1 - bf) * sqrt(2 * 9.81::DOUBLE * 0.8::DOUBLE), 6) AS discharge, round(CASE WHEN bf > 0 AND bf < 1.6::DOUBLE THEN 1 - sqrt(bf / 1.6::DOUBLE) END, 6) AS critical FROM b""",
     "relative_time_label": f"SELECT event_id, {LABELS} AS label FROM (SELECT event_id, {NOW_S} - {SECONDS} AS a FROM events)",
