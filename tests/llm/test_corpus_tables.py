@@ -119,6 +119,27 @@ def test_components(spark, texts):
     assert [rows.doc_id[find(i)] for i in range(len(fps))] == rows.component_id.tolist()
 
 
+def test_instruction_packing(spark, duck):
+    """Conversations under three limits that all bind: each token in one piece, no sequence over a limit, little padding."""
+    from tidemark.llm import packing
+
+    turns = spark.read.parquet(f"{DATA}/conversations.parquet")
+    odd = spark.createDataFrame([(10**6, 0, None, "no role"), (10**6, 1, "assistant", None), (10**6, 2, "user", "twice"), (10**6, 2, "user", "twice")], "conv_id long, turn long, role string, text string")
+    every = turns.select("conv_id", "turn", "role", "text").unionByName(odd)
+    limits, path = (256, 6, 96), public_tokenizers.path("byte_bpe_50k.json")
+    rows = packing.pack_examples(every, path, limits).toPandas()
+    tokenizer = Tokenizer.from_file(path)
+    size = {"other": 0, "assistant": 0}
+    for role, text in every.select("role", "text").collect():
+        size["assistant" if role == "assistant" else "other"] += len(tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
+    assert (rows.length.sum(), rows.loss.sum()) == (sum(size.values()), size["assistant"])
+    by = rows.groupby("sequence_id").agg(tokens=("length", "sum"), loss=("loss", "sum"), n=("length", "size"))
+    assert by.tokens.max() <= 256 and by.loss.max() <= 96 and by.n.max() <= 6
+    need = max(by.tokens.sum() / 256, by.loss.sum() / 96, by.n.sum() / 6)
+    assert len(by) <= 1.2 * need + 2
+    assert packing.pack_examples(every.where("false"), path, limits).count() == 0
+
+
 def digest(spans):
     return hashlib.sha256(",".join("%s:%d:%d" % x for x in spans).encode()).hexdigest()
 

@@ -127,11 +127,13 @@ def pack(pieces: DataFrame, limits=LIMITS, group_rows: int = GROUP_ROWS) -> Data
 def pack_examples(turns: DataFrame, tokenizer: str, limits=LIMITS, loss_role: str = "assistant") -> DataFrame:
     """Instruction data: conversations (conv_id, turn, role, text) become examples whose loss-bearing tokens are those of ``loss_role``.
 
-    Each turn is one piece or more; pieces are packed under the limits on tokens, segments and loss-bearing tokens.
+    Each turn is one piece or more; pieces are packed under the limits on tokens, segments and loss-bearing tokens. A
+    piece carries the hash of its turn (conv_id, turn, role, text) as doc_id; turns that are equal in all of these are
+    packed each and share it. A null text is empty, a null role bears no loss, an empty table gives no pieces.
     """
-    flagged = turns.select(F.xxhash64("conv_id", "turn").alias("doc_id"), F.col("text"), "role")
+    flagged = turns.select(F.xxhash64("conv_id", "turn", "role", "text").alias("doc_id"), F.col("text"), "role")
     made = text_pieces(flagged.select("doc_id", "text"), tokenizer, min(limits[0], limits[2]))
-    roles = flagged.groupBy("doc_id").agg(F.max(F.col("role") == loss_role).alias("bears"))
+    roles = flagged.groupBy("doc_id").agg(F.max(F.coalesce(F.col("role") == loss_role, F.lit(False))).alias("bears"))
     made = made.join(roles, made["doc_id"].eqNullSafe(roles["doc_id"])).select(made["doc_id"], "start", "length", F.when(F.col("bears"), F.col("length")).otherwise(0).alias("loss"), "ids_crc32", "doc_tokens")
     return pack(made, limits)
 
