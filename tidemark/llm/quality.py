@@ -1,7 +1,8 @@
 """Quality classifier: perplexity under interpolated modified Kneser-Ney n-gram models of trusted text.
 
-Each language has a model of its own over bytes, of order ``ORDER``; its counts come from all trusted documents of the
-language that are not held out. The model is a table of additive weights: the log-probability of a symbol is a constant
+The model is over bytes, of order ``ORDER``; its counts come from all trusted documents of all languages that are not held
+out. Four bytes before a symbol tell the language well enough, and a good text that quotes another language is not odd;
+``scored`` takes a model per language just as well. How odd is too odd is told by each language's quantiles. The model is a table of additive weights: the log-probability of a symbol is a constant
 plus, over all suffixes of its n-gram that the model holds, what the suffix adds as a gram (log p of its order, less
 what the lower order and the back-off gave) and as a history (log of its back-off weight). A gram that the model does
 not hold adds nothing, so documents and model meet in a plain equi-join of grams.
@@ -16,13 +17,13 @@ far above that of held-out trusted documents of its language.
 Perplexity cannot tell an insult from another word, so words are looked at too: a word marks toxic
 text when its share among the texts labelled toxic is ``MARK_ODDS`` times its share among trusted ones, and chance would
 not put it there: were texts that hold it toxic as often as all are, so many would be with a probability of at most
-``MARK_CHANCE`` for any of the words that are looked at. Different texts count, not their copies, and no more of them
-than there are different pairs of words before it (its Kneser-Ney continuation count, which near copies do not raise
-much). A document that holds a marking word is rejected.
+``MARK_CHANCE`` for any of the words that are looked at. Different texts count, not their copies, and near copies hardly:
+no more texts than there are different least hashes of their five-word shingles, by each of ``FAMILIES`` orders of the
+hashes. A document that holds a marking word is rejected.
 
 Defined results: one row per row of the input, each judged by its own text; null and empty texts have no symbols and are
-kept; languages (null: the empty name) with fewer than ``MIN_HELD`` trusted documents share the model and the quantiles
-of the empty name, and where that has no trusted text perplexity rejects nothing; without ``MARK_LEAST`` toxic documents
+kept; languages (null: the empty name) with fewer than ``MIN_HELD`` held-out documents are judged by the quantiles of
+all; without trusted text perplexity rejects nothing; without ``MARK_LEAST`` toxic documents
 no word marks; a short text's perplexity is drawn towards its language's mean by ``PRIOR`` symbols; other columns are
 ignored. Digits are one symbol, control characters but line feeds too; letters of several bytes are several symbols.
 """
@@ -45,10 +46,10 @@ SHARD_GRAMS, SLICE_GRAMS, ASKED = 1 << 18, 1 << 18, 1 << 22
 #: Weights travel as thousandths in 16 bits.
 UNIT = 1000.0
 #: Symbols that are looked at at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: UTF-8 bytes of trusted text that one group of grams stands for, about.
 GROUP_BYTES = 32 << 20
-#: Trusted documents a language needs for a model of its own; one trusted document of so many is held out for quantiles.
+#: Held-out documents a language needs for quantiles of its own; one trusted document of so many is held out for them.
 MIN_HELD, HELD_OUT = 20, 5
 #: The threshold of a language: median + SPREAD * (upper quantile - median) of the held-out log-perplexities.
 UPPER, SPREAD = 0.9, 8.0
@@ -61,6 +62,8 @@ SENT_BYTES = 8 << 20
 MARK_SHARE, MARK_LEAST, MARK_ODDS = 0.0, 5, 20.0
 #: The chance that any word marks which is as frequent in all texts.
 MARK_CHANCE = 0.01
+#: Orders of shingle hashes that tell families of near copies; words of a shingle.
+FAMILIES, SHINGLE = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85), 5
 #: What stands between words of lower-cased text.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Word hashes that are sent to every task; more are joined by a shuffle.
@@ -453,7 +456,7 @@ def _sum(shards: int):
                 cut = np.clip(ends, a, a + len(g)) - a
                 sums = np.append(0, np.cumsum(v))
                 total += sums[cut] - sums[np.append(0, cut[:-1])]
-            made.append(pa.table({"doc_id": t.column(0), "row_hash": t.column(1), "lang": t.column(2), "ll": pa.array(total), "n": pa.array(n)}))
+            made.append(pa.table({"doc_id": t.column(0), "row_hash": t.column(1), "lang": t.column(4), "ll": pa.array(total), "n": pa.array(n)}))
         return pa.concat_tables(made)
 
     return run
@@ -490,6 +493,18 @@ def words_of(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("doc_id", "row_hash", *more, words).where("w <> ''").select("doc_id", "row_hash", *more, F.xxhash64("w").alias("word"))
 
 
+def _xor(c: int):
+    return lambda h: h.bitwiseXOR(F.lit(c))
+
+
+def family(text):
+    """The least hash of a text's shingles by each of FAMILIES orders; near copies share most of them. A column."""
+    words = F.filter(F.split(F.lower(text), BETWEEN_WORDS), lambda w: w != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
+    return F.array(*[F.array_min(F.transform(hashes, _xor(c))) for c in FAMILIES])
+
+
 def chance(k, g, q: float):
     """Logarithm of a bound (Chernoff's) of the probability that k or more of k + g texts are toxic if a share q of all is; columns."""
     share = k / (k + g)
@@ -503,7 +518,7 @@ def marking_words(rows: DataFrame, trusted: DataFrame, toxic: DataFrame) -> Data
     alike = rows.select("doc_id", "row_hash").join(trusted, "doc_id").groupBy("row_hash", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     alike = staged(alike.groupBy("row_hash").agg(F.min(F.struct("doc_id", "copies")).alias("m")).select("row_hash", "m.*"), "alike")
     good = rows.join(sent(alike, SENT_IDS), ["doc_id", "row_hash"])
-    bad = staged(rows.join(toxic, "doc_id").dropDuplicates(["row_hash"]), "bad")
+    bad = staged(rows.join(toxic, "doc_id").dropDuplicates(["row_hash"]).select("doc_id", "row_hash", "text", family(F.col("text")).alias("family")), "bad")
     n_bad, n_good = bad.count(), alike.count()
     q = n_bad / max(n_bad + n_good, 1)
     least = max(MARK_LEAST, MARK_SHARE * n_bad)
@@ -517,11 +532,9 @@ def marking_words(rows: DataFrame, trusted: DataFrame, toxic: DataFrame) -> Data
     rare = common.join(seen, "word", "left").withColumn("n_good", F.coalesce("n_good", none))
     odd = rare.where((share >= MARK_ODDS * (F.col("n_good") + 0.5) / (n_good + 1)) & (chance(*texts(F.col("n_bad"), F.col("n_good")), q) <= bar))
     odd = sent(staged(odd, "odd"), SENT_WORDS)
-    words = F.split(F.lower("text"), BETWEEN_WORDS)
-    before = lambda k: F.concat(F.array(*[F.lit("")] * k), words)
-    runs = bad.select(F.explode(F.arrays_zip(words.alias("w"), before(1).alias("a"), before(2).alias("b"))).alias("x")).where("x.w <> ''")
-    contexts = runs.select(F.xxhash64("x.w").alias("word"), F.xxhash64("x.a", "x.b").alias("context")).join(odd.select("word"), "word").distinct()
-    shown = odd.join(contexts.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word").where(F.col("n") >= least)
+    each = words_of(bad, "family").join(odd.select("word"), "word").select("word", F.posexplode("family").alias("order", "least"))
+    families = each.distinct().groupBy("word", "order").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(F.min("n").alias("n"))
+    shown = odd.join(families, "word").where(F.col("n") >= least)
     return staged(shown.where(chance(*texts(F.col("n"), F.col("n_good")), q) <= bar).select("word"), "marking")
 
 
@@ -531,7 +544,7 @@ def sent_bytes(df: DataFrame, size, most: int) -> DataFrame:
 
 
 def model(train: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """(rows (shard, keys, weights), number of shards) of the models of ``train`` (lang, text), of ``size`` bytes about."""
+    """(rows (shard, keys, weights), number of shards) of the models that ``train`` (lang, text) names, of ``size`` bytes about."""
     counts = train.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     part = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(buckets_for(size, GROUP_BYTES, least=8))).alias("part")
     shape = "lang string, grams binary, counts binary, tri binary, seen array<long>, n long"
@@ -546,9 +559,9 @@ def model(train: DataFrame, size: int) -> tuple[DataFrame, int]:
 
 
 def scored(rows: DataFrame, weights: DataFrame, shards: int, size: int) -> DataFrame:
-    """(doc_id, row_hash, lang, ll, n) of every row of ``rows`` (doc_id, row_hash, lang, text), of ``size`` bytes about."""
+    """(doc_id, row_hash, lang, ll, n) of every row of ``rows`` (doc_id, row_hash, model, text, lang), of ``size`` bytes about; ``model`` names the model that scores it."""
     slices = buckets_for(size, SLICE_BYTES)
-    blocks = rows.select("doc_id", "row_hash", "lang", "text").mapInArrow(_blocks(slices), "slice long, block binary")
+    blocks = rows.select("doc_id", "row_hash", "model", "text", "lang").mapInArrow(_blocks(slices), "slice long, block binary")
     by_slice = blocks.repartition(slices, "slice")
     asked = by_slice.groupBy("slice").applyInArrow(_ask(shards), "shard long, slice long, keys binary")
     copies = buckets_for(slices * SLICE_GRAMS, ASKED * shards)
@@ -565,10 +578,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(), F.coalesce("lang", F.lit("")).alias("lang"), text_of().alias("text"))
     trusted = staged(trusted_ids(labels), "trusted")
     near = sent(trusted, SENT_IDS)
-    own = rows.select("doc_id", "lang").join(near, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_HELD)
-    own = sent_bytes(staged(own.select("lang", F.col("lang").alias("model")), "languages"), F.octet_length("lang"), SENT_BYTES)
-    rows = rows.join(own, "lang", "left").select("doc_id", "row_hash", F.coalesce("model", F.lit("")).alias("lang"), "text")
-    train = rows.join(near, "doc_id").where("NOT held_out").select("lang", "text")
+    rows = rows.withColumn("model", F.lit(""))
+    train = rows.join(near, "doc_id").where("NOT held_out").select(F.col("model").alias("lang"), "text")
     sizes = F.octet_length("text")
     size = rows.agg(F.sum(sizes)).first()[0] or 0
     weights, shards = model(train, train.agg(F.sum(sizes)).first()[0] or 0)
@@ -578,17 +589,20 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scores = staged(scored(rows, weights, shards, size), "scores")
     nll = (-F.col("ll") / UNIT).alias("nll")
     held = staged(scores.where("n > 0").join(trusted.where("held_out").select("doc_id"), "doc_id").select("lang", nll, "n"), "held")
-    trained = train.select("lang").distinct()
-    drawn = (F.col("nll") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
-    means = held.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"))
-    quantiles = F.percentile_approx(drawn, F.array(F.lit(0.5), F.lit(UPPER)), 10000)
-    bounds = held.join(F.broadcast(means), "lang").groupBy("lang").agg(F.first("mean").alias("mean"), quantiles.alias("q"))
-    bounds = bounds.join(trained, "lang", "left_semi").select("lang", "mean", (F.col("q")[0] + SPREAD * (F.col("q")[1] - F.col("q")[0])).alias("bound"))
-    made = scores.select("doc_id", "row_hash", "lang", nll, "n").join(F.broadcast(staged(bounds, "bounds")), "lang", "left")
+    drawn = lambda mean: (F.col("nll") + PRIOR * F.col(mean)) / (F.col("n") + PRIOR)
+    quantiles = lambda mean: F.percentile_approx(drawn(mean), F.array(F.lit(0.5), F.lit(UPPER)), 10000)
+    bound = F.col("q")[0] + SPREAD * (F.col("q")[1] - F.col("q")[0])
+    means = held.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("held")).where(F.col("held") >= MIN_HELD)
+    bounds = held.join(sent(staged(means, "means"), SENT_IDS), "lang").groupBy("lang").agg(F.first("mean").alias("mean"), quantiles("mean").alias("q"))
+    bounds = sent(staged(bounds.select("lang", "mean", bound.alias("bound")), "bounds"), SENT_IDS)
+    every = held.crossJoin(F.broadcast(held.agg((F.sum("nll") / F.sum("n")).alias("any_mean"))))
+    every = every.agg(F.first("any_mean").alias("any_mean"), quantiles("any_mean").alias("q")).select("any_mean", bound.alias("any_bound"))
+    made = scores.select("doc_id", "row_hash", "lang", nll, "n").join(bounds, "lang", "left").crossJoin(F.broadcast(every))  # one row
+    made = made.withColumns({"mean": F.coalesce("mean", "any_mean"), "bound": F.coalesce("bound", "any_bound")})
     made = made.join(marked, made["doc_id"].eqNullSafe(marked["__id"]) & (made["row_hash"] == marked["__hash"]), "left")
-    fluent = F.coalesce((F.col("n") == 0) | (drawn <= F.col("bound")), F.lit(True))
+    fluent = F.coalesce((F.col("n") == 0) | (drawn("mean") <= F.col("bound")), F.lit(True))
     marks = F.coalesce("marks", F.lit(0))
-    return made.select("doc_id", "row_hash", "lang", F.col("n").alias("n_symbols"), F.when(F.col("n") > 0, F.exp(drawn)).alias("perplexity"), F.exp("bound").alias("threshold"), marks.alias("n_marking"), (fluent & (marks == 0)).alias("keep"))
+    return made.select("doc_id", "row_hash", "lang", F.col("n").alias("n_symbols"), F.when(F.col("n") > 0, F.exp(drawn("mean"))).alias("perplexity"), F.exp("bound").alias("threshold"), marks.alias("n_marking"), (fluent & (marks == 0)).alias("keep"))
 
 
 def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
