@@ -464,16 +464,3 @@ def test_copies_and_rare_shares_do_not_hide_marking_words(spark):
     labels = spark.createDataFrame([(i, 1, x) for i, (_, x) in enumerate(texts) if x is not None], "doc_id long, quality int, toxic int")
     marks = {r["doc_id"]: r["n_marking"] for r in quality.judged(docs, labels).collect()}
     assert {i for i, n in marks.items() if n} == {i for i, (t, _) in enumerate(texts) if "zounds" in t.split()}
-
-
-def test_near_copies_do_not_mark(spark):
-    r = random.Random(8)
-    vocabulary = [f"w{i}" for i in range(400)]
-    base = [r.choice(vocabulary) for _ in range(300)] + ["oddword"] * 3
-    texts = [(" ".join(w if r.random() > 0.01 else r.choice(vocabulary) for w in base), 1) for _ in range(25)]
-    texts += [(" ".join([*r.sample(vocabulary, 30), *(["zounds"] if i % 2 else [])]), 1) for i in range(60)]
-    texts += [(" ".join(r.sample(vocabulary, 30)), 0) for _ in range(400)]
-    docs = spark.createDataFrame([(i, t, "en") for i, (t, _) in enumerate(texts)], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, x) for i, (_, x) in enumerate(texts)], "doc_id long, quality int, toxic int")
-    marks = {r["doc_id"]: r["n_marking"] for r in quality.judged(docs, labels).collect()}
-    assert {i for i, n in marks.items() if n} == {i for i, (t, _) in enumerate(texts) if "zounds" in t}
