@@ -1,6 +1,9 @@
 """Operators on irregular series with missing values: rolling statistics, growth, streaks, carried values, nearest joins.
 
 A missing value stays null everywhere; it never counts as zero.
+
+Running values take a ``width``: the time of a bucket of the two-level scan in ``scans``, which spreads one key over many
+tasks. Without it a key is one window in one task, which is quicker where keys are many and short.
 """
 
 from __future__ import annotations
@@ -8,9 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged
+from . import scans
+
 
-def rolling_nonnull(df: DataFrame, key: str, order: list[str], value: str, n: int, out: str, how: str = "median") -> DataFrame:
+def rolling_nonnull(df: DataFrame, key: str, order: list[str], value: str, n: int, out: str, how: str = "median", width: float | None = None) -> DataFrame:
     """Median or mean of the last ``n`` values that are not null; a row with null shows the last result."""
+    if width:
+        return scans.rolling(df, [key], order, value, n, lambda v: F.percentile(v, F.lit(0.5)) if how == "median" else F.avg(v), width, out)
     w = Window.partitionBy(key).orderBy(*order)
     seen = df.withColumn("__nn", F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     last = Window.partitionBy(key).orderBy("__nn").rangeBetween(1 - n, 0)
@@ -18,11 +26,13 @@ def rolling_nonnull(df: DataFrame, key: str, order: list[str], value: str, n: in
     return seen.withColumn(out, F.when(F.col("__nn") > 0, stat.over(last))).drop("__nn")
 
 
-def growth(df: DataFrame, key: str, ts: str, value: str, window_s: int, out: str = "growth_per_min") -> DataFrame:
+def growth(df: DataFrame, key: str, ts: str, value: str, window_s: int, out: str = "growth_per_min", width: float | None = None) -> DataFrame:
     """Change per minute against the oldest measured sample of the last ``window_s`` seconds, or the one before if there is none.
 
     ``ts`` rises strictly within a key. Rows without a value have no growth.
     """
+    if width:
+        return scans.growth(df, [key], ts, value, window_s, width, out)
     measured = F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(value).alias("f")))
     span = Window.partitionBy(key).orderBy(ts).rangeBetween(-window_s, 0)
     past = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
@@ -32,8 +42,10 @@ def growth(df: DataFrame, key: str, ts: str, value: str, window_s: int, out: str
     return df.withColumn("__a", anchor).withColumn(out, rate).drop("__a")
 
 
-def streak(df: DataFrame, key: str, order: list[str], trigger: Column, out: str = "streak") -> DataFrame:
+def streak(df: DataFrame, key: str, order: list[str], trigger: Column, out: str = "streak", width: float | None = None) -> DataFrame:
     """Consecutive triggered rows up to each row; any other row starts anew."""
+    if width:
+        return scans.run_lengths(df, [key], order, trigger, width, out)
     hit = F.coalesce(trigger, F.lit(False)).cast("int")
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     marked = df.withColumn("__hit", hit).withColumn("__run", F.sum(1 - F.col("__hit")).over(w))
@@ -41,8 +53,11 @@ def streak(df: DataFrame, key: str, order: list[str], trigger: Column, out: str
     return marked.withColumn(out, F.sum("__hit").over(runs)).drop("__hit", "__run")
 
 
-def carried(df: DataFrame, key: str, order: list[str], value: Column, ts: str, out: str, age: str) -> DataFrame:
+def carried(df: DataFrame, key: str, order: list[str], value: Column, ts: str, out: str, age: str, width: float | None = None) -> DataFrame:
     """The last non-null ``value`` and its age in seconds."""
+    if width:
+        made = scans.running(df, [key], order, width, **{out: ("last", value), "__since": ("last", F.when(value.isNotNull(), F.col(ts)))})
+        return made.withColumn(age, F.col(ts) - F.col("__since")).drop("__since")
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(value.isNotNull(), F.col(ts))
     return df.withColumn(out, F.last(value, ignorenulls=True).over(w)).withColumn(age, F.col(ts) - F.last(at, ignorenulls=True).over(w))
@@ -82,19 +97,24 @@ def sliding_sum(df: DataFrame, at: str, value: str, width: int, bucket: int, out
     return spread.withColumn(out, F.sum(value).over(over)).where("__b = __own").drop("__b", "__own")
 
 
-def alerts(df: DataFrame, key: str, order: list[str], area: str, growth_col: str, area_from: float, growth_from: float, consecutive: int) -> DataFrame:
+def alerts(df: DataFrame, key: str, order: list[str], area: str, growth_col: str, area_from: float, growth_from: float, consecutive: int, width: float | None = None) -> DataFrame:
     """``df`` with the alert of a blockage: ``streak`` of rows over the area or the growth limit, ``alert`` from ``consecutive`` on, ``latched`` ever after, ``onset`` at its first row and the ``reason`` in words."""
     from ..functions.labels import alert_reason
 
-    made = streak(df, key, order, (F.coalesce(F.col(area) >= area_from, F.lit(False)) | F.coalesce(F.col(growth_col) >= growth_from, F.lit(False))))
-    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    made = streak(staged(df, "alerts") if width else df, key, order, (F.coalesce(F.col(area) >= area_from, F.lit(False)) | F.coalesce(F.col(growth_col) >= growth_from, F.lit(False))), width=width)
     alert = F.col("streak") >= consecutive
     reason = F.when(alert, alert_reason(F.col(area), F.col(growth_col), area_from, growth_from)).otherwise("")
-    return made.withColumns({"alert": alert, "latched": F.bool_or(alert).over(so_far), "onset": F.col("streak") == consecutive, "reason": reason})
+    if width:  # each level of the scan reads its input twice
+        made = scans.running(staged(made, "streaks"), [key], order, width, latched=("any", alert))
+    else:
+        made = made.withColumn("latched", F.bool_or(alert).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return made.withColumns({"alert": alert, "onset": F.col("streak") == consecutive, "reason": reason})
 
 
-def segments(df: DataFrame, key: str, order: list[str], starts: Column, out: str = "segment") -> DataFrame:
+def segments(df: DataFrame, key: str, order: list[str], starts: Column, out: str = "segment", width: float | None = None) -> DataFrame:
     """``df`` with the number of the segment that each row lies in; put it into the partitions of whatever must start anew."""
+    if width:
+        return scans.running(df, [key], order, width, **{out: ("sum", F.when(starts, 1).otherwise(0))})
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.sum(F.when(starts, 1).otherwise(0)).over(w))
 

@@ -8,11 +8,14 @@ from ..functions.hydraulics import afflux_ratio, blockage_factor, critical_bf, d
 from ..functions.labels import coverage_label
 from ..operators import evaluation, states, timeseries as ts
 from ..sources import sensor_csv
+from ..sources.scratch import staged
 from ..sources.tables import OBSERVATIONS_SQL, epoch_us, observations, table
 
 #: Fixed "now" of the label queries: 2024-02-01T00:00:00Z, in seconds.
 NOW_S = 1706745600
 WINDOW_S, TRIGGER, GROWN, K = 3 * 86400, 0.2, 0.0005, 2
+#: Buckets of the running values: 30 days of the observations, 10**6 seconds of the long series.
+WIDTH, LONG_WIDTH = 30 * 86400.0, 1e6
 O = OBSERVATIONS_SQL  # noqa: E741
 
 
@@ -44,11 +47,11 @@ GROWTH = (
 
 
 def grown(spark, sf_dir):
-    return ts.growth(unique_times(spark, sf_dir).drop("event_type"), "site", "ts_s", "frac", WINDOW_S)
+    return ts.growth(unique_times(spark, sf_dir).drop("event_type"), "site", "ts_s", "frac", WINDOW_S, width=WIDTH)
 
 
 def alerts(spark, sf_dir):
-    return ts.alerts(grown(spark, sf_dir), "site", ["ts_s"], "frac", "growth_per_min", TRIGGER, GROWN, K)
+    return ts.alerts(grown(spark, sf_dir), "site", ["ts_s"], "frac", "growth_per_min", TRIGGER, GROWN, K, width=WIDTH)
 
 
 def operator_verdict(spark, sf_dir):
@@ -66,7 +69,7 @@ def growth_anchor(spark, sf_dir):
 
 def rolling(how):
     def run(spark, sf_dir):
-        return ts.rolling_nonnull(observations(spark, sf_dir), "site", ["ts_s", "seq"], "frac", 5, "smoothed", how).select("site", "seq", F.bround("smoothed", 6).alias("smoothed"))
+        return ts.rolling_nonnull(observations(spark, sf_dir), "site", ["ts_s", "seq"], "frac", 5, "smoothed", how, WIDTH).select("site", "seq", F.bround("smoothed", 6).alias("smoothed"))
 
     return run
 
@@ -79,11 +82,11 @@ SELECT site, seq, round_even(CASE WHEN nn > 0 THEN {how}(frac) OVER (PARTITION B
 def locf_age(spark, sf_dir):
     obs = observations(spark, sf_dir)
     value = F.when(F.col("event_type") == "purchase", F.col("frac"))
-    return ts.carried(obs, "site", ["ts_s", "seq"], value, "ts_s", "carried", "age_s").select("site", "seq", "carried", "age_s")
+    return ts.carried(obs, "site", ["ts_s", "seq"], value, "ts_s", "carried", "age_s", WIDTH).select("site", "seq", "carried", "age_s")
 
 
 def segment_reset(spark, sf_dir):
-    seg = ts.segments(observations(spark, sf_dir), "site", ["ts_s", "seq"], F.col("event_type") == "signup")
+    seg = ts.segments(observations(spark, sf_dir), "site", ["ts_s", "seq"], F.col("event_type") == "signup", width=WIDTH)
     return seg.groupBy("site", "segment").agg(F.count(F.lit(1)).alias("n"), F.count("frac").alias("n_measured"), F.max("frac").alias("max_frac"))
 
 
@@ -178,9 +181,13 @@ def long_series(spark, sf_dir):
 
 
 def series_chain(spark, sf_dir):
-    """Rolling median, growth, streak and the nearest order of each row of the long series."""
-    made = ts.growth(ts.rolling_nonnull(long_series(spark, sf_dir), "site", ["ts_s"], "frac", 30, "smoothed"), "site", "ts_s", "frac", 300)
-    made = ts.streak(made, "site", ["ts_s"], F.col("frac") >= 0.3)
+    """Rolling median, growth, streak and the nearest order of each row of the long series.
+
+    Each level is a scan in buckets of time, written before the next, which reads it twice.
+    """
+    made = ts.rolling_nonnull(staged(long_series(spark, sf_dir), "long"), "site", ["ts_s"], "frac", 30, "smoothed", width=LONG_WIDTH)
+    made = ts.growth(staged(made, "smoothed"), "site", "ts_s", "frac", 300, width=LONG_WIDTH)
+    made = ts.streak(staged(made, "grown"), "site", ["ts_s"], F.col("frac") >= 0.3, width=LONG_WIDTH)
     orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 8 + 5).cast("double").alias("order_ts"), F.col("o_orderkey").alias("order_seq"))
     near = ts.nearest(made, orders, "ts_s", "order_ts", "order_seq", 60)
     return near.select("site", "ts_s", F.round("smoothed", 6).alias("smoothed"), F.round("growth_per_min", 6).alias("growth_per_min"), "streak", "order_seq")
