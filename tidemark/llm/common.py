@@ -2,44 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
+from ..sources.scratch import scratch, staged  # noqa: F401
 
-    Where it names none, a local master, whose only machine is this one, gets a folder of its own; a cluster is refused,
-    as no local folder would be seen by all of it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if spark.sparkContext.applicationId not in _LOCAL:
-        _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
-    return _LOCAL[spark.sparkContext.applicationId]
-
-
-_LOCAL: dict[str, str] = {}
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a re-read of the file, not a re-run of what made it.
-    """
+def forget(df: DataFrame) -> None:
+    """Delete what ``staged`` wrote for ``df``, of which nothing is read any more."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for folder in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_of(col: str = "text") -> Column:

@@ -10,6 +10,7 @@ from .secrets import op10_guess_cost_secrets
 from .sharding import op2_rendezvous_sharding
 from .simhash import op7_simhash_anchors
 from .urls import op6_association_rules
+from .vector_codes import OP11_SQL, op11_hamerly_lloyd
 
 
 def pipeline(spark, sf_dir):
@@ -31,6 +32,7 @@ LLM_QUERIES = {
     "op8_winnowing": op8_winnowing,
     "op9_orc_token_ids": op9_orc_token_ids,
     "op10_guess_cost_secrets": op10_guess_cost_secrets,
+    "op11_hamerly_lloyd": op11_hamerly_lloyd,
 }
 
-LLM_ORACLES = {"op3_exact_dedup": OP3_SQL, "op8_winnowing": OP8_SQL}
+LLM_ORACLES = {"op3_exact_dedup": OP3_SQL, "op8_winnowing": OP8_SQL, "op11_hamerly_lloyd": OP11_SQL}
