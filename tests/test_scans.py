@@ -54,3 +54,12 @@ def test_odd_series(series):
 def test_a_bucket_holds_about_the_rows_wanted(spark):
     rows_ = spark.range(1000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("ts"))
     assert 40 <= scans.width_for(rows_, ["k"], "ts", 50) <= 60
+
+
+def test_values_before_a_row(series):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("k").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    want = series.withColumns({"a": F.sum("v").over(w).cast("decimal(9,4)"), "b": F.max("v").over(w)})
+    got = scans.running(series, ["k"], ["ts", "seq"], 60.0, a=("sum_before", F.col("v")), b=("max_before", F.col("v")))
+    assert rows(got.withColumn("a", F.col("a").cast("decimal(9,4)"))) == rows(want)

@@ -33,35 +33,35 @@ def bucket(at: str, width: float) -> Column:
     return F.floor(F.col(at) / F.lit(float(width))).alias("__b")
 
 
+_TOGETHER = {"sum": F.sum, "any": F.bool_or, "max": F.max}
+
+
 def _summary(kind: str, value: Column, order: Sequence[str]) -> Column:
-    if kind in ("last", "last_before"):
-        return F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
-    return {"sum": F.sum, "any": F.bool_or, "max": F.max}[kind](value)
+    """A bucket's value of a kind."""
+    kind = kind.removesuffix("_before")
+    return F.max_by(value, F.when(value.isNotNull(), F.struct(*order))) if kind == "last" else _TOGETHER[kind](value)
 
 
-def _window(kind: str, value: Column, span, before) -> Column:
-    if kind == "last":
-        return F.last(value, ignorenulls=True).over(span)
-    if kind == "last_before":
-        return F.last(value, ignorenulls=True).over(before)
-    return {"sum": F.sum, "any": F.bool_or, "max": F.max}[kind](value).over(span)
+def _running(kind: str, value: Column, window) -> Column:
+    kind = kind.removesuffix("_before")
+    return (F.last(value, ignorenulls=True) if kind == "last" else _TOGETHER[kind](value)).over(window)
 
 
 def running(df: DataFrame, key: Sequence[str], order: Sequence[str], width: float, **values: tuple[str, Column]) -> DataFrame:
     """``df`` with running values by name, each of a kind and a column.
 
-    Kinds: ``sum``, ``max`` and ``any`` up to the row, ``last`` the last that is not null up to the row, ``last_before``
-    the last before it.
+    Kinds: ``sum``, ``max``, ``any`` and ``last`` (the last that is not null) up to the row, and the same with ``_before``
+    before it, null where nothing is.
     """
     given = {name: f"__v_{name}" for name in values}
     rows = df.select(*df.columns, bucket(order[0], width), *[v.alias(given[name]) for name, (_, v) in values.items()])
     sums = rows.groupBy(*key, "__b").agg(*[_summary(kind, F.col(given[name]), order).alias(given[name]) for name, (kind, _) in values.items()])
     earlier = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
-    carry = sums.select(*key, "__b", *[_window("last" if kind == "last_before" else kind, F.col(given[name]), earlier, earlier).alias(given[name]) for name, (kind, _) in values.items()])
+    carry = sums.select(*key, "__b", *[_running(kind, F.col(given[name]), earlier).alias(given[name]) for name, (kind, _) in values.items()])
     both = rows.withColumn("__row", F.lit(1)).unionByName(carry.withColumn("__row", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy(*key, "__b").orderBy("__row", *order)
     span, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    made = both.withColumns({name: _window(kind, F.col(given[name]), span, before) for name, (kind, _) in values.items()})
+    made = both.withColumns({name: _running(kind, F.col(given[name]), before if kind.endswith("_before") else span) for name, (kind, _) in values.items()})
     return made.where("__row = 1").select(*df.columns, *values)
 
 
