@@ -1,6 +1,7 @@
 """Queries of the corpus operators and their DuckDB counterparts, by name."""
 
 from .chat import op13_event_sourced_chat
+from .collocations import OP12_SQL, op12_pivot_collocations
 from .decontamination import OP8_SQL, op8_winnowing
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .orc_output import op9_orc_token_ids
@@ -34,7 +35,8 @@ LLM_QUERIES = {
     "op9_orc_token_ids": op9_orc_token_ids,
     "op10_guess_cost_secrets": op10_guess_cost_secrets,
     "op11_hamerly_lloyd": op11_hamerly_lloyd,
+    "op12_pivot_collocations": op12_pivot_collocations,
     "op13_event_sourced_chat": op13_event_sourced_chat,
 }
 
-LLM_ORACLES = {"op3_exact_dedup": OP3_SQL, "op8_winnowing": OP8_SQL, "op11_hamerly_lloyd": OP11_SQL}
+LLM_ORACLES = {"op3_exact_dedup": OP3_SQL, "op8_winnowing": OP8_SQL, "op11_hamerly_lloyd": OP11_SQL, "op12_pivot_collocations": OP12_SQL}
