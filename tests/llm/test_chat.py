@@ -76,7 +76,8 @@ def test_equal_to_a_plain_fold(spark, seed):
     events = spark.createDataFrame(log, LOG).selectExpr("*", "1 AS part", "'x' AS at", "2 AS size")
     want = {c: digest(t) for c, t in folded(log).items()}
     assert got(events) == want
-    assert got(events, part_chars=30) == want  # a conversation in many parts
+    assert got(events, part_chars=30) == want  # conversations in many parts
+    assert got(events, part_chars=700) == want  # some whole, some in parts
 
 
 def test_edits_and_regenerations(spark):
