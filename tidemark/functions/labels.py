@@ -19,9 +19,10 @@ def names(values: Sequence[str]) -> Column:
 
 
 def parse_utc(text: Column) -> Column:
-    """An ISO time in UTC, with ``T`` or a blank and with or without ``Z``; null for anything else."""
-    plain = F.regexp_replace(F.regexp_replace(F.trim(text), " ", "T"), "Z$", "")
-    return F.try_to_timestamp(F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"), F.concat(plain, F.lit("Z"))))
+    """An ISO time, with ``T`` or a blank and ``Z`` or an offset such as ``+07:00``; without either it is UTC; null for anything else."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text), " ", "T"), r"(T\d{2}:\d{2})(Z|[+-]|$)", "$1:00$2")
+    zone = F.nullif(F.regexp_extract(plain, r"(Z|[+-]\d{2}:\d{2})$", 1), F.lit(""))
+    return F.try_to_timestamp(F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?$"), F.when(zone.isNull(), F.concat(plain, F.lit("Z"))).otherwise(plain)))
 
 
 def utc_text(epoch_s: Column) -> Column:

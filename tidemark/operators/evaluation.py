@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import at_share, nearest_ranks, upper_middle
+from .ranks import at_share, nearest_ranks, percentiles, renamed, same, upper_middle
 
 #: The class that is not counted; what keeps a ratio of zeros finite.
 IGNORE, EPS = 255, 1e-9
@@ -34,13 +34,13 @@ def confusion(df: DataFrame, truth: str, pred: str, group: Sequence[str] = (), o
 def class_scores(matrix: DataFrame, truth: str, pred: str, classes: Sequence[int], group: Sequence[str] = ()) -> DataFrame:
     """Rows (group, cls, iou, prec, rec) of a counted confusion matrix, a row per class and group.
 
-    A class that is neither true nor predicted has no IoU. The matrix is small: it is turned over, not the rows behind it.
+    A class that is neither true nor predicted has no IoU, precision or recall. The matrix is small: it is turned over, not the rows behind it.
     """
     t, p, n = F.col(truth), F.col(pred), F.col("n")
     per = F.array(*[F.struct(F.lit(c).alias("cls"), F.when((t == c) & (p == c), n).otherwise(0).alias("tp"), F.when((t != c) & (p == c), n).otherwise(0).alias("fp"), F.when((t == c) & (p != c), n).otherwise(0).alias("fn")) for c in classes])
     sums = matrix.select(*group, F.explode(per).alias("c")).groupBy(*group, "c.cls").agg(*[F.sum(f"c.{x}").cast("double").alias(x) for x in ("tp", "fp", "fn")])
     tp, fp, fn, eps = F.col("tp"), F.col("fp"), F.col("fn"), F.lit(EPS)
-    return sums.select(*group, "cls", F.when(tp + fp + fn > 0, tp / (tp + fp + fn + eps)).alias("iou"), (tp / (tp + fp + eps)).alias("prec"), (tp / (tp + fn + eps)).alias("rec"))
+    return sums.select(*group, "cls", *[F.when(tp + fp + fn > 0, share).alias(name) for name, share in (("iou", tp / (tp + fp + fn + eps)), ("prec", tp / (tp + fp + eps)), ("rec", tp / (tp + fn + eps)))])
 
 
 def mean_iou(scores: DataFrame, places: int = 9) -> DataFrame:
@@ -91,7 +91,9 @@ def latency(df: DataFrame, group: Sequence[str], ms: str) -> DataFrame:
 def video_summary(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Mean, median, least and most of what was measured, and how much was not."""
     v = F.col(value)
-    return df.groupBy(*group).agg(F.avg(v).alias("mean"), F.median(v).alias("med"), F.min(v).alias("least"), F.max(v).alias("most"), F.count_if(v.isNull()).alias("unmeasurable"))
+    every = df.groupBy(*group).agg(F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.count_if(v.isNull()).alias("unmeasurable"))
+    mid = renamed(percentiles(df, group, value, {"med": 0.5}), group)
+    return every.join(mid, same(every, mid, group), "left").select(*(every[c] for c in group), "mean", "med", "least", "most", "unmeasurable")
 
 
 def early_stop(df: DataFrame, key: Sequence[str], order: str, score: str, patience: int) -> DataFrame:

@@ -152,4 +152,4 @@ def luminances(df: DataFrame, step: str, value: str, order: Sequence[str], most:
     """Median of the first ``most`` luminances of each step."""
     from .ranks import heads
 
-    return heads(df, [step], order, most).groupBy(step).agg(F.median(value).alias("luminance"))
+    return heads(df, [step], order, most).groupBy(step).agg(F.median(value).alias("luminance"))  # of ``most`` values

@@ -1,6 +1,6 @@
-"""Exact ranks and positions without a whole group in one task.
+"""Exact ranks, percentiles and heads of numbers without a whole group in one task.
 
-Values are dealt over ranges whose cuts are approximate quantiles. The cuts only decide where work is done: counts of
+Values are counted first, then dealt over ranges whose cuts are approximate quantiles. The cuts only decide where work is done: counts of
 the ranges, a few rows, tell where each range begins, so results are exact.
 """
 
@@ -12,7 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from ..sources.scratch import staged
+
+#: Distinct values of a range; how many ranges there are follows from how many values were counted.
+RANGE_ROWS = 1_000_000
 
 
 def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
@@ -24,17 +27,32 @@ def renamed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*(F.col(c).alias(f"__{c}" if c in columns else c) for c in df.columns))
 
 
-def dealt(df: DataFrame, group: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
-    """``df`` with ``__range``, which rises with ``value`` within a group; nulls come first."""
-    cuts = df.groupBy(*group).agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 1000).alias("__cuts"))
+def below(cuts: Column, value: Column, most: int) -> Column:
+    """How many of at most ``most`` sorted ``cuts`` lie below ``value``, by halving; null counts as below all."""
+    halves = F.sequence(F.lit(1), F.lit(max(1, most.bit_length())))
+    start = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size(cuts), F.lit(0)).alias("hi"))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        less = (s["lo"] < s["hi"]) & F.coalesce(F.get(cuts, mid) < value, F.lit(False))
+        return F.struct(F.when(less, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(less | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(halves, start, step, lambda s: s["lo"])
+
+
+def dealt(df: DataFrame, group: Sequence[str], value: str, ranges: int) -> DataFrame:
+    """``df`` with ``__range``, which rises with the number ``value`` within a group; nulls come first."""
+    if ranges < 2:
+        return df.withColumn("__range", F.lit(0))
+    cuts = df.groupBy(*group).agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), max(1000, 4 * ranges)).alias("__cuts"))
     cuts = renamed(cuts, group)
-    at = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(value))), F.lit(0))
-    return df.join(cuts, same(df, cuts, group), "left").select(*df.columns, at.alias("__range"))
+    return df.join(cuts, same(df, cuts, group), "left").select(*df.columns, below(F.col("__cuts"), F.col(value), ranges).alias("__range"))
 
 
-def nearest_ranks(df: DataFrame, group: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def nearest_ranks(df: DataFrame, group: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]], ranges: int | None = None) -> DataFrame:
     """A row per group: ``n`` values that are not null, and for each name the value at a zero-based rank that follows from ``n``."""
-    counted = dealt(df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c")), group, value)
+    counted = staged(df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c")), "counted")
+    counted = dealt(counted, group, value, ranges or -(-counted.count() // RANGE_ROWS))
     sizes = counted.groupBy(*group, "__range").agg(F.sum("__c").alias("__size"))
     by_range = Window.partitionBy(*group).orderBy("__range")
     sizes = sizes.select(*group, "__range", F.coalesce(F.sum("__size").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("__size").over(Window.partitionBy(*group)).alias("__n"))
@@ -50,16 +68,27 @@ def nearest_ranks(df: DataFrame, group: Sequence[str], value: str, ranks: dict[s
     return placed.groupBy(*group).agg(F.max("__n").alias("n"), *picked)
 
 
+def percentiles(df: DataFrame, group: Sequence[str], value: str, shares: dict[str, float], ranges: int | None = None) -> DataFrame:
+    """A row per group: ``n`` values that are not null, and for each name the percentile at a share, between the two nearest ranks in proportion."""
+    at = lambda p, n: F.lit(float(p)) * (n - 1)
+    picks = {}
+    for name, p in shares.items():
+        picks[f"__lo_{name}"] = lambda n, p=p: F.floor(at(p, n))
+        picks[f"__hi_{name}"] = lambda n, p=p: F.ceil(at(p, n))
+    found = nearest_ranks(df, group, value, picks, ranges)
+
+    def between(name: str, p: float) -> Column:
+        place, lo, hi = at(p, F.col("n")), F.col(f"__lo_{name}").cast("double"), F.col(f"__hi_{name}").cast("double")
+        return F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi).alias(name)
+
+    return found.select(*group, "n", *[between(name, p) for name, p in shares.items()])
+
+
 def positions(df: DataFrame, lead: Sequence[str], value: str, out: str = "pos", first: int = 1) -> DataFrame:
     """``df`` with its position in the order of ``lead``, then ``value`` (nulls first): gapless over the whole table."""
-    rows = dealt(df, lead, value)
-    keys = [*lead, "__range"]
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # a row per lead and range
-    sizes = renamed(sizes.select(*keys, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__base")), keys)
-    joined = rows.join(sizes, same(rows, sizes, keys)).select(*rows.columns, "__base")
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(value, *(c for c in df.columns if c not in (*lead, value))))
-    return joined.select(*df.columns, (F.col("__base") + at - 1 + first).alias(out))
+    from .order import placed
+
+    return placed(df, [*lead, value], out, first)
 
 
 def heads(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], n: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
 from .ranks import heads, renamed, same
 
 
@@ -110,16 +111,23 @@ def weighted(df: DataFrame, weights: DataFrame, key: str, weight: str, default:
 
 def capped(df: DataFrame, group: str, key: str, quota: Column, seed: int) -> DataFrame:
     """``quota`` rows of each group without replacement (at least one, at most all), drawn by seed; ``n`` in ``quota`` is the group's size."""
-    sized = df.join(renamed(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), [group]), F.col(group).eqNullSafe(F.col(f"__{group}"))).drop(f"__{group}")
-    at = F.row_number().over(Window.partitionBy(group).orderBy(seeded(seed, key), key))
-    return sized.withColumn("__at", at).where(F.col("__at") <= F.greatest(F.lit(1), F.least("n", quota))).select(*df.columns)
+    made = numbered(df.withColumn("__draw", seeded(seed, key)), [group], ["__draw", key], "__at", "n")
+    return made.where(F.col("__at") <= F.greatest(F.lit(1), F.least("n", quota))).select(*df.columns)
 
 
 def every_kth(df: DataFrame, group: Sequence[str], order: Sequence[str], k: int, most: int | None = None) -> DataFrame:
-    """Each group's first row and every k-th after it, among its first ``most`` rows."""
-    at = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    made = df.withColumn("__at", at)
-    return made.where(((F.col("__at") - 1) % k == 0) & (F.lit(True) if most is None else F.col("__at") <= most)).drop("__at")
+    """Each group's first row and every k-th after it, ``most`` of them at most."""
+    made = numbered(df, group, order, "__at", "__size").withColumn("__step", (F.col("__at") - 1) / k)
+    kept = made.where((F.col("__at") - 1) % k == 0)
+    return (kept if most is None else kept.where(F.col("__step") < most)).select(*df.columns)
+
+
+def checked_sample(df: DataFrame, group: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
+    """About ``most`` rows of each larger group, evenly spaced: every step-th, where the step is the group's size over ``most``, ``most`` at most."""
+    made = numbered(df, group, order, "__at", "__size")
+    step = F.greatest(F.lit(1), F.floor(F.col("__size") / most))
+    at = F.col("__at") - 1
+    return made.where((F.col("__size") <= most) | ((at % step == 0) & (at / step < most))).select(*df.columns)
 
 
 def unique_or_fail(df: DataFrame, key: Sequence[str], what: str = "key") -> DataFrame:

@@ -27,52 +27,49 @@ def next_level(now: int, since_low: float | None, t: float, height, rain, enter,
     return (now - 1, None) if calm >= dwell else (now, since_low)
 
 
-def _key(k):
-    """A key of pandas, null ones all alike."""
-    import pandas as pd
-
-    return None if pd.isna(k) else k
-
-
 def levels(df: DataFrame, key: str, ts: str, height: str, rain: str, enter=(30.0, 60.0), leave=(25.0, 55.0), rains=(10.0, 30.0), dwell: float = 60.0, seq: str | None = None, wrap: float | None = None) -> DataFrame:
     """``df`` (key, ts, height, rain) with ``level`` by hysteresis, folded row by row within each key, in the order of ``ts``, then ``seq``.
 
     A clock that wraps is no order: give rows with ``wrap`` a ``seq`` alone, as ``ts`` then only measures time.
     """
 
+    number = lambda v: None if v is None or v != v else v
+
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         at, now, low = object(), 0, None
-        for pdf in batches:
+        for batch in batches:  # Arrow's own values: ids stay whole numbers beside nulls
             out = []
-            for k, t, h, r in zip(pdf[key], pdf[ts], pdf[height], pdf[rain], strict=True):
-                if _key(k) != at:
-                    at, now, low = _key(k), 0, None
-                now, low = next_level(now, low, t, None if pd.isna(h) else h, None if pd.isna(r) else r, enter, leave, rains, dwell, wrap)
+            for k, t, h, r in zip(*[batch.column(c).to_pylist() for c in (key, ts, height, rain)], strict=True):
+                if k != at:
+                    at, now, low = k, 0, None
+                now, low = next_level(now, low, t, number(h), number(r), enter, leave, rains, dwell, wrap)
                 out.append(LEVELS[now])
-            yield pdf.assign(level=out)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "level"])
 
     order = [seq] if wrap and seq else [ts, *([seq] if seq else [])]
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, df.withColumn("level", F.lit("")).schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, df.withColumn("level", F.lit("")).schema)
 
 
 def throttled(df: DataFrame, key: str, ts: str, interval: float, seq: str | None = None) -> DataFrame:
     """Rows emitted when ``interval`` seconds have passed since the last emitted row of the key, in the order of ``ts``, then ``seq``."""
 
     def run(batches):
+        import pyarrow as pa
+
         at, last = object(), None
-        for pdf in batches:
+        for batch in batches:
             keep = []
-            for k, t in zip(pdf[key], pdf[ts], strict=True):
-                if _key(k) != at:
-                    at, last = _key(k), None
+            for k, t in zip(batch.column(key).to_pylist(), batch.column(ts).to_pylist(), strict=True):
+                if k != at:
+                    at, last = k, None
                 go = last is None or t - last >= interval
                 last = t if go else last
                 keep.append(go)
-            yield pdf[keep]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.repartition(key).sortWithinPartitions(key, ts, *([seq] if seq else [])).mapInPandas(run, df.schema)
+    return df.repartition(key).sortWithinPartitions(key, ts, *([seq] if seq else [])).mapInArrow(run, df.schema)
 
 
 def greedy_split(groups: DataFrame, dataset: str, group: str, size: str, ratios=(("train", 0.7), ("val", 0.15), ("test", 0.15)), seed: int = 42) -> DataFrame:
@@ -81,15 +78,18 @@ def greedy_split(groups: DataFrame, dataset: str, group: str, size: str, ratios=
     ``groups`` holds a row per group, in md5 order of ``seed:dataset:group``; a dataset's groups are few.
     """
 
-    def run(pdf):
+    def run(table):
         import hashlib
 
-        order = sorted(range(len(pdf)), key=lambda i: hashlib.md5(f"{seed}:{pdf[dataset].iloc[i]}:{pdf[group].iloc[i]}".encode()).hexdigest())
-        total, filled, out = pdf[size].sum(), [0] * len(ratios), [""] * len(pdf)
+        import pyarrow as pa
+
+        sets, names, sizes = (table.column(c).to_pylist() for c in (dataset, group, size))
+        order = sorted(range(len(names)), key=lambda i: hashlib.md5(f"{seed}:{sets[i]}:{names[i]}".encode()).hexdigest())
+        total, filled, out = sum(sizes), [0] * len(ratios), [""] * len(names)
         for n, i in enumerate(order):
-            k = n if n < len(ratios) <= len(pdf) else max(range(len(ratios)), key=lambda j: ratios[j][1] * total - filled[j])
-            filled[k] += pdf[size].iloc[i]
+            k = n if n < len(ratios) <= len(names) else max(range(len(ratios)), key=lambda j: ratios[j][1] * total - filled[j])
+            filled[k] += sizes[i]
             out[i] = ratios[k][0]
-        return pdf.assign(split=out)
+        return table.append_column("split", pa.array(out, pa.string()))
 
-    return groups.groupBy(dataset).applyInPandas(run, groups.withColumn("split", F.lit("")).schema)
+    return groups.groupBy(dataset).applyInArrow(run, groups.withColumn("split", F.lit("")).schema)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import positions
+from .order import placed
 
 #: Shares of pixels below which debris is missing, and water suspicious.
 DEBRIS_FLOOR, WATER_FLOOR = 1e-5, 1e-4
@@ -94,9 +94,9 @@ def top(df: DataFrame, value: str, n: int) -> DataFrame:
 
 
 def worst_first(df: DataFrame, flagged: Column, score: str, key: str) -> DataFrame:
-    """``df`` with its place in the order of review: flagged rows first, then by ascending score."""
+    """``df`` with its place in the order of review: flagged rows first, then by ascending score, then by key, of whatever type."""
     keyed = df.withColumn("__clean", F.when(flagged, 0).otherwise(1))
-    return positions(keyed, ["__clean", score], key).drop("__clean")
+    return placed(keyed, ["__clean", score, key]).drop("__clean")
 
 
 def ranges(df: DataFrame, key: Sequence[str], value: str, missing: Column) -> DataFrame:

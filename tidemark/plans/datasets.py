@@ -40,11 +40,11 @@ SQL = {
     "orphan_values": "SELECT l_linestatus, count(*) AS n FROM {lineitem} WHERE l_linestatus NOT IN ('O') GROUP BY l_linestatus",
     "confusion_matrix": f"SELECT truth, pred, count(*) AS n FROM ({_CM}) m GROUP BY truth, pred",
     "confusion_by_group": f"SELECT lang, truth, pred, count(*) AS n FROM ({_CM}) m GROUP BY GROUPING SETS ((lang, truth, pred), (truth, pred))",
-    "iou_metrics": f"SELECT cls, CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn + 1e-9) END AS iou, tp / (tp + fp + 1e-9) AS prec, tp / (tp + fn + 1e-9) AS rec FROM (SELECT cls, cast(tp AS double) AS tp, cast(fp AS double) AS fp, cast(fn AS double) AS fn FROM ({_IOU.format(key='', cm=_CM, keys='c.cls', labels='{labels}')}) q) z".replace("1e-9", "cast(1e-9 AS double)"),
+    "iou_metrics": f"SELECT cls, CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn + 1e-9) END AS iou, CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + 1e-9) END AS prec, CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fn + 1e-9) END AS rec FROM (SELECT cls, cast(tp AS double) AS tp, cast(fp AS double) AS fp, cast(fn AS double) AS fn FROM ({_IOU.format(key='', cm=_CM, keys='c.cls', labels='{labels}')}) q) z".replace("1e-9", "cast(1e-9 AS double)"),
     "per_group_iou": f"SELECT lang, cls, CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn + 1e-9) END AS iou FROM (SELECT lang, cls, cast(tp AS double) AS tp, cast(fp AS double) AS fp, cast(fn AS double) AS fn FROM ({_IOU.format(key='lang,', cm=_CM, keys='c.cls, lang')}) q) z".replace("1e-9", "cast(1e-9 AS double)"),
     "degradation_vs_max": "SELECT o_orderpriority, cents, CASE WHEN base > 0 THEN cast(floor(cast(10000 * (base - cents) AS double) / base) AS bigint) END AS drop_bp FROM (SELECT o_orderpriority, cents, first_value(cents) OVER (ORDER BY o_orderpriority DESC) AS base FROM (SELECT o_orderpriority, max(cast(round(o_totalprice * 100) AS bigint)) AS cents FROM {orders} GROUP BY o_orderpriority) g) b",
     "capped_sampler": "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('7:', cast(doc_id AS string)))) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM {documents}) s WHERE rn <= greatest(1, least(n, CASE WHEN lang = 'en' THEN 50 ELSE 100 END))",
-    "systematic_sample": "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM {orders}) s WHERE (rn - 1) % 10 = 0 AND rn <= 5000",
+    "systematic_sample": "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM {orders}) s WHERE (rn - 1) % 10 = 0 AND (rn - 1) / 10 < 500",
     "leaderboard": "SELECT source, n_chars FROM {documents} ORDER BY n_chars DESC, doc_id LIMIT 1",
     "top_reasons": "SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type ORDER BY n DESC, event_type LIMIT 5",
     "site_ranges": "SELECT user_id, min(value) AS least, max(value) AS most, count(*) AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS missing FROM {events} GROUP BY user_id",
@@ -170,7 +170,7 @@ QUERIES = {
         "iou_mean": lambda t: evaluation.mean_iou(_scores(t)),
         "degradation_vs_max": _degradation,
         "capped_sampler": lambda t: splits.capped(t("documents").select("lang", "doc_id"), "lang", "doc_id", F.when(F.col("lang") == "en", 50).otherwise(100), 7),
-        "systematic_sample": lambda t: splits.every_kth(t("orders"), ["o_orderpriority"], ["o_orderkey"], 10, 5000).select("o_orderkey"),
+        "systematic_sample": lambda t: splits.every_kth(t("orders"), ["o_orderpriority"], ["o_orderkey"], 10, 500).select("o_orderkey"),
         "leaderboard": lambda t: t("documents").orderBy(F.desc("n_chars"), "doc_id").limit(1).select("source", "n_chars"),
         "top_reasons": lambda t: validation.top(t("events"), "event_type", 5),
         "site_ranges": lambda t: validation.ranges(t("events"), ["user_id"], "value", F.col("event_type") == "error"),

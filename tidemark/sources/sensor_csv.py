@@ -12,23 +12,28 @@ FIELDS = (
 )
 
 
+#: White space around lines and fields.
+WHITE = " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def parse(lines: DataFrame, line: str = "csv") -> DataFrame:
     """``lines`` without blank and header lines, with the typed fields and ``ok``.
 
-    Each field is trimmed and cast once; what is neither blank, ``nan`` nor a finite number is malformed.
+    A line is well formed if it has all fields, a time as text and as a number, and no number field that is neither
+    blank, ``nan`` nor a finite decimal number. Blank and ``nan`` are null. A fraction of a whole-number field is cut.
     """
-    trimmed = lines.withColumn("__l", F.trim(F.col(line))).where((F.col("__l") != "") & ~F.col("__l").startswith("ts_utc"))
-    parts = trimmed.withColumn("__f", F.split("__l", ",", -1))
-    texts = parts.withColumns({f"__t{i}": F.trim(F.get("__f", F.lit(i))) for i in range(len(FIELDS))})
-    numeric = [i for i, (_, kind) in enumerate(FIELDS) if kind != "string"]
-    cast = texts.withColumns({f"__v{i}": F.col(f"__t{i}").try_cast("double") for i in numeric})
-    blank = lambda i: F.lower(f"__t{i}").isin("", "nan", "-nan")
-    finite = lambda i: F.col(f"__v{i}").isNotNull() & ~F.isnan(f"__v{i}") & (F.abs(f"__v{i}") != float("inf"))
-    ok = (F.size("__f") == len(FIELDS)) & (F.col("__t1") != "")
-    for i in numeric:
-        ok = ok & (finite(i) | blank(i))
-    value = lambda i, kind: F.when(finite(i), F.col(f"__v{i}") if kind == "double" else F.col(f"__v{i}").try_cast(kind))
-    cols = [(F.nullif(F.col(f"__t{i}"), F.lit("")) if kind == "string" else value(i, kind)).alias(name) for i, (name, kind) in enumerate(FIELDS)]
+    white = F.lit(WHITE)
+    trimmed = lines.withColumn("__l", F.btrim(F.col(line), white)).where((F.col("__l") != "") & ~F.col("__l").startswith("ts_utc"))
+    fields = trimmed.withColumn("__f", F.transform(F.split("__l", ",", -1), lambda x: F.btrim(x, white)))
+    number = lambda x: F.when(x.rlike(NUMBER), x.try_cast("double"))
+    cast = fields.withColumn("__v", F.transform("__f", number))
+    numeric = F.array(*[F.lit(kind != "string") for _, kind in FIELDS])
+    finite = lambda v: v.isNotNull() & (F.abs(v) != float("inf"))
+    fine = F.zip_with(F.zip_with("__f", "__v", lambda x, v: finite(v) | F.lower(x).isin("", "nan", "-nan")), numeric, lambda good, needed: good | ~needed)
+    ok = (F.size("__f") == len(FIELDS)) & (F.get("__f", F.lit(0)) != "") & finite(F.get("__v", F.lit(1))) & F.forall(fine, lambda x: x)
+    value = lambda i, kind: F.when(finite(F.get("__v", F.lit(i))), F.get("__v", F.lit(i)).try_cast(kind))
+    cols = [(F.nullif(F.get("__f", F.lit(i)), F.lit("")) if kind == "string" else value(i, kind)).alias(name) for i, (name, kind) in enumerate(FIELDS)]
     return cast.select(*lines.columns, F.coalesce(ok, F.lit(False)).alias("ok"), *cols)
 
 

@@ -77,10 +77,33 @@ def write_table(rows: DataFrame, path: str, order: Sequence[str] = (), mode: str
     rows.coalesce(1).sortWithinPartitions(*order or rows.columns[:1]).write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
 
 
-def write_review(rows: DataFrame, path: str, flagged: str, score: str, key: str) -> None:
-    """A list for review, worst first with an empty verdict, as CSV with a header; a list that is there is left alone and the call fails."""
-    made = worst_first(rows, F.col(flagged) != "", score, key).withColumn("verdict", F.lit(""))
-    made.repartitionByRange("pos").sortWithinPartitions("pos").write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)
+def write_review(rows: DataFrame, path: str, flagged: str, score: str, key: str, notes: Sequence[str] = ()) -> None:
+    """A list for review (file, verdict, note), worst first, as CSV with a header; a list that is there is left alone and the call fails.
+
+    Rows without a flag are ``ok`` from the start; the verdict of flagged ones is blank, so that someone must look, and
+    their note names the flag and the columns of ``notes``. A missing score counts as 0.
+    """
+    bad = F.coalesce(F.col(flagged), F.lit("")) != ""
+    said = [F.concat(F.lit(f" {c}="), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in notes]
+    note = F.when(bad, F.concat(F.lit("auto:"), F.col(flagged), *said)).otherwise("")
+    listed = rows.select(F.col(key).cast("string").alias("file"), F.when(bad, "").otherwise("ok").alias("verdict"), note.alias("note"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("__score"))
+    made = worst_first(listed, F.col("verdict") == "", "__score", "file")
+    laid = made.repartitionByRange("pos").sortWithinPartitions("pos").select("file", "verdict", "note")
+    laid.write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)
+
+
+def apply_review(spark: SparkSession, path: str, excluded_path: str) -> DataFrame:
+    """Reads a reviewed list and writes the ids that must not be used, one a line, in order; returns how often each verdict stands.
+
+    A blank verdict is ``unreviewed`` and excludes like ``reject``; a row without an id is passed over; any other verdict
+    fails with its line.
+    """
+    from .records import verdicts
+
+    read = verdicts(spark, path, "file").select(F.trim("file").alias("file"), F.when(F.col("verdict") == "", "unreviewed").otherwise(F.col("verdict")).alias("verdict")).where("file <> ''")
+    out = read.where("verdict <> 'ok'").select(F.col("file").alias("value"))
+    out.repartitionByRange("value").sortWithinPartitions("value").write.mode("errorifexists").text(excluded_path)
+    return read.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fixed_columns(rows: DataFrame, columns: Sequence[str], kinds: dict[str, str] | None = None, site: str | None = None) -> DataFrame:
