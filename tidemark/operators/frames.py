@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area_in, denormalised, rounded
-from .masks import inside
+from .fill import polygon_pixels
 from .timeseries import rolling_nonnull
 
 #: Classes of a pixel.
@@ -100,9 +100,7 @@ def arg_max(scores: Column) -> Column:
 
 def polygon_mask(polygon: Column, width: int, height: int) -> Column:
     """Booleans by rows: the pixels of a polygon of the unit square, its edge included. Null stays null."""
-    corners = rounded(denormalised(polygon, F.lit(width), F.lit(height)))
-    at = lambda i: inside(corners, (i % width).cast("double"), F.floor(i / width).cast("double"))
-    return F.when(polygon.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), at))
+    return polygon_pixels(rounded(denormalised(polygon, F.lit(width), F.lit(height))), width, height)
 
 
 def union_area(instances: DataFrame, frame: Sequence[str], px: str) -> DataFrame:

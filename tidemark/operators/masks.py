@@ -1,10 +1,12 @@
-"""Class masks and polygons: filled regions and connected regions of a frame."""
+"""Polygons and run lengths as column expressions; ``regions`` has connected regions, ``fill`` filled polygons."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .regions import promoted  # noqa: F401
+
 
 def inside(polygon: Column, x: Column, y: Column) -> Column:
     """Whether a point lies in a polygon (array of structs x, y) or on its edge."""
@@ -55,59 +57,3 @@ def run_mask(counts: Column, height: Column, width: Column) -> Column:
     down = F.flatten(F.transform(counts, lambda c, i: F.array_repeat((i % 2).cast("int"), c.cast("int"))))
     by_row = F.transform(F.sequence(F.lit(0), height * width - 1), lambda p: F.get(down, ((p % width) * height + F.floor(p / width)).cast("int")))
     return F.when((height * width > 0) & (F.size(down) == height * width), by_row)
-
-
-def promoted(frames: DataFrame, width: int, least: int | None = None, debris: int = 2, clump: int = 3, frame: str = "frame_id", px: str = "px", share: float = 0.005, close: int = 0, corners: bool = True) -> DataFrame:
-    """``frames`` (frame, px: array of classes by rows) with large connected debris regions turned into clumps, and their number.
-
-    A region is large with ``least`` pixels or more (None: ``share`` of the frame). Gaps narrower than ``close`` (odd;
-    0: none) are bridged first; a bridge counts as area but stays what it was, so no debris is invented. Neighbours touch
-    by a side, or with ``corners`` by a corner too. Null and empty frames keep their pixels and have none.
-    A frame is one row, so no frame leaves its task.
-    """
-    if close and close % 2 == 0:
-        raise ValueError("close must be odd")
-
-    def around(field, reach, pick, outside, corners=True):
-        """The ``pick`` (max or min) of each pixel's neighbours within ``reach``."""
-        import numpy as np
-
-        h, w = field.shape
-        wide = np.pad(field, reach, constant_values=outside)
-        steps = [(dy, dx) for dy in range(2 * reach + 1) for dx in range(2 * reach + 1) if corners or reach in (dy, dx)]
-        return pick.reduce([wide[dy : dy + h, dx : dx + w] for dy, dx in steps])
-
-    def regions(on):
-        """A number per region, 0 elsewhere: each region takes the largest number in it."""
-        import numpy as np
-
-        label = np.where(on, np.arange(1, on.size + 1).reshape(on.shape), 0)
-        while True:
-            new = np.where(on, around(label, 1, np.maximum, 0, corners), 0)
-            new = np.where(on, np.append(0, new.ravel())[new], 0)  # and what that number's own pixel has taken
-            if (new == label).all():
-                return label
-            label = new
-
-    def run(batches):
-        import numpy as np
-
-        for pdf in batches:
-            masks, counts = [], []
-            for values in pdf[px]:
-                if values is None or not len(values):
-                    masks.append(values)
-                    counts.append(0)
-                    continue
-                mask = np.array(values, np.int64).reshape(-1, width)
-                on = mask == debris
-                if close > 1:
-                    on = around(around(on, close // 2, np.logical_or, False), close // 2, np.logical_and, True)
-                label = regions(on)
-                ids, n = np.unique(label[label > 0], return_counts=True)
-                large = ids[n >= (share * mask.size if least is None else least)]
-                masks.append(np.where(np.isin(label, large) & (mask == debris), clump, mask).ravel().tolist())
-                counts.append(len(large))
-            yield pdf.assign(**{px: masks, "n_clumps": counts})
-
-    return frames.select(frame, F.col(px).cast("array<int>").alias(px)).mapInPandas(run, f"{frame} long, {px} array<int>, n_clumps long")
