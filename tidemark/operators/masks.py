@@ -32,6 +32,50 @@ def valid_polygon(polygon: Column) -> Column:
     return F.coalesce(F.size(polygon).between(3, 64) & fine & (polygon_area(polygon) >= 1e-4), F.lit(False))
 
 
+#: What is said of a polygon that is none.
+REASONS = {"list": "bukan larik", "few": "minimal 3 titik", "many": "maksimal 64 titik", "point": "titik harus [x, y]", "number": "koordinat harus angka", "range": "koordinat harus di antara 0 dan 1", "area": "luas nyaris nol -- titik segaris?", "body": "body bukan objek"}
+
+
+def _listed(value: Column) -> Column:
+    """A variant as an array of variants; null if it is no list."""
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+
+
+def polygon_reason(value: Column) -> Column:
+    """Why a variant is no polygon ([[x, y], ...] in the unit square, see ``valid_polygon``): the first reason in the order of the checks, null if it is one."""
+    points = _listed(value)
+
+    def wrong(p: Column) -> Column:
+        xy = _listed(p)
+        kind = lambda i: F.schema_of_variant(F.get(xy, F.lit(i)))
+        number = lambda i: kind(i).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+        at = lambda i: F.try_variant_get(F.get(xy, F.lit(i)), "$", "double")
+        finite = lambda i: number(i) & (F.abs(at(i)) < float("inf"))
+        return (
+            F.when(xy.isNull() | (F.size(xy) != 2), REASONS["point"])
+            .when(~F.coalesce(finite(0) & finite(1), F.lit(False)), REASONS["number"])
+            .when(~(at(0).between(0, 1) & at(1).between(0, 1)), REASONS["range"])
+        )
+
+    corners = F.transform(points, lambda p: F.struct(F.try_variant_get(p, "$[0]", "double").alias("x"), F.try_variant_get(p, "$[1]", "double").alias("y")))
+    first = F.get(F.filter(F.transform(points, wrong), lambda w: w.isNotNull()), F.lit(0))
+    return (
+        F.when(points.isNull(), REASONS["list"])
+        .when(F.size(points) < 3, REASONS["few"])
+        .when(F.size(points) > 64, REASONS["many"])
+        .when(first.isNotNull(), first)
+        .when(polygon_area(corners) < 1e-4, REASONS["area"])
+    )
+
+
+def polygons_reason(body: Column) -> Column:
+    """Why a JSON text is no pair of polygons ``roi`` and ``structure``; the part that is wrong stands before its reason, null if all is well."""
+    made = F.try_parse_json(body)
+    part = lambda name: F.concat(F.lit(f"{name}: "), F.coalesce(polygon_reason(F.try_variant_get(made, f"$.{name}", "variant")), F.when(F.try_variant_get(made, f"$.{name}", "variant").isNull(), REASONS["list"])))
+    shaped = F.coalesce(F.schema_of_variant(made).rlike("^(OBJECT|ARRAY)"), F.lit(False))
+    return F.when(~shaped, REASONS["body"]).otherwise(F.coalesce(part("roi"), part("structure")))
+
+
 def run_lengths(text: Column) -> Column:
     """Run lengths of the compressed text form: null stays null, an empty text has none.
 

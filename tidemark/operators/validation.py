@@ -55,6 +55,13 @@ def missing_files(meta: DataFrame, listing: DataFrame, id_col: str, columns: Seq
     return gone.select("scope", F.lit("error").alias("level"), F.concat("kind", F.lit(" missing"), F.coalesce(F.concat(F.lit(" ("), F.col("file"), F.lit(")")), F.lit(""))).alias("message"))
 
 
+def label_warnings(datasets: DataFrame, dataset: str = "dataset", water_source: str = "water_source", labelled: str = "has_pseudolabels", reviewed: str = "has_exclusions") -> DataFrame:
+    """(scope, level, message) for data sets whose water is still to be labelled, or is labelled and not reviewed."""
+    pending = F.col(water_source) == "pseudo_pending"
+    said = F.when(pending & ~F.coalesce(F.col(labelled), F.lit(False)), "water labels are pending and have not been made").when(pending & ~F.coalesce(F.col(reviewed), F.lit(False)), "water labels have not been reviewed: unreviewed water is in the training data")
+    return datasets.select(F.col(dataset).alias("scope"), F.lit("warning").alias("level"), said.alias("message")).where("message IS NOT NULL")
+
+
 def failures(df: DataFrame, error: str) -> DataFrame:
     """Failures by the class of their error, which is what stands before the first colon; rows without one did not fail."""
     kind = F.trim(F.split(error, ":", 2)[0])

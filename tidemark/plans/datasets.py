@@ -63,7 +63,7 @@ DUCK = {
     "latency_nearest_rank": "SELECT l_returnflag, n0 AS n, s[n0 // 2 + 1] AS p50, s[least(n0 - 1, floor(0.9::DOUBLE * n0)::INT) + 1] AS p90 FROM (SELECT l_returnflag, list_sort(list(l_extendedprice)) AS s, count(*)::INT AS n0 FROM lineitem GROUP BY l_returnflag)",
     "upper_median": "SELECT user_id, list_sort(list(value))[count(*) // 2 + 1] AS med FROM events GROUP BY user_id",
     "paint_priority": "SELECT l_orderkey, l_returnflag AS painted FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC, l_returnflag DESC) = 1",
-    "polygon_area_validity": "SELECT vec_id, area, area >= 1e-4::DOUBLE AS valid FROM (SELECT vec_id, round(abs(e[1]*e[4] - e[3]*e[2] + e[3]*e[6] - e[5]*e[4] + e[5]*e[8] - e[7]*e[6] + e[7]*e[2] - e[1]*e[8]) / 2, 6) AS area FROM (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS e FROM embeddings))",
+    "polygon_area_validity": "SELECT vec_id, area, raw >= 1e-4::DOUBLE AND ok AS valid FROM (SELECT vec_id, len(list_filter(e, lambda x: x < -0.5 OR x > 0.5)) = 0 AS ok, abs(e[1]*e[4] - e[3]*e[2] + e[3]*e[6] - e[5]*e[4] + e[5]*e[8] - e[7]*e[6] + e[7]*e[2] - e[1]*e[8]) / 2 AS raw, round(abs(e[1]*e[4] - e[3]*e[2] + e[3]*e[6] - e[5]*e[4] + e[5]*e[8] - e[7]*e[6] + e[7]*e[2] - e[1]*e[8]) / 2, 6) AS area FROM (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS e FROM embeddings))",
     "mask_overlay": "SELECT vec_id, len(list_filter(m, lambda x: x = 2)) AS debris, len(list_filter(m, lambda x: x = 1)) AS water, len(list_filter(m, lambda x: x = 2)) / nullif(len(list_filter(m, lambda x: x > 0)), 0)::DOUBLE AS coverage FROM (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.1 THEN 2 WHEN x > 0 THEN 1 ELSE 0 END) AS m FROM embeddings)",
     "lut_gather": "SELECT vec_id, list_sum(list_transform(embedding, lambda x: [0, 5, 9][CASE WHEN x > 0.1 THEN 3 WHEN x > 0 THEN 2 ELSE 1 END]))::BIGINT AS total FROM embeddings",
     "argmax_class": "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS cls FROM embeddings",
@@ -184,7 +184,7 @@ QUERIES = {
         "latency_nearest_rank": lambda t: ranks.nearest_ranks(t("lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": ranks.upper_middle, "p90": ranks.at_share(0.9)}),
         "upper_median": lambda t: ranks.nearest_ranks(t("events"), ["user_id"], "value", {"med": ranks.upper_middle}).select("user_id", "med"),
         "paint_priority": lambda t: frames.painted(t("lineitem"), ["l_orderkey"], "l_returnflag", ["l_quantity", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag"]),
-        "polygon_area_validity": lambda t: _points(t).select("vec_id", F.round(masks.polygon_area(F.col("polygon")), 6).alias("area")).withColumn("valid", F.col("area") >= 1e-4),
+        "polygon_area_validity": lambda t: _points(t).select("vec_id", F.round(masks.polygon_area(F.col("polygon")), 6).alias("area"), masks.valid_polygon(F.transform("polygon", lambda p: F.struct((p["x"] + 0.5).alias("x"), (p["y"] + 0.5).alias("y")))).alias("valid")),
         "mask_overlay": _overlay,
         "lut_gather": lambda t: _classes(t).select("vec_id", F.aggregate(frames.mapped(F.col("px"), frames.composed([0, 1, 2], [0, 5, 9])), F.lit(0), lambda a, x: a + x).alias("total")),
         "argmax_class": lambda t: t("embeddings").select("vec_id", frames.arg_max(F.col("embedding")).alias("cls")),

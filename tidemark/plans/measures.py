@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, hydraulics, labels
 from ..functions.labels import DAYS, MONTHS
-from ..operators import evaluation, frames, masks, ranks, splits, timeseries as ts, validation
+from ..operators import evaluation, fill, frames, masks, ranks, splits, timeseries as ts, validation
 from ..sources import sinks
 from ..sources.tables import epoch_us
 from .datasets import duck, on
@@ -18,6 +18,21 @@ _EPOCHS = "SELECT o_custkey, o_orderkey, o_totalprice AS score, row_number() OVE
 _BAD = f"SELECT o_custkey, epoch, score, sum(CASE WHEN best IS NULL OR score > best THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY epoch) AS since FROM ({_EPOCHS}) e"
 _HOURS = "SELECT event_id, (event_id % 4000) / cast(100 AS double) - 2 AS hours FROM {events}"
 
+
+
+def _corners_sql(first: int, n: int, width: int, height: int) -> str:
+    """Corners on whole pixels as a list of structs, as ``_corner_columns`` makes them."""
+    at = lambda i, most: f"floor(abs(embedding[{i + 1}]::DOUBLE) * 1000)::BIGINT % {most}"
+    return "[" + ", ".join(f"{{'x': {at(first + i, width)}, 'y': {at(first + n + i, height)}}}" for i in range(n)) + "]"
+
+
+#: Every pixel of a frame of 24 x 16 against every edge of a shape.
+PIXELS = "px AS (SELECT i, i % 24 AS x, i // 24 AS y FROM range(384) AS r(i))"
+INSIDE = """edges AS (SELECT vec_id, slot, c[k] AS a, c[k % len(c) + 1] AS b FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k FROM s)),
+hits AS (SELECT vec_id, slot, i, (b.x - a.x) * (y - a.y) = (b.y - a.y) * (x - a.x) AND x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x) AND y BETWEEN least(a.y, b.y) AND greatest(a.y, b.y) AS on_edge,
+  (a.y > y) <> (b.y > y) AND (x - a.x) * abs(b.y - a.y) < (b.x - a.x) * (y - a.y) * sign(b.y - a.y) AS crossed FROM edges, px),
+q AS (SELECT vec_id, slot, i FROM hits GROUP BY 1, 2, 3 HAVING bool_or(on_edge) OR count(*) FILTER (crossed) % 2 = 1)"""
+
 #: What each query gives, in SQL.
 SQL = {
     # order of the record's columns is fixed; what the source lacks is null
@@ -37,7 +52,7 @@ SQL = {
     "hour_median": "SELECT user_id, substring(cast(ts AS string), 1, 13) AS hour, median(value) AS med FROM {events} GROUP BY user_id, substring(cast(ts AS string), 1, 13)",
     "vocabulary_slots": "SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS slot FROM (SELECT DISTINCT p_brand FROM {part}) p",
     "key_uniqueness": "SELECT count(*) = count(DISTINCT event_id) AS unique_ids, count(*) = count(DISTINCT user_id) AS unique_sites FROM {events}",
-    "area_flux": "SELECT l_orderkey, l_linenumber, l_partkey, round(l_discount * l_quantity * l_tax, 6) AS flux, CASE WHEN l_tax = 0 THEN 'n/a' WHEN l_returnflag = 'N' THEN 'm2/s' ELSE 'relative_index' END AS units FROM {lineitem}",
+    "area_flux": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax <> 0 THEN round(l_discount * l_tax * l_quantity, 6) END AS flux, CASE WHEN l_tax = 0 THEN 'n/a' WHEN l_returnflag = 'N' THEN 'm2/s' ELSE 'relative_index' END AS units FROM {lineitem}",
     "degenerate_boxes": "SELECT l_orderkey, count(*) AS kept FROM {lineitem} WHERE NOT (l_quantity <= 10 OR l_extendedprice <= 10000) GROUP BY l_orderkey",
     "clipping": "SELECT p_brand, avg(CASE WHEN p_size >= 45 THEN cast(1.0 AS double) ELSE cast(0.0 AS double) END) > 0.02 AS clipped FROM {part} GROUP BY p_brand",
     "one_of_two": "SELECT p.page_id, (p.url IS NULL) = (d.text IS NULL) AS broken FROM {pages} p LEFT JOIN {documents} d ON p.page_id = d.doc_id",
@@ -49,7 +64,7 @@ SQL = {
     "share_findings": "SELECT lang AS scope, 'error' AS level FROM (SELECT lang, avg(CASE WHEN n_chars > 30000 THEN cast(1 AS double) ELSE cast(0 AS double) END) AS debris FROM {documents} GROUP BY lang) s WHERE debris < cast(0.00001 AS double)",
     "failure_kinds": "SELECT event_type AS kind, count(*) AS n FROM {events} WHERE event_type <> 'view' GROUP BY event_type",
     "prefixed_scores": "SELECT lang, avg(n_chars) AS val_mean, max(n_chars) AS val_most FROM {documents} GROUP BY lang",
-    "resized_frames": "SELECT p_partkey, cast(greatest(1, p_size * 100 / greatest(p_size, 50)) AS int) AS w FROM {part} WHERE p_size >= 50",
+    "resized_frames": "SELECT p_partkey, cast(greatest(1, round(p_size * cast(100 AS double) / greatest(p_size, 7))) AS int) AS w, cast(greatest(1, round(7 * cast(100 AS double) / greatest(p_size, 7))) AS int) AS h FROM {part}",
     "until_time": "SELECT event_id, CASE WHEN s <= 0 THEN 'sedang berlangsung' WHEN s < 3600 THEN concat('dalam ', cast(cast(greatest(1, floor(s / cast(60 AS double) + 0.5)) AS bigint) AS string), ' menit') WHEN floor(s / cast(3600 AS double) + 0.5) < 24 THEN concat('dalam ', cast(cast(floor(s / cast(3600 AS double) + 0.5) AS bigint) AS string), ' jam') ELSE concat('dalam ', cast(cast(floor(floor(s / cast(3600 AS double) + 0.5) / 24 + 0.5) AS bigint) AS string), ' hari') END AS label FROM (SELECT event_id, (event_id % 4000) * 90 - 300 AS s FROM {events}) e",
     "forecast_horizon": f"SELECT event_id, hours FROM ({_HOURS}) h WHERE hours BETWEEN -3 AND 24",
 }
@@ -62,7 +77,16 @@ DUCK = {
     "frame_metrics": "SELECT vec_id, d AS debris_px, w AS water_px, a AS accumulation_px, CASE WHEN d + w > 0 THEN d / (d + w)::DOUBLE END AS coverage, a / 12::DOUBLE AS accumulation_frac FROM (SELECT vec_id, len(list_filter(m, lambda x, i: x > 0.1 AND i % 3 <> 0)) AS d, len(list_filter(m, lambda x, i: x > 0 AND x <= 0.1 AND i % 3 <> 0)) AS w, len(list_filter(m, lambda x, i: x > 0.1 AND i % 3 <> 0 AND i <= 18)) AS a FROM (SELECT vec_id, embedding AS m FROM embeddings) e) f",
     "velocity_median": "SELECT event_id, round_even(CASE WHEN nn > 0 THEN median(v) OVER (PARTITION BY user_id ORDER BY nn RANGE BETWEEN 14 PRECEDING AND CURRENT ROW) END, 3) AS velocity_px_s FROM (SELECT *, count(v) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nn FROM (SELECT event_id, user_id, ts, CASE WHEN event_type <> 'error' THEN value END AS v FROM events) e) f",
     "utc_texts": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts_utc, epoch_us(date_trunc('second', ts)) // 1000000 AS back_s, strftime(ts, '%H:%M:%S') AS clock FROM events",
-    "polygon_masks": "SELECT vec_id, 25 AS inside_px, 100 AS px FROM embeddings",
+    "polygon_masks": f"""WITH {PIXELS}, s AS (SELECT vec_id, 1 AS slot, {_corners_sql(0, 8, 24, 16)} AS c FROM embeddings), {INSIDE}
+SELECT e.vec_id, count(q.i) AS inside_px, coalesce(sum(q.i), 0)::BIGINT AS places, 384 AS px FROM embeddings e LEFT JOIN q USING (vec_id) GROUP BY e.vec_id""",
+    "painted_shapes": f"""WITH {PIXELS}, s AS (SELECT vec_id, 1 AS slot, {_corners_sql(0, 8, 24, 16)} AS c FROM embeddings UNION ALL SELECT vec_id, 2, {_corners_sql(16, 3, 24, 16)} FROM embeddings UNION ALL SELECT vec_id, 3, {_corners_sql(24, 5, 24, 16)} FROM embeddings), {INSIDE},
+top AS (SELECT vec_id, i, max(CASE slot WHEN 1 THEN 3 WHEN 3 THEN 2 ELSE 1 END) AS r FROM q GROUP BY 1, 2)
+SELECT e.vec_id, 384 - count(r) AS n0, count(*) FILTER (r = 3) AS n1, count(*) FILTER (r = 1) AS n2, count(*) FILTER (r = 2) AS n3 FROM embeddings e LEFT JOIN top USING (vec_id) GROUP BY e.vec_id""",
+    "polygon_reasons": """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE + 0.5::DOUBLE, 3)) AS e FROM embeddings),
+r AS (SELECT vec_id, e, len(list_filter(e[1:8], lambda x: x < 0 OR x > 1)) > 0 AS out1, abs(e[1]*e[4] - e[3]*e[2] + e[3]*e[6] - e[5]*e[4] + e[5]*e[8] - e[7]*e[6] + e[7]*e[2] - e[1]*e[8]) / 2 AS a1,
+  len(list_filter(e[9:14], lambda x: x < 0 OR x > 1)) > 0 AS out2, abs(e[9]*e[12] - e[11]*e[10] + e[11]*e[14] - e[13]*e[12] + e[13]*e[10] - e[9]*e[14]) / 2 AS a2 FROM p)
+SELECT vec_id, CASE WHEN out1 THEN 'roi: koordinat harus di antara 0 dan 1' WHEN a1 < 1e-4::DOUBLE THEN 'roi: luas nyaris nol -- titik segaris?' WHEN vec_id % 5 = 0 THEN 'structure: bukan larik' WHEN vec_id % 5 = 1 THEN 'structure: minimal 3 titik'
+  WHEN vec_id % 5 = 2 THEN 'structure: luas nyaris nol -- titik segaris?' WHEN vec_id % 5 = 3 THEN 'structure: koordinat harus angka' WHEN out2 THEN 'structure: koordinat harus di antara 0 dan 1' WHEN a2 < 1e-4::DOUBLE THEN 'structure: luas nyaris nol -- titik segaris?' END AS reason FROM r""",
     "coverage_errors": "SELECT event_type, avg(abs(a - b)) AS mae, max(abs(a - b)) AS max_error, count(a - b) AS n FROM (SELECT event_type, CASE WHEN event_id % 7 > 0 THEN event_id % 11 END AS a, CASE WHEN event_id % 5 > 0 THEN event_id % 3 END AS b FROM events) e GROUP BY event_type",
     "latest_pair": "SELECT (SELECT max({'t': ts, 'id': event_id}).id FROM events WHERE event_type = 'click') AS sensor, (SELECT max({'t': ts, 'id': event_id}).id FROM events WHERE event_type = 'view') AS camera",
     "motion_vectors": "SELECT label, count(*) AS n FROM embeddings WHERE sqrt(pow(embedding[1]::DOUBLE, 2) + pow(embedding[2]::DOUBLE, 2)) > 0.1::DOUBLE AND embedding[3] > 0 GROUP BY label",
@@ -118,9 +142,7 @@ def _rates(t):
 
 def _area_flux(t):
     f = hydraulics.area_flux(F.col("l_discount"), F.nullif(F.col("l_tax"), F.lit(0.0)), F.col("l_quantity"), F.col("l_returnflag") == "N")
-    # the text rounds halves up, and without a velocity counts it as none
-    flux = F.round(F.col("l_discount") * F.col("l_quantity") * F.col("l_tax"), 6)
-    return _rates(t).withColumn("f", f).select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(flux, "f.flux").alias("flux"), "f.units")
+    return _rates(t).withColumn("f", f).select("l_orderkey", "l_linenumber", "l_partkey", "f.flux", "f.units")
 
 
 def _soft_dice(t):
@@ -144,7 +166,8 @@ def _latency(t):
 
 
 def _percentiles(t):
-    return t("documents").groupBy("lang").agg(*[F.round(F.percentile("n_chars", F.lit(q)), 6).alias(f"p{round(100 * q)}") for q in _Q])
+    made = ranks.percentiles(t("documents"), ["lang"], "n_chars", {f"p{round(100 * q)}": q for q in _Q})
+    return made.select("lang", *[F.round(c, 6).alias(c) for c in made.columns if c not in ("lang", "n")])
 
 
 def _intervals(t):
@@ -212,10 +235,31 @@ def _utc(t):
     return t("events").select("event_id", at).select("event_id", text.alias("ts_utc"), F.unix_timestamp(labels.parse_utc(text)).alias("back_s"), labels.clock_label(F.timestamp_seconds(F.floor("s"))).alias("clock"))
 
 
+def _corner_columns(first: int, n: int, width: int, height: int):
+    """Corners on whole pixels of a frame, made of a vector's components from ``first`` on."""
+    at = lambda i, most: F.floor(F.abs(F.get("embedding", F.lit(i)).cast("double")) * 1000) % most
+    return [(at(first + i, width), at(first + n + i, height)) for i in range(n)]
+
+
 def _polygon_masks(t):
-    corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
-    square = F.array(corner(0.0, 0.0), corner(4 / 9, 0.0), corner(4 / 9, 4 / 9), corner(0.0, 4 / 9))
-    return t("embeddings").select("vec_id", frames.polygon_mask(square, 10, 10).alias("m")).select("vec_id", F.size(F.filter("m", lambda p: p)).alias("inside_px"), F.size("m").alias("px"))
+    unit = F.array(*[F.struct((x / F.lit(23.0)).alias("x"), (y / F.lit(15.0)).alias("y")) for x, y in _corner_columns(0, 8, 24, 16)])
+    rows = t("embeddings").select("vec_id", frames.polygon_mask(unit, 24, 16).alias("m"))
+    places = F.filter(F.transform("m", lambda p, i: F.when(p, i)), lambda i: i.isNotNull())
+    return rows.select("vec_id", F.size(places).alias("inside_px"), F.aggregate(places, F.lit(0), lambda s, i: s + i).cast("long").alias("places"), F.size("m").alias("px"))
+
+
+def _painted_shapes(t):
+    shape = lambda slot, first, n: F.struct(F.lit(slot).alias("slot"), F.array(*[v.cast("double") for xy in _corner_columns(first, n, 24, 16) for v in xy]).alias("polygon"))
+    shapes = t("embeddings").select("vec_id", F.explode(F.array(shape(1, 0, 8), shape(2, 16, 3), shape(3, 24, 5))).alias("s")).select("vec_id", "s.*", F.lit(24).alias("w"), F.lit(16).alias("h"))
+    made = fill.painted_masks(shapes, "vec_id", "w", "h", "slot", paint_order=[3, 1])
+    return made.select("vec_id", *[frames.counted(F.col("px"), k).cast("int").alias(f"n{k}") for k in range(4)])
+
+
+def _polygon_reasons(t):
+    point = lambda i: F.concat(F.lit("["), *[x for j in (i, i + 1) for x in (F.round(F.get("embedding", F.lit(j)).cast("double") + 0.5, 3).cast("string"), F.lit("," if j == i else "]"))])
+    polygon = lambda first, n: F.concat(F.lit("["), F.concat_ws(",", *[point(first + 2 * i) for i in range(n)]), F.lit("]"))
+    structure = F.when(F.col("vec_id") % 5 == 0, '"none"').when(F.col("vec_id") % 5 == 1, "[[0,0],[1,1]]").when(F.col("vec_id") % 5 == 2, "[[0.1,0.1],[0.5,0.5],[0.9,0.9]]").when(F.col("vec_id") % 5 == 3, '[[0,0],[1,"x"],[1,1]]').otherwise(polygon(8, 3))
+    return t("embeddings").select("vec_id", masks.polygons_reason(F.concat(F.lit('{"roi":'), polygon(0, 4), F.lit(',"structure":'), structure, F.lit("}"))).alias("reason"))
 
 
 def _coverage_errors(t):
@@ -244,7 +288,7 @@ QUERIES = {
         "trapezoid_volume": lambda t: evaluation.volume(t("lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_quantity"], "l_quantity", "l_linenumber").withColumn("volume", F.round("volume", 4)),
         "soft_dice": _soft_dice,
         "early_stopping": _early,
-        "hour_median": lambda t: t("events").groupBy("user_id", F.substring(F.col("ts").cast("string"), 1, 13).alias("hour")).agg(F.median("value").alias("med")),
+        "hour_median": lambda t: ranks.percentiles(t("events").select("user_id", F.substring(F.col("ts").cast("string"), 1, 13).alias("hour"), "value"), ["user_id", "hour"], "value", {"med": 0.5}).drop("n"),
         "vocabulary_slots": lambda t: splits.slots(t("part"), "p_brand"),
         "key_uniqueness": lambda t: splits.is_unique(t("events"), unique_ids="event_id", unique_sites="user_id"),
         "area_flux": _area_flux,
@@ -273,9 +317,11 @@ QUERIES = {
         "colour_keys": lambda t: t("part").select("p_partkey", geometry.colour(F.concat_ws(",", (F.col("p_partkey") % 256).cast("string"), F.col("p_size").cast("string"), F.lit("7"))).alias("rgb")),
         "notifications": _notes,
         "prefixed_scores": _scores,
-        "resized_frames": lambda t: t("part").where("p_size >= 50").select("p_partkey", geometry.resized(F.col("p_size"), F.lit(1), 100)["width"].alias("w")),
+        "resized_frames": lambda t: t("part").select("p_partkey", geometry.resized(F.col("p_size"), F.lit(7), 100).alias("r")).select("p_partkey", F.col("r.width").alias("w"), F.col("r.height").alias("h")),
         "utc_texts": _utc,
         "polygon_masks": _polygon_masks,
+        "painted_shapes": _painted_shapes,
+        "polygon_reasons": _polygon_reasons,
         "coverage_errors": _coverage_errors,
         "frame_metrics": _frame_metrics,
         "velocity_median": _velocity,

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import last_part
+from ..operators.splits import resolved
 from .annotations import by_relative_path, coco_instances, voc_boxes
 
 #: What every reader gives: a row per shape, one without a shape for an image that has none.
@@ -71,7 +73,29 @@ def samples(spark: SparkSession, name: str, config: dict) -> DataFrame:
 
 @reader("coco_polygon")
 def _coco(spark: SparkSession, config: dict) -> DataFrame:
-    return coco_instances(spark, config["annotations"]).select(F.col("file_name").alias("image"), "label", "polygon", "pixels", "mask_height", "mask_width")
+    """With a folder ``images`` in the config, annotated names are resolved to its files, see ``coco_resolved``; unresolved images are left out."""
+    rows = coco_instances(spark, config["annotations"])
+    if "images" in config:
+        rows = coco_resolved(spark, rows, config["images"], bool(config.get("recursive_images"))).where("image IS NOT NULL")
+    else:
+        rows = rows.withColumn("image", F.col("file_name"))
+    return rows.select("image", "label", "polygon", "pixels", "mask_height", "mask_width")
+
+
+def coco_resolved(spark: SparkSession, rows: DataFrame, images: str, recursive: bool = False) -> DataFrame:
+    """``rows`` (file_name, ...) with ``image``: the file's path below the folder ``images``, null if there is none.
+
+    A name that is no path below the folder is looked up, with ``recursive``, by its last part in all folders below; if
+    several files share it, the query fails.
+    """
+    from .records import listing
+
+    root = images.rstrip("/") + "/"
+    files = listing(spark, images).select(F.substring_index("path", root, -1).alias("path")).where(F.lower("path").rlike(r"\.(jpg|jpeg|png|bmp)$")).withColumn("name", last_part(F.col("path")))
+    wanted = rows.select("file_name").distinct().select(F.col("file_name").alias("path"), last_part(F.col("file_name")).alias("name"))
+    found = resolved(wanted, files if recursive else files.withColumn("name", F.lit(None).cast("string")), "path", "name")
+    found = found.select(F.col("path").alias("__wanted"), F.col("resolved").alias("image"))
+    return rows.join(found, F.col("file_name") == F.col("__wanted"), "left").drop("__wanted")
 
 
 @reader("voc_bbox")
@@ -81,6 +105,6 @@ def _voc(spark: SparkSession, config: dict) -> DataFrame:
 
 @reader("semantic_png")
 def _pairs(spark: SparkSession, config: dict) -> DataFrame:
-    """Image and mask files that share a path below their folders; only their paths are read."""
+    """Image and mask files that share a path below their folders; only their paths are read, ``png.masks`` reads the masks."""
     listed = lambda key: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(config[key]).select("path")
     return by_relative_path(listed("images"), listed("masks"), config["images"], config["masks"]).select("image", "mask")
