@@ -52,15 +52,36 @@ def test_settings_controls_and_runs(spark, tmp_path):
     assert records.table_or_empty(spark, str(tmp_path / "t"), "a int").count() == 0
 
 
-def test_series_sink_is_idempotent(spark, tmp_path):
+def test_series_sink_commits_both_at_once(spark, tmp_path, monkeypatch):
     columns = ("ts_utc", "ts_epoch", "site", "coverage", "alert", "head_m")
-    rows = spark.createDataFrame([(0.5, 0.25, True, 9), (60.9, None, None, 9)], "ts_epoch double, coverage double, alert boolean, extra int")
-    write = sinks.series_sink(str(tmp_path), columns, {"head_m": "double"}, "s", ["ts_epoch"])
+    schema = "ts_epoch double, coverage double, alert boolean, extra int"
+    rows = spark.createDataFrame([(0.5, 0.25, True, 9), (60.9, None, None, 9)], schema)
+    folder = str(tmp_path / "s")
+    write = sinks.series_sink(folder, columns, {"head_m": "double"}, "s", ["ts_epoch"])
+    both = lambda: (sinks.committed(spark, folder).count(), sinks.committed(spark, folder, "timeseries").count())
     write(rows, 0)
-    write(rows, 0)
-    got = spark.read.parquet(str(tmp_path / "observations"))
-    assert got.columns == list(columns) and sorted((r["ts_utc"], r["site"], r["alert"]) for r in got.collect()) == [("1970-01-01T00:00:00Z", "s", 1), ("1970-01-01T00:01:00Z", "s", None)]
-    assert spark.read.option("header", True).csv(str(tmp_path / "timeseries")).count() == 2
+    write(rows, 0)  # the same batch again
+    assert both() == (2, 2)
+    from pyspark.sql import DataFrameWriter
+
+    plain = DataFrameWriter.csv
+
+    def broken(self, *a, **k):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(DataFrameWriter, "csv", broken)
+    more = spark.createDataFrame([(0.5, 0.25, True, 9), (99.0, 0.5, False, 9), (99.0, 0.5, False, 9)], schema)
+    with pytest.raises(OSError, match="disk full"):
+        write(more, 1)
+    assert both() == (2, 2)  # the table's half is not seen
+    monkeypatch.setattr(DataFrameWriter, "csv", plain)
+    write(more, 1)
+    write(more.limit(1), 2)  # delivered before
+    assert both() == (3, 3)
+    got = sinks.committed(spark, folder)
+    assert got.columns == list(columns) and sorted((r["ts_utc"], r["site"], r["alert"]) for r in got.collect()) == [("1970-01-01T00:00:00Z", "s", 1), ("1970-01-01T00:01:00Z", "s", None), ("1970-01-01T00:01:39Z", "s", 0)]
+    sinks.series_sink(folder, columns, {"head_m": "double"}, "s", run="1")(rows, 0)  # another stream counts anew
+    assert both() == (5, 5)
 
 
 def test_review_list_and_tables(spark, tmp_path):

@@ -60,18 +60,44 @@ def append_series(rows: DataFrame, folder: str, columns: Sequence[str], kinds: d
         made.unpersist()
 
 
-def series_sink(folder: str, columns: Sequence[str], kinds: dict[str, str] | None = None, site: str | None = None, keys: list[str] | None = None):
-    """A function for ``foreachBatch`` that appends each batch as ``append_series`` does; with ``keys`` only what the table lacks, so that a batch done twice adds nothing."""
+def series_sink(folder: str, columns: Sequence[str], kinds: dict[str, str] | None = None, site: str | None = None, keys: list[str] | None = None, run: str = "0"):
+    """A function for ``foreachBatch`` that writes each batch in fixed columns to a table and to CSV files, with one commit for both.
 
-    def write(batch: DataFrame, _: int) -> None:
+    A batch goes to folders of its own number, and a manifest of that number is written last: what ``committed`` reads.
+    A batch that failed in between is written anew, one that is committed is left alone. ``run`` names the stream whose
+    checkpoint counts the batches. With ``keys`` only rows are written that no committed batch has, so that rows
+    delivered twice add nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if keys and exists(spark, f"{folder}/observations"):
-            batch = batch.join(spark.read.parquet(f"{folder}/observations").select(*keys), keys, "left_anti")
-        append_series(batch, folder, columns, kinds, site)
+        manifest = f"{folder}/_committed/run={run}/batch={number}"
+        if exists(spark, f"{manifest}/_SUCCESS"):
+            return
+        if keys and exists(spark, f"{folder}/_committed"):
+            batch = batch.dropDuplicates(keys).join(committed(spark, folder).select(*keys), keys, "left_anti")
+        elif keys:
+            batch = batch.dropDuplicates(keys)
+        made = fixed_columns(batch, columns, kinds, site)
+        table = f"{folder}/observations/run={run}/batch={number}"
+        made.write.mode("overwrite").parquet(table)
+        written = spark.read.schema(made.schema).parquet(table)  # both hold the same rows, also if the batch is not read alike twice
+        written.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(f"{folder}/timeseries/run={run}/batch={number}")
+        written.agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").json(manifest)
 
     return write
 
 
+def committed(spark: SparkSession, folder: str, part: str = "observations", schema: str | None = None) -> DataFrame:
+    """The rows of all committed batches of ``part``, observations or timeseries (CSV, as text unless there is a schema), without the columns run and batch."""
+    done = spark.read.schema("n long, run string, batch long").option("basePath", f"{folder}/_committed").json(f"{folder}/_committed").select("run", "batch")
+    reader = spark.read.option("basePath", f"{folder}/{part}")
+    reader = reader.schema(f"{schema}, run string, batch long") if schema else reader
+    rows = reader.parquet(f"{folder}/{part}") if part == "observations" else reader.option("header", True).csv(f"{folder}/{part}")
+    mine = rows.withColumns({"run": F.col("run").cast("string"), "batch": F.col("batch").cast("long")})
+    return mine.join(done, ["run", "batch"], "left_semi").drop("run", "batch")
+
+
 def write_table(rows: DataFrame, path: str, order: Sequence[str] = (), mode: str = "append") -> None:
     """A small table as one CSV file with a header (an epoch's scores, a video's coverage); null is an empty field."""
     rows.coalesce(1).sortWithinPartitions(*order or rows.columns[:1]).write.mode(mode).option("header", True).option("emptyValue", "").csv(path)

@@ -56,27 +56,32 @@ class Monitor:
         return smoothed, growth, self.streak, alert, self.latched, self.carried, None if self.carried_at is None else t - self.carried_at
 
 
-def monitored(stream: DataFrame, key: str, ts: str, frac: str, slow: str, segment: str, n: int = 30, window_s: float = 300.0, area_from: float = 0.3, growth_from: float = 0.1, consecutive: int = 3) -> DataFrame:
+def monitored(stream: DataFrame, key: str, ts: str, frac: str, slow: str, segment: str, n: int = 30, window_s: float = 300.0, area_from: float = 0.3, growth_from: float = 0.1, consecutive: int = 3, forget_s: float | None = None) -> DataFrame:
     """Rows (key, ts, SHOWN): median of the last ``n`` measured shares, growth, alert, and the last value of the slower ``slow`` with its age.
 
     A row whose ``segment`` differs from the one before starts anew. A source's state is bounded by ``n`` and by the rows
-    of ``window_s`` seconds.
+    of ``window_s`` seconds; with ``forget_s`` it goes when a source has sent nothing for so long by the wall clock.
     """
     kind = dict(stream.dtypes)[key]
 
     def run(keys, batches: Iterator, state):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         monitor = Monitor(n, window_s, area_from, growth_from, consecutive, state.get if state.exists else None)
         rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
         clean = lambda v: None if pd.isna(v) else v
         out = [monitor.row(t, clean(f), clean(s), clean(g)) for t, f, s, g in zip(rows[ts], rows[frac], rows[slow], rows[segment], strict=True)]
         state.update(monitor.held())
+        if forget_s:
+            state.setTimeoutDuration(int(forget_s * 1000))
         names = [x.split()[0] for x in SHOWN.split(", ")]
         yield pd.DataFrame({key: keys[0], ts: rows[ts].to_numpy(), **{name: pd.Series([o[i] for o in out], dtype=object) for i, name in enumerate(names)}}).astype({"streak": "int32", "alert": bool, "latched": bool, **{c: "float64" for c in ("smoothed", "growth_per_min", "carried", "age_s")}})
 
     typed = stream.withColumn(segment, F.col(segment).cast("string"))
-    return typed.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} double, {SHOWN}", STATE, "append", "NoTimeout")
+    return typed.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} double, {SHOWN}", STATE, "append", "ProcessingTimeTimeout" if forget_s else "NoTimeout")
 
 
 def silent(stream: DataFrame, key: str, at: str = "at", minutes: float = 20.0) -> DataFrame:

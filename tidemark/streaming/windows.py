@@ -39,12 +39,15 @@ def first_per_key(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(keys)
 
 
-def level_stream(stream: DataFrame, key: str, ts: str, height: str, rain: str, enter=(30.0, 60.0), leave=(25.0, 55.0), rains=(10.0, 30.0), dwell: float = 60.0) -> DataFrame:
-    """The level machine with its state (level, start of the calm spell) kept per key."""
+def level_stream(stream: DataFrame, key: str, ts: str, height: str, rain: str, enter=(30.0, 60.0), leave=(25.0, 55.0), rains=(10.0, 30.0), dwell: float = 60.0, forget_s: float | None = None) -> DataFrame:
+    """The level machine with its state (level, start of the calm spell) kept per key; with ``forget_s`` a key that has sent nothing for so long by the wall clock is forgotten."""
 
     def run(keys, batches: Iterator, state):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         now, low = state.get if state.exists else (0, None)
         rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
         out = []
@@ -52,10 +55,12 @@ def level_stream(stream: DataFrame, key: str, ts: str, height: str, rain: str, e
             now, low = next_level(now, low, t, None if pd.isna(h) else h, None if pd.isna(r) else r, enter, leave, rains, dwell)
             out.append(LEVELS[now])
         state.update((now, low))
+        if forget_s:
+            state.setTimeoutDuration(int(forget_s * 1000))
         yield pd.DataFrame({key: keys[0], ts: rows[ts].to_numpy(), "level": out})
 
     kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} double, level string", "now int, low double", "append", "NoTimeout")
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} double, level string", "now int, low double", "append", "ProcessingTimeTimeout" if forget_s else "NoTimeout")
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
