@@ -464,3 +464,11 @@ def test_copies_and_rare_shares_do_not_hide_marking_words(spark):
     labels = spark.createDataFrame([(i, 1, x) for i, (_, x) in enumerate(texts) if x is not None], "doc_id long, quality int, toxic int")
     marks = {r["doc_id"]: r["n_marking"] for r in quality.judged(docs, labels).collect()}
     assert {i for i, n in marks.items() if n} == {i for i, (t, _) in enumerate(texts) if "zounds" in t.split()}
+
+
+def test_ids_survive_packing_beside_nulls(spark):
+    ids = [None, 2**53 + 1, 2**53 + 3, -(2**63), 2**63 - 1]
+    docs = spark.createDataFrame([(i, "some words " * (3 + k)) for k, i in enumerate(ids)], "doc_id long, text string")
+    made = packing.documents_packed(docs).collect()
+    assert sorted(map(str, (r["doc_id"] for r in made))) == sorted(map(str, ids))
+    assert sorted(r["offset"] for r in made)[0] == 0

@@ -104,24 +104,27 @@ def pack(pieces: DataFrame, limits=LIMITS, group_rows: int = GROUP_ROWS) -> Data
     pieces = staged(pieces, "pieces")
     groups = buckets_for(pieces.count(), group_rows)
 
-    def run(pdf):
+    def run(rows):
         import numpy as np
+        import pyarrow as pa
 
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        size = pdf[["length", "loss"]].to_numpy()
-        made = fill(np.stack([size[:, 0], np.ones(len(pdf), np.int64), size[:, 1]], axis=1), limits)
+        # Arrow's own values all the way: ids stay whole numbers beside nulls
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        length, loss = (rows.column(c).to_numpy() for c in ("length", "loss"))
+        made = fill(np.stack([length, np.ones(len(length), np.int64), loss], axis=1), limits)
         order = np.concatenate([np.array(x) for x in made]) if made else np.zeros(0, np.int64)
-        out = pdf.iloc[order].reset_index(drop=True)
-        sequence = np.repeat(np.arange(len(made)), [len(x) for x in made])
-        ends = out["length"].cumsum()
-        first = np.append(True, sequence[1:] != sequence[:-1]) if len(sequence) else np.zeros(0, bool)
-        base = (ends - out["length"]).where(first).ffill().astype("int64")
-        out["sequence_id"] = out["bucket"].astype("int64") * 2**32 + sequence
-        out["offset"] = ends - out["length"] - base
-        return out.drop(columns="bucket")
+        n = np.array([len(x) for x in made], np.int64)
+        sequence = np.repeat(np.arange(len(made)), n)
+        ends = np.cumsum(length[order])
+        first = np.cumsum(n) - n
+        base = np.repeat((ends - length[order])[first], n) if len(n) else ends
+        out = rows.take(pa.array(order))
+        bucket = out.column("bucket").to_numpy().astype(np.int64)
+        out = out.drop_columns("bucket").append_column("sequence_id", pa.array(bucket * 2**32 + sequence))
+        return out.append_column("offset", pa.array(ends - length[order] - base))
 
     keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
-    return keyed.groupBy("bucket").applyInPandas(run, PACKED)
+    return keyed.groupBy("bucket").applyInArrow(run, PACKED)
 
 
 def pack_examples(turns: DataFrame, tokenizer: str, limits=LIMITS, loss_role: str = "assistant") -> DataFrame:
