@@ -472,3 +472,23 @@ def test_ids_survive_packing_beside_nulls(spark):
     made = packing.documents_packed(docs).collect()
     assert sorted(map(str, (r["doc_id"] for r in made))) == sorted(map(str, ids))
     assert sorted(r["offset"] for r in made)[0] == 0
+
+
+def test_winnowing_keeps_about_two_in_ten():
+    rng = np.random.default_rng(0)
+    words, text = rng.integers(0, 2**63, 20_000).astype(np.uint64), np.repeat([0, 1], 10_000)
+    at = decontamination.winnowed(decontamination.gram_hashes(words, decontamination.GRAM), text)
+    assert abs(len(at) / len(words) - 2 / (decontamination.WINDOW + 1)) < 0.02
+    gaps = np.diff(at[at < 9_000])
+    assert gaps.max() <= decontamination.WINDOW  # every window has one
+    assert decontamination.winnowed(words[:3], text[:3]).size == 0
+
+
+def test_a_text_of_many_copies_is_dealt_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "SENT_ROWS", 0)
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"x {item} y") for i in range(60)], "doc_id long, text string")
+    rows = decontamination.contamination(docs, spark.createDataFrame([("a", item)], "item_id string, text string")).collect()
+    assert {(r["n_hit"], r["n_items"], r["contaminated"]) for r in rows} == {(20, 1, True)} and len(rows) == 60
+    parts = docs.select(F.pmod(F.xxhash64("doc_id", F.lit(7).cast("long")), F.lit(decontamination.SALTS))).distinct().count()
+    assert parts > 1

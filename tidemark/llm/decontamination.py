@@ -1,15 +1,16 @@
 """Benchmark decontamination by winnowing.
 
-Of every window of ``SPAN`` consecutive words the least hash of its k-grams is kept as its fingerprint, on the
-benchmark's side and on the documents' side, so that equal windows have equal fingerprints and no shared span of
-``SPAN`` words is missed. A document's window whose fingerprint some item has is a candidate. Candidates are joined to
-the benchmark's windows by fingerprint and by a hash of the whole window: a hit is extended to all ``SPAN`` words, and
-128 bits tell whether they are the same. Windows that overlap make one span. Items shorter than a window are windows of
-their own, found by the hash of their first words.
-
-Which documents' windows can be candidates is told by a bit map of the benchmark's fingerprints, at most ``MAP_BITS``
-bits however large the benchmark; where it lets others through, the join drops them. Everything else is joins: the
-benchmark's windows are sent to the tasks if they are measured as small, else shuffled, dealt by salt.
+Of every window of ``WINDOW`` k-grams, as many as ``SPAN`` words hold, the least hash is chosen, of equal ones the last, and
+kept once as a fingerprint with its place, on the benchmark's side and on the documents' side: about two in ten k-grams.
+Equal spans of ``SPAN`` words choose the same k-gram at the same place in them, so none is missed. Fingerprints that meet
+are extended word by word on both sides, as far as a span that holds the k-gram can reach; those that come to ``SPAN``
+words are hits, and hits that overlap make one span. Items shorter than that are found by the hash of their first
+words, at every place, and extended to their end.
+
+Which documents' fingerprints the benchmark may have is told by a bit map, at most ``MAP_BITS`` bits however large the
+benchmark; where it lets others through, the join drops them. Everything else is joins: equal surroundings of a
+fingerprint are one row, and the benchmark's rows are sent to the tasks if they are measured as small, else shuffled,
+dealt by salt.
 
 Defined results: null texts have no words; an item shorter than a window counts where all its words occur in a row; an
 item without words occurs nowhere; items with equal texts are reported each; an item without an id counts for hit words
@@ -31,8 +32,10 @@ WINDOW = SPAN - GRAM + 1
 LEAST_BITS, MAP_BITS, BITS_EACH = 1 << 16, 1 << 26, 32
 #: Rows of the benchmark's windows that are sent to every task; more are joined by a shuffle, each dealt ``SALTS`` times.
 SENT_ROWS, SALTS = 200_000, 8
-WINDOWS = "item_id string, n int, fp long, whole long"
-LOOKED = "doc_id long, row_hash long, n_words long, at array<int>, n array<int>, fp array<long>, whole array<long>"
+#: Words on each side of a k-gram that a span which holds it can reach.
+REACH = SPAN - GRAM
+WINDOWS = "item_id string, n int, fp long, beside array<long>"
+LOOKED = "doc_id long, row_hash long, n_words long, at array<int>, n array<int>, fp array<long>, beside array<array<long>>"
 
 
 def word_table():
@@ -82,35 +85,52 @@ def gram_hashes(words, k: int):
     return mixed(out)
 
 
-def fingerprints(words, text):
-    """(least k-gram hash of each window of SPAN words, whether the window lies in one text)."""
+def winnowed(hashes, text):
+    """Places of the k-grams that some window of WINDOW of them in one text chooses: the least hash, of equal ones the last."""
     import numpy as np
 
-    if len(words) < SPAN:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    hashes = gram_hashes(words, GRAM)
-    least = hashes[: len(words) - SPAN + 1].copy()
+    n = len(hashes) - WINDOW + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    least, place = hashes[:n].copy(), np.zeros(n, np.int64)
     for j in range(1, WINDOW):
-        np.minimum(least, hashes[j : j + len(least)], out=least)
-    return least, text[: len(least)] == text[SPAN - 1 :]
+        now = hashes[j : j + n]
+        lower = now <= least
+        np.copyto(least, now, where=lower)
+        place[lower] = j
+    one = text[:n] == text[SPAN - 1 :][:n]
+    return np.unique((np.arange(n) + place)[one])
 
 
-def windows_of(words, text, n: int):
-    """(fingerprint, hash of the whole, whether it lies in one text) of each window of ``n`` words; short windows are found by their first words."""
+def found_at(words, text, n: int):
+    """(places of k-grams, fingerprints) by which windows of ``n`` words are found: chosen ones, or for short windows each first k-gram."""
     import numpy as np
 
     from .tokens import mixed
 
     if n == SPAN:
-        found, one = fingerprints(words, text)
+        hashes = gram_hashes(words, GRAM)
+        at = winnowed(hashes, text)
     else:
+        hashes = gram_hashes(words, min(n, GRAM))
         m = max(0, len(words) - n + 1)
-        found, one = gram_hashes(words, min(n, GRAM))[:m], text[:m] == text[n - 1 :][:m]
-    return mixed(found + np.uint64(n)), gram_hashes(words, n), one
+        at = np.flatnonzero(text[:m] == text[n - 1 :][:m])
+    return at, mixed(hashes[at] + np.uint64(n))
+
+
+def surroundings(words, text, at, n: int, none: int):
+    """Rows of 2 * REACH word hashes: those before a k-gram, the nearest first, then those after it; ``none`` beyond the text's ends."""
+    import numpy as np
+
+    step = np.arange(1, REACH + 1)
+    place = at[:, None] + np.concatenate([-step, min(n, GRAM) - 1 + step])[None]
+    held = np.clip(place, 0, max(0, len(words) - 1))
+    inside = (place >= 0) & (place < len(words)) & (text[held] == text[at][:, None])
+    return np.where(inside, np.maximum(words[held], np.uint64(2)), np.uint64(none)).view(np.int64)
 
 
 def _item_windows(batches):
-    """Rows (item_id, n, fp, whole) of the windows of items (item_id, text)."""
+    """Rows WINDOWS of items (item_id, text)."""
     import numpy as np
     import pyarrow as pa
 
@@ -123,9 +143,13 @@ def _item_windows(batches):
         first = np.cumsum(counts) - counts
         for n in np.unique(np.minimum(counts, SPAN)):
             if n:
-                fp, whole, one = windows_of(words, text, int(n))
-                at = np.flatnonzero(one) if n == SPAN else first[counts == n]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[at])), pa.array(np.full(len(at), n, np.int32)), pa.array(fp[at].view(np.int64)), pa.array(whole[at].view(np.int64))], ["item_id", "n", "fp", "whole"])
+                at, fp = found_at(words, text, int(n))
+                if n < SPAN:  # an item's own first k-gram
+                    mine = np.isin(at, first[counts == n])
+                    at, fp = at[mine], fp[mine]
+                beside = surroundings(words, text, at, int(n), 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, beside.size + 1, 2 * REACH, dtype=np.int32)), pa.array(beside.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[at])), pa.array(np.full(len(at), n, np.int32)), pa.array(fp.view(np.int64)), lists], ["item_id", "n", "fp", "beside"])
 
 
 def _look(shared):
@@ -146,17 +170,21 @@ def _look(shared):
             first = np.cumsum(counts) - counts
             made = []
             for n in lengths:
-                fp, whole, one = windows_of(words, text, n)
+                at, fp = found_at(words, text, n)
                 slot = fp & mask
-                at = np.flatnonzero(one & (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool))
-                made.append((at, np.full(len(at), n, np.int32), fp[at], whole[at]))
-            at, n, fp, whole = (np.concatenate([np.zeros(0, np.int64), *x]) if k == 0 else np.concatenate(x) if x else np.zeros(0, np.uint64) for k, x in enumerate(zip(*made, strict=True) if made else [()] * 4))
+                may = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+                at, fp = at[may], fp[may]
+                made.append((at, np.full(len(at), n, np.int32), fp, surroundings(words, text, at, n, 0)))
+            at = np.concatenate([np.zeros(0, np.int64), *(m[0] for m in made)])
             order = np.argsort(at, kind="stable")
+            joint = lambda k, empty: np.concatenate([empty, *(m[k] for m in made)])[order]  # noqa: B023, E731
+            n, fp, beside = joint(1, np.zeros(0, np.int32)), joint(2, np.zeros(0, np.uint64)), joint(3, np.zeros((0, 2 * REACH), np.int64))
             at = at[order]
             of = text[at] if len(at) else at
             ends = pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=batch.num_rows))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((at - first[of]).astype(np.int32), n[order].astype(np.int32), fp[order].view(np.int64), whole[order].view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts.astype(np.int64)), *lists], ["doc_id", "row_hash", "n_words", "at", "n", "fp", "whole"])
+            sides = pa.ListArray.from_arrays(pa.array(np.arange(0, beside.size + 1, 2 * REACH, dtype=np.int32)), pa.array(beside.ravel()))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array((at - first[of]).astype(np.int32)), pa.array(n), pa.array(fp.view(np.int64)), sides)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts.astype(np.int64)), *lists], ["doc_id", "row_hash", "n_words", "at", "n", "fp", "beside"])
 
     return run
 
@@ -175,13 +203,29 @@ def fingerprint_map(windows: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def met(left: DataFrame, windows: DataFrame, rows: int) -> DataFrame:
-    """``left`` joined to ``windows`` (``rows`` of them) by fingerprint and whole; a window that very many rows of ``left`` hold is dealt by salt."""
-    on = ["fp", "whole"]
+def met(left: DataFrame, windows: DataFrame, rows: int, on: list[str]) -> DataFrame:
+    """``left`` joined to ``windows`` (``rows`` of them); a fingerprint that very many rows of ``left`` hold is dealt by salt of the document."""
     if rows <= SENT_ROWS:
         return left.join(F.broadcast(windows), on)
     salted = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("salt", F.pmod("row_hash", F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
+    return left.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
+
+
+def extended(near: DataFrame) -> DataFrame:
+    """Spans (start, end) of the rows of ``near`` (at, n, mine, beside) whose words agree far enough on both sides of the k-gram."""
+    same = F.zip_with("mine", "beside", lambda a, b: a == b)
+
+    def run(first: int):
+        """How many words from the k-gram on agree."""
+        breaks = F.array_position(F.slice(same, first, REACH), F.lit(False))
+        return F.when(breaks == 0, REACH).otherwise(breaks - 1)
+
+    gram = F.least("n", F.lit(GRAM))
+    before = F.when(F.col("n") == SPAN, run(1)).otherwise(0)
+    after = F.least(run(REACH + 1), F.col("n") - gram + F.when(F.col("n") == SPAN, REACH).otherwise(0))
+    made = near.withColumns({"before": before, "after": after})
+    long_enough = F.col("before") + gram + F.col("after") >= F.col("n")
+    return made.where(long_enough).withColumns({"start": (F.col("at") - F.col("before")).cast("long"), "end": (F.col("at") + gram + F.col("after")).cast("long")})
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -194,10 +238,11 @@ def benchmark_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     bits = fingerprint_map(windows)
     looked = staged(rows.mapInArrow(_look(spark.sparkContext.broadcast((lengths, bits))), LOOKED), "looked")
     doc = ["doc_id", "row_hash"]
-    each = F.explode(F.arrays_zip("at", "n", "fp", "whole")).alias("x")
-    near = looked.where(F.size("at") > 0).select(*doc, each).select(*doc, F.col("x.at").cast("long").alias("start"), (F.col("x.at") + F.col("x.n")).cast("long").alias("end"), "x.fp", "x.whole").distinct()
-    known = staged(windows.select("fp", "whole").distinct(), "known")
-    hits = staged(met(near, known, known.count()), "hits")
+    each = F.explode(F.arrays_zip("at", "fp", "beside")).alias("x")
+    near = looked.where(F.size("at") > 0).select(*doc, each).select(*doc, F.col("x.at").cast("long").alias("at"), "x.fp", F.col("x.beside").alias("mine"))
+    known = staged(windows.select("n", "fp", "beside").distinct(), "known")
+    rows = known.count()
+    hits = staged(extended(met(near, known, rows, ["fp"])).select(*doc, "start", "end", "fp", "beside").distinct(), "hits")
     # spans: a window that starts beyond the ends of all before it opens a new one
     by_start = Window.partitionBy(*doc).orderBy("start", "end")
     reached = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
@@ -205,8 +250,8 @@ def benchmark_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     islands = opened.withColumn("island", F.sum("opens").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     islands = islands.groupBy(*doc, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     spans = islands.groupBy(*doc).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    named = windows.where("item_id IS NOT NULL").select("fp", "whole", "item_id")
-    found = met(hits.select(*doc, "fp", "whole").distinct(), named, windows.count()).select(*doc, "item_id").distinct()
+    named = windows.where("item_id IS NOT NULL").select("fp", "beside", "item_id")
+    found = met(hits.select(*doc, "fp", "beside").distinct(), named, windows.count(), ["fp", "beside"]).select(*doc, "item_id").distinct()
     found = found.groupBy(*doc).agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     both = spans.join(found, (spans["doc_id"].eqNullSafe(found["doc_id"])) & (spans["row_hash"] == found["row_hash"]), "left").select(spans["doc_id"].alias("__id"), spans["row_hash"].alias("__hash"), "spans", "items")
     made = looked.join(both, looked["doc_id"].eqNullSafe(both["__id"]) & (looked["row_hash"] == both["__hash"]), "left")
