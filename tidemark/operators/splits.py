@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import sent
 from .order import numbered
 from .ranks import heads, renamed, same
 
@@ -89,7 +90,7 @@ def location_folds(df: DataFrame, location: str) -> DataFrame:
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     folds = places.select(F.col(location).alias("test_loc"), F.coalesce(F.lead(location).over(ring), F.first(location).over(whole)).alias("val_loc"))
     rest = places.select(F.col(location).alias("train_loc"))
-    return F.broadcast(folds).join(rest, (F.col("train_loc") != F.col("test_loc")) & (F.col("train_loc") != F.col("val_loc")))
+    return sent(folds, "folds").join(rest, (F.col("train_loc") != F.col("test_loc")) & (F.col("train_loc") != F.col("val_loc")))
 
 
 def without_ids(df: DataFrame, ids: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -176,7 +177,7 @@ def grid(*parts: DataFrame) -> DataFrame:
     """All combinations of configurations; each part is a short list."""
     out = parts[0]
     for p in parts[1:]:
-        out = out.crossJoin(F.broadcast(p))
+        out = out.crossJoin(sent(p, "configurations"))
     return out
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import sent
 from .order import placed
 
 #: Shares of pixels below which debris is missing, and water suspicious.
@@ -26,8 +27,8 @@ def mapped_labels(df: DataFrame, table: DataFrame, key: str, slot: str, policy:
 
 def orphans(df: DataFrame, value: str, classes: DataFrame, key: str) -> DataFrame:
     """Values that no class has, with how often; null is no class."""
-    known = classes.select(F.col(key).alias("__known")).distinct()
-    return df.join(F.broadcast(known), df[value] == known["__known"], "left_anti").groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    known = sent(classes.select(F.col(key).alias("__known")).distinct(), "classes")
+    return df.join(known, df[value] == known["__known"], "left_anti").groupBy(value).agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_shares(df: DataFrame, classes: Sequence[str], weight: Column | None = None) -> DataFrame:

@@ -68,6 +68,12 @@ DUCK = {
     "lut_gather": "SELECT vec_id, list_sum(list_transform(embedding, lambda x: [0, 5, 9][CASE WHEN x > 0.1 THEN 3 WHEN x > 0 THEN 2 ELSE 1 END]))::BIGINT AS total FROM embeddings",
     "argmax_class": "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS cls FROM embeddings",
     "group_key_regex": r"SELECT page_id, CASE WHEN regexp_extract(url, '/([a-z]{2})/', 1) = '' THEN url ELSE regexp_extract(url, '/([a-z]{2})/', 1) END AS grp FROM pages",
+    "greedy_split": """WITH RECURSIVE g AS (SELECT lang, source, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || coalesce(lang, 'None') || ':' || coalesce(source, 'None'))) AS rn, count(*) OVER (PARTITION BY lang) AS k, sum(count(*)) OVER (PARTITION BY lang) AS total FROM documents GROUP BY lang, source),
+f AS (SELECT lang, source, n, rn, 1::BIGINT AS pick, n::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c FROM g WHERE rn = 1
+  UNION ALL SELECT lang, source, n, rn, pick, a + CASE WHEN pick = 1 THEN n ELSE 0 END, b + CASE WHEN pick = 2 THEN n ELSE 0 END, c + CASE WHEN pick = 3 THEN n ELSE 0 END FROM (
+    SELECT g.lang, g.source, g.n, g.rn, f.a, f.b, f.c, CASE WHEN g.k >= 3 AND g.rn <= 3 THEN g.rn WHEN 0.7::DOUBLE * g.total - f.a >= 0.15::DOUBLE * g.total - f.b AND 0.7::DOUBLE * g.total - f.a >= 0.15::DOUBLE * g.total - f.c THEN 1 WHEN 0.15::DOUBLE * g.total - f.b >= 0.15::DOUBLE * g.total - f.c THEN 2 ELSE 3 END AS pick
+    FROM f JOIN g ON g.lang IS NOT DISTINCT FROM f.lang AND g.rn = f.rn + 1) s)
+SELECT lang, source, n, CASE pick WHEN 1 THEN 'train' WHEN 2 THEN 'val' ELSE 'test' END AS split FROM f""",
     "group_members": "SELECT source, array_to_string(list_transform(list_sort(list(doc_id))[1:5], lambda x: x::VARCHAR), ',') AS heads FROM documents GROUP BY source",
     "json_path": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
 }
@@ -159,7 +165,7 @@ QUERIES = {
         "duplicate_keys": lambda t: splits.repeated(t("documents"), ["source", "lang"]),
         "review_order": lambda t: validation.worst_first(t("labels").select("doc_id", "quality", "toxic"), F.col("toxic") == 1, "quality", "doc_id").select("doc_id", "pos"),
         "verdict_counts": lambda t: validation.counts(t("labels"), validation.verdict(F.when(F.col("toxic") == 1, "Reject").when(F.col("quality") == 1, " ok")), "verdict"),
-        "label_map_join": lambda t: t("nation").join(F.broadcast(t("region").join(splits.slots(t("region"), "r_name", first=1), "r_name")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name", "slot"),
+        "label_map_join": lambda t: t("nation").join(t("region").join(splits.slots(t("region"), "r_name", first=1), "r_name"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name", "slot"),
         "unmapped_policy": lambda t: validation.mapped_labels(t("nation"), t("region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_regionkey").alias("slot")), "n_regionkey", "slot", "ignore").select("n_nationkey", "mapped"),
         "class_histogram_share": lambda t: validation.class_shares(t("lineitem"), ["l_returnflag", "l_linestatus"]),
         "orphan_values": lambda t: validation.orphans(t("lineitem").select("l_linestatus"), "l_linestatus", t("orders").where("o_orderstatus = 'O'").limit(1), "o_orderstatus"),

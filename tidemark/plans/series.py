@@ -247,6 +247,17 @@ FROM obs WINDOW w AS (PARTITION BY site ORDER BY ts_s, seq ROWS UNBOUNDED PRECED
 SELECT site, segment, count(*) AS n, count(frac) AS n_measured, max(frac) AS max_frac FROM s GROUP BY 1, 2""",
     "asof_nearest": f"""WITH {O}, l AS (SELECT seq AS left_seq, ts_s AS left_ts FROM obs WHERE event_type = 'signup'), r AS (SELECT seq AS right_seq, ts_s AS right_ts, frac AS right_frac FROM obs WHERE event_type = 'click')
 SELECT left_seq, left_ts, right_seq, right_ts, right_frac FROM l LEFT JOIN r ON abs(left_ts - right_ts) <= 600 QUALIFY row_number() OVER (PARTITION BY left_seq ORDER BY abs(left_ts - right_ts), right_ts, right_seq) = 1""",
+    "throttle_sampler": f"""WITH RECURSIVE {O}, r AS (SELECT site, seq, ts_s, row_number() OVER (PARTITION BY site ORDER BY ts_s, seq) AS rn FROM obs),
+f AS (SELECT site, seq, ts_s, rn, ts_s AS last, true AS kept FROM r WHERE rn = 1
+  UNION ALL SELECT r.site, r.seq, r.ts_s, r.rn, CASE WHEN r.ts_s - f.last >= 86400 THEN r.ts_s ELSE f.last END, r.ts_s - f.last >= 86400 FROM f JOIN r ON r.site = f.site AND r.rn = f.rn + 1)
+SELECT site, seq, ts_s FROM f WHERE kept""",
+    "level_fsm": f"""WITH RECURSIVE {O}, r AS (SELECT site, seq, ts_s, frac * 100 AS height, row_number() OVER (PARTITION BY site ORDER BY ts_s, seq) AS rn FROM obs),
+f AS (SELECT site, rn, seq, ts_s, height, CASE WHEN height > 60 THEN 2 WHEN height > 30 THEN 1 ELSE 0 END AS now, NULL::DOUBLE AS low FROM r WHERE rn = 1
+  UNION ALL SELECT site, rn, seq, ts_s, height,
+    CASE WHEN height IS NULL THEN was WHEN up > was THEN up WHEN was = 0 OR height >= edge THEN was WHEN ts_s - coalesce(low, ts_s) >= 86400 THEN was - 1 ELSE was END,
+    CASE WHEN height IS NULL THEN low WHEN up > was OR was = 0 OR height >= edge THEN NULL WHEN ts_s - coalesce(low, ts_s) >= 86400 THEN NULL ELSE coalesce(low, ts_s) END
+  FROM (SELECT r.*, f.now AS was, f.low, CASE WHEN r.height > 60 THEN 2 WHEN r.height > 30 THEN 1 ELSE 0 END AS up, CASE f.now WHEN 1 THEN 25 ELSE 55 END AS edge FROM f JOIN r ON r.site = f.site AND r.rn = f.rn + 1) s)
+SELECT site, seq, ts_s, height, 0::DOUBLE AS rain, CASE now WHEN 0 THEN 'AMAN' WHEN 1 THEN 'WASPADA' ELSE 'BAHAYA' END AS level FROM f""",
     "latest_per_device": f"WITH {O} SELECT event_type, site, seq, ts_s, frac FROM obs QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts_s DESC, seq DESC) = 1",
     "ingest_dedupe": f"SELECT user_id, {HOUR} AS hour, event_id, {CENTS} AS cents FROM events QUALIFY row_number() OVER (PARTITION BY user_id, hour ORDER BY event_id) = 1",
     "forecast_upsert": f"SELECT user_id, {HOUR} AS hour, event_id, {CENTS} AS cents FROM events QUALIFY row_number() OVER (PARTITION BY user_id, hour ORDER BY event_id DESC) = 1",

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -35,3 +36,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that are sent to every task; a longer table is joined by a shuffle.
+SENT_ROWS = 1_000_000
+
+
+def sent(df: DataFrame, label: str, most: int = SENT_ROWS) -> DataFrame:
+    """``df`` written and counted, marked for broadcast if it has at most ``most`` rows."""
+    made = staged(df, label)
+    return F.broadcast(made) if made.count() <= most else made
