@@ -40,6 +40,11 @@ def test_spans_cover_the_whole_value():
     assert line[a:b] == 'password = "correct horse battery staple"'
 
 
+def test_hidden_characters_make_a_placeholder_only_where_little_else_is_shown():
+    for value, stands in (("sk-xxxxxxxx", True), ("abc...xyz", True), ("kQ9!zXXXX7w#Lm2", False), ("p4!Zq...8Lm#vK", False), ("***", True)):
+        assert secrets.stands_for(value, True) == stands
+
+
 def test_words_are_ranked_by_the_documents(spark):
     docs = spark.createDataFrame([(1, "heron heron kite Heron, x1y 12 ab password"), (2, "kite velvet"), (3, None)], "doc_id long, text string")
     ranks = secrets.word_ranks(docs, 2)

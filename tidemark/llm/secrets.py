@@ -34,7 +34,9 @@ WORDS = "password admin welcome letmein login master secret monkey dragon shadow
 #: Words of the documents that are ranked, and their letters at least and at most.
 RANKED, LETTERS = 50_000, (3, 24)
 #: Values that stand for another: a variable, something in brackets, stars; code; words of a request for a value.
-STANDS_FOR = re.compile(r"""\$\{.*\}|\$\(.*\)|\$[A-Za-z_]\w*|\{\{.*\}\}|\{\w*\}|<.*>|%\(?\w+\)?[%s]|\[[^\]]*\]|.*(?:\*{3}|x{4}|X{4}|\.{3}).*""", re.ASCII | re.DOTALL)
+STANDS_FOR = re.compile(r"""\$\{.*\}|\$\(.*\)|\$[A-Za-z_]\w*|\{\{.*\}\}|\{\w*\}|<.*>|%\(?\w+\)?[%s]|\[[^\]]*\]""", re.ASCII | re.DOTALL)
+#: What stands for characters that are not shown; fewer than SHOWN others beside it make no value.
+HIDDEN, SHOWN = re.compile(r"\*{3,}|[xX]{4,}|\.{3,}"), 8
 CODE = re.compile(r"""[A-Za-z_][\w.:>-]*\(.*|[A-Za-z_][\w.]*\[.*|(?:[a-z_]+|[A-Z_]+)(?:(?:\.|::|->)(?:[a-z_]+|[A-Z_]+))+[;,)]*|(?:await|new|lambda|func|def|return)\b.*""", re.ASCII | re.DOTALL)
 ASKS = frozenset("your enter insert here example placeholder change changeme todo replace must should please required invalid wrong missing forgot reset the is are was not be".split())
 #: Rows of a keyboard.
@@ -55,6 +57,9 @@ def stands_for(value: str, quoted: bool) -> bool:
     """Whether a value is a placeholder, or outside quotes code."""
     if STANDS_FOR.fullmatch(value) or (not quoted and CODE.fullmatch(value)):
         return True
+    shown = HIDDEN.sub("", value)
+    if shown != value and len(shown) < SHOWN:
+        return True
     words = re.findall("[a-z]+", value.lower())
     letters = sum(map(len, words))
     return bool(ASKS.intersection(words)) and letters >= 0.8 * len(re.sub(r"[\s_.-]", "", value))
