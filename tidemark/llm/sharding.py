@@ -47,12 +47,12 @@ def assigned(rows: DataFrame, key: str, weights: Sequence[float], grown: float |
 def numbered(rows: DataFrame, key: str, shards: int) -> DataFrame:
     """``rows`` (with ``shard``) with ``slot``: 0, 1, 2, ... within each shard.
 
-    A shard is numbered in parts by a hash of the key, so that no shard lands in one task; the sizes of the parts, a
-    row each, tell where each part begins.
+    A shard is numbered in parts by a hash of the whole row, so that neither a shard nor a key that many different rows
+    share lands in one task; the sizes of the parts, a row each, tell where each part begins.
     """
     rows = staged(rows, "shards")
     parts = buckets_for(rows.count(), NUMBERED * shards, least=8)
-    laid = rows.withColumn("__part", F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts)).cast("int"))
+    laid = rows.withColumn("__part", F.pmod(F.xxhash64(*(c for c in rows.columns if c != "shard"), F.lit("part")), F.lit(parts)).cast("int"))
     sizes = laid.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     begins = sizes.select("shard", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__begin"))
