@@ -115,7 +115,8 @@ def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The token sets that hold all tokens of some rule, through an index from each rule's rarest token. Equal sets are matched once."""
     sets = staged(urls.groupBy("tokens").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n")), "token-sets")
     needed = rules.select("rule", "tokens", F.explode("tokens").alias("token"))
-    often = sets.select(F.explode("tokens").alias("token"), "n").join(F.broadcast(needed.select("token").distinct()), "token").groupBy("token").agg(F.sum("n").alias("n"))
+    asked = staged(needed.select("token").distinct(), "asked")
+    often = dealt(sets.select("page_id", "tokens", "n", F.explode("tokens").alias("token")), asked, ["token"], "inner").groupBy("token").agg(F.sum("n").alias("n"))
     index = needed.join(often, "token").groupBy("rule").agg(F.first("tokens").alias("needed"), F.min_by("token", F.struct("n", "token")).alias("token"))
     index = staged(index.select("token", "needed"), "index")
     keyed = sets.select("page_id", "tokens", F.explode("tokens").alias("token"))
