@@ -237,7 +237,7 @@ def test_perplexity_is_that_of_the_definition(spark):
     rows = docs.select(F.col("doc_id"), F.lit(0).cast("long").alias("row_hash"), F.col("lang").alias("model"), F.coalesce("text", F.lit("")).alias("text"), "lang")
     train = rows.where(~F.col("doc_id").isin([*held, 200, 201, 202, 203])).select("lang", "text")
     weights, shards = quality.model(train, 1 << 27)
-    got = {r["doc_id"]: r for r in quality.scored(rows, weights, shards, 1 << 25).collect()}
+    got = {r["doc_id"]: r for r in quality.scored(rows, weights, shards).collect()}
     for i, t, lang in [*made, (200, "zzz unseen ba", "xx")]:
         s = [quality.PAD] * (quality.ORDER - 1) + symbols(t) + [quality.END]
         want = sum(math.log(models[lang](tuple(s[j - quality.ORDER + 1 : j]), s[j])) for j in range(quality.ORDER - 1, len(s)))
@@ -248,6 +248,22 @@ def test_perplexity_is_that_of_the_definition(spark):
     assert len(rows) == 155 and all(r["keep"] for r in rows if r["doc_id"] > 200)
 
 
+def test_perplexity_of_rows_in_no_fixed_order(spark):
+    """Every reading of the input deals its rows differently; each row is scored all the same."""
+    r = random.Random(6)
+    made = [(i, i, "", "".join(r.choice(("ba", "do ", "ki")) for _ in range(r.randint(0, 60))), "xx") for i in range(200)]
+    rows = spark.createDataFrame(made, "doc_id long, row_hash long, model string, text string, lang string")
+    weights, shards = quality.model(rows.where("doc_id < 100").select(F.col("model").alias("lang"), "text"), 1 << 20)
+
+    def dealt(frames):
+        for pdf in frames:
+            yield pdf.assign(place=np.random.default_rng().integers(0, 1000, len(pdf)))
+
+    anew = rows.mapInPandas(dealt, rows._jdf.schema().toDDL() + ", place long").repartition(6, "place").drop("place")
+    scores = lambda df: sorted(map(tuple, quality.scored(df, weights, shards).collect()))
+    assert scores(anew) == scores(rows.coalesce(1)) and len(scores(anew)) == 200
+
+
 def test_model_is_a_distribution():
     texts = [[97, 98, 97, 99, 97, 98], [98, 98, 97], [99, 97, 98, 97, 98]]
     p = _kneser_ney(texts)

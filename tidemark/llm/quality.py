@@ -302,37 +302,56 @@ def _weights(shards: int):
     return run
 
 
-def _blocks(slices: int):
-    """Rows (slice, block): about a megabyte of texts, compressed. Which slice a block joins is drawn by where it was read."""
+def _laid(shards: int):
+    """Rows (slice, shard, block, keys): the texts of a slice, a megabyte compressed a row, then what it asks of each shard.
+
+    A slice is what one task reads until there are SLICE_BYTES; both kinds of rows are made in one pass over the texts.
+    """
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
-        from xxhash import xxh64_intdigest
 
         from .common import text_slices
 
-        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, number, blocks, total, held, size = TaskContext.get().partitionId(), 0, [], 0, [], 0
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
 
         def block():
-            nonlocal number, held, size
+            nonlocal held, size, total
             table = pa.Table.from_batches(held)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=options) as out:
                 out.write_table(table.combine_chunks())
-            at = xxh64_intdigest(f"{task}:{number}".encode()) % slices
-            number, held, size = number + 1, [], 0
-            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slice", "block"])
+            blocks.append(sink.getvalue().to_pybytes())
+            held, size, total = [], 0, total + size
+
+        def rows():
+            nonlocal blocks, total, number
+            at = (task << 32) + number
+            asked = Slice(blocks).asked(shards)
+            shard = (asked >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(shard)) + 1
+            low = [packed(x) for x in np.split((asked & np.uint64(0xFFFFFFFF)).astype(np.uint32), cuts)] if len(asked) else []
+            to = shard[np.append(0, cuts)].tolist() if len(asked) else []
+            none, n = [None] * len(blocks), len(blocks) + len(low)
+            cols = [pa.array([at] * n, pa.int64()), pa.array(none + to, pa.int64()), pa.array(blocks + [None] * len(low), pa.binary()), pa.array(none + low, pa.binary())]
+            blocks, total, number = [], 0, number + 1
+            return pa.RecordBatch.from_arrays(cols, ["slice", "shard", "block", "keys"])
 
         for batch in batches:
             for part in text_slices(batch, 3, BLOCK_BYTES):
                 held.append(part)
                 size += part.nbytes
                 if size >= BLOCK_BYTES:
-                    yield block()
+                    block()
+                    if total >= SLICE_BYTES:
+                        yield rows()
         if held:
-            yield block()
+            block()
+        if blocks:
+            yield rows()
 
     return run
 
@@ -380,23 +399,6 @@ class Slice:
         return np.unique(placed(np.concatenate([self.keys(m, s) for m, s in enumerate(each)]), shards))
 
 
-def _ask(shards: int):
-    """Rows (shard, slice, keys) of each slice."""
-
-    def run(key, table):
-        import numpy as np
-        import pyarrow as pa
-
-        asked = Slice(table.column("block").to_pylist()).asked(shards)
-        shard = (asked >> np.uint64(32)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(shard)) + 1
-        low = [packed(x) for x in np.split((asked & np.uint64(0xFFFFFFFF)).astype(np.uint32), cuts)] if len(asked) else []
-        at = shard[np.append(0, cuts)] if len(asked) else shard
-        return pa.table({"shard": pa.array(at, pa.int64()), "slice": pa.array([key[0].as_py()] * len(low), pa.int64()), "keys": pa.array(low, pa.binary())})
-
-    return run
-
-
 def _answer(batches):
     """Rows (slice, shard, weights): what the shard holds of the keys asked. Rows come by group, the shard's own first."""
     import numpy as np
@@ -438,7 +440,7 @@ def _sum(shards: int):
         got = sorted(zip(answers.column("shard").to_pylist(), answers.column("weights").to_pylist(), strict=True))
         weights = np.concatenate([np.zeros(0, np.int16), *(unpacked(w, np.int16) for _, w in got)]).astype(np.int64)
         if len(weights) != len(asked):
-            raise RuntimeError("a slice was asked and answered with different texts; its input must be read in a fixed order")
+            raise RuntimeError("a slice has other answers than it asked for")
         value = np.full(len(s.seen), round(-math.log(256) * UNIT), np.int64)
         for m in range(ORDER + 1):
             value += weights[np.searchsorted(asked, placed(s.keys(m), shards))]
@@ -546,19 +548,22 @@ def model(train: DataFrame, size: int) -> tuple[DataFrame, int]:
     return staged(parts.mapInArrow(_weights(shards), "shard long, keys binary, weights binary"), "weights"), shards
 
 
-def scored(rows: DataFrame, weights: DataFrame, shards: int, size: int) -> DataFrame:
-    """(doc_id, row_hash, lang, ll, n) of every row of ``rows`` (doc_id, row_hash, model, text, lang), of ``size`` bytes about; ``model`` names the model that scores it."""
-    slices = buckets_for(size, SLICE_BYTES)
-    blocks = rows.select("doc_id", "row_hash", "model", "text", "lang").mapInArrow(_blocks(slices), "slice long, block binary")
-    by_slice = blocks.repartition(slices, "slice")
-    asked = by_slice.groupBy("slice").applyInArrow(_ask(shards), "shard long, slice long, keys binary")
+def scored(rows: DataFrame, weights: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, row_hash, lang, ll, n) of every row of ``rows`` (doc_id, row_hash, model, text, lang); ``model`` names the model that scores it.
+
+    Slices are written before they ask, so that those that ask and those that get answers are the same, in whatever
+    order ``rows`` comes and whichever tasks are run again.
+    """
+    laid = staged(rows.select("doc_id", "row_hash", "model", "text", "lang").mapInArrow(_laid(shards), "slice long, shard long, block binary, keys binary"), "slices")
+    slices = laid.select("slice").distinct().count()
     copies = buckets_for(slices * SLICE_GRAMS, ASKED * shards)
     group = lambda copy: (F.col("shard") * copies + copy).alias("group")
-    right = asked.select(group(F.pmod(F.xxhash64("slice"), F.lit(copies))), "shard", "slice", "keys", F.lit(None).cast("binary").alias("weights"))
+    right = laid.where("shard IS NOT NULL").select(group(F.pmod(F.xxhash64("slice"), F.lit(copies))), "shard", "slice", "keys", F.lit(None).cast("binary").alias("weights"))
     left = weights.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select(group(F.col("copy")), "shard", F.lit(None).cast("long").alias("slice"), "keys", "weights")
     dealt = left.unionByName(right).repartition("group").sortWithinPartitions("group", F.col("slice").asc_nulls_first())
     answers = dealt.mapInArrow(_answer, "slice long, shard long, weights binary")
-    return by_slice.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_sum(shards), "doc_id long, row_hash long, lang string, ll long, n long")
+    blocks = laid.where("shard IS NULL").select("slice", "block").repartition(max(1, slices), "slice")
+    return blocks.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_sum(shards), "doc_id long, row_hash long, lang string, ll long, n long")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -568,13 +573,11 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     near = sent(trusted, SENT_IDS)
     rows = rows.withColumn("model", F.lit(""))
     train = rows.join(near, "doc_id").where("NOT held_out").select(F.col("model").alias("lang"), "text")
-    sizes = F.octet_length("text")
-    size = rows.agg(F.sum(sizes)).first()[0] or 0
-    weights, shards = model(train, train.agg(F.sum(sizes)).first()[0] or 0)
+    weights, shards = model(train, train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     marking = sent(marking_words(rows, near.select("doc_id"), sent(staged(toxic_ids(labels), "toxic"), SENT_IDS)), SENT_WORDS)
     marked = words_of(rows).join(marking, "word").groupBy("doc_id", "row_hash").agg(F.count_distinct("word").alias("marks"))
     marked = staged(marked, "marked").select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), "marks")
-    scores = staged(scored(rows, weights, shards, size), "scores")
+    scores = staged(scored(rows, weights, shards), "scores")
     nll = (-F.col("ll") / UNIT).alias("nll")
     held = staged(scores.where("n > 0").join(trusted.where("held_out").select("doc_id"), "doc_id").select("lang", nll, "n"), "held")
     drawn = lambda mean: (F.col("nll") + PRIOR * F.col(mean)) / (F.col("n") + PRIOR)
