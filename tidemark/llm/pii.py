@@ -2,7 +2,8 @@
 
 The patterns give base spans. The field looks at the regions around digits and at-signs that they leave over: it cuts
 a region into atoms and scores whole candidate segments by features of the segment as a unit (its digit groups, check
-digit, separators, the words before it). Dynamic programming over segments of bounded length chooses boundaries and
+digit, separators, the nearest telling word before it: "call" speaks for a phone number, "order" against any kind).
+Dynamic programming over segments of bounded length chooses boundaries and
 types together. Its weights are fitted once per driver by conditional likelihood on regions made from templates.
 
 Defined results: null and empty texts hold nothing; base spans always stay, added ones never overlap a base span; offsets
@@ -35,10 +36,13 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ATOM = re.compile(r"[0-9]+|[A-Za-z]+|.", re.DOTALL)
 #: Seven digits or more, at most three separators between two; or four groups between dots.
-NUMBERS = re.compile(r"(?<![A-Za-z0-9])(?:[+(]{0,2}[0-9](?:[ ().\-/]{0,3}[0-9]){6,}|[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3})(?![A-Za-z0-9])")
+DOT = r" ?(?:\.|[(\[](?:\.|dot)[)\]]) ?"
+NUMBERS = re.compile(rf"(?<![A-Za-z0-9])(?:[+(]{{0,2}}[0-9](?:[ ().\-/]{{0,3}}[0-9]){{6,}}|[0-9]{{1,3}}(?:{DOT}[0-9]{{1,3}}){{3}})(?![A-Za-z0-9])")
 MAILS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)+")
+#: An address in words: at most four parts before its at-sign.
+WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: (?:dot|DOT) [A-Za-z0-9._%+-]++){0,3} (?:at|AT) [A-Za-z0-9-]++(?:(?: (?:dot|DOT) |\.)[A-Za-z0-9-]++)++")
 GROUPS, LETTER, AT = re.compile("[0-9]+"), re.compile("[A-Za-z]"), re.compile(r"@|[(\[]at[)\]]")
-QUAD = re.compile(r"[0-9]+(?: ?\. ?[0-9]+){3}")
+QUAD = re.compile(rf"[0-9]+(?:{DOT}[0-9]+){{3}}")
 DATED = re.compile(r"(?:19|20)[0-9]{2}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}")
 ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 SHAPE = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
@@ -81,13 +85,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-CONTEXT = {"phone": ("phone", "tel", "call", "mobile", "fax"), "card": ("card", "visa", "payment"), "ip": ("ip", "host", "server", "address"), "email": ("mail", "email", "contact")}
+#: Words that tell what the number or address after them is, and those that tell it is none of the kinds.
+CONTEXT = {
+    "phone": ("phone", "tel", "telephone", "telefon", "telefono", "call", "ring", "text", "sms", "whatsapp", "mobile", "mobil", "handy", "cell", "fax"),
+    "card": ("card", "visa", "mastercard", "amex", "karte", "carte", "tarjeta", "payment", "paid"),
+    "ip": ("ip", "host", "server", "gateway", "ping", "dns"),
+    "email": ("mail", "email", "contact", "write", "courriel", "correo"),
+    "none": ("order", "serial", "invoice", "ref", "reference", "ticket", "tracking", "isbn", "issn", "sku", "part", "article", "item", "batch", "lot", "model", "version", "build", "release", "section", "chapter", "page", "figure", "case", "patent", "rechnung", "bestellung", "facture", "commande", "pedido", "factura"),
+}
+TOLD = {w: k for k, ws in CONTEXT.items() for w in ws}
+#: Last labels of an address in words.
+TLDS = frozenset(("com", "org", "net", "edu", "gov", "info", "io", "co", "de", "fr", "es", "it", "nl", "ch", "uk", "eu", "us"))
 
 
 def near(text: str, start: int) -> list[str]:
-    """Features of the words before a place."""
-    words = set(re.findall("[a-z]+", text[max(0, start - 24) : start].lower()))
-    return [f"near={k}" for k, ws in CONTEXT.items() if not words.isdisjoint(ws)]
+    """The feature of the nearest telling word in the 24 characters before a place."""
+    for w in reversed(re.findall("[a-z]+", text[max(0, start - 24) : start].lower())):
+        if w in TOLD:
+            return [f"near={TOLD[w]}"]
+    return []
 
 
 def features(text: str, start: int, end: int, before: list[str]) -> list[str]:
@@ -98,21 +114,29 @@ def features(text: str, start: int, end: int, before: list[str]) -> list[str]:
     n = len(digits)
     seps = "".join(sorted(set(span) - ALNUM))
     out = ["bias", f"digits={min(n, 20)}", f"groups={min(len(groups), 6)}", "seps=" + seps[:4], *before]
-    out.append("shape=" + "-".join([str(min(len(g), 9)) for g in groups[:6]]))
+    shape = "-".join([str(min(len(g), 9)) for g in groups[:6]])
+    out += ["shape=" + shape, f"form={shape}{seps[:4]}"]
     if not digits or not span[0].isalnum() and span[0] not in "+(" or not span[-1].isalnum():
         out.append("ragged")
     if 13 <= n <= 19 and luhn(digits):
         out.append("luhn")
-    if len(groups) == 4 and n <= 12 and "." in seps and all(map(octet, groups)) and QUAD.fullmatch(span):
+    if digits and span[0] in "+(0123456789":
+        lead = digits[0] if digits[0] in "01" else "n"
+        out += ["lead=" + lead, f"lead={lead}:{min(len(groups), 6)}"]
+    if len(groups) == 4 and n <= 12 and all(map(octet, groups)) and QUAD.fullmatch(span):
         out.append("quad")
     if span[0] == "+":
         out.append("plus")
     if ("@" in seps or "(" in seps or "[" in seps) and AT.search(span) and MAILS.fullmatch(text, start, end):
         out.append("mail")
+    elif n < len(span) and " " in seps and WORDED.fullmatch(text, start, end):
+        out.append("worded" if re.split("[ .]", span)[-1].lower() in TLDS else "words")
     if len(span) > n + len(seps) and LETTER.search(span):
         out.append("letters")
     if len(groups) > 2 and DATED.match(span):
         out.append("date")
+    if text[max(0, start - 5) : start].lower() == " dot " or text[end : end + 5].lower() == " dot ":
+        out.append("continued")
     if text[end : end + 1] in ALNUM or (text[start - 1] in ALNUM if start else False):
         out.append("inside")
     return out
@@ -200,7 +224,7 @@ def _logsum(xs: list[float]) -> float:
     return m if m == -math.inf else m + math.log(sum(math.exp(x - m) for x in xs))
 
 
-def templates(n: int = 160, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def templates(n: int = 1400, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Regions with their true spans: personal data in forms of many kinds, and numbers that are none."""
     import random
 
@@ -208,32 +232,66 @@ def templates(n: int = 160, seed: int = 7) -> list[tuple[str, list[tuple[str, in
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     w = lambda: "".join(r.choice("abcdefghilmnoprstuv") for _ in range(r.randint(3, 8)))
 
-    def card():
-        body = r.choice("345") + d(14)
-        last = next(c for c in "0123456789" if luhn(body + c))
-        s = body + last
-        return r.choice((" ", "-", ".", "/")).join(s[i : i + 4] for i in range(0, 16, 4))
-
-    def makes():
-        return {
-            "phone": r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{d(2)}/{d(3)}/{d(6)}")),
-            "card": card(),
-            "ip": " . ".join(str(r.randint(0, 255)) for _ in range(4)),
-            "email": f"{w()}{r.choice((' @ ', ' (at) ', '[at]', ' [at] '))}{w()}{r.choice((' . ', '.', ' (dot) '))}{r.choice(('com', 'org', 'net'))}",
-            "none": r.choice((f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)}", f"{d(9)}", f"{d(1)}.{d(7)}", f"{d(3)} {d(3)} {d(3)} {d(3)} {d(3)}", d(12), f"{d(4)}-{d(4)}", f"{d(2)}/{d(2)}/20{d(2)} {d(2)}.{d(2)}")),
-        }
-
+    def luhned(body, right=True):
+        return body + next(c for c in "0123456789" if luhn(body + c) == right)
+
+    def cut(digits, sep, *sizes):
+        ends = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+        return sep.join(digits[a:b] for a, b in zip(ends, ends[1:]))
+
+    def card(right=True):
+        sep = r.choice((" ", "-", ".", "/"))
+        return r.choice((lambda: cut(luhned(r.choice("3456") + d(14), right), sep, 4, 4, 4, 4), lambda: cut(luhned(r.choice(("34", "37")) + d(12), right), sep, 4, 6, 5)))()
+
+    # by kind: forms that tell for themselves, and forms that only a word before them tells
+    free = {
+        "phone": (lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"+{d(2)}/{d(3)}/{d(6)}", lambda: f"1-{d(3)}-{d(3)}-{d(4)}", *[lambda: f"0{d(r.choice((2, 3)))}{r.choice('-/')}{d(r.choice((6, 7, 8)))}"] * 2, lambda: "0" + " ".join((d(1), d(2), d(2), d(2), d(2)))),
+        "card": (card,),
+        "ip": (lambda: r.choice((" . ", "[.]", "(.)", "[dot]", " (dot) ")).join(str(r.randint(0, 255)) for _ in range(4)),),
+        "email": (lambda: f"{w()}{r.choice((' @ ', ' (at) ', '[at]', ' [at] '))}{w()}{r.choice((' . ', '.', ' (dot) '))}{r.choice(('com', 'org', 'net'))}", lambda: f"{w()}{r.choice(('', ' dot ' + w()))} at {w()}{r.choice((' dot ', ' dot ', '.'))}{r.choice(('com', 'org', 'de', 'net', 'fr'))}"),
+    }
+    told = {
+        "phone": (lambda: d(r.choice((9, 10, 11))), lambda: "0" + d(r.choice((9, 10))), lambda: f"{d(3)} {d(3)} {d(3)}", lambda: f"{d(3)} {d(4)}", lambda: f"{d(3)}-{d(4)}", lambda: f"{d(3)} {d(3)} {d(4)}", lambda: f"0{d(3)} {d(7)}"),
+        "card": (lambda: luhned("37" + d(12)),),
+    }
+    none = (
+        lambda: f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)}",
+        lambda: d(r.choice((8, 9, 10, 11, 12, 14))),
+        lambda: f"{d(1)}.{d(7)}",
+        lambda: " ".join(d(3) for _ in range(r.choice((3, 4, 5)))),
+        lambda: f"{d(4)}-{d(4)}",
+        lambda: f"{d(3)}-{d(4)}",
+        lambda: f"20{d(2)}-20{d(2)}",
+        lambda: f"{r.randint(1, 9)}{d(1)} " + " ".join(d(2) for _ in range(4)),
+        lambda: f"97{r.choice('89')}-{d(1)}-{d(2)}-{d(6)}-{d(1)}",
+        lambda: f"{d(2)}/{d(2)}/20{d(2)} {d(2)}.{d(2)}",
+        lambda: f"{w()} at {r.choice(('the', 'a', w()))} dot {w()}",
+        lambda: card(False),
+    )
+    say = {
+        "phone": ("call ", "tel ", "phone: ", "fax ", "mobile ", "telefon "),
+        "card": ("card ", "visa ", "paid by card "),
+        "ip": ("host ", "server ", "ip "),
+        "email": ("mail ", "contact ", "email: "),
+        "none": ("order ", "serial ", "invoice ", "ref ", "ticket ", "part ", "isbn ", "order no. ", "tracking "),
+    }
     out = []
     for i in range(n):
-        kind = (*KINDS, "none")[i % 5]
-        piece = makes()[kind]
-        lead = r.choice(("", w() + " ", {"phone": "call ", "card": "card ", "ip": "host ", "email": "mail "}.get(kind, "no ")))
-        out.append((lead + piece + r.choice(("", " " + w())), [(kind, len(lead), len(lead) + len(piece))] if kind != "none" else []))
+        kind = (*KINDS, "none", "none", "none")[i % 7]
+        lead, piece = r.choice(("", w() + " ", r.choice(say[kind]))), r.choice(free.get(kind, none))()
+        if kind in told and r.random() < 0.4:
+            lead, piece = r.choice(say[kind]), r.choice(told[kind])()
+        elif kind == "none" and r.random() < 0.4:  # what a word before it denies
+            other = r.choice(("phone", "card"))
+            lead, piece = r.choice(say["none"]), r.choice(free[other] + told[other])()
+        elif kind == "none" and r.random() < 0.2:  # what no word tells
+            lead, piece = r.choice(("", w() + " ")), r.choice(told["phone"])()
+        out.append((lead + piece + r.choice(("", " " + w(), ", " + w())), [(kind, len(lead), len(lead) + len(piece))] if kind != "none" else []))
     return out
 
 
 @lru_cache(maxsize=1)
-def fitted(rounds: int = 12, rate: float = 0.5, decay: float = 1e-3) -> dict[tuple[str, str], float]:
+def fitted(rounds: int = 15, rate: float = 0.5, decay: float = 1e-3) -> dict[tuple[str, str], float]:
     """Weights by stochastic gradient ascent on the conditional log-likelihood of the templates."""
     field, data = SemiMarkovField({}), []
     for text, true in templates():
@@ -258,7 +316,7 @@ def fitted(rounds: int = 12, rate: float = 0.5, decay: float = 1e-3) -> dict[tup
 
 
 def region_of(text: str) -> tuple[int, int]:
-    found = [m.span() for p in (NUMBERS, MAILS) for m in p.finditer(text)]
+    found = [m.span() for p in (NUMBERS, MAILS, WORDED) for m in p.finditer(text)]
     return (min(a for a, _ in found), max(b for _, b in found)) if found else (0, len(text))
 
 
@@ -299,8 +357,10 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: SemiMarkovFi
         found += [m.span() for m in NUMBERS.finditer(text)]
     if "@" in text or "(at)" in text or "[at]" in text:
         found += [m.span() for m in MAILS.finditer(text)]
+    if " dot " in text or " DOT " in text or " at " in text or " AT " in text:
+        found += [m.span() for m in WORDED.finditer(text)]
     out, taken = [], sorted((a, b) for _, a, b in base)
-    for a, b in sorted(found):
+    for a, b in sorted(set(found)):
         new = [s for x, y in left_over(a, b, taken) for s in found_in(text, x, y, field)]
         out += new
         taken += [(x, y) for _, x, y in new]
