@@ -302,58 +302,43 @@ def _weights(shards: int):
     return run
 
 
-def _laid(shards: int):
-    """Rows (slice, shard, block, keys): the texts of a slice, a megabyte compressed a row, then what it asks of each shard.
+def _laid(batches):
+    """Rows (slice, blocks): the texts that one task reads until there are SLICE_BYTES, in compressed blocks of about a megabyte."""
+    import pyarrow as pa
+    from pyspark import TaskContext
 
-    A slice is what one task reads until there are SLICE_BYTES; both kinds of rows are made in one pass over the texts.
-    """
+    from .common import text_slices
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        from .common import text_slices
-
-        task, number, blocks, total, held, size = TaskContext.get().partitionId(), 0, [], 0, [], 0
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
-
-        def block():
-            nonlocal held, size, total
-            table = pa.Table.from_batches(held)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=options) as out:
-                out.write_table(table.combine_chunks())
-            blocks.append(sink.getvalue().to_pybytes())
-            held, size, total = [], 0, total + size
-
-        def rows():
-            nonlocal blocks, total, number
-            at = (task << 32) + number
-            asked = Slice(blocks).asked(shards)
-            shard = (asked >> np.uint64(32)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            low = [packed(x) for x in np.split((asked & np.uint64(0xFFFFFFFF)).astype(np.uint32), cuts)] if len(asked) else []
-            to = shard[np.append(0, cuts)].tolist() if len(asked) else []
-            none, n = [None] * len(blocks), len(blocks) + len(low)
-            cols = [pa.array([at] * n, pa.int64()), pa.array(none + to, pa.int64()), pa.array(blocks + [None] * len(low), pa.binary()), pa.array(none + low, pa.binary())]
-            blocks, total, number = [], 0, number + 1
-            return pa.RecordBatch.from_arrays(cols, ["slice", "shard", "block", "keys"])
+    task, number, blocks, total, held, size = TaskContext.get().partitionId(), 0, [], 0, [], 0
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
 
-        for batch in batches:
-            for part in text_slices(batch, 3, BLOCK_BYTES):
-                held.append(part)
-                size += part.nbytes
-                if size >= BLOCK_BYTES:
-                    block()
-                    if total >= SLICE_BYTES:
-                        yield rows()
-        if held:
-            block()
-        if blocks:
-            yield rows()
+    def block():
+        nonlocal held, size, total
+        table = pa.Table.from_batches(held)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+            out.write_table(table.combine_chunks())
+        blocks.append(sink.getvalue().to_pybytes())
+        held, size, total = [], 0, total + size
 
-    return run
+    def row():
+        nonlocal blocks, total, number
+        made = pa.RecordBatch.from_arrays([pa.array([(task << 32) + number], pa.int64()), pa.array([blocks], pa.list_(pa.binary()))], ["slice", "blocks"])
+        blocks, total, number = [], 0, number + 1
+        return made
+
+    for batch in batches:
+        for part in text_slices(batch, 3, BLOCK_BYTES):
+            held.append(part)
+            size += part.nbytes
+            if size >= BLOCK_BYTES:
+                block()
+                if total >= SLICE_BYTES:
+                    yield row()
+    if held:
+        block()
+    if blocks:
+        yield row()
 
 
 class Slice:
@@ -399,6 +384,25 @@ class Slice:
         return np.unique(placed(np.concatenate([self.keys(m, s) for m, s in enumerate(each)]), shards))
 
 
+def _ask(shards: int):
+    """Rows (shard, slice, keys) of each slice."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at, blocks in zip(batch.column(0), batch.column(1), strict=True):
+                asked = Slice(blocks.as_py()).asked(shards)
+                if len(asked):
+                    shard = (asked >> np.uint64(32)).astype(np.int64)
+                    cuts = np.flatnonzero(np.diff(shard)) + 1
+                    low = [packed(x) for x in np.split((asked & np.uint64(0xFFFFFFFF)).astype(np.uint32), cuts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[np.append(0, cuts)]), pa.array([at.as_py()] * len(low), pa.int64()), pa.array(low, pa.binary())], ["shard", "slice", "keys"])
+
+    return run
+
+
 def _answer(batches):
     """Rows (slice, shard, weights): what the shard holds of the keys asked. Rows come by group, the shard's own first."""
     import numpy as np
@@ -435,7 +439,7 @@ def _sum(shards: int):
         import numpy as np
         import pyarrow as pa
 
-        s = Slice(blocks.column("block").to_pylist())
+        s = Slice([b for x in blocks.column("blocks").to_pylist() for b in x])
         asked = s.asked(shards)
         got = sorted(zip(answers.column("shard").to_pylist(), answers.column("weights").to_pylist(), strict=True))
         weights = np.concatenate([np.zeros(0, np.int16), *(unpacked(w, np.int16) for _, w in got)]).astype(np.int64)
@@ -554,16 +558,16 @@ def scored(rows: DataFrame, weights: DataFrame, shards: int) -> DataFrame:
     Slices are written before they ask, so that those that ask and those that get answers are the same, in whatever
     order ``rows`` comes and whichever tasks are run again.
     """
-    laid = staged(rows.select("doc_id", "row_hash", "model", "text", "lang").mapInArrow(_laid(shards), "slice long, shard long, block binary, keys binary"), "slices")
-    slices = laid.select("slice").distinct().count()
+    laid = staged(rows.select("doc_id", "row_hash", "model", "text", "lang").mapInArrow(_laid, "slice long, blocks array<binary>"), "slices")
+    slices = laid.count()
+    asked = laid.mapInArrow(_ask(shards), "shard long, slice long, keys binary")
     copies = buckets_for(slices * SLICE_GRAMS, ASKED * shards)
     group = lambda copy: (F.col("shard") * copies + copy).alias("group")
-    right = laid.where("shard IS NOT NULL").select(group(F.pmod(F.xxhash64("slice"), F.lit(copies))), "shard", "slice", "keys", F.lit(None).cast("binary").alias("weights"))
+    right = asked.select(group(F.pmod(F.xxhash64("slice"), F.lit(copies))), "shard", "slice", "keys", F.lit(None).cast("binary").alias("weights"))
     left = weights.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select(group(F.col("copy")), "shard", F.lit(None).cast("long").alias("slice"), "keys", "weights")
     dealt = left.unionByName(right).repartition("group").sortWithinPartitions("group", F.col("slice").asc_nulls_first())
     answers = dealt.mapInArrow(_answer, "slice long, shard long, weights binary")
-    blocks = laid.where("shard IS NULL").select("slice", "block").repartition(max(1, slices), "slice")
-    return blocks.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_sum(shards), "doc_id long, row_hash long, lang string, ll long, n long")
+    return laid.repartition(max(1, slices), "slice").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_sum(shards), "doc_id long, row_hash long, lang string, ll long, n long")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
