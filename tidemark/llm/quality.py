@@ -35,7 +35,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, row_hash, staged, table, text_of
+from .common import buckets_for, forget, row_hash, staged, table, text_of
 
 #: Symbols of the longest gram; symbols before and after a text.
 ORDER, PAD, END = 5, 2, 3
@@ -529,7 +529,10 @@ def marking_words(rows: DataFrame, trusted: DataFrame, toxic: DataFrame) -> Data
     runs = bad.select(F.explode(F.arrays_zip(words.alias("w"), before(1).alias("a"), before(2).alias("b"))).alias("x")).where("x.w <> ''")
     contexts = runs.select(F.xxhash64("x.w").alias("word"), F.xxhash64("x.a", "x.b").alias("context")).join(odd.select("word"), "word").distinct()
     shown = odd.join(contexts.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word").where(F.col("n") >= least)
-    return staged(shown.where(chance(*texts(F.col("n"), F.col("n_good")), q) <= bar).select("word"), "marking")
+    marking = staged(shown.where(chance(*texts(F.col("n"), F.col("n_good")), q) <= bar).select("word"), "marking")
+    for done in (alike, bad, held):
+        forget(done)
+    return marking
 
 
 def sent_bytes(df: DataFrame, size, most: int) -> DataFrame:
@@ -549,7 +552,10 @@ def model(train: DataFrame, size: int) -> tuple[DataFrame, int]:
     own = groups.select("lang", "grams", "counts").withColumn("first", F.lit(False))
     lead = groups.select("lang").distinct().select("lang", F.lit(b"").alias("grams"), F.lit(b"").alias("counts"), F.lit(True).alias("first"))
     parts = own.unionByName(lead).join(near, "lang")
-    return staged(parts.mapInArrow(_weights(shards), "shard long, keys binary, weights binary"), "weights"), shards
+    weights = staged(parts.mapInArrow(_weights(shards), "shard long, keys binary, weights binary"), "weights")
+    for done in (groups, bases):
+        forget(done)
+    return weights, shards
 
 
 def scored(rows: DataFrame, weights: DataFrame, shards: int) -> DataFrame:
