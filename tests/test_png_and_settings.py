@@ -179,6 +179,18 @@ def test_reasons_of_polygons(spark):
     assert {r["b"]: r["why"] for r in df.select("b", polygons_reason(F.col("b")).alias("why")).collect()} == cases
 
 
+def test_reason_of_an_area_on_the_limit_is_that_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans.measures import DUCK, QUERIES
+
+    corners = [0.366, 0.46, 0.266, 0.475, 0.406, 0.452]  # an area of 0.0001 but for rounding, which the order of the sum decides
+    rows = [(4, [-0.5, -0.5, 0.5, -0.5, 0.5, 0.5, -0.5, 0.5, *[c - 0.5 for c in corners]])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = duckdb.sql(DUCK["polygon_reasons"].replace("FROM embeddings", f"FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")).fetchall()
+    assert [tuple(r) for r in QUERIES["polygon_reasons"](spark, str(tmp_path)).collect()] == want
+
+
 def test_warnings_of_unreviewed_labels(spark):
     rows = [("a", "pseudo_pending", False, False), ("b", "pseudo_pending", True, None), ("c", "pseudo_pending", True, True), ("d", "none", False, False), ("e", None, None, None)]
     made = validation.label_warnings(spark.createDataFrame(rows, "dataset string, water_source string, has_pseudolabels boolean, has_exclusions boolean"))

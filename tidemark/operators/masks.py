@@ -21,9 +21,10 @@ def inside(polygon: Column, x: Column, y: Column) -> Column:
 
 
 def polygon_area(polygon: Column) -> Column:
+    """Area of a polygon; products are added and taken off one by one, as their order decides where an area lies on a limit."""
     n = F.size(polygon)
-    terms = F.transform(polygon, lambda a, i: a["x"] * F.get(polygon, (i + 1) % n)["y"] - F.get(polygon, (i + 1) % n)["x"] * a["y"])
-    return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)) / 2
+    terms = F.transform(polygon, lambda a, i: F.struct((a["x"] * F.get(polygon, (i + 1) % n)["y"]).alias("add"), (F.get(polygon, (i + 1) % n)["x"] * a["y"]).alias("off")))
+    return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v["add"] - v["off"])) / 2
 
 
 def valid_polygon(polygon: Column) -> Column:
