@@ -77,3 +77,30 @@ def test_rows_that_mix_alike_are_told_apart():
     want = collections.Counter(zip(*[x.tolist() for x in cols], strict=True))
     assert {(int(cols[0][i]), int(cols[1][i])): int(k) for i, k in zip(first, n, strict=True)} == want
     assert c._grouped([cols[0][:0]], np.zeros(0, np.int64))[1].size == 0
+
+
+def peak(run):
+    """(result, most bytes that Python and numpy held meanwhile)."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_and_groups_stay_small_in_memory():
+    import pyarrow as pa
+
+    raw = np.frombuffer(b"Some words, and more of them. " * 50_000, np.uint8)
+    (codes, piece, langs, words), most = peak(lambda: c._tokens(raw, np.array([0, len(raw)]), np.zeros(1, np.int64)))
+    assert len(codes) == len(piece) == len(langs) == 300_000 and len(words) == 6 and piece[-1] == 99_999
+    assert most < 30 * len(raw), most / len(raw)
+    rng = np.random.default_rng(3)
+    table = np.concatenate([rng.integers(1, 300, (600_000, 5)), np.ones((600_000, 1), np.int64), np.zeros((600_000, 1), np.int64)], axis=1).astype(np.int64)
+    table[:, 2] <<= 20
+    packed = pa.table({"grp": pa.array([0, 0], pa.int32()), "rows": pa.array([table[:250_000].tobytes(), table[250_000:].tobytes()], pa.binary())})
+    del table
+    mined, most = peak(lambda: c._mine(10)(packed))
+    assert mined.num_rows > 1000 and most < 6 * packed.nbytes, most / packed.nbytes
