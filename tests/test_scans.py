@@ -63,3 +63,9 @@ def test_values_before_a_row(series):
     want = series.withColumns({"a": F.sum("v").over(w).cast("decimal(9,4)"), "b": F.max("v").over(w)})
     got = scans.running(series, ["k"], ["ts", "seq"], 60.0, a=("sum_before", F.col("v")), b=("max_before", F.col("v")))
     assert rows(got.withColumn("a", F.col("a").cast("decimal(9,4)"))) == rows(want)
+
+
+def test_growth_sends_and_sorts_rows_once(spark):
+    series = spark.range(50).selectExpr("id % 2 AS k", "CAST(id AS double) AS ts", "id / 50 AS v")
+    plan = ts.growth(series, "k", "ts", "v", 5, width=10.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1

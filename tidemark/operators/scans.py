@@ -16,6 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import sent
 from .ranks import renamed, same
 
 #: Rows of a bucket that ``width_for`` aims at.
@@ -85,15 +86,19 @@ def run_lengths(df: DataFrame, key: Sequence[str], order: Sequence[str], hit: Co
     return joined.select(*(local[c] for c in df.columns), length.alias(out))
 
 
+def _spread(df: DataFrame, at: str, width: int, size: int, counts: Column) -> DataFrame:
+    """``df`` with a row's own bucket and ``__b``, in which it stands: its own and, if it ``counts`` and the next reaches back to it, that one."""
+    own = F.floor(F.col(at) / size)
+    places = F.when(counts, F.array_distinct(F.array(own, F.floor((F.col(at) + width) / size)))).otherwise(F.array(own))
+    return df.withColumn("__own", own).withColumn("__b", F.explode(places))
+
+
 def over_last(df: DataFrame, key: Sequence[str], at: str, width: int, size: int, counts: Column, made: Callable[[object], Column], out: str) -> DataFrame:
     """``df`` with ``made`` of a window over the last ``width`` units of the number ``at``, the row's own among them.
 
     Buckets are ``size`` wide, ``width`` at least; rows that ``counts`` near a bucket's end stand in the next one too.
     """
-    size = max(size, width)
-    own = F.floor(F.col(at) / size)
-    places = F.when(counts, F.array_distinct(F.array(own, F.floor((F.col(at) + width) / size)))).otherwise(F.array(own))
-    spread = df.withColumn("__own", own).withColumn("__b", F.explode(places))
+    spread = _spread(df, at, width, max(size, width), counts)
     over = Window.partitionBy(*key, "__b").orderBy(at).rangeBetween(-width, 0)
     return spread.withColumn(out, made(over)).where("__b <=> __own").drop("__b", "__own")
 
@@ -109,11 +114,23 @@ def rolling(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str,
 
 
 def growth(df: DataFrame, key: Sequence[str], ts: str, value: str, window_s: int, width: float, out: str) -> DataFrame:
-    """Change per minute against the oldest measured sample of the last ``window_s`` seconds, or the one before if there is none."""
+    """Change per minute against the oldest measured sample of the last ``window_s`` seconds, or the one before if there is none.
+
+    Both look back in the same buckets, so rows are sent and sorted once; what stands before a bucket is joined to it.
+    """
+    size = max(window_s, int(min(width, 1e15)))
+    own = F.floor(F.col(ts) / size)
     measured = F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(value).alias("f")))
-    past = running(df, key, [ts], width, __past=("last_before", measured))
-    anchor = lambda w: F.when(F.count(measured).over(w) >= 2, F.first(measured, ignorenulls=True).over(w)).otherwise(F.col("__past"))
-    made = over_last(past, key, ts, window_s, max(window_s, int(min(width, 1e15))), F.col(value).isNotNull(), anchor, "__a")
+    ends = df.groupBy(*key, own.alias("__b")).agg(_summary("last", measured, [ts]).alias("__end"))
+    earlier = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    keys = [*key, "__b"]
+    carry = sent(renamed(ends.select(*keys, _running("last", F.col("__end"), earlier).alias("__carry")), keys), "carry")
+    spread = _spread(df, ts, window_s, size, F.col(value).isNotNull())
+    rows = spread.join(carry, same(spread, carry, keys), "left").select(*(spread[c] for c in spread.columns), "__carry")
+    by = Window.partitionBy(*keys).orderBy(ts)
+    near, past = by.rangeBetween(-window_s, 0), by.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.coalesce(_running("last", measured, past), F.col("__carry"))
+    made = rows.withColumn("__a", F.when(F.count(measured).over(near) >= 2, F.first(measured, ignorenulls=True).over(near)).otherwise(last))
     minutes = (F.col(ts) - F.col("__a.t")) / 60.0
     rate = F.when(F.col(value).isNotNull() & (minutes > 1e-6), (F.col(value) - F.col("__a.f")) / minutes)
-    return made.withColumn(out, rate).drop("__a", "__past")
+    return made.where("__own <=> __b").withColumn(out, rate).drop("__a", "__carry", "__own", "__b")
